@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe_count, packing, toxicity
+from pairloom.llm import bpe_count, mixing, packing, toxicity
 from pairloom.llm.common import fold_of, read
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"), fold_of("doc_id", 3) != 1)
@@ -27,6 +31,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op10_packing": op10_packing,
