@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe_count, mixing, packing, toxicity
+from pairloom.llm import bpe_count, mixing, packing, parity_join, toxicity
 from pairloom.llm.common import fold_of, read
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.classes(read(spark, sf_dir, "documents"), 3, (9, 10))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
 
@@ -31,6 +35,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_mixing": op3_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
