@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe_count, mixing, packing, parity_join, perplexity, toxicity
+from pairloom.llm import bpe_count, mixing, packing, parity_join, perplexity, pii, toxicity
 from pairloom.llm.common import fold_of, read
 
 
@@ -23,6 +23,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(pii.KINDS), 256).alias("base_sha256"),
+        pii.listed().alias("spans"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"), fold_of("doc_id", 3) != 1)
@@ -43,6 +53,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op10_packing": op10_packing,
