@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe_count, collision_ann, mixing, packing, parity_join, perplexity, pii, toxicity
+from pairloom.llm import bpe_count, collision_ann, crf_lang, mixing, packing, parity_join, perplexity, pii, toxicity
 from pairloom.llm.common import fold_of, read
 
 
@@ -37,6 +37,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = crf_lang.identify(docs, crf_lang.learn(docs, fold_of("doc_id", 5) != 0))
+    return found.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.round("score", 9).alias("score"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"), fold_of("doc_id", 3) != 1)
@@ -59,6 +65,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
+    "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op10_packing": op10_packing,
