@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe_count, collision_ann, crf_lang, mixing, packing, parity_join, perplexity, pii, toxicity
+from pairloom.llm import bpe_count, collision_ann, crf_lang, license_scan, mixing, packing, parity_join, perplexity, pii, toxicity
 from pairloom.llm.common import fold_of, read
 
 
@@ -54,6 +54,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    return found.select("doc_id", F.array_join(names, ",").alias("licenses"), F.size("matches").cast("long").alias("n_segments"), F.round(F.array_max(F.transform("matches", lambda m: m["dice"])), 6).alias("best_dice"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "sequence_id", "offset")
@@ -68,6 +74,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }
 
