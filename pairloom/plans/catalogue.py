@@ -1,4 +1,9 @@
-"""The catalogue of queries over the driver's tables, each with its SQL twin."""
+"""The catalogue of queries over the driver's tables, each with its SQL twin.
+
+Each module of plans registers its queries here. Stand-ins: benchmark passages are queries and documents candidates of
+lexical ranking; four consecutive vectors are the sections of one document; suppliers are candidates with brands as
+skills, customers are requirements; events stand for the outbox and the job table.
+"""
 
 from __future__ import annotations
 
@@ -6,5 +11,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL where SQL can express it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from pairloom.plans import evaluations, hybrids, lexical, logs, texts, vectors  # noqa: E402, F401
