@@ -105,7 +105,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         hinted = lambda x: F.rlike(x, F.lit("|".join(CUES)))
         segments = F.filter(segments, hinted)
     cut = F.transform(segments, lambda s: F.struct(s.alias("segment"), _bigrams(s).alias("grams")))
-    wide = (2 - threshold) / threshold
+    wide = (2 - threshold) / threshold + 1e-9
 
     def best(s: Column) -> Column:
         n = F.size(s["grams"])

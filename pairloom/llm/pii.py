@@ -138,11 +138,11 @@ def spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     # only rows that could hold anything pass through the graph; a row is told by the hash of its id and text
     marked = docs.select(*{"doc_id": None, **dict.fromkeys(keep)}, text.alias("__t"))
     marked = marked.withColumns({k: base_spans(k, F.col("__t")) for k in KINDS})
-    marked = marked.withColumn("row", F.xxhash64("doc_id", "__t"))
-    some = marked.filter(F.col("__t").rlike("[0-9@]")).select("row", F.col("__t").alias("text"), *KINDS)
+    marked = marked.withColumn("__row", F.xxhash64("doc_id", "__t"))
+    some = marked.filter(F.col("__t").rlike("[0-9@]")).select(F.col("__row").alias("row"), F.col("__t").alias("text"), *KINDS)
     _, found = bootstrap(some, work)
-    found = maybe_broadcast(found, found.count(), 256)
-    return marked.join(found, "row", "left").withColumn("found", F.coalesce("found", F.array().cast(SPAN))).drop("row")
+    found = maybe_broadcast(found.withColumnRenamed("row", "__row"), found.count(), 256)
+    return marked.join(found, "__row", "left").withColumn("found", F.coalesce("found", F.array().cast(SPAN))).drop("__row")
 
 
 def listed(kinds: tuple[str, ...] = (*KINDS, "found")) -> Column:
@@ -158,7 +158,8 @@ def listed(kinds: tuple[str, ...] = (*KINDS, "found")) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """The documents, all columns kept, with each span replaced by its kind in angle brackets; where spans overlap, the
     first by start, then the longest, is replaced and the rest of the overlap goes with it."""
-    held = spans(docs, tuple(c for c in docs.columns))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # in one column, so that no name of theirs clashes
+    held = spans(docs.select("doc_id", "text", whole.alias("__all")), ("__all",))
 
 
     def of(kind: str) -> Column:
@@ -176,4 +177,5 @@ def mask(docs: DataFrame) -> DataFrame:
     done = F.aggregate(tagged, start, step)
     rest = F.concat(done["out"], F.col("__t").substr(done["at"] + 1, F.length("__t")))
     any_ = F.size(tagged) > 0
-    return held.withColumn("text", F.when(any_, rest).otherwise(F.col("text"))).select(*docs.columns)
+    masked = F.when(any_, rest).otherwise(F.col("__all.text"))
+    return held.select(*[masked.alias(c) if c == "text" else F.col("__all")[c].alias(c) for c in docs.columns])

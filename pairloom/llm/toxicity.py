@@ -39,7 +39,7 @@ BASE_WEIGHT, LEAST_WEIGHT, LEAST_SUPPORT, STEM_LENGTHS = 4.0, 3.0, 3, (4, 5, 6)
 #: Letters of other scripts that look like Latin ones, then digits and symbols used as letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһԛԝѵᴀαοιυκντρ", "aeopcyxijsdhqwvaaoiukvtp")
 SUBSTITUTES = str.maketrans("013457@$|", "oieastasl")
-_INNER = re.compile(r"(?<=[^\W\d_])[013457@$|]+(?=[^\W\d_])|(?<!\S)[@$](?=[^\W\d_])")
+_INNER = re.compile(r"(?<=[^\W\d_])[013457@$|]+(?=[^\W\d_])|(?<!\S)[013457@$](?=[^\W\d_])")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
