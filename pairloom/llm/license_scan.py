@@ -4,8 +4,9 @@ A document's segments are its lines, the sentences of its lines, its paragraphs
 runs of letters and digits, lower case; its distinct word bigrams are compared with each template's. A Dice coefficient
 of t needs sizes within a factor (2-t)/t of each other, so templates of other sizes are pruned before any comparison.
 
-Only documents and segments that contain a cue are looked at. That loses nothing: ``check_cues`` proves for each template
-that a segment which reaches the threshold shares a bigram with a cue in it. Everything happens within a row: no shuffle.
+Only documents and segments that contain a cue word are looked at. That loses nothing: a segment which reaches the
+threshold shares at least a known number of a template's bigrams, and ``cue_words`` picks words until more bigrams hold one
+of them than a match could do without. Everything happens within a row: no shuffle.
 
 Defined cases: null, empty or wordless text has no licence; a segment of one word has no bigram and matches nothing;
 of equally good templates the first by name counts; repeated rows are scanned each; an empty table gives an empty
@@ -16,12 +17,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-CUES = ("licen", "software", "redistribut", "warrant", "copyright", "permission", "public domain")
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -66,13 +67,23 @@ def word_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
-def check_cues(templates: tuple[tuple[str, str], ...], threshold: float) -> None:
-    """Raise unless every template has so many bigrams with a cue that a match must share one of them."""
-    for name, text in templates:
-        grams = word_bigrams(text)
-        need = math.ceil(threshold * len(grams) / (2 - threshold) - 1e-9)
-        if sum(any(c in g for c in CUES) for g in grams) < len(grams) - need + 1:
-            raise ValueError(f"a segment could match {name} without a cue: {text[:40]}")
+def least_shared(n: int, threshold: float) -> int:
+    """How many of a template's n bigrams any segment must share to reach the threshold, whatever its size."""
+    return math.ceil(threshold * n / (2 - threshold) - 1e-9)
+
+
+def cue_words(templates: tuple[tuple[str, str], ...], threshold: float) -> list[str]:
+    """Words such that every match with a template holds one of them; long words, which are rare elsewhere, come first."""
+    cues: set[str] = set()
+    for _, text in templates:
+        open_ = [set(g.split(" ")) for g in word_bigrams(text)]
+        spare = least_shared(len(open_), threshold) - 1
+        open_ = [g for g in open_ if not g & cues]
+        while len(open_) > spare:
+            gain = Counter(w for g in open_ for w in g)
+            cues.add(max(gain, key=lambda w: (len(w) >= 5, gain[w] * len(w), w)))
+            open_ = [g for g in open_ if not g & cues]
+    return sorted(cues)
 
 
 def _bigrams(segment: Column) -> Column:
@@ -86,24 +97,14 @@ def _bigrams(segment: Column) -> Column:
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and matches: array<struct<license, dice, segment>>, the best template of each segment that reaches the
     threshold."""
-    needy = []
-    for t in templates:  # a template whose match could lack a cue makes every document a candidate
-        try:
-            check_cues((t,), threshold)
-        except ValueError:
-            needy.append(t)
+    cue = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, cue_words(templates, threshold)))})(?![\p{{L}}\p{{N}}])"
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    cued = F.lit(True) if needy else None
-    for c in () if needy else CUES:
-        cued = F.contains(text, F.lit(c)) if cued is None else cued | F.contains(text, F.lit(c))
     table = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*[F.lit(g) for g in word_bigrams(t)]).alias("grams"), F.lit(len(word_bigrams(t))).alias("n")) for name, t in templates])
     lines = F.split(text, "\n", -1)
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?;])[\x20\t]+", -1)))
     paragraphs = F.split(text, r"\n[\x20\t]*\n", -1)
     segments = F.array_distinct(F.transform(F.concat(lines, sentences, paragraphs, F.array(text)), lambda x: F.trim(x)))
-    if not needy:
-        hinted = lambda x: F.rlike(x, F.lit("|".join(CUES)))
-        segments = F.filter(segments, hinted)
+    segments = F.filter(segments, lambda x: x.rlike(cue))
     cut = F.transform(segments, lambda s: F.struct(s.alias("segment"), _bigrams(s).alias("grams")))
     wide = (2 - threshold) / threshold + 1e-9
 
@@ -116,4 +117,4 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
     matches = F.filter(F.transform(cut, best), lambda m: F.coalesce(m["dice"] >= threshold, F.lit(False)))
     none = F.array().cast("array<struct<license:string,dice:double,segment:string>>")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(cued, matches).otherwise(none).alias("matches"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(cue), matches).otherwise(none).alias("matches"))
