@@ -134,7 +134,8 @@ def rerank_results(results: Column, expected: Column) -> Column:
     """array<struct<id,score,ready>> of expected ids: whole scores within 0..100, null where there is none."""
 
     def one(x: Column) -> Column:
-        n = F.greatest(F.lit(0), F.least(F.lit(100), F.trim(x["score"]).try_cast("double").cast("int")))
+        given = F.trim(x["score"]).try_cast("double").cast("int")
+        n = F.when(given.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), given)))
         return F.struct(F.trim(x["id"]).alias("id"), n.alias("score"), n.isNotNull().alias("ready"))
 
     return F.filter(F.transform(results, one), lambda x: F.array_contains(expected, x["id"]))

@@ -27,4 +27,5 @@ def unit(a: Column) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Cut to 0..1; null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))

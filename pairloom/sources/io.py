@@ -8,7 +8,6 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from pairloom.schemas import DOC_TYPES, DOCUMENT, PAIR, QUERY
@@ -20,7 +19,7 @@ def _guard(ok: Column, message: Column | str) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(text).cast("boolean"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a malformed line is an error, blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
