@@ -78,4 +78,22 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _license_sql() -> str:
+    """The licence scan over all segments, without the cue filter that only spares work."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quote(name)}, [{', '.join(map(quote, license_scan.word_bigrams(text)))}])" for name, text in license_scan.TEMPLATES)
+    t = license_scan.THRESHOLD
+    return f"""with t(license, grams) as (values {rows}), d as (select doc_id, lower(coalesce(text, '')) as x from documents),
+parts as (select doc_id, unnest(string_split(x, chr(10))) as s from d union all select doc_id, unnest(string_split(regexp_replace(regexp_replace(x, '([.!?;])[ \\t]+', '\\1' || chr(31), 'g'), chr(10), chr(31), 'g'), chr(31))) from d
+union all select doc_id, unnest(string_split(regexp_replace(x, '\\n[ \\t]*\\n', chr(31), 'g'), chr(31))) from d union all select doc_id, x from d),
+seg as (select distinct doc_id, trim(s, ' ') as s from parts), w as (select doc_id, s, regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+') as w from seg),
+g as (select doc_id, s, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) > 1),
+m as (select doc_id, s, license, 2.0::double * len(list_intersect(g, grams)) / (len(g) + len(grams)) as dice from g join t on len(g) * {(2 - t) / t + 1e-9} >= len(grams) and len(grams) * {(2 - t) / t + 1e-9} >= len(g)),
+b as (select doc_id, s, max(dice) as dice, arg_min(license, (-dice, license)) as license from m group by doc_id, s having max(dice) >= {t}),
+r as (select doc_id, string_agg(distinct license, ',' order by license) as licenses, count(*) as n_segments, round(max(dice), 6) as best_dice from b group by doc_id)
+select doc_id, coalesce(licenses, '') as licenses, coalesce(n_segments, 0) as n_segments, best_dice from d left join r using (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op9_license_scan": _license_sql()}
