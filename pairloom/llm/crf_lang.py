@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pairloom.llm.common import id_text, texts
+from pairloom.llm.common import id_text, sliced, texts
 
 PER_LANGUAGE, LONGEST, MOST_LANGUAGES = 600, 20_000, 200
 BUCKETS, LEXICON_LEAST = 1 << 16, 5
 SEQUENCE, BATCH, STEPS, RATE = 64, 128, 240, 0.4
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_KNOWN, _CELLS = 1 << 20, 1 << 18
+_KNOWN, _CELLS = 500_000, 1 << 17
 
 
 def words_of(text: str | None) -> list[str]:
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, model: ChainModel | None, with_runs: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in sliced(batches):
             rows = texts(b)
             found = label_words(model, rows) if model is not None else [None] * len(rows)
             lang = [model.languages[int(f[1].argmax())] if f else UNKNOWN for f in found]
