@@ -9,9 +9,12 @@ Blocks of zero bits say nothing and would gather strangers. Each sketch has spar
 no more zero blocks than spares, one of the others must agree, so zero blocks stay out; a document with more of them
 keys its zero blocks too, and can miss only a partner that is short of zero blocks, whom it meets elsewhere.
 
-Exact copies share one class from the start and are joined once. Links matter here as classes: members of a bucket are
-verified against pivots for some rounds, then whatever pairs of a bucket are still in different classes are all
-verified. No link between different classes is lost, and the pairs within a large class are not enumerated.
+Exact copies share one class from the start and are joined once. Links matter here as classes. Where a bucket holds several
+classes, its members' check sketches (parity sketches of their own, some tens of bytes) are compared in tiles of bounded
+size; pairs of different classes whose sketches do not rule them out are candidates, and of these a tile passes on a
+spanning forest, the closest pairs first. The forest's pairs are verified on the texts, verified links merge classes, and
+refuted pairs are set aside; this repeats, with ever more pairs at a time, until no tile has a candidate left. So no link between different classes is
+lost, while the pairs within a class, or within a group of texts that are only nearly near, are never written out.
 
 Defined cases: null, empty or blank text has no shingle and links with nothing; a text of fewer words than a shingle is
 one shingle; rows that repeat a doc_id are one document; rows without doc_id are classes of their own copies' smallest
@@ -21,6 +24,7 @@ id, or null; an empty table gives an empty result; other columns are not read. S
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +39,7 @@ from pairloom.llm.common import Workspace, id_text, maybe_broadcast, mix64, shin
 from pairloom.llm.components import connected_components
 
 SHINGLE_WORDS, THRESHOLD = 5, (8, 10)
-PIVOT_ROUNDS, PIVOTS_EACH, MEMBERS_PER_SALT = 2, 2, 256
+MEMBERS_PER_SALT, TILE = 256, 1000
 _SEEN = 1 << 18
 
 
@@ -77,6 +81,67 @@ def sketch_keys(hashes: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def check_sketch(hashes: np.ndarray, p: int, q: int) -> bytes:
+    """A parity sketch over a power of two of bits, at least sixteen times the bits in which a partner may differ: then a
+    pair passes it with at most some seven in a hundred more differences than the threshold allows."""
+    most = 2 * len(hashes) * (q - p) // (q + p)
+    bits = max(256, 1 << max(0, 16 * most - 1).bit_length())
+    spots = (mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(spots, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of one width: the positions of half as many bits are those modulo it, so halves are XORed."""
+    least = min(map(len, sketches))
+    rows = []
+    for x in sketches:
+        a = np.frombuffer(x, np.uint8)
+        rows.append(np.bitwise_xor.reduce(a.reshape(-1, least), axis=0) if len(x) > least else a)
+    return np.stack(rows).view(np.uint64)
+
+
+def forest(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sketches: list[bytes], sides: np.ndarray, avoid: list[list[int] | None], p: int, q: int, most: int = 0) -> list[tuple[int, int]]:
+    """Pairs of nodes that span all candidates among a tile's members: of different classes, not refuted before, of sizes
+    and sketches that allow the threshold. In a tile of two blocks only pairs across them count. With ``most``, not a
+    spanning forest but so many of the closest pairs for any two classes."""
+    bits, two = folded(sketches), sides.any() and not sides.all()
+    refuted = [set(a) if a else None for a in avoid]
+    found: list[tuple[int, int, int]] = []
+    for i in range(len(nodes) - 1):
+        j = np.arange(i + 1, len(nodes))
+        ok = (comps[j] != comps[i]) & (q * np.minimum(sizes[j], sizes[i]) >= p * np.maximum(sizes[j], sizes[i]))
+        if two:
+            ok &= sides[j] != sides[i]
+        j = j[ok]
+        if not len(j):
+            continue
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        near = apart * (q + p) <= (sizes[j] + sizes[i]) * (q - p)
+        found += [(int(d), i, int(x)) for d, x in zip(apart[near], j[near], strict=True) if not (refuted[i] and int(nodes[x]) in refuted[i])]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    found.sort(key=lambda f: (f[0], min(nodes[f[1]], nodes[f[2]]), max(nodes[f[1]], nodes[f[2]])))
+    shown: Counter = Counter()
+    for _, i, j in found:
+        a, b = int(comps[i]), int(comps[j])
+        if most:
+            shown[min(a, b), max(a, b)] += 1
+            fits = shown[min(a, b), max(a, b)] <= most
+        else:
+            a, b = root(a), root(b)
+            fits = a != b
+            parent[a] = b
+        if fits:
+            out.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
+    return out
+
+
 def signature(hashes: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes()))))
 
@@ -87,30 +152,34 @@ def _sets(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            sizes, sigs, keys = [], [], []
+            sizes, sigs, keys, checks = [], [], [], []
             for t in texts(b):
                 h = shingle_hashes(t, n)
                 sizes.append(len(h))
                 if not len(h):
                     sigs.append(None)
+                    checks.append(None)
                     keys.append([])
                     continue
                 sigs.append(s := signature(h))
                 if s in seen:
                     keys.append([])
+                    checks.append(None)
                 else:
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(s)
                     keys.append(sketch_keys(h, p, q).view(np.int64))
+                    checks.append(check_sketch(h, p, q))
             offsets = np.zeros(len(keys) + 1, np.int32)
             np.cumsum([len(k) for k in keys], out=offsets[1:])
             flat = np.concatenate([np.asarray(k, np.int64) for k in keys])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n_shingles", "sig", "keys"]
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(checks, pa.binary())],
+                ["doc_id", "n_shingles", "sig", "keys", "check"],
             )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, sig long, keys array<long>")
+    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, sig long, keys array<long>, check binary")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,57 +246,83 @@ def _verify(docs: DataFrame, pairs: DataFrame, work: Workspace, n: int, p: int,
     return work.table(dealt.mapInArrow(run, "a long, b long").distinct())
 
 
+def _candidates(now: DataFrame, p: int, q: int, most: int) -> DataFrame:
+    """Distinct candidate pairs (a, b) of the members (key, node, n, check, comp, avoid) of buckets with several classes."""
+    per_key = W.partitionBy("key")
+    dealt = now.withColumn("blocks", F.ceil(F.count("*").over(per_key) / TILE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
+    spread = dealt.select("key", "node", "n", "check", "comp", "avoid", "mine", F.explode(tiles).alias("t")).select("key", "node", "n", "check", "comp", "avoid", F.col("t.i").alias("i"), F.col("t.j").alias("j"), (F.col("mine") == F.col("t.i")).alias("side"))
+    spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
+
+        def done() -> list[tuple[int, int]]:
+            if len(held) < 2 or len({r[3] for r in held}) < 2:
+                return []
+            nodes, n, check, comp, avoid, side = zip(*held, strict=True)
+            return forest(np.array(nodes), np.array(n), np.array(comp), list(check), np.array(side) if at[1] != at[2] else np.zeros(len(held), bool), list(avoid), p, q, most)
+
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            c = {x: b.column(b.schema.get_field_index(x)).to_pylist() for x in ("key", "i", "j", "node", "n", "check", "comp", "avoid", "side")}
+            for k in range(b.num_rows):
+                here = (c["key"][k], c["i"][k], c["j"][k])
+                if here != at:
+                    found += done()
+                    held, at = [], here
+                held.append((c["node"][k], c["n"][k], c["check"][k], c["comp"][k], c["avoid"][k], c["side"][k]))
+            if found:
+                a, z = zip(*set(found), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+        if last := done():
+            a, z = zip(*last, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+
+    return spread.mapInArrow(run, "a long, b long").distinct()
+
+
+def _merged(labels: DataFrame | None, links: DataFrame, work: Workspace) -> DataFrame:
+    """node, component after more links (a, b)."""
+    if labels is None:
+        return connected_components(links, work)
+    ends = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    step = connected_components(between, work)
+    moved = step.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return work.table(old.unionByName(step.join(labels.select("node"), "node", "left_anti")))
+
+
 def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; the threshold is a fraction p / q."""
     n, (p, q) = shingle_words, threshold
     work = Workspace(docs.sparkSession)
     sets = work.table(_sets(docs, n, p, q))
-    reps = work.table(sets.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
+    reps = work.table(sets.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("check", True).alias("check")))
     keys = sets.select(F.explode("keys").alias("key"), "sig").repartition("key").sortWithinPartitions("key", "sig")
     shared = keys.mapInArrow(_shared, "key long, sig long")
-    members = work.table(shared.join(reps.filter("rep is not null"), "sig").select("key", F.col("rep").alias("node"), "n"))
-    labels = None
-    tested = None
-    for turn in range(PIVOT_ROUNDS + 1):
+    members = work.table(shared.join(reps.filter("rep is not null").select("sig", "rep"), "sig").select("key", F.col("rep").alias("node")))
+    facts = reps.filter("rep is not null").groupBy(F.col("rep").alias("node")).agg(F.first("n").alias("n"), F.first("check").alias("check"))
+    labels = refuted = None
+    most = 0  # pairs of any two classes that a tile passes on: first a forest, then ever more, until none is left
+    while True:
         if labels is None:
-            now = members.withColumn("comp", F.col("node"))
+            now = members.join(facts.withColumn("comp", F.col("node")).withColumn("avoid", F.lit(None).cast("array<long>")), "node")
         else:
-            now = members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-            mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-            now = now.join(mixed, "key", "left_semi")
-        now = work.table(now)
-        close = F.col("n") * q >= F.col("pn") * p
-        close = close & (F.col("pn") * q >= F.col("n") * p)
-        if turn < PIVOT_ROUNDS:
-            pivot = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "comp")).alias("p"))
-            pivot = pivot.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp"))
-            pairs = now.join(pivot, "key").filter((F.col("comp") != F.col("pcomp")) & close).groupBy("pivot", "node").agg(F.count("*").alias("shared"))
-        else:
-            other = now.select("key", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pcomp"))
-            pairs = now.join(other, "key").filter((F.col("pcomp") < F.col("comp")) & close).groupBy("pivot", "node").agg(F.count("*").alias("shared"))
-        pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"), "pivot", "node", "shared")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if turn < PIVOT_ROUNDS:
-            best = F.row_number().over(W.partitionBy("node").orderBy(F.desc("shared"), "pivot"))
-            pairs = pairs.withColumn("best", best).filter(f"best <= {PIVOTS_EACH}")
-        pairs = work.table(pairs.select("a", "b", "pivot", "node"))
-        work.drop(now)
+            known = facts.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+            mixed = members.join(known.select("node", "comp"), "node").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+            away = refuted.select(F.col("a").alias("node"), "b").unionByName(refuted.select(F.col("b").alias("node"), F.col("a").alias("b"))).groupBy("node").agg(F.collect_set("b").alias("avoid"))
+            now = members.join(mixed, "key", "left_semi").join(known.join(away, "node", "left"), "node")
+        pairs = work.table(_candidates(now, p, q, most))
         if pairs.isEmpty():
-            if turn == PIVOT_ROUNDS or labels is None:
-                break
-            continue
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        links = _verify(docs, pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), work, n, p, q)
-        if labels is not None:
-            ends = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-            contracted = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            step = connected_components(contracted, work)
-            old = labels.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-            new = step.join(labels.select("node"), "node", "left_anti")
-            labels = work.table(old.unionByName(new))
-        else:
-            labels = connected_components(links, work)
+            break
+        links = _verify(docs, pairs, work, n, p, q)
+        wrong = pairs.join(links, ["a", "b"], "left_anti")
+        refuted = work.table(wrong if refuted is None else refuted.unionByName(wrong))
+        labels = _merged(labels, links, work)
+        most = 8 * most or 8
     if labels is None:
         full = reps.select("sig", F.col("rep").alias("component_id"))
     else:
