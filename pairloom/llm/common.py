@@ -17,7 +17,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only when a count has shown that it holds no more than so many bytes.
 BROADCAST_BYTES = 32 << 20
 
-_CACHE_LIMIT = 1 << 20
+_CACHE_LIMIT = 1 << 19
 _word_ids: dict[bytes, int] = {}
 
 
