@@ -233,12 +233,23 @@ def _folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def _write_in_order(df: DataFrame, order: str, parts: int, write) -> None:
+    """The rows as so many files of rising ``order``, one written after the other: a stream of files takes them by time."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is None:
+        return write(df.limit(0).write)
+    for i in range(parts):
+        a, b = (lo + (hi + 1 - lo) * x // parts for x in (i, i + 1))
+        part = df.filter((F.col(order) >= a) & (F.col(order) < b)).coalesce(1).sortWithinPartitions(order)
+        write(part.write.mode("append"))
+
+
 @query()
 def stream_outbox_apply(spark, sf_dir):
     """The log as a stream of files, applied to an empty store; the rows that remain."""
     where = _folder(spark)
-    e = log(spark, sf_dir).filter("line_no <= 2000").withColumns({"event_id": F.lpad(F.col("event_id").cast("string"), 9, "0"), "doc_id": F.concat_ws("_", "doc_type", F.col("doc_id").cast("string"))})
-    e.repartitionByRange(4, "line_no").sortWithinPartitions("line_no").drop("line_no").write.json(f"{where}/log")
+    e = log(spark, sf_dir).withColumns({"event_id": F.lpad(F.col("event_id").cast("string"), 9, "0"), "doc_id": F.concat_ws("_", "doc_type", F.col("doc_id").cast("string"))})
+    _write_in_order(e, "line_no", 4, lambda w: w.json(f"{where}/log"))
     kept = store.SnapshotStore(spark, f"{where}/store")
 
     def resolve(upserts: DataFrame) -> DataFrame:
@@ -259,8 +270,8 @@ def stream_job_state(spark, sf_dir):
     """The state machine over commands made of events, one job a user; its last states."""
     where = _folder(spark)
     table_ = F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])
-    c = table(spark, sf_dir, "events").filter("event_id < 3000").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), table_[F.col("event_type")].alias("kind"), seconds().alias("at"), F.lit(None).cast("string").alias("error"), F.lit("PARSING").alias("step"), F.lit(None).cast("string").alias("hash"))
-    c.repartitionByRange(3, "seq").write.parquet(f"{where}/in")
+    c = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), table_[F.col("event_type")].alias("kind"), seconds().alias("at"), F.lit(None).cast("string").alias("error"), F.lit("PARSING").alias("step"), F.lit(None).cast("string").alias("hash"))
+    _write_in_order(c, "seq", 3, lambda w: w.parquet(f"{where}/in"))
     states = machine.run_jobs(spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in"))
 
     def batch(df: DataFrame, n: int) -> None:

@@ -237,3 +237,19 @@ def test_snapshot_store(spark, tmp_path):
     assert s.upsert(spark.createDataFrame([row], VECTOR)) == 1 and s.count("cv") == 1 and s.point_read("cv", "a", 1).count() == 1
     s.delete(spark.createDataFrame([("cv", "a", None)], "doc_type string, doc_id string, version int"))
     assert s.count("cv") == 0 and s.versions() == [1, 2]
+
+
+def test_streams_take_the_whole_log(spark):
+    from pairloom.plans import logs
+
+    sf = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect()
+    last = {r.user_id: r.event_type for r in e}
+    want = {("cv" if u % 2 == 0 else "jd", f"{'cv' if u % 2 == 0 else 'jd'}_{u}") for u, t in last.items() if t != "error"}
+    assert {(r.doc_type, r.doc_id) for r in logs.stream_outbox_apply(spark, sf).collect()} == want
+    states = {}
+    for r in e:
+        command = {"kind": logs.COMMANDS[r.event_type], "at": r.ts.timestamp(), "error": None, "step": "PARSING", "hash": None}
+        states[str(r.user_id)] = machine.step(states.get(str(r.user_id)), command)
+    want = {k: (s[0], s[2]) for k, s in states.items() if s is not None}
+    assert {r.key: (r.status, r.attempts) for r in logs.stream_job_state(spark, sf).collect()} == want
