@@ -5,7 +5,9 @@ per language, then the n-grams of the distinct words with the words' counts; low
 Interpolated probabilities and back-off weights are joined up order by order and kept as sorted arrays of 64-bit hashes
 with float values, which the scoring tasks look up by binary search. What is gathered grows with the input: the word
 table with new words, the arrays with new n-grams. The arrays are broadcast behind a check of their size; beyond
-``MODEL_BYTES`` n-grams of the highest order below a count cutoff are left to back-off, as such models commonly do.
+``MODEL_BYTES`` nothing is gathered: the distinct words meet the written n-grams in a join, and the documents' words
+meet the words' scores in another. Every word is one that the model has counted, so that all its n-grams of the
+highest order are there, and both ways give the same scores.
 
 Per language, documents that pass the base rules give the median and the quartiles of log-perplexity, and the band is so
 many quartile spreads below and above the median. A language with few documents takes the band of all.
@@ -150,9 +152,9 @@ def _gram_rows(order: int):
     return run, "lang string, " + ", ".join(f"{x} long" for x in names) + ", n long"
 
 
-def train(docs: DataFrame, work: Workspace, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted hashes and float32 values: for each order its grams' log-probabilities and its contexts' log back-off."""
-    words = docs.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+def counted(docs: DataFrame, work: Workspace, order: int = ORDER) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """The words (lang, word, n), and for each order the n-grams with their counts."""
+    words = work.table(docs.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     run, schema = _gram_rows(order)
     names = [x for x in schema.replace(" long", "").replace("lang string, ", "").split(", ") if x != "n"]
     rows = words.mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
@@ -160,18 +162,18 @@ def train(docs: DataFrame, work: Workspace, order: int = ORDER) -> list[tuple[np
     for k in range(order - 1, 0, -1):
         keep = [f"g{i}" for i in range(1, k + 1)] + [f"c{i}" for i in range(1, k + 1)]
         levels[k] = work.table(levels[k + 1].groupBy("lang", *keep).agg(F.count("*").alias("n")))
-    size = sum(t.count() for t in levels.values())
-    cutoff = 1
-    while size * 24 > MODEL_BYTES:
-        cutoff += 1
-        size = sum(t.count() for k, t in levels.items() if k < order) + levels[order].filter(F.col("n") >= cutoff).count()
-    arrays: list[tuple[np.ndarray, np.ndarray]] = []
+    return words, levels
+
+
+def estimated(levels: dict[int, DataFrame], work: Workspace) -> list[DataFrame]:
+    """For each order its n-grams g with context c, log-probability and the context's back-off, all of them."""
+    out: list[DataFrame] = []
     below = None
-    for k in range(1, order + 1):
+    for k in sorted(levels):
         level = levels[k]
         some = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
         found = {r.lang: r for r in level.groupBy("lang").agg(*some, F.count("*").alias("types")).collect()}
-        discounts = docs.sparkSession.createDataFrame([(lang, *_discounts(r.n1, r.n2, r.n3, r.n4), 1.0 / (r.types + 1)) for lang, r in found.items()], "lang string, d1 double, d2 double, d3 double, flat double")
+        discounts = work.spark.createDataFrame([(lang, *_discounts(r.n1, r.n2, r.n3, r.n4), 1.0 / (r.types + 1)) for lang, r in found.items()], "lang string, d1 double, d2 double, d3 double, flat double")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = level.join(F.broadcast(discounts), level["lang"].eqNullSafe(discounts["lang"])).drop(discounts["lang"]).withColumn("d", d)
         context = level.groupBy(f"c{k}").agg(F.sum("n").alias("all"), F.sum("d").alias("held")).withColumn("backoff", F.col("held") / F.col("all"))
@@ -182,12 +184,23 @@ def train(docs: DataFrame, work: Workspace, order: int = ORDER) -> list[tuple[np
         p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("all") + F.col("backoff") * lower
         level = work.table(level.select(f"g{k}", f"c{k}", "n", "backoff", p.alias("p")))
         below = level.select(f"g{k}", "p")
-        grams = level.filter(F.col("n") >= cutoff) if k == order else level
-        arrays.append(_sorted(grams.select(f"g{k}", F.log("p").alias("v"))))
+        out.append(level)
+    return out
+
+
+def gathered(tables: list[DataFrame]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes and float32 values: for each order its grams' log-probabilities and its contexts' log back-off."""
+    arrays: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, level in enumerate(tables, 1):
+        arrays.append(_sorted(level.select(f"g{k}", F.log("p").alias("v"))))
         arrays.append(_sorted(level.select(f"c{k}", "backoff").distinct().select(f"c{k}", F.log("backoff").alias("v"))))
     return arrays
 
 
+def train(docs: DataFrame, work: Workspace, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    return gathered(estimated(counted(docs, work, order)[1], work))
+
+
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts of counts 1, 2 and more, kept sensible where counts of counts are missing."""
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -259,14 +272,62 @@ def _score(arrays_of, order: int):
     return run
 
 
+def _places(order: int):
+    """lang, word, g: the highest-order n-gram of each place of each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            langs, words = texts(b, "lang"), texts(b, "word")
+            for lang in set(langs):
+                mine = [w for w, x in zip(words, langs, strict=True) if x == lang]
+                chars, at = _layout(mine, order)
+                g = _hashes(chars, at, order, lang_id(lang))[0][-1]
+                owner = np.repeat(np.arange(len(mine)), [len(w.decode()) + 1 for w in mine])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(mine, pa.binary()).take(pa.array(owner)), pa.array(g.view(np.int64))], ["lang", "word", "g"])
+
+    return run
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, doc_id, lang, the base counts, the size in characters, and the units with how often each occurs."""
+    for b in sliced(batches, 500):
+        out, bags = [], []
+        for t in texts(b):
+            ws = units(t)
+            out.append((*base_rules(t, split_words(t)), len(b"".join(ws).decode()) + len(ws)))
+            bags.append([{"word": w, "times": k} for w, k in Counter(ws).items()])
+        columns = list(zip(*out, strict=True))
+        bag = pa.array(bags, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts(b, "lang"), pa.string()), *[pa.array(c, pa.int64()) for c in columns], bag], ["row", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "size", "bag"])
+
+
+def _joined_scores(docs: DataFrame, words: DataFrame, top: DataFrame, work: Workspace, order: int) -> DataFrame:
+    """What ``_score`` gives, for a model of any size: joins of the words with the n-grams and of the documents with the words."""
+    grams = top.select(F.col(f"g{order}").alias("g"), F.log("p").cast("float").cast("double").alias("v"))
+    places = words.select("lang", "word").mapInArrow(_places(order), "lang string, word binary, g long")
+    scores = work.table(places.join(grams, "g").groupBy("lang", "word").agg(F.sum("v").alias("v")).select(F.col("lang").alias("of"), "word", "v"))
+    schema = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, size long, bag array<struct<word: binary, times: long>>"
+    rows = work.table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang").mapInArrow(_bags, schema))
+    held = rows.select("row", "lang", F.explode("bag").alias("u")).select("row", "lang", "u.word", "u.times")
+    met = held.join(scores, (held["word"] == scores["word"]) & held["lang"].eqNullSafe(scores["of"]))
+    total = met.groupBy("row").agg(F.sum(F.col("times") * F.col("v")).alias("total"))
+    return rows.drop("bag").join(total, "row", "left").withColumn("log_perplexity", -F.col("total") / F.col("size")).drop("row", "size", "total")
+
+
 def judge(docs: DataFrame, order: int = ORDER, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, lang, the base counts, base_failed, log_perplexity (per character), low, high, kept of every row."""
     spark = docs.sparkSession
     work = Workspace(spark)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    arrays = spark.sparkContext.broadcast(train(chosen.select("text", "lang"), work, order))
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-    scored = chosen.mapInArrow(_score(arrays, order), schema)
+    words, levels = counted(chosen.select("text", "lang"), work, order)
+    size = sum(t.count() for t in levels.values())
+    tables = estimated(levels, work)
+    if size * 24 <= MODEL_BYTES:
+        arrays = spark.sparkContext.broadcast(gathered(tables))
+        schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+        scored = chosen.mapInArrow(_score(arrays, order), schema)
+    else:
+        scored = _joined_scores(chosen, words, tables[-1], work, order)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * MOST_REPEATED[1] > F.col("n_words") * MOST_REPEATED[0])
     scored = work.table(scored.withColumn("base_failed", failed))
     sound = scored.filter("not base_failed and log_perplexity is not null")

@@ -240,6 +240,23 @@ def test_kneser_ney_is_a_distribution(spark):
     assert p[0] > p[1] > p[2]
 
 
+def test_quality_rules_keep_every_gram(spark, docs, odd, monkeypatch):
+    few = docs.orderBy("doc_id").limit(40).select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
+    grams = set()
+    for lang, text in few.select("lang", "text").collect():
+        for w in {x.decode() for x in perplexity.units(text)}:
+            w = "\2" * 3 + w + "\3"
+            grams |= {(lang, w[i - k + 1 : i + 1]) for i in range(3, len(w)) for k in range(1, 5)}
+    key = lambda r: (str(r.doc_id), r.n_words, str(r.lang))
+    whole = sorted(perplexity.judge(few).collect(), key=key)
+    monkeypatch.setattr(perplexity, "MODEL_BYTES", 24 * (len(grams) - 1))
+    beyond = sorted(perplexity.judge(few).collect(), key=key)
+    assert len(whole) == len(beyond) == few.count()
+    for a, b in zip(whole, beyond, strict=True):
+        assert a[:7] == b[:7] and a.kept == b.kept and a.base_failed == b.base_failed
+        assert b.log_perplexity == (None if a.log_perplexity is None else pytest.approx(a.log_perplexity, abs=1e-9))
+
+
 def test_quality_rules_odd_rows(odd, empty):
     got = perplexity.judge(odd).collect()
     assert len(got) == odd.count()
