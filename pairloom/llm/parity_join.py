@@ -15,6 +15,7 @@ size; pairs of different classes whose sketches do not rule them out are candida
 spanning forest, the closest pairs first. The forest's pairs are verified on the texts, verified links merge classes, and
 refuted pairs are set aside; this repeats, with ever more pairs at a time, until no tile has a candidate left. So no link between different classes is
 lost, while the pairs within a class, or within a group of texts that are only nearly near, are never written out.
+Links are counted afterwards, class by class (``linked``): there every pair of different texts is verified.
 
 Defined cases: null, empty or blank text has no shingle and links with nothing; a text of fewer words than a shingle is
 one shingle; rows that repeat a doc_id are one document; rows without doc_id are classes of their own copies' smallest
@@ -40,6 +41,7 @@ from pairloom.llm.components import connected_components
 
 SHINGLE_WORDS, THRESHOLD = 5, (8, 10)
 MEMBERS_PER_SALT, TILE = 256, 1000
+LINK_TILE, LINK_SHINGLES, _COLUMNS = 500, 250_000, 4096
 _SEEN = 1 << 18
 
 
@@ -295,9 +297,96 @@ def _merged(labels: DataFrame | None, links: DataFrame, work: Workspace) -> Data
     return work.table(old.unionByName(step.join(labels.select("node"), "node", "left_anti")))
 
 
+def tally(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray, p: int, q: int) -> np.ndarray:
+    """For each set the copies of the others that it links with; in a tile of two blocks only across them."""
+    m, n = len(sets), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(m), n)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count[place] > 1
+    column, owner = (np.cumsum(count > 1) - 1)[place[often]], owner[often]
+    by = np.argsort(column, kind="stable")
+    column, owner = column[by], owner[by]
+    both, wide = np.zeros((m, m), np.float32), int((count > 1).sum())
+    for c in range(0, wide, _COLUMNS):
+        a, b = np.searchsorted(column, (c, c + _COLUMNS))
+        part = np.zeros((m, min(_COLUMNS, wide - c)), np.float32)
+        part[owner[a:b], column[a:b] - c] = 1
+        both += part @ part.T
+    common = both.astype(np.int64)
+    near = q * common >= p * (n[:, None] + n[None, :] - common)
+    np.fill_diagonal(near, False)
+    if sides.any() and not sides.all():
+        near &= sides[:, None] != sides[None, :]
+    return near @ copies
+
+
+def _links(docs: DataFrame, sets: DataFrame, full: DataFrame, work: Workspace, n: int, p: int, q: int) -> DataFrame:
+    """sig, n_links: documents of other texts that link with it. Links lie within classes, so each class's texts meet in
+    tiles once, and every pair of different texts is verified there; no pair is written."""
+    alone = F.countDistinct("doc_id") + F.sum(F.col("doc_id").isNull().cast("long"))
+    each = sets.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), alone.alias("copies"))
+    per = W.partitionBy("component_id")
+    dealt = each.join(full, "sig").filter("id is not null").withColumn("members", F.count("*").over(per)).filter("members > 1")
+    blocks = F.ceil(F.greatest(F.col("members") / LINK_TILE, F.sum("size").over(per) / LINK_SHINGLES)).cast("int")
+    dealt = dealt.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
+    routes = dealt.select("id", "sig", "copies", F.col("component_id").alias("key"), "mine", F.explode(tiles).alias("t"))
+    routes = work.table(routes.select("id", "sig", "copies", "key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), (F.col("mine") == F.col("t.i")).alias("side")))
+    source = id_text(docs).filter("doc_id is not null").withColumnRenamed("doc_id", "id")
+    spread = source.join(maybe_broadcast(routes, routes.count(), 64), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        at = None
+
+        def done() -> tuple[list[int], list[int]]:
+            if len(held) < 2:
+                return [], []
+            h, copies, side = zip(*held.values(), strict=True)
+            found = tally(list(h), np.array(copies, np.int64), np.array(side) if at[1] != at[2] else np.zeros(len(held), bool), p, q)
+            return list(held), found.tolist()
+
+        def out(x):
+            return pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64())], ["sig", "near"])
+
+        for b in batches:
+            c = {x: b.column(b.schema.get_field_index(x)).to_pylist() for x in ("key", "i", "j", "sig", "copies", "side")}
+            for k, t in enumerate(texts(b)):
+                here = (c["key"][k], c["i"][k], c["j"][k])
+                if here != at:
+                    if (x := done())[0]:
+                        yield out(x)
+                    held, at = {}, here
+                h = shingle_hashes(t, n)
+                if len(h) and signature(h) == c["sig"][k]:  # rows may repeat an id with another text
+                    held[c["sig"][k]] = (h, c["copies"][k], c["side"][k])
+        if (x := done())[0]:
+            yield out(x)
+
+    near = spread.mapInArrow(run, "sig long, near long").groupBy("sig").agg(F.sum("near").alias("near"))
+    return work.table(each.join(near, "sig", "left").select("sig", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+
+
+def linked(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row: with how many other documents its text links."""
+    work, sets, full = _joined(docs, shingle_words, *threshold)
+    out = _of_rows(sets, full.join(_links(docs, sets, full, work, shingle_words, *threshold), "sig", "left"), "n_links")
+    return out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+
+
 def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; the threshold is a fraction p / q."""
-    n, (p, q) = shingle_words, threshold
+    _, sets, full = _joined(docs, shingle_words, *threshold)
+    return _of_rows(sets, full)
+
+
+def _of_rows(sets: DataFrame, full: DataFrame, *more: str) -> DataFrame:
+    out = sets.select("doc_id", "n_shingles", "sig").join(full, "sig", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)
+
+
+def _joined(docs: DataFrame, n: int, p: int, q: int) -> tuple[Workspace, DataFrame, DataFrame]:
+    """The workspace, the rows with their signatures, and each signature's class."""
     work = Workspace(docs.sparkSession)
     sets = work.table(_sets(docs, n, p, q))
     reps = work.table(sets.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("check", True).alias("check")))
@@ -327,9 +416,7 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: tupl
         full = reps.select("sig", F.col("rep").alias("component_id"))
     else:
         full = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    full = work.table(full)
-    out = sets.select("doc_id", "n_shingles", "sig").join(full, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return work, sets, work.table(full)
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

@@ -11,7 +11,7 @@ from pairloom.llm.common import fold_of, read
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parity_join.classes(read(spark, sf_dir, "documents"), 3, (9, 10))
+    return parity_join.linked(read(spark, sf_dir, "documents"), 3, (9, 10))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,25 @@ def test_parity_join_equals_brute_force(spark, n, p, q):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_classes(rows, n, p, q)
 
 
+@pytest.mark.parametrize("tile", [3, 500])
+def test_parity_join_counts_every_link(spark, monkeypatch, tile):
+    monkeypatch.setattr(parity_join, "LINK_TILE", tile)
+    rng = random.Random(tile)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(120)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(50, "one two three"), (51, "one two three"), (52, "far off from all"), (53, None)]
+    sets = {i: shingles(t, 3) for i, t in rows}
+    want = {i: sum(j != i and bool(a and b) and 10 * len(a & b) >= 9 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    found = parity_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, (9, 10)).collect()
+    assert {r.doc_id: r.n_links for r in found} == want
+    assert len(set(want.values())) > 2
+
+
 def test_parity_sketch_bounds_the_difference():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
