@@ -5,27 +5,29 @@ in at most as many bits as their sets differ in shingles. Sets of Jaccard at lea
 (|A|+|B|)(1-t)/(1+t) shingles, so within a band of sizes a sketch cut into more blocks than that has a block on which
 both agree. Bands are so wide that partners are in the same or in adjacent ones; a document also enters the next band.
 
-Blocks of zero bits say nothing and would gather strangers. Each sketch has spare blocks for them: while a document has
-no more zero blocks than spares, one of the others must agree, so zero blocks stay out; a document with more of them
-keys its zero blocks too, and can miss only a partner that is short of zero blocks, whom it meets elsewhere.
-
-Exact copies share one class from the start and are joined once. Links matter here as classes. Where a bucket holds several
-classes, its members' check sketches (parity sketches of their own, some tens of bytes) are compared in tiles of bounded
-size; pairs of different classes whose sketches do not rule them out are candidates, and of these a tile passes on a
-spanning forest, the closest pairs first. The forest's pairs are verified on the texts, verified links merge classes, and
-refuted pairs are set aside; this repeats, with ever more pairs at a time, until no tile has a candidate left. So no link between different classes is
-lost, while the pairs within a class, or within a group of texts that are only nearly near, are never written out.
-Links are counted afterwards, class by class (``linked``): there every pair of different texts is verified.
+Blocks of no or few bits say little and would gather strangers, so a sketch has spare blocks: s for zero blocks and one
+for each of g groups of positions. Partners then agree on s + g + 1 blocks at least. A document of at most s zero blocks
+agrees with a partner on g + 1 others: one of them is heavy (more than ``LIGHT`` bits) and is a key by itself, or all are
+light and two of them fall into one group, so that pairs of light blocks within a group are keys and single ones are not.
+A document with more zero blocks keys all its single blocks as well, and can miss only partners that are short of zero
+blocks, whom it meets on the other keys.
+
+Keys travel packed: a task sorts what it has by key range and sends one row for each range, with eleven bytes for a key
+and the low bits of its set's signature (a clash of low bits costs a candidate and changes no result). Buckets of the
+same members are one bucket, and large ones are cut into slices of ``TILE`` that meet two by two. There check sketches
+leave the candidates, of which a tile passes on a spanning forest. The components of all candidates hold every link; the texts
+of each component's sets meet in tiles of bounded size, every pair of different texts is verified, and only sums and spanning links are
+written. So links and classes are exact, and pairs are never written out.
 
 Defined cases: null, empty or blank text has no shingle and links with nothing; a text of fewer words than a shingle is
-one shingle; rows that repeat a doc_id are one document; rows without doc_id are classes of their own copies' smallest
-id, or null; an empty table gives an empty result; other columns are not read. Shingles are held by 64-bit hashes.
+one shingle; rows that repeat a doc_id with the same text are one document, with other texts they are documents each;
+rows without a doc_id belong to the class of an equal text that has one, or else to none; an empty table gives an
+empty result; other columns are not read. Shingles are held by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,15 +36,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from pairloom.llm.common import Workspace, id_text, maybe_broadcast, mix64, shingle_hashes, texts
+from pairloom.llm.common import Workspace, maybe_broadcast, mix64, shingle_hashes, texts
 from pairloom.llm.components import connected_components
 
 SHINGLE_WORDS, THRESHOLD = 5, (8, 10)
-MEMBERS_PER_SALT, TILE = 256, 1000
-LINK_TILE, LINK_SHINGLES, _COLUMNS = 500, 250_000, 4096
+LIGHT, GROUPS = 2, 0.2
+TILE, SMALL = 1000, 48
+LINK_TILE, LINK_SHINGLES, _COLUMNS = 1000, 1_000_000, 4096
+PART_CHARS, RANGES, FLUSH_KEYS = 8 << 20, 16, 1 << 20
 _SEEN = 1 << 18
+_KEY_BYTES, _NODE_BYTES = 6, 5
+_NODE = (1 << 8 * _NODE_BYTES) - 1
+_FOUND = "doc_id long, text_id long, n_shingles long, sig long, check binary, bucket long, slice int, slices int, members array<long>"
 
 
 @lru_cache(maxsize=8)
@@ -55,92 +61,98 @@ def bands(p: int, q: int) -> list[int]:
 
 
 @lru_cache(maxsize=4096)
-def layout(k: int, p: int, q: int) -> tuple[int, int]:
-    """(blocks, spares) of band k's sketch; no blocks where only equal sets reach the threshold."""
+def layout(k: int, p: int, q: int) -> tuple[int, int, int]:
+    """(blocks, zero blocks to spare, groups) of band k's sketch; no blocks where only equal sets reach the threshold."""
     ends = bands(p, q)
     most = 2 * (ends[k + 1] - 1) * (q - p) // (q + p)
     if not most:
-        return 0, 0
-    least = ends[max(0, k - 1)]
-    spare = 1 + math.ceil(2 * (most + 1) * math.exp(-least / (most + 2)))
-    return most + 1 + spare, spare
+        return 0, 0, 0
+    least, groups, spare = ends[max(0, k - 1)], math.ceil(GROUPS * (most + 1)), 1
+    for _ in range(20):  # the zero blocks to be expected depend on the blocks, which depend on them
+        blocks = most + 1 + groups + spare
+        zero = blocks * math.exp(-least / blocks)
+        spare = min(most + 1, 1 + math.ceil(zero + 1.5 * math.sqrt(zero)))
+    return most + 1 + groups + spare, spare, groups
 
 
 def sketch_keys(hashes: np.ndarray, p: int, q: int) -> np.ndarray:
-    """The block keys of a set of shingle hashes, for its own band and the next."""
-    n, out = len(hashes), []
+    """The keys of a set of shingle hashes, for its own band and the next."""
+    n, out = len(hashes), [np.empty(0, np.uint64)]
     own = int(np.searchsorted(np.array(bands(p, q)), n, side="right")) - 1
     for k in (own, own + 1):
-        blocks, spare = layout(k, p, q)
+        blocks, spare, groups = layout(k, p, q)
         if not blocks:
             continue
         spots = (mix64(hashes + np.uint64(k)) % np.uint64(blocks * 64)).astype(np.int64)
         words = np.packbits(np.bincount(spots, minlength=blocks * 64).astype(np.uint8) & 1).view(np.uint64)
-        place = np.arange(blocks, dtype=np.uint64) + np.uint64(k << 32)
-        keys = mix64(mix64(place) + words)
-        empty = words == 0
-        out.append(keys if empty.sum() > spare else keys[~empty])
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        keys = mix64(mix64(np.arange(blocks, dtype=np.uint64) + np.uint64(k << 32)) + words)
+        bits = np.bitwise_count(words)
+        heavy, light = bits > LIGHT, np.flatnonzero((bits > 0) & (bits <= LIGHT))
+        out.append(keys[heavy])
+        if (bits == 0).sum() > spare:
+            out.append(keys[~heavy])
+        group = light % groups
+        by = np.argsort(group, kind="stable")
+        light, group = light[by], group[by]
+        for step in range(1, len(light)):
+            both = np.flatnonzero(group[step:] == group[:-step])
+            if not len(both):
+                break
+            out.append(mix64(keys[light[both]] * np.uint64(3) + keys[light[both + step]]))
+    return np.concatenate(out)
 
 
 def check_sketch(hashes: np.ndarray, p: int, q: int) -> bytes:
-    """A parity sketch over a power of two of bits, at least sixteen times the bits in which a partner may differ: then a
-    pair passes it with at most some seven in a hundred more differences than the threshold allows."""
+    """A parity sketch over a power of two of bits, at least six times the bits in which a partner may differ."""
     most = 2 * len(hashes) * (q - p) // (q + p)
-    bits = max(256, 1 << max(0, 16 * most - 1).bit_length())
+    bits = max(64, 1 << max(0, 6 * most - 1).bit_length())
     spots = (mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(spots, minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """The sketches as rows of one width: the positions of half as many bits are those modulo it, so halves are XORed."""
-    least = min(map(len, sketches))
-    rows = []
-    for x in sketches:
-        a = np.frombuffer(x, np.uint8)
-        rows.append(np.bitwise_xor.reduce(a.reshape(-1, least), axis=0) if len(x) > least else a)
-    return np.stack(rows).view(np.uint64)
-
-
-def forest(nodes: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sketches: list[bytes], sides: np.ndarray, avoid: list[list[int] | None], p: int, q: int, most: int = 0) -> list[tuple[int, int]]:
-    """Pairs of nodes that span all candidates among a tile's members: of different classes, not refuted before, of sizes
-    and sketches that allow the threshold. In a tile of two blocks only pairs across them count. With ``most``, not a
-    spanning forest but so many of the closest pairs for any two classes."""
-    bits, two = folded(sketches), sides.any() and not sides.all()
-    refuted = [set(a) if a else None for a in avoid]
-    found: list[tuple[int, int, int]] = []
-    for i in range(len(nodes) - 1):
-        j = np.arange(i + 1, len(nodes))
-        ok = (comps[j] != comps[i]) & (q * np.minimum(sizes[j], sizes[i]) >= p * np.maximum(sizes[j], sizes[i]))
-        if two:
-            ok &= sides[j] != sides[i]
-        j = j[ok]
-        if not len(j):
-            continue
-        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        near = apart * (q + p) <= (sizes[j] + sizes[i]) * (q - p)
-        found += [(int(d), i, int(x)) for d, x in zip(apart[near], j[near], strict=True) if not (refuted[i] and int(nodes[x]) in refuted[i])]
-    parent: dict[int, int] = {}
+def folded(sketch: bytes, width: int) -> bytes:
+    """The sketch over fewer bits: positions are taken modulo a power of two, so parts are XORed."""
+    if len(sketch) == width:
+        return sketch
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, width), axis=0).tobytes()
+
+
+def forest(sizes: list[int], sketches: list[bytes], sides: list[bool], p: int, q: int) -> list[tuple[int, int]]:
+    """Pairs of places that span all candidates among a tile's members: of sizes and sketches that allow the threshold.
+    In a tile of two slices only pairs across them count."""
+    m, width, two = len(sizes), min(map(len, sketches)), len(set(sides)) > 1
+    parent, out = list(range(m)), []
 
     def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    out = []
-    found.sort(key=lambda f: (f[0], min(nodes[f[1]], nodes[f[2]]), max(nodes[f[1]], nodes[f[2]])))
-    shown: Counter = Counter()
-    for _, i, j in found:
-        a, b = int(comps[i]), int(comps[j])
-        if most:
-            shown[min(a, b), max(a, b)] += 1
-            fits = shown[min(a, b), max(a, b)] <= most
-        else:
-            a, b = root(a), root(b)
-            fits = a != b
-            parent[a] = b
-        if fits:
-            out.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
+    def join(i: int, j: int) -> None:
+        a, b = root(i), root(j)
+        if a != b:
+            parent[b] = a
+            out.append((i, j))
+
+    rows = [folded(x, width) for x in sketches]
+    if m <= SMALL:
+        bits = [int.from_bytes(x, "little") for x in rows]
+        for i in range(m - 1):
+            for j in range(i + 1, m):
+                a, b = sizes[i], sizes[j]
+                if (a * q >= b * p if a < b else b * q >= a * p) and not (two and sides[i] == sides[j]) and (bits[i] ^ bits[j]).bit_count() * (q + p) <= (a + b) * (q - p):
+                    join(i, j)
+        return out
+    n, side, bits = np.array(sizes), np.array(sides), np.frombuffer(b"".join(rows), np.uint64).reshape(m, -1)
+    for i in range(m - 1):
+        j = np.arange(i + 1, m)
+        ok = q * np.minimum(n[j], n[i]) >= p * np.maximum(n[j], n[i])
+        if two:
+            ok &= side[j] != side[i]
+        j = j[ok]
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        for x in j[apart * (q + p) <= (n[j] + n[i]) * (q - p)].tolist():
+            join(i, x)
     return out
 
 
@@ -148,133 +160,176 @@ def signature(hashes: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes()))))
 
 
-def _sets(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """doc_id, n_shingles, sig, keys; a task gives the keys of each set once."""
+def _routed(docs: DataFrame, ranges: int, n: int, p: int, q: int) -> DataFrame:
+    """A row for each document (doc_id, text_id, n_shingles, sig, check), and rows of packed keys for each key range; a task
+    gives the keys of each set once."""
+
+    def packed(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        node = np.repeat(np.array(nodes, np.uint64), [len(k) for k in keys])
+        key = np.concatenate(keys)
+        route = ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(route)
+        route = route[by]
+        kb = key[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
+        nb = node[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_NODE_BYTES]
+        there = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]]))
+        ends = [*there[1:].tolist(), len(route)]
+        blobs = [kb[a:z].tobytes() + nb[a:z].tobytes() for a, z in zip(there.tolist(), ends, strict=True)]
+        none = pa.nulls(len(blobs), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(route[there]), none, none, none, none, pa.nulls(len(blobs), pa.binary()), pa.array(blobs, pa.binary())], names)
+
+    names = ["route", "doc_id", "text_id", "n_shingles", "sig", "check", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        keys, nodes, held = [], [], 0
         for b in batches:
-            sizes, sigs, keys, checks = [], [], [], []
+            sizes, sigs, checks, routes = [], [], [], []
             for t in texts(b):
                 h = shingle_hashes(t, n)
                 sizes.append(len(h))
                 if not len(h):
                     sigs.append(None)
                     checks.append(None)
-                    keys.append([])
+                    routes.append(len(sizes) % ranges)
                     continue
                 sigs.append(s := signature(h))
+                routes.append(s % ranges)
                 if s in seen:
-                    keys.append([])
                     checks.append(None)
-                else:
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    seen.add(s)
-                    keys.append(sketch_keys(h, p, q).view(np.int64))
-                    checks.append(check_sketch(h, p, q))
-            offsets = np.zeros(len(keys) + 1, np.int32)
-            np.cumsum([len(k) for k in keys], out=offsets[1:])
-            flat = np.concatenate([np.asarray(k, np.int64) for k in keys])
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(s)
+                checks.append(check_sketch(h, p, q))
+                k = sketch_keys(h, p, q)
+                if len(k):
+                    keys.append(k)
+                    nodes.append(s & _NODE)
+                    held += len(k)
+                if held > FLUSH_KEYS:
+                    yield packed(keys, nodes)
+                    keys, nodes, held = [], [], 0
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(checks, pa.binary())],
-                ["doc_id", "n_shingles", "sig", "keys", "check"],
+                [pa.array(routes, pa.int64()), b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(checks, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names
             )
-
-    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, sig long, keys array<long>, check binary")
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, sig), those whose key at least two sets have; one row is held back between batches."""
-    held: tuple[int, int] | None = None
-    shown = False  # whether the held row's key has gone out already
-
-    def out(k, s):
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int64())], ["key", "sig"])
-
-    for b in batches:
-        k, s = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if held is not None:
-            k, s = np.concatenate([[held[0]], k]), np.concatenate([[held[1]], s])
-        fresh = np.ones(len(k), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        if not fresh.all():
-            k, s = k[fresh], s[fresh]
-        same = k[1:] == k[:-1]
-        keep = np.zeros(len(k), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if held is not None and shown and len(k):
-            keep[0] = False
-        last = bool(keep[-1]) or (len(k) == 1 and shown)
-        held, shown = (int(k[-1]), int(s[-1])), last
-        if keep.any():
-            yield out(k[keep], s[keep])
-
-
-def _verify(docs: DataFrame, pairs: DataFrame, work: Workspace, n: int, p: int, q: int) -> DataFrame:
-    """Of pairs (a, b) of document ids, those whose shingle sets reach the threshold. a is the pivot: its text goes to
-    one task for every few hundred partners, and the partners stream past it."""
-    size = W.partitionBy("a")
-    salted = pairs.withColumn("salts", F.ceil(F.count("*").over(size) / MEMBERS_PER_SALT).cast("int"))
-    salted = work.table(salted.select("a", "b", "salts", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")))
-    members = salted.select(F.col("b").alias("id"), F.col("a").alias("pivot"), "salt", F.lit(1).alias("role"))
-    pivots = salted.select("a", "salt").distinct().select(F.col("a").alias("id"), F.col("a").alias("pivot"), "salt", F.lit(0).alias("role"))
-    routes = members.unionByName(pivots)
-    routes = maybe_broadcast(routes, 2 * salted.count(), 64)
-    source = id_text(docs).filter("doc_id is not null").withColumnRenamed("doc_id", "id")
-    dealt = source.join(routes, "id").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "id")
+        if held:
+            yield packed(keys, nodes)
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_id"), F.col("text").cast("string").alias("text"))
+    return chosen.mapInArrow(run, "route long, doc_id long, text_id long, n_shingles long, sig long, check binary, keys binary")
+
+
+def buckets(keys: np.ndarray, nodes: np.ndarray) -> Iterator[np.ndarray]:
+    """The sorted distinct nodes of each key that at least two have."""
+    by = np.argsort(keys, kind="stable")
+    keys, nodes = keys[by], nodes[by]
+    same = keys[1:] == keys[:-1]
+    several = np.zeros(len(keys), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    keys, nodes = keys[several], nodes[several]
+    by = np.lexsort((nodes, keys))
+    keys, nodes = keys[by], nodes[by]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[fresh], nodes[fresh]
+    cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(nodes + np.uint64(77)))])
+    lengths = np.diff(cuts)
+    whole = mix64(sums[cuts[1:]] - sums[cuts[:-1]] + lengths.astype(np.uint64)) if len(lengths) else np.empty(0, np.uint64)
+    _, first = np.unique(whole, return_index=True)
+    for i in first[lengths[first] > 1].tolist():
+        yield int(whole[i].astype(np.int64)), nodes[cuts[i] : cuts[i + 1]].astype(np.int64)
+
+
+def _met(tile: int):
+    """Document rows pass; the packed keys of a range become buckets, each set of members once, in slices of at most ``tile``."""
+    names = ["doc_id", "text_id", "n_shingles", "sig", "check", "bucket", "slice", "slices", "members"]
+    wide = _KEY_BYTES + _NODE_BYTES
+
+    def listed(out: tuple[list, list, list, list]) -> pa.RecordBatch:
+        k = len(out[0])
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in out[3]])]).astype(np.int32)
+        members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out[3])))
+        none = pa.nulls(k, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(k, pa.binary()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), members], names)
+
+    def met(blobs: list[bytes], seen: set[int]) -> Iterator[pa.RecordBatch]:
+        many = [len(x) // wide for x in blobs]
+        keys, nodes = np.zeros((sum(many), 8), np.uint8), np.zeros((sum(many), 8), np.uint8)
+        row = 0
+        for x, m in zip(blobs, many, strict=True):
+            raw = np.frombuffer(x, np.uint8)
+            keys[row : row + m, :_KEY_BYTES] = raw[: m * _KEY_BYTES].reshape(m, _KEY_BYTES)
+            nodes[row : row + m, :_NODE_BYTES] = raw[m * _KEY_BYTES :].reshape(m, _NODE_BYTES)
+            row += m
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for bucket, members in buckets(keys.view("<u8").ravel(), nodes.view("<u8").ravel()):
+            if bucket in seen:
+                continue
+            if len(seen) >= _SEEN:
+                seen.clear()
+            seen.add(bucket)
+            slices = -(-len(members) // tile)
+            for s in range(slices):
+                for column, x in zip(out, (bucket, s, slices, members[s * tile : (s + 1) * tile]), strict=True):
+                    column.append(x)
+            if len(out[0]) >= 20_000:
+                yield listed(out)
+                out = ([], [], [], [])
+        if out[0]:
+            yield listed(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = None, None
+        at, blobs, seen = None, [], set()
         for b in batches:
-            ids, pivot, salt, role = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("id", "pivot", "salt", "role"))
-            found: tuple[list[int], list[int]] = ([], [])
-            for t, i, v, s, r in zip(texts(b), ids, pivot, salt, role, strict=True):
-                h = shingle_hashes(t, n)
-                if r == 0:
-                    if at != (v, s) or len(h):
-                        held, at = h, (v, s)
-                    continue
-                if at != (v, s) or not len(h) or q * min(len(h), len(held)) < p * max(len(h), len(held)):
-                    continue
-                both = len(np.intersect1d(h, held, assume_unique=True))
-                if q * both >= p * (len(h) + len(held) - both):
-                    found[0].append(v)
-                    found[1].append(i)
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
-
-    return work.table(dealt.mapInArrow(run, "a long, b long").distinct())
-
-
-def _candidates(now: DataFrame, p: int, q: int, most: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) of the members (key, node, n, check, comp, avoid) of buckets with several classes."""
-    per_key = W.partitionBy("key")
-    dealt = now.withColumn("blocks", F.ceil(F.count("*").over(per_key) / TILE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
-    spread = dealt.select("key", "node", "n", "check", "comp", "avoid", "mine", F.explode(tiles).alias("t")).select("key", "node", "n", "check", "comp", "avoid", F.col("t.i").alias("i"), F.col("t.j").alias("j"), (F.col("mine") == F.col("t.i")).alias("side"))
-    spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+            own = b.filter(b.column(6).is_null())
+            if k := own.num_rows:
+                yield pa.RecordBatch.from_arrays([*own.columns[1:6], pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64()))], names)
+            keyed = b.filter(b.column(6).is_valid())
+            for route, x in zip(keyed.column(0).to_pylist(), keyed.column(6).to_pylist(), strict=True):
+                if route != at:
+                    if blobs:
+                        yield from met(blobs, seen)
+                    blobs, at = [], route
+                blobs.append(x)
+        if blobs:
+            yield from met(blobs, seen)
+
+    return run
+
+
+def _tiles(dealt: DataFrame, mine: str, blocks: str, *keep: str) -> DataFrame:
+    """Each row once for each of the tiles (i, j) in which its block meets another or itself; side tells the two apart."""
+    pairs = F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda j: F.struct(F.least(F.col(mine), j).alias("i"), F.greatest(F.col(mine), j).alias("j")))
+    spread = dealt.select(*keep, mine, F.explode(pairs).alias("t"))
+    return spread.select(*keep, F.col("t.i").alias("i"), F.col("t.j").alias("j"), (F.col(mine) == F.col("t.i")).alias("side"))
+
+
+def _candidates(lists: DataFrame, facts: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) of signatures that span all candidates of each tile."""
+    members = _tiles(lists, "slice", "slices", "bucket", "members").select("bucket", "i", "j", "side", F.explode("members").alias("node"))
+    spread = members.join(facts, "node").select("bucket", "i", "j", "side", "sig", "n", "check")
+    spread = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
 
         def done() -> list[tuple[int, int]]:
-            if len(held) < 2 or len({r[3] for r in held}) < 2:
+            if len(held) < 2:
                 return []
-            nodes, n, check, comp, avoid, side = zip(*held, strict=True)
-            return forest(np.array(nodes), np.array(n), np.array(comp), list(check), np.array(side) if at[1] != at[2] else np.zeros(len(held), bool), list(avoid), p, q, most)
+            sigs, n, check, side = zip(*held, strict=True)
+            return [(sigs[i], sigs[j]) for i, j in forest(n, check, side if at[1] != at[2] else [True] * len(n), p, q)]
 
         for b in batches:
             found: list[tuple[int, int]] = []
-            c = {x: b.column(b.schema.get_field_index(x)).to_pylist() for x in ("key", "i", "j", "node", "n", "check", "comp", "avoid", "side")}
-            for k in range(b.num_rows):
-                here = (c["key"][k], c["i"][k], c["j"][k])
-                if here != at:
+            for bucket, i, j, side, sig, n, check in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (bucket, i, j) != at:
                     found += done()
-                    held, at = [], here
-                held.append((c["node"][k], c["n"][k], c["check"][k], c["comp"][k], c["avoid"][k], c["side"][k]))
+                    held, at = [], (bucket, i, j)
+                held.append((sig, n, check, side))
             if found:
                 a, z = zip(*set(found), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
@@ -282,25 +337,18 @@ def _candidates(now: DataFrame, p: int, q: int, most: int) -> DataFrame:
             a, z = zip(*last, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
-    return spread.mapInArrow(run, "a long, b long").distinct()
-
-
-def _merged(labels: DataFrame | None, links: DataFrame, work: Workspace) -> DataFrame:
-    """node, component after more links (a, b)."""
-    if labels is None:
-        return connected_components(links, work)
-    ends = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    step = connected_components(between, work)
-    moved = step.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    old = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return work.table(old.unionByName(step.join(labels.select("node"), "node", "left_anti")))
+    return spread.mapInArrow(run, "a long, b long")
 
 
-def tally(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray, p: int, q: int) -> np.ndarray:
-    """For each set the copies of the others that it links with; in a tile of two blocks only across them."""
-    m, n = len(sets), np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(m), n)
+def tally(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the copies of the others that it links with, and the first place of those that links connect it with;
+    in a tile of two blocks only links across them count."""
+    m, n = len(sets), np.array([len(x) for x in sets], np.float32)
+    if m == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        near = q * both >= p * (len(sets[0]) + len(sets[1]) - both) and not (sides.any() and not sides.all() and sides[0] == sides[1])
+        return (copies[::-1] if near else np.zeros(2, np.int64)), np.array([0, 0 if near else 1])
+    owner = np.repeat(np.arange(m), n.astype(np.int64))
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     often = count[place] > 1
     column, owner = (np.cumsum(count > 1) - 1)[place[often]], owner[often]
@@ -312,120 +360,123 @@ def tally(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray, p: int,
         part = np.zeros((m, min(_COLUMNS, wide - c)), np.float32)
         part[owner[a:b], column[a:b] - c] = 1
         both += part @ part.T
-    common = both.astype(np.int64)
-    near = q * common >= p * (n[:, None] + n[None, :] - common)
+    near = np.empty((m, m), bool)
+    for i in range(m):  # whole numbers below 2^24 in all terms, so float32 is exact; larger sets go by float64
+        row = both[i].astype(np.float64)
+        near[i] = (p + q) * row >= p * (np.float64(n[i]) + n.astype(np.float64))
     np.fill_diagonal(near, False)
     if sides.any() and not sides.all():
         near &= sides[:, None] != sides[None, :]
-    return near @ copies
-
-
-def _links(docs: DataFrame, sets: DataFrame, full: DataFrame, work: Workspace, n: int, p: int, q: int) -> DataFrame:
-    """sig, n_links: documents of other texts that link with it. Links lie within classes, so each class's texts meet in
-    tiles once, and every pair of different texts is verified there; no pair is written."""
-    alone = F.countDistinct("doc_id") + F.sum(F.col("doc_id").isNull().cast("long"))
-    each = sets.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), alone.alias("copies"))
-    per = W.partitionBy("component_id")
-    dealt = each.join(full, "sig").filter("id is not null").withColumn("members", F.count("*").over(per)).filter("members > 1")
-    blocks = F.ceil(F.greatest(F.col("members") / LINK_TILE, F.sum("size").over(per) / LINK_SHINGLES)).cast("int")
-    dealt = dealt.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
-    routes = dealt.select("id", "sig", "copies", F.col("component_id").alias("key"), "mine", F.explode(tiles).alias("t"))
-    routes = work.table(routes.select("id", "sig", "copies", "key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), (F.col("mine") == F.col("t.i")).alias("side")))
-    source = id_text(docs).filter("doc_id is not null").withColumnRenamed("doc_id", "id")
-    spread = source.join(maybe_broadcast(routes, routes.count(), 64), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    root = np.full(m, -1)
+    for i in range(m):
+        if root[i] < 0:
+            edge = np.array([i])
+            while len(edge):
+                root[edge] = i
+                edge = np.flatnonzero(near[edge].any(axis=0) & (root < 0))
+    return near @ copies, root
+
+
+def _verified(docs: DataFrame, each: DataFrame, groups: DataFrame, work: Workspace, n: int, p: int, q: int) -> DataFrame:
+    """sig, near, root: for each tile of a group of candidates and each of its texts, the documents of other texts there that it
+    links with, and a text of the tile that links connect it with. Every pair of different texts of a group meets in a tile."""
+    member = each.filter("id is not null").join(groups.select(F.col("node").alias("sig"), "component"), "sig")
+    per = member.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
+    per = per.select("component", F.ceil(F.greatest(F.col("members") / LINK_TILE, F.col("shingles") / LINK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = member.join(per, "component").withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    routes = work.table(_tiles(dealt, "mine", "blocks", "id", "sig", "copies", "component"))
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null")
+    spread = source.join(maybe_broadcast(routes, routes.count(), 64), "id").select("component", "i", "j", "side", "sig", "copies", "text")
+    spread = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
         at = None
+        out: tuple[list[int], list[int], list[int]] = ([], [], [])
 
-        def done() -> tuple[list[int], list[int]]:
+        def done() -> None:
             if len(held) < 2:
-                return [], []
+                return
+            sigs = list(held)
             h, copies, side = zip(*held.values(), strict=True)
-            found = tally(list(h), np.array(copies, np.int64), np.array(side) if at[1] != at[2] else np.zeros(len(held), bool), p, q)
-            return list(held), found.tolist()
-
-        def out(x):
-            return pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64())], ["sig", "near"])
+            near, root = tally(list(h), np.array(copies, np.int64), np.array(side) if at[1] != at[2] else np.zeros(len(held), bool), p, q)
+            out[0].extend(sigs)
+            out[1].extend(near.tolist())
+            out[2].extend(sigs[r] for r in root.tolist())
 
         for b in batches:
-            c = {x: b.column(b.schema.get_field_index(x)).to_pylist() for x in ("key", "i", "j", "sig", "copies", "side")}
-            for k, t in enumerate(texts(b)):
-                here = (c["key"][k], c["i"][k], c["j"][k])
-                if here != at:
-                    if (x := done())[0]:
-                        yield out(x)
-                    held, at = {}, here
-                h = shingle_hashes(t, n)
-                if len(h) and signature(h) == c["sig"][k]:  # rows may repeat an id with another text
-                    held[c["sig"][k]] = (h, c["copies"][k], c["side"][k])
-        if (x := done())[0]:
-            yield out(x)
+            for component, i, j, side, sig, copies, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (component, i, j) != at:
+                    done()
+                    held, at = {}, (component, i, j)
+                h = shingle_hashes(text, n)
+                if len(h) and signature(h) == sig:  # rows may repeat an id with another text
+                    held[sig] = (h, copies, side)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["sig", "near", "root"])
+                out = ([], [], [])
+        done()
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["sig", "near", "root"])
+
+    return work.table(spread.mapInArrow(run, "sig long, near long, root long"))
 
-    near = spread.mapInArrow(run, "sig long, near long").groupBy("sig").agg(F.sum("near").alias("near"))
-    return work.table(each.join(near, "sig", "left").select("sig", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+
+def _joined(docs: DataFrame, n: int, p: int, q: int) -> tuple[Workspace, DataFrame, DataFrame]:
+    """The workspace, the documents' rows (doc_id, text_id, n_shingles, sig), and sig, label, component_id, n_links."""
+    work = Workspace(docs.sparkSession)
+    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
+    routed = _routed(docs, RANGES * parts, n, p, q).repartition(parts, "route").sortWithinPartitions("route")
+    found = work.table(routed.mapInArrow(_met(TILE), _FOUND))
+    rows = found.filter("bucket is null").select("doc_id", "text_id", "n_shingles", "sig")
+    lists = found.filter("bucket is not null").select("bucket", "slice", "slices", "members").dropDuplicates(["bucket", "slice"])
+    alone = F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("long"))
+    sets = found.filter("sig is not null").groupBy("sig")
+    each = work.table(sets.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("check", True).alias("check"), alone.alias("copies")))
+    facts = each.select(F.pmod("sig", F.lit(_NODE + 1)).alias("node"), "sig", "n", "check")
+    groups = connected_components(_candidates(lists, facts, p, q), work)
+    seen = _verified(docs, each, groups, work, n, p, q)
+    near = seen.groupBy("sig").agg(F.sum("near").alias("near"))
+    labels = connected_components(seen.filter("sig <> root").select(F.col("sig").alias("a"), F.col("root").alias("b")), work)
+    full = each.join(labels.withColumnRenamed("node", "sig"), "sig", "left").join(near, "sig", "left")
+    full = work.table(full.select("sig", "id", F.coalesce("component", "sig").alias("label"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+    least = full.groupBy("label").agg(F.min("id").alias("component_id"))
+    result = work.table(full.join(least, "label").select("sig", "label", "component_id", "n_links"))
+    work.drop(each, groups, seen, labels, full)
+    return work, rows, result
 
 
 def linked(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row: with how many other documents its text links."""
-    work, sets, full = _joined(docs, shingle_words, *threshold)
-    out = _of_rows(sets, full.join(_links(docs, sets, full, work, shingle_words, *threshold), "sig", "left"), "n_links")
-    return out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    """doc_id, n_shingles, component_id, n_links of every row: its class, and with how many other documents its text links."""
+    _, rows, full = _joined(docs, shingle_words, *threshold)
+    out = rows.join(maybe_broadcast(full, full.count(), 64), "sig", "left")
+    mine = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", mine.alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; the threshold is a fraction p / q."""
-    _, sets, full = _joined(docs, shingle_words, *threshold)
-    return _of_rows(sets, full)
-
-
-def _of_rows(sets: DataFrame, full: DataFrame, *more: str) -> DataFrame:
-    out = sets.select("doc_id", "n_shingles", "sig").join(full, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)
-
-
-def _joined(docs: DataFrame, n: int, p: int, q: int) -> tuple[Workspace, DataFrame, DataFrame]:
-    """The workspace, the rows with their signatures, and each signature's class."""
-    work = Workspace(docs.sparkSession)
-    sets = work.table(_sets(docs, n, p, q))
-    reps = work.table(sets.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("check", True).alias("check")))
-    keys = sets.select(F.explode("keys").alias("key"), "sig").repartition("key").sortWithinPartitions("key", "sig")
-    shared = keys.mapInArrow(_shared, "key long, sig long")
-    members = work.table(shared.join(reps.filter("rep is not null").select("sig", "rep"), "sig").select("key", F.col("rep").alias("node")))
-    facts = reps.filter("rep is not null").groupBy(F.col("rep").alias("node")).agg(F.first("n").alias("n"), F.first("check").alias("check"))
-    labels = refuted = None
-    most = 0  # pairs of any two classes that a tile passes on: first a forest, then ever more, until none is left
-    while True:
-        if labels is None:
-            now = members.join(facts.withColumn("comp", F.col("node")).withColumn("avoid", F.lit(None).cast("array<long>")), "node")
-        else:
-            known = facts.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-            mixed = members.join(known.select("node", "comp"), "node").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-            away = refuted.select(F.col("a").alias("node"), "b").unionByName(refuted.select(F.col("b").alias("node"), F.col("a").alias("b"))).groupBy("node").agg(F.collect_set("b").alias("avoid"))
-            now = members.join(mixed, "key", "left_semi").join(known.join(away, "node", "left"), "node")
-        pairs = work.table(_candidates(now, p, q, most))
-        if pairs.isEmpty():
-            break
-        links = _verify(docs, pairs, work, n, p, q)
-        wrong = pairs.join(links, ["a", "b"], "left_anti")
-        refuted = work.table(wrong if refuted is None else refuted.unionByName(wrong))
-        labels = _merged(labels, links, work)
-        most = 8 * most or 8
-    if labels is None:
-        full = reps.select("sig", F.col("rep").alias("component_id"))
-    else:
-        full = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    return work, sets, work.table(full)
+    return linked(docs, shingle_words, threshold).drop("n_links")
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The documents, all columns kept, without those that another of their class stands for; a repeated id stays once."""
-    work = Workspace(docs.sparkSession)
-    found = work.table(classes(docs, shingle_words, threshold))
-    gone = work.table(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    kept = docs.join(maybe_broadcast(gone, gone.count(), 32), docs["doc_id"] == F.col("gone"), "left_anti")
-    if not found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        again = W.partitionBy("doc_id").orderBy("text")
-        kept = kept.withColumn("__nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(again))).filter("__nth = 1").drop("__nth")
-    return kept
+    """The documents, all columns kept, without those that another of their class stands for: the one of the smallest id
+    (null last), then of the smallest hash of the text. A document that is there several times stays once."""
+    work, rows, full = _joined(docs, shingle_words, *threshold)
+    same = rows.select("doc_id", "text_id", "sig").distinct().filter("sig is not null").join(full.select("sig", "label"), "sig")
+    first = same.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_id")).alias("stays"))
+    gone = same.join(first, "label").filter(~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_id") == F.col("stays.text_id"))))
+    gone = work.table(gone.select("doc_id", "text_id"))
+    text_id = F.xxhash64(F.col("text").cast("string")).alias("text_id")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def met(other: DataFrame, how: str) -> DataFrame:
+        other = other.select(F.col("doc_id").alias("its_id"), F.col("text_id").alias("its_text"))
+        return held.join(maybe_broadcast(other, other.count(), 32), F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_id") == F.col("its_text")), how)
+
+    twice = work.table(rows.groupBy("doc_id", "text_id").count().filter("count > 1").select("doc_id", "text_id"))
+    held = met(gone, "left_anti")
+    if not twice.isEmpty():
+        held = met(twice, "left_anti").unionByName(met(twice, "left_semi").dropDuplicates(["doc_id", "text_id"]))
+    return held.select("row.*")

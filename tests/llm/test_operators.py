@@ -111,12 +111,41 @@ def test_parity_join_counts_every_link(spark, monkeypatch, tile):
     assert len(set(want.values())) > 2
 
 
-def test_parity_sketch_bounds_the_difference():
+@pytest.mark.parametrize(("p", "q"), [(9, 10), (8, 10)])
+def test_parity_sketches_agree_up_to_the_threshold(p, q):
     rng = np.random.default_rng(1)
-    a = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
-    b = np.unique(np.concatenate([a[10:], rng.integers(0, 1 << 63, 10).astype(np.uint64)]))
-    shared = set(parity_join.sketch_keys(a, 9, 10).tolist()) & set(parity_join.sketch_keys(b, 9, 10).tolist())
-    assert shared, "sets of Jaccard 0.93 must agree on a block"
+    for n in [*range(2, 60), 80, 99, 100, 127, 250, 511, 1024, 3000]:
+        for _ in range(6):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            out = int(rng.integers(0, (q - p) * n // q + 1))  # so many go; as many more come as the threshold allows
+            kept = n - out
+            new = max(0, kept * q // p - n)
+            b = np.unique(np.concatenate([a[out:], rng.integers(0, 1 << 63, int(rng.integers(0, new + 1)) if n % 3 else new).astype(np.uint64)]))
+            if len(a) == len(b) and (a == b).all():
+                continue
+            assert q * kept >= p * (len(a) + len(b) - kept)
+            assert set(parity_join.sketch_keys(a, p, q).tolist()) & set(parity_join.sketch_keys(b, p, q).tolist()), (n, out, new)
+
+
+def test_parity_join_repeated_ids_and_clashing_names(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, c), (3, c), (None, c), (None, "lost"), (4, a + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit(7) for x in ("gone", "row", "sig", "text_id", "its_id", "label", "__nth")})
+    kept = parity_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([(1, a), (1, b), (3, c), (-1, "lost")])
+    links = {(r.doc_id, r.component_id, r.n_links) for r in parity_join.linked(df).collect()}
+    assert (4, 1, 2) in links and (None, 3, 1) in links and (None, None, 0) in links
+
+
+@pytest.mark.parametrize("tile", [4, 1000])
+def test_parity_join_slices_of_a_bucket_meet(spark, monkeypatch, tile):
+    monkeypatch.setattr(parity_join, "TILE", tile)
+    monkeypatch.setattr(parity_join, "SMALL", 6)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(60)] + [(100 + i, " ".join(base[:10] + [f"y{i}_{j}" for j in range(60)])) for i in range(20)]
+    found = parity_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, (9, 10)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_classes(rows, 3, 9, 10)
 
 
 def test_parity_join_odd_rows(odd, empty):
@@ -245,30 +274,72 @@ def test_quality_rules_base_and_bands(spark, docs, plain, sf):
     assert sum(good) >= 0.9 * len(good)
 
 
-def test_kneser_ney_is_a_distribution(spark):
+class PlainModel:
+    """Interpolated modified Kneser-Ney over the characters of a few texts, by the textbook, in dictionaries."""
+
+    def __init__(self, rows, order):
+        self.order, self.level, self.below = order, {}, {}
+        top = Counter()
+        for t in rows:
+            t = "\2" * (order - 1) + t + "\3"
+            top.update(t[i - order + 1 : i + 1] for i in range(order - 1, len(t)))
+        self.level[order] = top
+        for k in range(order - 1, 0, -1):
+            self.level[k] = Counter(g[1:] for g in self.level[k + 1])
+        self.discount = {}
+        for k, c in self.level.items():
+            n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2)
+            d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 and n4 else 1.5]
+            self.discount[k] = [0, *(min(max(x, lo), hi) for x, lo, hi in zip(d, (0.05, 0.1, 0.2), (0.95, 1.9, 2.8), strict=True))]
+
+    def p(self, context, x):
+        k = len(context) + 1
+        lower = self.p(context[1:], x) if k > 1 else 1 / (len(self.level[1]) + 1)
+        after = {g: n for g, n in self.level[k].items() if g[:-1] == context}
+        if not after:
+            return lower
+        d, n = self.discount[k], self.level[k].get(context + x, 0)
+        held = sum(d[min(v, 3)] for v in after.values())
+        return (n - d[min(n, 3)] + held * lower) / sum(after.values()) if n else held * lower / sum(after.values())
+
+
+def test_kneser_ney_equals_the_textbook(spark, docs):
     from pairloom.llm.common import Workspace
 
-    d = spark.createDataFrame([("en", "abc abd abe bcd cde abc"), ("en", "abc bca")], "lang string, text string").select("text", "lang")
-    arrays = perplexity.train(d, Workspace(spark), 3)
-    # over every continuation of a seen context, end mark included, probabilities sum to at most 1 and nearly 1
-    total = 0.0
-    for c in "abcde":
-        total += np.exp(perplexity.word_scores([b"ab" + c.encode()], "en", arrays)[0] - perplexity.word_scores([b"ab" + c.encode()], "en", arrays)[0])
-    assert total == 5
-    p = [perplexity.word_scores([w], "en", arrays)[0] for w in (b"abc", b"abd", b"zzz")]
-    assert p[0] > p[1] > p[2]
+    rows = [perplexity.normal(r.text) for r in docs.filter("lang = 'en' and length(text) between 300 and 900").orderBy("doc_id").limit(12).collect()]
+    d = spark.createDataFrame([("en", t) for t in rows], "lang string, text string").select("text", "lang")
+    arrays, flat = perplexity.train(d, Workspace(spark), 3)
+    model = PlainModel(rows, 3)
+    fresh = ["then the of thon", "zq zzz \u4e2d", rows[0][5:40][::-1], "a", rows[1][:30].upper()]
+    for t in [rows[0][:60], *fresh]:
+        chars, at, many = perplexity._layout([t], 3)
+        got = perplexity.place_scores(chars, at, "en", arrays, flat)
+        padded = "\2\2" + t + "\3"
+        want = [np.log(model.p(padded[i - 2 : i], padded[i])) for i in range(2, len(padded))]
+        assert many.tolist() == [len(t) + 1] and got == pytest.approx(want, abs=1e-4)
+        assert perplexity.text_scores([t, rows[2]], "en", arrays, flat)[0] == pytest.approx(np.mean(want), abs=1e-4)
+    letters = [*model.level[1], "\u4e2d"]  # a character never seen stands for all of them
+    for context in ("th", "\2\2", "e ", "zq"):
+        chars = np.array([[ord(context[0]), ord(context[1]), ord(x)] for x in letters], np.uint32).ravel()
+        total = np.exp(perplexity.place_scores(chars, np.arange(len(letters)) * 3 + 2, "en", arrays, flat)).sum()
+        assert total == pytest.approx(1.0, abs=1e-4)
+
+
+def test_perplexity_sees_the_order_of_words(spark):
+    from pairloom.llm.common import Workspace
+
+    d = spark.createDataFrame([("en", "on the way to the sea of sand ") for _ in range(5)], "lang string, text string").select("text", "lang")
+    arrays, flat = perplexity.train(d, Workspace(spark))
+    straight, mixed = perplexity.text_scores(["on the way to the sea of sand", "sand the of way sea on to the"], "en", arrays, flat)
+    assert straight > mixed + 0.1
 
 
-def test_quality_rules_keep_every_gram(spark, docs, odd, monkeypatch):
+def test_quality_rules_score_alike_without_a_broadcast(spark, docs, odd, monkeypatch):
     few = docs.orderBy("doc_id").limit(40).select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
-    grams = set()
-    for lang, text in few.select("lang", "text").collect():
-        for w in {x.decode() for x in perplexity.units(text)}:
-            w = "\2" * 3 + w + "\3"
-            grams |= {(lang, w[i - k + 1 : i + 1]) for i in range(3, len(w)) for k in range(1, 5)}
     key = lambda r: (str(r.doc_id), r.n_words, str(r.lang))
     whole = sorted(perplexity.judge(few).collect(), key=key)
-    monkeypatch.setattr(perplexity, "MODEL_BYTES", 24 * (len(grams) - 1))
+    monkeypatch.setattr(perplexity, "MODEL_BYTES", 0)
     beyond = sorted(perplexity.judge(few).collect(), key=key)
     assert len(whole) == len(beyond) == few.count()
     for a, b in zip(whole, beyond, strict=True):
