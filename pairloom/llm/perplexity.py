@@ -1,26 +1,26 @@
 """Quality rules by n-gram perplexity: a modified Kneser-Ney model per language, counted by Spark over all documents.
 
-The units are characters within words (case kept, with start and end marks; a run of one punctuation mark is one). Spark counts the words of every document
-per language, then the n-grams of the distinct words with the words' counts; lower orders hold continuation counts.
+The units are the characters of whole texts: letters, marks and the blanks between words, so that n-grams run across words
+(case kept, a start and an end mark; white space is one blank, a run of one punctuation mark is one, for its length tells
+nothing). Spark counts every occurrence of every n-gram of the highest order; lower orders hold continuation counts.
 Interpolated probabilities and back-off weights are joined up order by order and kept as sorted arrays of 64-bit hashes
-with float values, which the scoring tasks look up by binary search. What is gathered grows with the input: the word
-table with new words, the arrays with new n-grams. The arrays are broadcast behind a check of their size; beyond
-``MODEL_BYTES`` nothing is gathered: the distinct words meet the written n-grams in a join, and the documents' words
-meet the words' scores in another. Every word is one that the model has counted, so that all its n-grams of the
-highest order are there, and both ways give the same scores.
+with float values, which the scoring tasks look up by binary search. What is gathered grows with the input: the arrays
+with new n-grams, all of which stay. The arrays are broadcast behind a check of their size; beyond ``MODEL_BYTES`` nothing
+is gathered: each document's n-grams, with how often it holds them, meet the written ones in a join. Every text is one
+that the model has counted, so that all its n-grams of the highest order are there, and both ways give the same scores.
 
 Per language, documents that pass the base rules give the median and the quartiles of log-perplexity, and the band is so
 many quartile spreads below and above the median. A language with few documents takes the band of all.
 
 Defined cases: null text has no words and fails the base rules; a text without words has no perplexity and is not kept;
-a null language is a language of its own; repeated rows count and score each; an empty table gives an empty result.
+a null language is a language of its own; repeated rows count and score each; an empty table gives an empty result; very
+long texts are counted and scored whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,20 +38,20 @@ LEAST_WORDS, MOST_REPEATED = 50, (50, 100)
 SYMBOLS = "#*$%&|<>"
 MODEL_BYTES = 256 << 20
 _SPACES = " \t\n\x0b\x0c\r"
-_FLUSH, _KNOWN = 300_000, 500_000
-_START, _END = 2, 3  # code points of the marks; control characters are no word's letters
+_START, _END = 2, 3  # code points of the marks; control characters are no text's letters
+_CHARS = 1 << 20  # characters that are counted or scored at a time
 
-
-_RUNS = re.compile(rb"([!-/:-@\[-`{-~])\1+")
+_BLANKS = re.compile(r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
+_RUNS = re.compile(r"([!-/:-@\[-`{-~])\1+")
 
 
 def split_words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def units(text: str | None) -> list[bytes]:
-    """The words as the model sees them: a run of one punctuation mark is one unit, for its length tells nothing."""
-    return _RUNS.sub(rb"\1", text.encode()).split() if text else []
+def normal(text: str | None) -> str:
+    """The text as the model sees it."""
+    return _RUNS.sub(r"\1", _BLANKS.sub(" ", text).strip(" ")) if text else ""
 
 
 # ---- base rules
@@ -86,93 +86,122 @@ def base_rules(text: str | None, words: list[bytes]) -> tuple[int, int, int, int
 # ---- counting
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, n: each word once per document, so that a repeated line does not teach the model itself."""
-    found: Counter = Counter()
+def _layout(rows: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of normal texts, each behind order-1 start marks and before an end mark; the places that are predicted; and how
+    many of them each text has."""
+    pad, end = chr(_START) * (order - 1), chr(_END)
+    chars = np.frombuffer("".join(f"{pad}{t}{end}" for t in rows).encode("utf-32-le"), np.uint32)
+    many = np.array([len(t) + 1 for t in rows], np.int64)
+    lead = np.repeat(np.arange(1, len(rows) + 1) * (order - 1), many)
+    return chars, lead + np.arange(len(lead)), many
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(found.values(), pa.int64())], ["lang", "word", "n"])
 
-    for b in sliced(batches):
-        for t, lang in zip(texts(b), texts(b, "lang"), strict=True):
-            found.update((lang, w) for w in set(units(t)))
-            if len(found) > _FLUSH:
-                yield out()
-                found.clear()
-    if found:
-        yield out()
+def _gram_hash(chars: np.ndarray, at: np.ndarray, k: int, lang: int) -> np.ndarray:
+    """Hashes of the k characters that end at each place."""
+    h = np.full(len(at), lang, np.uint64)
+    for i in range(k):
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + chars[at - i].astype(np.uint64) + np.uint64(1))
+    return h
 
 
-def _layout(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words behind order-1 start marks and before an end mark, and the places that are predicted."""
-    pad, end = chr(_START) * (order - 1), chr(_END)
-    chars = np.frombuffer((pad + (end + pad).join(w.decode() for w in words) + end).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(w.decode()) for w in words]) + order
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    predicted = np.ones(len(chars), bool)
-    for i in range(order - 1):
-        predicted[starts + i] = False
-    return chars, np.flatnonzero(predicted)
-
-
-def _hashes(chars: np.ndarray, at: np.ndarray, order: int, lang: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Hashes of the grams of 1..order characters that end at each place, and of their contexts of 0..order-1."""
-    grams, h = [], np.full(len(at), lang, np.uint64)
-    contexts, c = [np.full(len(at), mix64(np.array([lang], np.uint64))[0], np.uint64)], np.full(len(at), lang, np.uint64)
-    for k in range(order):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + chars[at - k] + np.uint64(1))
-        grams.append(h)
-        if k + 1 < order:
-            c = mix64(c * np.uint64(0x9E3779B97F4A7C15) + chars[at - k - 1] + np.uint64(1))
-            contexts.append(c ^ np.uint64(0x5851F42D4C957F2D))
-    return grams, contexts
+def _context_hash(chars: np.ndarray, at: np.ndarray, k: int, lang: int) -> np.ndarray:
+    """Hashes of the k-1 characters before each place, told from hashes of n-grams."""
+    return mix64(_gram_hash(chars, at - 1, k - 1, lang) ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def lang_id(lang: str | None) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode()) if lang is not None else 1
 
 
+def _portions(rows: list[str]) -> Iterator[list[int]]:
+    """Numbers of texts, so many together as hold about ``_CHARS`` characters; a longer text is a portion of its own."""
+    part, size = [], 0
+    for i, t in enumerate(rows):
+        if part and size + len(t) > _CHARS:
+            yield part
+            part, size = [], 0
+        part.append(i)
+        size += len(t)
+    if part:
+        yield part
+
+
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[int], list[str]]]:
+    """Portions of a batch's texts of one language: the language, the rows' numbers, the normal texts; texts without words are out."""
+    langs = texts(batch, "lang")
+    rows = [normal(t) for t in texts(batch)]
+    for lang in dict.fromkeys(langs):
+        mine = [i for i, x in enumerate(langs) if x == lang and rows[i]]
+        for part in _portions([rows[i] for i in mine]):
+            yield lang, [mine[k] for k in part], [rows[mine[k]] for k in part]
+
+
+def _distinct(chars: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams at the places as rows of code points, which each place has, and how often each is there."""
+    alphabet, code = np.unique(chars, return_inverse=True)
+    base = np.uint64(len(alphabet))
+    if len(alphabet) ** order < 1 << 64:
+        key = np.zeros(len(at), np.uint64)
+        for i in reversed(range(order)):
+            key = key * base + code[at - i].astype(np.uint64)
+        _, first, which, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    else:
+        _, first, which, n = np.unique(np.stack([chars[at - i] for i in range(order)], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return np.stack([chars[at[first] - i] for i in reversed(range(order))], axis=1), which.ravel(), n
+
+
+def _gram_counts(order: int):
+    """lang, gram (code points of 32 bits each), n: counted within portions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, _, rows in _by_language(b):
+                chars, at, _ = _layout(rows, order)
+                grams, _, n = _distinct(chars, at, order)
+                offsets = pa.py_buffer(np.arange(len(n) + 1, dtype=np.int32) * 4 * order)
+                gram = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(np.ascontiguousarray(grams))])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), gram, pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+
+    return run
+
+
 def _gram_rows(order: int):
     names = [f"g{k}" for k in range(1, order + 1)] + [f"c{k}" for k in range(1, order + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, words, n = texts(b, "lang"), texts(b, "word"), np.array(texts(b, "n"), np.int64)
-            for lang in set(langs):
-                mine = np.array([i for i, x in enumerate(langs) if x == lang])
-                chosen = [words[i] for i in mine]
-                chars, at = _layout(chosen, order)
-                grams, contexts = _hashes(chars, at, order, lang_id(lang))
-                weight = np.repeat(n[mine], [len(w.decode()) + 1 for w in chosen])
-                top, first, place = np.unique(grams[-1], return_index=True, return_inverse=True)
-                total = np.bincount(place, weights=weight).astype(np.int64)
-                columns = [pa.array(x[first].view(np.int64)) for x in (*grams, *contexts)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(top), pa.string()), *columns, pa.array(total)], ["lang", *names, "n"])
+            langs, grams, n = np.array(texts(b, "lang"), object), texts(b, "gram"), b.column(b.schema.get_field_index("n"))
+            for lang in dict.fromkeys(langs):
+                mine = np.flatnonzero([x == lang for x in langs])
+                chars = np.frombuffer(b"".join(grams[i] for i in mine), np.uint32)
+                at, own = np.arange(len(mine)) * order + order - 1, lang_id(lang)
+                columns = [_gram_hash(chars, at, k, own) for k in range(1, order + 1)] + [_context_hash(chars, at, k, own) for k in range(1, order + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine), pa.string()), *[pa.array(x.view(np.int64)) for x in columns], n.take(pa.array(mine))], ["lang", *names, "n"])
 
     return run, "lang string, " + ", ".join(f"{x} long" for x in names) + ", n long"
 
 
-def counted(docs: DataFrame, work: Workspace, order: int = ORDER) -> tuple[DataFrame, dict[int, DataFrame]]:
-    """The words (lang, word, n), and for each order the n-grams with their counts."""
-    words = work.table(docs.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+def counted(docs: DataFrame, work: Workspace, order: int = ORDER) -> dict[int, DataFrame]:
+    """For each order the n-grams with their counts: of occurrences in the highest, of characters before them in the others."""
+    grams = docs.mapInArrow(_gram_counts(order), "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     run, schema = _gram_rows(order)
-    names = [x for x in schema.replace(" long", "").replace("lang string, ", "").split(", ") if x != "n"]
-    rows = words.mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
-    levels = {order: work.table(rows)}
+    levels = {order: work.table(grams.mapInArrow(run, schema))}
     for k in range(order - 1, 0, -1):
         keep = [f"g{i}" for i in range(1, k + 1)] + [f"c{i}" for i in range(1, k + 1)]
         levels[k] = work.table(levels[k + 1].groupBy("lang", *keep).agg(F.count("*").alias("n")))
-    return words, levels
+    return levels
 
 
-def estimated(levels: dict[int, DataFrame], work: Workspace) -> list[DataFrame]:
-    """For each order its n-grams g with context c, log-probability and the context's back-off, all of them."""
+def estimated(levels: dict[int, DataFrame], work: Workspace) -> tuple[list[DataFrame], dict[str | None, float]]:
+    """For each order its n-grams g with context c, probability and the context's back-off, all of them; and each language's
+    logarithm of what a character gets that it never had."""
     out: list[DataFrame] = []
-    below = None
+    below, flat = None, {}
     for k in sorted(levels):
         level = levels[k]
         some = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
         found = {r.lang: r for r in level.groupBy("lang").agg(*some, F.count("*").alias("types")).collect()}
+        flat = flat or {lang: -math.log(r.types + 1) for lang, r in found.items()}
         discounts = work.spark.createDataFrame([(lang, *_discounts(r.n1, r.n2, r.n3, r.n4), 1.0 / (r.types + 1)) for lang, r in found.items()], "lang string, d1 double, d2 double, d3 double, flat double")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = level.join(F.broadcast(discounts), level["lang"].eqNullSafe(discounts["lang"])).drop(discounts["lang"]).withColumn("d", d)
@@ -185,7 +214,7 @@ def estimated(levels: dict[int, DataFrame], work: Workspace) -> list[DataFrame]:
         level = work.table(level.select(f"g{k}", f"c{k}", "n", "backoff", p.alias("p")))
         below = level.select(f"g{k}", "p")
         out.append(level)
-    return out
+    return out, flat
 
 
 def gathered(tables: list[DataFrame]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -197,8 +226,9 @@ def gathered(tables: list[DataFrame]) -> list[tuple[np.ndarray, np.ndarray]]:
     return arrays
 
 
-def train(docs: DataFrame, work: Workspace, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
-    return gathered(estimated(counted(docs, work, order)[1], work))
+def train(docs: DataFrame, work: Workspace, order: int = ORDER) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict[str | None, float]]:
+    tables, flat = estimated(counted(docs, work, order), work)
+    return gathered(tables), flat
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -228,90 +258,78 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np
     return table[1][at], table[0][at] == keys
 
 
-def word_scores(words: list[bytes], lang: str | None, arrays: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Natural log-probability of each word, end mark included."""
+def place_scores(chars: np.ndarray, at: np.ndarray, lang: str | None, arrays: list[tuple[np.ndarray, np.ndarray]], flat: dict[str | None, float]) -> np.ndarray:
+    """Natural log-probability of the character at each place, given those before it."""
+    own, total, open_ = lang_id(lang), np.zeros(len(at)), np.arange(len(at))
+    for k in range(len(arrays) // 2, 0, -1):
+        v, found = _look_up(arrays[2 * k - 2], _gram_hash(chars, at[open_], k, own))
+        total[open_[found]] += v[found]
+        open_ = open_[~found]
+        if not len(open_):
+            return total
+        w, seen = _look_up(arrays[2 * k - 1], _context_hash(chars, at[open_], k, own))
+        total[open_[seen]] += w[seen]
+    total[open_] += flat.get(lang, -math.log(2))
+    return total
+
+
+def text_scores(rows: list[str], lang: str | None, arrays: list[tuple[np.ndarray, np.ndarray]], flat: dict[str | None, float]) -> np.ndarray:
+    """Natural log-probability for each character, end mark included, of each normal text. Equal n-grams are looked up once."""
     order = len(arrays) // 2
-    chars, at = _layout(words, order)
-    grams, contexts = _hashes(chars, at, order, lang_id(lang))
-    total, open_ = np.zeros(len(at)), np.ones(len(at), bool)
-    for k in range(order - 1, -1, -1):
-        v, found = _look_up(arrays[2 * k], grams[k])
-        total += np.where(open_ & found, v, 0)
-        open_ &= ~found
-        if open_.any():
-            w, seen = _look_up(arrays[2 * k + 1], contexts[k])
-            total += np.where(open_ & seen, w, 0)
-    total += np.where(open_, -math.log(1 + max(1, len(arrays[0][0]))), 0)  # a character that this language never had
-    ends = np.cumsum([len(w.decode()) + 1 for w in words])
-    sums = np.concatenate([[0.0], np.cumsum(total)])[ends]
-    return np.diff(np.concatenate([[0.0], sums]))
-
-
-def _score(arrays_of, order: int):
+    chars, at, many = _layout(rows, order)
+    grams, which, _ = _distinct(chars, at, order)
+    each = place_scores(grams.ravel(), np.arange(len(grams)) * order + order - 1, lang, arrays, flat)
+    return np.add.reduceat(each[which], np.concatenate([[0], np.cumsum(many)[:-1]])) / many
+
+
+def _score(shared, order: int):
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = arrays_of.value
-        known: dict[str | None, dict[bytes, float]] = {}
-        for b in sliced(batches, 500):
-            langs = texts(b, "lang")
-            rows = [(t, lang, units(t)) for t, lang in zip(texts(b), langs, strict=True)]
-            for lang in set(langs):
-                mine = known.setdefault(lang, {})
-                if len(mine) > _KNOWN:
-                    mine.clear()
-                new = list({w for _, x, ws in rows if x == lang for w in ws} - mine.keys())
-                for i in range(0, len(new), 50_000):
-                    part = new[i : i + 50_000]
-                    mine.update(zip(part, word_scores(part, lang, arrays).tolist(), strict=True))
-            out = []
-            for t, lang, ws in rows:
-                size = len(b"".join(ws).decode()) + len(ws)
-                out.append((*base_rules(t, split_words(t)), -sum(map(known[lang].__getitem__, ws)) / size if ws else None))
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), *[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.float64())], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
+        arrays, flat = shared.value
+        for b in sliced(batches, 2000):
+            found: list[float | None] = [None] * b.num_rows
+            for lang, mine, rows in _by_language(b):
+                for i, v in zip(mine, text_scores(rows, lang, arrays, flat).tolist(), strict=True):
+                    found[i] = -v
+            columns = zip(*(base_rules(t, split_words(t)) for t in texts(b)), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("lang")), *[pa.array(c, pa.int64()) for c in columns], pa.array(found, pa.float64())], names)
 
     return run
 
 
-def _places(order: int):
-    """lang, word, g: the highest-order n-gram of each place of each word."""
+def _held(order: int):
+    """row, doc_id, lang, the base counts, the number of places, and the n-grams with how often the text has each."""
+    names = ["row", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "size", "grams"]
+    kind = pa.list_(pa.struct([("g", pa.int64()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            langs, words = texts(b, "lang"), texts(b, "word")
-            for lang in set(langs):
-                mine = [w for w, x in zip(words, langs, strict=True) if x == lang]
-                chars, at = _layout(mine, order)
-                g = _hashes(chars, at, order, lang_id(lang))[0][-1]
-                owner = np.repeat(np.arange(len(mine)), [len(w.decode()) + 1 for w in mine])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(mine, pa.binary()).take(pa.array(owner)), pa.array(g.view(np.int64))], ["lang", "word", "g"])
+        for b in sliced(batches, 200):
+            sizes, bags = [], []
+            for t, lang in zip(texts(b), texts(b, "lang"), strict=True):
+                if not (row := normal(t)):
+                    sizes.append(0)
+                    bags.append([])
+                    continue
+                chars, at, _ = _layout([row], order)
+                grams, _, n = _distinct(chars, at, order)
+                h = _gram_hash(grams.ravel(), np.arange(len(grams)) * order + order - 1, order, lang_id(lang)).view(np.int64)
+                sizes.append(len(at))
+                bags.append([{"g": g, "times": k} for g, k in zip(h.tolist(), n.tolist(), strict=True)])
+            columns = zip(*(base_rules(t, split_words(t)) for t in texts(b)), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(b.schema.get_field_index("lang")), *[pa.array(c, pa.int64()) for c in columns], pa.array(sizes, pa.int64()), pa.array(bags, kind)], names)
 
     return run
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, doc_id, lang, the base counts, the size in characters, and the units with how often each occurs."""
-    for b in sliced(batches, 500):
-        out, bags = [], []
-        for t in texts(b):
-            ws = units(t)
-            out.append((*base_rules(t, split_words(t)), len(b"".join(ws).decode()) + len(ws)))
-            bags.append([{"word": w, "times": k} for w, k in Counter(ws).items()])
-        columns = list(zip(*out, strict=True))
-        bag = pa.array(bags, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts(b, "lang"), pa.string()), *[pa.array(c, pa.int64()) for c in columns], bag], ["row", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "size", "bag"])
-
-
-def _joined_scores(docs: DataFrame, words: DataFrame, top: DataFrame, work: Workspace, order: int) -> DataFrame:
-    """What ``_score`` gives, for a model of any size: joins of the words with the n-grams and of the documents with the words."""
+def _joined_scores(docs: DataFrame, top: DataFrame, work: Workspace, order: int) -> DataFrame:
+    """What ``_score`` gives, for a model of any size: a join of the documents' n-grams with the model's."""
     grams = top.select(F.col(f"g{order}").alias("g"), F.log("p").cast("float").cast("double").alias("v"))
-    places = words.select("lang", "word").mapInArrow(_places(order), "lang string, word binary, g long")
-    scores = work.table(places.join(grams, "g").groupBy("lang", "word").agg(F.sum("v").alias("v")).select(F.col("lang").alias("of"), "word", "v"))
-    schema = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, size long, bag array<struct<word: binary, times: long>>"
-    rows = work.table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang").mapInArrow(_bags, schema))
-    held = rows.select("row", "lang", F.explode("bag").alias("u")).select("row", "lang", "u.word", "u.times")
-    met = held.join(scores, (held["word"] == scores["word"]) & held["lang"].eqNullSafe(scores["of"]))
+    schema = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, size long, grams array<struct<g: long, times: long>>"
+    rows = work.table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang").mapInArrow(_held(order), schema))
+    met = rows.select("row", F.explode("grams").alias("u")).select("row", "u.g", "u.times").join(grams, "g")
     total = met.groupBy("row").agg(F.sum(F.col("times") * F.col("v")).alias("total"))
-    return rows.drop("bag").join(total, "row", "left").withColumn("log_perplexity", -F.col("total") / F.col("size")).drop("row", "size", "total")
+    return rows.drop("grams").join(total, "row", "left").withColumn("log_perplexity", -F.col("total") / F.col("size")).drop("row", "size", "total")
 
 
 def judge(docs: DataFrame, order: int = ORDER, band: tuple[float, float] = BAND) -> DataFrame:
@@ -319,15 +337,15 @@ def judge(docs: DataFrame, order: int = ORDER, band: tuple[float, float] = BAND)
     spark = docs.sparkSession
     work = Workspace(spark)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    words, levels = counted(chosen.select("text", "lang"), work, order)
+    levels = counted(chosen.select("text", "lang"), work, order)
     size = sum(t.count() for t in levels.values())
-    tables = estimated(levels, work)
+    tables, flat = estimated(levels, work)
     if size * 24 <= MODEL_BYTES:
-        arrays = spark.sparkContext.broadcast(gathered(tables))
+        shared = spark.sparkContext.broadcast((gathered(tables), flat))
         schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-        scored = chosen.mapInArrow(_score(arrays, order), schema)
+        scored = chosen.mapInArrow(_score(shared, order), schema)
     else:
-        scored = _joined_scores(chosen, words, tables[-1], work, order)
+        scored = _joined_scores(chosen, tables[-1], work, order)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * MOST_REPEATED[1] > F.col("n_words") * MOST_REPEATED[0])
     scored = work.table(scored.withColumn("base_failed", failed))
     sound = scored.filter("not base_failed and log_perplexity is not null")
