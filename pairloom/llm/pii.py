@@ -1,14 +1,16 @@
 """Personal data in texts by DataFrame functions only: base patterns, and a bootstrap that learns contexts from them.
 
-Spans of the base kinds are the seeds. The words around a seed (one before, one after, with the kind) are lexical patterns.
-Spark scores the graph of patterns and instances in rounds: a pattern is as reliable as the instances it extracts, an
-instance as reliable as the patterns that extract it (noisy-or). Patterns above a threshold with enough distinct seeds
-then admit tokens of an identifier's shape in the same context that the base patterns do not cover. Such spans are
-added with the kind ``found``; base spans always stay.
-
-Positions are code points, end exclusive. They come from cutting a text at a pattern's matches and adding up lengths.
-Patterns are written so that matching is linear in very long texts: possessive groups, and starts tied to the left end
-of a run. A kind whose marker character is absent is not searched at all.
+Spans of the base kinds and strings that are keys by their form (``SECRET``) are the seeds. The words around a seed, in windows
+of one to three words on its left, two on its right, and both sides together, are lexical patterns of the seed's kind;
+their letters are lower case and their digits one digit. Spark scores the graph of patterns and instances in rounds: a pattern is as
+reliable, for a kind, as the instances it extracts, an instance as reliable as the patterns that extract it (noisy-or). Patterns
+above a threshold with enough distinct seeds then admit tokens that hold a digit and stand in the same context,
+where no base span is. Such spans are added with the kind ``found``; base spans always stay.
+
+Positions are code points, end exclusive. They come from cutting a text at a pattern's matches and adding up lengths, in
+chunks, and texts are cut by position in chunks too, so that many spans in a very long text take little more than
+linear time. Patterns are written so that matching is linear: possessive groups, and starts tied to the left end
+of a run. A kind whose marker character is absent is not searched at all. Neighbouring words are taken whole.
 
 Defined cases: null text is empty and has no span; repeated rows each get theirs; an empty table gives an empty result;
 other columns are kept by ``mask`` and not read by ``spans``.
@@ -16,6 +18,8 @@ other columns are kept by ``mask`` and not read by ``spans``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,7 @@ from pairloom.llm.common import Workspace, maybe_broadcast
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<start:int,end:int>>"
+MATCH = "array<struct<m:string,start:int,end:int>>"
 
 #: The base patterns, equal in what they match to the plain forms of the contract.
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -35,23 +40,59 @@ PATTERNS = {
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 IP_VALID = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
+#: Seeds beside the base kinds: runs of hexadecimal digits of a digest's length.
+SECRET = r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,128}+(?![A-Za-z0-9])"
 #: Bootstrapping: rounds of scoring, least reliability and least distinct seeds of a pattern, shape of an identifier.
 ROUNDS, LEAST_RELIABILITY, LEAST_SEEDS = 3, 0.8, 5
-SHAPE = r"(?<![^\x20\x09-\x0D])(?=[A-Za-z0-9@._+-]*[0-9])[A-Za-z0-9][A-Za-z0-9@._+-]{5,}(?![^\x20\x09-\x0D,;.])"
+_INNER = "[A-Za-z0-9@._+-]"
+SHAPE = rf"(?<!{_INNER})(?={_INNER}*[0-9])[A-Za-z0-9]{_INNER}{{4,}}(?<=[A-Za-z0-9])"
+CHUNK, CUT = 64, 1024
+
+
+def _with_prefix(df: DataFrame, values: dict[str, str], start: int, op: Callable[[Column, Column], Column]) -> DataFrame:
+    """For each array column named by a value a column named by its key: what op makes of all elements before each one.
+
+    In chunks, so that n elements take n * CHUNK / 2 steps and the chunks' totals (n / CHUNK)^2 / 2. Each column is used
+    at least twice by the next one, so that Catalyst doesn't put its expression into a lambda."""
+    count = lambda v: F.greatest(F.ceil(F.size(v) / CHUNK).cast("int"), F.lit(1)) - 1
+
+    def cut(v: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), count(v)), lambda c: F.slice(F.col(v), c * CHUNK + 1, CHUNK))
+
+    chunked = {f"__c_{k}": cut(v) for k, v in values.items()}
+    df = df.withColumns(chunked)
+    df = df.withColumns({f"__t_{k}": F.transform(f"__c_{k}", lambda x: F.aggregate(x, F.lit(start), op)) for k in values})
+
+    def of(k: str) -> Column:
+        bases = F.transform(F.sequence(F.lit(0), F.size(f"__t_{k}") - 1), lambda c: F.aggregate(F.slice(F.col(f"__t_{k}"), 1, c), F.lit(start), op))
+        return F.flatten(F.zip_with(f"__c_{k}", bases, lambda x, b: F.transform(x, lambda _, i: F.aggregate(F.slice(x, 1, i), b, op))))
+
+    return df.withColumns({k: of(k) for k in values}).drop(*chunked, *[f"__t_{k}" for k in values])
+
+
+def located(df: DataFrame, text: str, patterns: dict[str, str], needs: dict[str, Column], gaps: bool = False) -> DataFrame:
+    """For each name its pattern's leftmost non-overlapping matches as array<struct<m, start, end>>, where the need holds;
+    with ``gaps`` also ``{name}_gaps``, the texts before, between and behind them."""
+    none = F.array().cast("array<string>")
+    names = list(patterns)
+    df = df.withColumns({f"__m_{k}": F.when(needs[k], F.regexp_extract_all(F.col(text), F.lit(patterns[k]), F.lit(0))).otherwise(none) for k in names})
+    df = df.withColumns({f"{k}_gaps": F.when(F.size(f"__m_{k}") > 0, F.split(F.col(text), patterns[k], -1)).otherwise(none) for k in names})
+
+    def long(k: str) -> Column:
+        return F.transform(f"__m_{k}", lambda m, i: F.length(F.get(F.col(f"{k}_gaps"), i)) + F.length(m))
 
+    df = df.withColumns({f"__l_{k}": long(k) for k in names})
+    df = _with_prefix(df, {f"__p_{k}": f"__l_{k}" for k in names}, 0, lambda a, x: a + x)
 
-def found_at(text: Column, pattern: str) -> Column:
-    """array<struct<m, start, end>> of a pattern's leftmost non-overlapping matches."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    zipped = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), F.coalesce(g, F.lit(0)).alias("g")))
-    empty = F.array().cast("array<struct<m:string,start:int,end:int>>")
+    def one(k: str) -> Column:
+        def at(m: Column, i: Column) -> Column:
+            end = F.get(F.col(f"__p_{k}"), i) + F.get(F.col(f"__l_{k}"), i)
+            return F.struct(m.alias("m"), (end - F.length(m)).cast("int").alias("start"), end.cast("int").alias("end"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = F.when(F.size(acc) == 0, 0).otherwise(F.element_at(acc, -1)["end"]) + x["g"]
-        return F.concat(acc, F.array(F.struct(x["m"].alias("m"), start.cast("int").alias("start"), (start + F.length(x["m"])).cast("int").alias("end"))))
+        return F.transform(F.col(f"__m_{k}"), at)
 
-    return F.aggregate(F.filter(zipped, lambda x: x["m"].isNotNull()), empty, add)
+    df = df.withColumns({k: one(k) for k in names})
+    return df.drop(*[f"__{x}_{k}" for k in names for x in "mlp"], *([] if gaps else [f"{k}_gaps" for k in names]))
 
 
 def luhn(digits: Column) -> Column:
@@ -77,58 +118,99 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(kind: str, text: Column) -> Column:
-    """The valid matches of a kind as array<struct<start, end>>; failing matches are dropped and not retried."""
-    need = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": F.contains(text, F.lit("+"))}[kind]
-    good = F.filter(found_at(text, PATTERNS[kind]), lambda x: _valid(kind, x["m"]))
-    spans = F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return F.when(need, spans).otherwise(F.array().cast(SPAN))
+def _needs(text: Column) -> dict[str, Column]:
+    return {
+        "email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": F.contains(text, F.lit("+")),
+    }
 
 
-def _contexts(text: Column, spans: Column, kind: str) -> Column:
-    """The words next to each span, lower case, with the span's text."""
+def base_spans(df: DataFrame, text: str) -> DataFrame:
+    """A column for each base kind: its valid matches as array<struct<start, end>>; failing matches are dropped and not retried."""
+    df = located(df, text, {f"__base_{k}": PATTERNS[k] for k in KINDS}, {f"__base_{k}": need for k, need in _needs(F.col(text)).items()})
+    only = lambda k: F.transform(F.filter(f"__base_{k}", lambda x: _valid(k, x["m"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return df.withColumns({k: only(k) for k in KINDS}).drop(*[f"__base_{k}" for k in KINDS])
 
-    def one(s: Column) -> Column:
-        from_ = F.greatest(s["start"] - 40, F.lit(0))
-        before = F.regexp_extract(F.lower(text.substr(from_ + 1, s["start"] - from_)), r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)
-        after = F.regexp_extract(F.lower(text.substr(s["end"] + 1, F.lit(40))), r"^[\x20\x09-\x0D,;.]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]", 1)
-        return F.struct(F.lit(kind).alias("kind"), before.alias("before"), after.alias("after"), text.substr(s["start"] + 1, s["end"] - s["start"]).alias("m"), s["start"].alias("start"), s["end"].alias("end"))
 
-    return F.transform(spans, one)
+def _with_cover(df: DataFrame, spans: Column, name: str = "__cover") -> DataFrame:
+    """A column of the spans (structs that begin with start, back = -end) in order, where overlapping ones count as one: the first
+    of each with at, where the one before ends."""
+    df = df.withColumn("__s", F.array_sort(spans)).withColumn("__e", F.transform("__s", lambda s: -s["back"]))
+    df = _with_prefix(df, {"__at": "__e"}, 0, lambda a, x: F.greatest(a, x))
+    cover = F.filter(F.zip_with("__s", "__at", lambda s, at: F.struct(s.alias("s"), at.alias("at"))), lambda x: x["at"] <= x["s"]["start"])
+    return df.withColumn(name, cover).withColumn(f"{name}_end", F.coalesce(F.array_max("__e"), F.lit(0))).drop("__s", "__e", "__at")
+
+
+def _cut(chunks: str, start: Column, end: Column) -> Column:
+    """The text from start to end, out of its chunks of ``CUT`` characters."""
+    first = F.floor(start / CUT).cast("int")
+    near = F.array_join(F.slice(F.col(chunks), first + 1, F.floor(end / CUT).cast("int") - first + 1), "")
+    return near.substr((start % CUT).cast("int") + 1, (end - start).cast("int"))
+
+
+def _windows(left: Column, right: Column) -> Column:
+    """The lexical patterns of a place, from the texts before and behind it: array<struct<side, word>>."""
+    plain = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")
+    a, z = plain(left), plain(right)
+    lefts = [F.substring_index(a, " ", -k) for k in (2, 3, 4)]
+    after = F.substring_index(z, " ", 2)
+    words = {"l1": lefts[0], "l2": lefts[1], "l3": lefts[2], "r": after, "lr": F.concat(lefts[0], F.lit("\x00"), after)}
+    filled = lambda w: F.regexp_replace(w, "[\x00 ]", "") != ""
+    return F.filter(F.array(*[F.struct(F.lit(k).alias("side"), w.alias("word")) for k, w in words.items()]), lambda p: filled(p["word"]))
+
+
+def _instances(kind: str, spans: str) -> Column:
+    """A struct for each valid match: kind, m, start, end and the patterns around it; neighbours come from the gaps."""
+    gaps = F.col(f"{spans}_gaps")
+
+    def one(x: Column, i: Column) -> Column:
+        patterns = _windows(F.get(gaps, i), F.get(gaps, i + 1)).alias("patterns")
+        return F.struct(F.lit(kind).alias("kind"), F.lower(x["m"]).alias("m"), x["start"].alias("start"), x["end"].alias("end"), _valid(kind, x["m"]).alias("good"), patterns)
+
+    return F.filter(F.transform(F.col(spans), one), lambda x: x["good"])
 
 
 def bootstrap(docs: DataFrame, work: Workspace, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(patterns, found): reliable patterns (side, word, reliability), and doc rows' added spans (doc_id, row, spans).
+    """(patterns, found): reliable patterns (kind, side, word, reliability, seeds), and the rows' added spans (row, found).
 
-    docs: row, doc_id, text and an array of spans for each base kind. Tokens of an identifier's shape that overlap a
-    base span are instances known to be good; the others are unknown.
+    docs: row, text and an array of spans for each base kind. Tokens are sought where base spans are blotted out.
     """
-    every = F.concat(*[F.col(k) for k in KINDS])
-    shaped = F.when(F.col("text").rlike("[0-9]"), found_at(F.col("text"), SHAPE)).otherwise(F.array().cast("array<struct<m:string,start:int,end:int>>"))
-    tokens = F.transform(shaped, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    open_ = F.filter("tokens", lambda t: ~F.exists("every", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    marked = docs.withColumn("every", every).withColumn("tokens", tokens).withColumn("open", open_)
-    sides = F.concat(_contexts(F.col("text"), F.col("every"), "seed"), _contexts(F.col("text"), F.col("open"), "open"))
-    instances = marked.filter((F.size("every") > 0) | (F.size("open") > 0)).select("row", F.explode(sides).alias("i")).select("row", "i.*")
-    instances = work.table(instances)
-    both = F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word")))
-    edges = instances.select(F.col("kind").alias("known"), "m", F.explode(both).alias("p")).select("known", "m", "p.side", "p.word").filter("word <> ''")
-    edges = work.table(edges.groupBy("side", "word", "m").agg(F.max((F.col("known") == "seed").cast("double")).alias("seed")))
-    belief = edges.select("m", F.col("seed").alias("r")).groupBy("m").agg(F.max("r").alias("r"))
+    seeds = {**{f"s_{k}": PATTERNS[k] for k in KINDS}, "s_secret": SECRET}
+    needs = {**{f"s_{k}": F.size(k) > 0 for k in KINDS}, "s_secret": F.col("text").rlike("[0-9a-f]{32}")}
+    df = located(docs, "text", seeds, needs, gaps=True)
+    spans = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"))) for k in KINDS])
+    df = _with_cover(df, spans).withColumn("chunks", F.when(F.size("__cover") > 0, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{CUT}}}"), F.lit(0))))
+
+    def blot(x: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(F.col("__cover"), i + 1)["at"], F.col("__cover_end"))
+        return F.concat(_cut("chunks", x["at"], x["s"]["start"]), F.repeat(F.lit("\x01"), end - x["s"]["start"]))
+
+    rest = _cut("chunks", F.col("__cover_end"), F.length("text"))
+    df = df.withColumn("open", F.when(F.size("__cover") > 0, F.concat(F.array_join(F.transform("__cover", blot), ""), rest)).otherwise(F.col("text")))
+    df = located(df.drop("chunks", "__cover", "__cover_end"), "open", {"token": SHAPE}, {"token": F.col("open").rlike("[0-9]")}, gaps=True)
+    each = [_instances(k, f"s_{k}") for k in (*KINDS, "secret")] + [_instances("open", "token")]
+    df = df.select("row", F.explode(F.concat(*each)).alias("i")).select("row", "i.kind", "i.m", "i.start", "i.end", "i.patterns")
+    instances = work.table(df)
+    edges = instances.select("kind", "m", F.explode("patterns").alias("p")).select("kind", "m", "p.side", "p.word")
+    edges = work.table(edges.groupBy("side", "word", "m").agg(F.max(F.when(F.col("kind") != "open", F.col("kind"))).alias("seed")))
+    belief = edges.filter("seed is not null").select("m", F.col("seed").alias("kind"), F.lit(1.0).alias("r")).distinct()
+    sizes = edges.groupBy("side", "word").agg(F.count("*").alias("all"), F.count("seed").alias("seeds")).filter(f"seeds >= {LEAST_SEEDS}")
+    sizes = work.table(sizes)
     scored = None
     for _ in range(rounds):
-        reach = edges.join(belief, "m")
+        reach = edges.select("side", "word", "m").join(maybe_broadcast(sizes, sizes.count(), 128), ["side", "word"]).join(belief, "m")
         # one instance in five is taken as wrong beforehand, so that a pattern needs several
-        scored = reach.groupBy("side", "word").agg((F.sum("r") / (F.count("*") + 0.25 * F.lit(LEAST_SEEDS))).alias("reliability"), F.sum("seed").alias("seeds"))
-        scored = work.table(scored.filter(f"seeds >= {LEAST_SEEDS}"))
+        ratio = F.sum("r") / (F.first("all") + 0.25 * F.lit(LEAST_SEEDS))
+        scored = work.table(reach.groupBy("kind", "side", "word").agg(ratio.alias("reliability"), F.first("seeds").alias("seeds")))
         doubt = F.sum(F.log1p(-F.least(F.col("reliability"), F.lit(0.999))))
-        told = edges.join(scored, ["side", "word"]).groupBy("m").agg((1 - F.exp(doubt)).alias("told"))
-        belief = work.table(edges.groupBy("m").agg(F.max("seed").alias("seed")).join(told, "m", "left").select("m", F.greatest("seed", F.coalesce("told", F.lit(0.0))).alias("r")))
+        told = edges.join(maybe_broadcast(scored, scored.count(), 128), ["side", "word"]).groupBy("m", "kind").agg((1 - F.exp(doubt)).alias("r"))
+        belief = work.table(told.unionByName(belief.filter("r = 1")).groupBy("m", "kind").agg(F.max("r").alias("r")))
     patterns = work.table(scored.filter(F.col("reliability") >= LEAST_RELIABILITY))
-    known = patterns.select("side", "word")
-    admitted = instances.filter("kind = 'open'").select("row", "start", "end", F.explode(both).alias("p")).select("row", "start", "end", "p.side", "p.word").join(known, ["side", "word"], "left_semi")
+    known = patterns.select("side", "word").distinct()
+    admitted = instances.filter("kind = 'open'").select("row", "start", "end", F.explode("patterns").alias("p")).select("row", "start", "end", "p.side", "p.word").join(known, ["side", "word"], "left_semi")
     found = admitted.select("row", "start", "end").distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found"))
-    return patterns, work.table(found)
+    found = work.table(found)
+    work.drop(instances, edges, sizes)
+    return patterns, found
 
 
 def spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -136,11 +218,10 @@ def spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     work = Workspace(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # only rows that could hold anything pass through the graph; a row is told by the hash of its id and text
-    marked = docs.select(*{"doc_id": None, **dict.fromkeys(keep)}, text.alias("__t"))
-    marked = marked.withColumns({k: base_spans(k, F.col("__t")) for k in KINDS})
+    marked = base_spans(docs.select(*{"doc_id": None, **dict.fromkeys(keep)}, text.alias("__t")), "__t")
     marked = marked.withColumn("__row", F.xxhash64("doc_id", "__t"))
-    some = marked.filter(F.col("__t").rlike("[0-9@]")).select(F.col("__row").alias("row"), F.col("__t").alias("text"), *KINDS)
-    _, found = bootstrap(some, work)
+    some = base_spans(docs.select("doc_id", text.alias("__t")).filter(F.col("__t").rlike("[0-9@]")), "__t")
+    _, found = bootstrap(some.select(F.xxhash64("doc_id", "__t").alias("row"), F.col("__t").alias("text"), *KINDS), work)
     found = maybe_broadcast(found.withColumnRenamed("row", "__row"), found.count(), 256)
     return marked.join(found, "__row", "left").withColumn("found", F.coalesce("found", F.array().cast(SPAN))).drop("__row")
 
@@ -148,7 +229,6 @@ def spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def listed(kinds: tuple[str, ...] = (*KINDS, "found")) -> Column:
     """kind:start:end of all spans, by kind in this order, then by start, comma-joined."""
 
-
     def of(kind: str) -> Column:
         return F.transform(F.array_sort(kind), lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
@@ -161,21 +241,13 @@ def mask(docs: DataFrame) -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # in one column, so that no name of theirs clashes
     held = spans(docs.select("doc_id", "text", whole.alias("__all")), ("__all",))
 
-
     def of(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(kind).alias("kind")))
 
-    tagged = F.array_sort(F.concat(*[of(k) for k in (*KINDS, "found")]))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.col("__t").substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = F.struct(F.concat(acc["out"], gap, F.lit("<"), s["kind"], F.lit(">")).alias("out"), (-s["back"]).alias("at"))
-        over = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], -s["back"]).alias("at"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(over)
-
-    done = F.aggregate(tagged, start, step)
-    rest = F.concat(done["out"], F.col("__t").substr(done["at"] + 1, F.length("__t")))
-    any_ = F.size(tagged) > 0
-    masked = F.when(any_, rest).otherwise(F.col("__all.text"))
+    held = _with_cover(held, F.concat(*[of(k) for k in (*KINDS, "found")]))
+    any_ = F.size("__cover") > 0
+    held = held.withColumn("__chunks", F.when(any_, F.regexp_extract_all("__t", F.lit(rf"(?s).{{1,{CUT}}}"), F.lit(0))))
+    tags = F.transform("__cover", lambda x: F.concat(_cut("__chunks", x["at"], x["s"]["start"]), F.lit("<"), x["s"]["kind"], F.lit(">")))
+    masked = F.concat(F.array_join(tags, ""), _cut("__chunks", F.col("__cover_end"), F.length("__t")))
+    masked = F.when(any_, masked).otherwise(F.col("__all.text"))
     return held.select(*[masked.alias(c) if c == "text" else F.col("__all")[c].alias(c) for c in docs.columns])
