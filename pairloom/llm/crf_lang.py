@@ -5,12 +5,17 @@ lexicon. Transitions between the labels of neighbouring words are learned with t
 the likelihood over sequences that are stitched together from runs of words of different languages, as code-switched text
 is. Forward-backward gives each word's label probabilities; a text's language is the label with the largest sum.
 
+Words are runs of letters; a run longer than ``UNIT`` letters, as in scripts without blanks, is cut into units that are each
+labelled, so that every letter counts and affixes are those of the unit itself.
+
 Only text and language of training rows are used, at most ``PER_LANGUAGE`` texts of at most ``LONGEST`` characters for
-each language, the first by a hash of their id (the documented bound of the sample). Texts are always labelled whole.
+each language, and with many languages fewer of each, so that there are at most ``MOST_ROWS`` in all or ``LEAST_ROWS`` of a
+language (the documented bounds of the sample); every language is learned. The first by a hash of their id and text are taken. Texts
+are always labelled whole. The weights take ``BUCKETS`` numbers for each language.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text if nothing could be
-learned; null languages do not teach; repeated rows are labelled alike; an empty table gives an empty result; other
-columns are not read.
+learned; null languages do not teach; of languages with equal sums the first by code point wins; repeated rows are labelled
+alike; an empty table gives an empty result; very long texts run whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pairloom.llm.common import id_text, sliced, texts
+from pairloom.llm.common import id_text, maybe_broadcast, sliced, texts
 
-PER_LANGUAGE, LONGEST, MOST_LANGUAGES = 600, 20_000, 200
+PER_LANGUAGE, LONGEST, MOST_ROWS, LEAST_ROWS = 600, 20_000, 24_000, 20
+UNIT = 32
 BUCKETS, LEXICON_LEAST = 1 << 16, 5
 SEQUENCE, BATCH, STEPS, RATE = 64, 128, 240, 0.4
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(rf"[^\W\d_]{{1,{UNIT}}}")
 _KNOWN, _CELLS = 500_000, 1 << 17
 
 
@@ -43,7 +49,7 @@ def words_of(text: str | None) -> list[str]:
 
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
     """Bucket numbers of a word's features."""
-    w, n = word[:40], len(word)
+    w, n = word, len(word)
     names = [f"^{w[:k]}" for k in (1, 2, 3, 4) if k <= n] + [f"{w[-k:]}$" for k in (1, 2, 3, 4) if k <= n]
     marked = f"<{w}>"
     names += [marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
@@ -177,14 +183,16 @@ def learn(docs: DataFrame, usable: Column | None = None, per_language: int = PER
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("lang is not null and text is not null").filter(F.length("text") <= LONGEST)
     rows = rows.filter(usable) if usable is not None else rows
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
         return None
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, 2.0 * per_language / c))])
-    thin = rows.filter(spread < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text"))
-    some = thin.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("text", "lang", "doc_id").toArrow().to_pylist()
+    each = min(per_language, max(LEAST_ROWS, MOST_ROWS // languages))
+    share = counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), 2.0 * each / F.col("count")).alias("share"))
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    thin = rows.join(maybe_broadcast(share, languages, 64), F.col("lang") == F.col("of")).filter(spread < F.col("share")).drop("of", "share")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text", F.lit(1)), "doc_id", "text"))
+    some = thin.withColumn("rank", rank).filter(F.col("rank") <= each).select("text", "lang", "doc_id").toArrow().to_pylist()
     some.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], r["text"]))
     return fit([(r["text"], r["lang"]) for r in some])
 
