@@ -6,7 +6,7 @@ at or above a piece's length is the tightest bin. When no bin fits and the fixed
 Within an Arrow batch, which bounds the look-ahead, long pieces arrive first.
 
 Defined cases: a null text is an empty document, one piece that holds only the separator; repeated rows are packed each
-on its own; an empty table gives an empty result; other columns are neither read nor returned. A document longer than a
+on its own, those of one length in the order of their rows; an empty table gives an empty result; other columns are neither read nor returned. A document longer than a
 sequence is cut so that only its first piece is short; full pieces fill a sequence of their own.
 """
 
@@ -37,8 +37,13 @@ def encoder(path: str) -> tuple[tiktoken.Encoding, set[str]]:
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec.get("normalizer"):
-        raise ValueError("packing needs a plain byte-level tokenizer file")
+    before, model = spec["pre_tokenizer"], spec["model"]
+    plain = before["type"] == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+    plain = plain and model.get("type", "BPE") == "BPE" and not any(model.get(x) for x in ("ignore_merges", "byte_fallback", "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in merges]
+    if not plain or any(x >= y for x, y in zip(made, made[1:], strict=False)):
+        raise ValueError("packing needs a plain byte-level tokenizer file whose merges come in the order of their ids")
     byte = {s: b for b, s in enumerate(byte_symbols())}
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(byte[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
