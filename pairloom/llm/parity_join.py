@@ -5,18 +5,21 @@ in at most as many bits as their sets differ in shingles. Sets of Jaccard at lea
 (|A|+|B|)(1-t)/(1+t) shingles, so within a band of sizes a sketch cut into more blocks than that has a block on which
 both agree. Bands are so wide that partners are in the same or in adjacent ones; a document also enters the next band.
 
-Blocks of no or few bits say little and would gather strangers, so a sketch has spare blocks: s for zero blocks and one
-for each of g groups of positions. Partners then agree on s + g + 1 blocks at least. A document of at most s zero blocks
-agrees with a partner on g + 1 others: one of them is heavy (more than ``LIGHT`` bits) and is a key by itself, or all are
-light and two of them fall into one group, so that pairs of light blocks within a group are keys and single ones are not.
-A document with more zero blocks keys all its single blocks as well, and can miss only partners that are short of zero
-blocks, whom it meets on the other keys.
+A block is wide: a shingle flips one of 2^64 bits of its block, and what is kept of a block is the XOR of hashes of the
+bits that are set, which tells equal blocks from others as the bits would. Narrow blocks would not do: of those with few bits set,
+many of strangers are equal by chance, and the more the larger the corpus.
+
+Empty blocks say nothing and would gather strangers. Each sketch has spare blocks for them: while a document has
+no more empty blocks than spares, one of the others must agree, so empty blocks stay out; a document with more of them
+keys its empty blocks too, and can miss only a partner that is short of empty blocks, whom it meets elsewhere.
 
 Keys travel packed: a task sorts what it has by key range and sends one row for each range, with eleven bytes for a key
 and the low bits of its set's signature (a clash of low bits costs a candidate and changes no result). Buckets of the
 same members are one bucket, and large ones are cut into slices of ``TILE`` that meet two by two. There check sketches
-leave the candidates, of which a tile passes on a spanning forest. The components of all candidates hold every link; the texts
-of each component's sets meet in tiles of bounded size, every pair of different texts is verified, and only sums and spanning links are
+leave the candidates, of which a tile passes on a spanning forest. A large group of near copies shares hundreds of buckets; so
+at first each set takes part in one bucket alone, the first by a hash, and afterwards only buckets count whose members are
+not yet in one component. The components of all candidates hold every link; the texts of each component's sets meet in tiles
+of bounded size, every pair of different texts is verified, and only sums and spanning links are
 written. So links and classes are exact, and pairs are never written out.
 
 Defined cases: null, empty or blank text has no shingle and links with nothing; a text of fewer words than a shingle is
@@ -34,17 +37,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Workspace, maybe_broadcast, mix64, shingle_hashes, texts
+from pairloom.llm.common import Workspace, maybe_broadcast, mix64, shingle_hashes, sliced, texts
 from pairloom.llm.components import connected_components
 
 SHINGLE_WORDS, THRESHOLD = 5, (8, 10)
-LIGHT, GROUPS = 2, 0.2
 TILE, SMALL = 1000, 48
 LINK_TILE, LINK_SHINGLES, _COLUMNS = 1000, 1_000_000, 4096
-PART_CHARS, RANGES, FLUSH_KEYS = 8 << 20, 16, 1 << 20
+PART_CHARS, RANGES, FLUSH_KEYS = 8 << 20, 4, 1 << 18
 _SEEN = 1 << 18
 _KEY_BYTES, _NODE_BYTES = 6, 5
 _NODE = (1 << 8 * _NODE_BYTES) - 1
@@ -61,44 +64,38 @@ def bands(p: int, q: int) -> list[int]:
 
 
 @lru_cache(maxsize=4096)
-def layout(k: int, p: int, q: int) -> tuple[int, int, int]:
-    """(blocks, zero blocks to spare, groups) of band k's sketch; no blocks where only equal sets reach the threshold."""
+def layout(k: int, p: int, q: int) -> tuple[int, int]:
+    """(blocks, spares) of band k's sketch; no blocks where only equal sets reach the threshold."""
     ends = bands(p, q)
     most = 2 * (ends[k + 1] - 1) * (q - p) // (q + p)
     if not most:
-        return 0, 0, 0
-    least, groups, spare = ends[max(0, k - 1)], math.ceil(GROUPS * (most + 1)), 1
-    for _ in range(20):  # the zero blocks to be expected depend on the blocks, which depend on them
-        blocks = most + 1 + groups + spare
-        zero = blocks * math.exp(-least / blocks)
-        spare = min(most + 1, 1 + math.ceil(zero + 1.5 * math.sqrt(zero)))
-    return most + 1 + groups + spare, spare, groups
+        return 0, 0
+    least, spare = ends[max(0, k - 1)], 1
+    for _ in range(20):  # the empty blocks to be expected depend on the blocks, which depend on them
+        blocks = most + 1 + spare
+        empty = blocks * math.exp(-least / blocks)
+        spare = min(most + 1, 1 + math.ceil(empty + 1.5 * math.sqrt(empty)))
+    return most + 1 + spare, spare
 
 
 def sketch_keys(hashes: np.ndarray, p: int, q: int) -> np.ndarray:
-    """The keys of a set of shingle hashes, for its own band and the next."""
+    """The block keys of a set of shingle hashes, for its own band and the next."""
     n, out = len(hashes), [np.empty(0, np.uint64)]
     own = int(np.searchsorted(np.array(bands(p, q)), n, side="right")) - 1
     for k in (own, own + 1):
-        blocks, spare, groups = layout(k, p, q)
+        blocks, spare = layout(k, p, q)
         if not blocks:
             continue
-        spots = (mix64(hashes + np.uint64(k)) % np.uint64(blocks * 64)).astype(np.int64)
-        words = np.packbits(np.bincount(spots, minlength=blocks * 64).astype(np.uint8) & 1).view(np.uint64)
-        keys = mix64(mix64(np.arange(blocks, dtype=np.uint64) + np.uint64(k << 32)) + words)
-        bits = np.bitwise_count(words)
-        heavy, light = bits > LIGHT, np.flatnonzero((bits > 0) & (bits <= LIGHT))
-        out.append(keys[heavy])
-        if (bits == 0).sum() > spare:
-            out.append(keys[~heavy])
-        group = light % groups
-        by = np.argsort(group, kind="stable")
-        light, group = light[by], group[by]
-        for step in range(1, len(light)):
-            both = np.flatnonzero(group[step:] == group[:-step])
-            if not len(both):
-                break
-            out.append(mix64(keys[light[both]] * np.uint64(3) + keys[light[both + step]]))
+        bits = mix64(hashes + np.uint64(k))
+        block = (bits % np.uint64(blocks)).astype(np.int64)
+        by = np.argsort(block, kind="stable")
+        first = np.flatnonzero(np.diff(block[by], prepend=-1))
+        parity = np.zeros(blocks, np.uint64)
+        parity[block[by][first]] = np.bitwise_xor.reduceat(mix64(bits[by] ^ np.uint64(0x5851F42D4C957F2D)), first)
+        keys = mix64(mix64(np.arange(blocks, dtype=np.uint64) + np.uint64(k << 32)) + parity)
+        some = np.zeros(blocks, bool)
+        some[block] = True
+        out.append(keys if blocks - some.sum() > spare else keys[some])
     return np.concatenate(out)
 
 
@@ -117,11 +114,12 @@ def folded(sketch: bytes, width: int) -> bytes:
     return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, width), axis=0).tobytes()
 
 
-def forest(sizes: list[int], sketches: list[bytes], sides: list[bool], p: int, q: int) -> list[tuple[int, int]]:
-    """Pairs of places that span all candidates among a tile's members: of sizes and sketches that allow the threshold.
-    In a tile of two slices only pairs across them count."""
+def forest(sizes: list[int], sketches: list[bytes], sides: list[bool], comps: list[int], p: int, q: int) -> list[tuple[int, int]]:
+    """Pairs of places that span all candidates among a tile's members: of sizes and sketches that allow the threshold, and of
+    different components. In a tile of two slices only pairs across them count."""
     m, width, two = len(sizes), min(map(len, sketches)), len(set(sides)) > 1
-    parent, out = list(range(m)), []
+    place: dict[int, int] = {}
+    parent, out = [place.setdefault(c, i) for i, c in enumerate(comps)], []
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -140,13 +138,13 @@ def forest(sizes: list[int], sketches: list[bytes], sides: list[bool], p: int, q
         for i in range(m - 1):
             for j in range(i + 1, m):
                 a, b = sizes[i], sizes[j]
-                if (a * q >= b * p if a < b else b * q >= a * p) and not (two and sides[i] == sides[j]) and (bits[i] ^ bits[j]).bit_count() * (q + p) <= (a + b) * (q - p):
+                if comps[i] != comps[j] and (a * q >= b * p if a < b else b * q >= a * p) and not (two and sides[i] == sides[j]) and (bits[i] ^ bits[j]).bit_count() * (q + p) <= (a + b) * (q - p):
                     join(i, j)
         return out
-    n, side, bits = np.array(sizes), np.array(sides), np.frombuffer(b"".join(rows), np.uint64).reshape(m, -1)
+    n, side, comp, bits = np.array(sizes), np.array(sides), np.array(comps), np.frombuffer(b"".join(rows), np.uint64).reshape(m, -1)
     for i in range(m - 1):
         j = np.arange(i + 1, m)
-        ok = q * np.minimum(n[j], n[i]) >= p * np.maximum(n[j], n[i])
+        ok = (comp[j] != comp[i]) & (q * np.minimum(n[j], n[i]) >= p * np.maximum(n[j], n[i]))
         if two:
             ok &= side[j] != side[i]
         j = j[ok]
@@ -179,22 +177,22 @@ def _routed(docs: DataFrame, ranges: int, n: int, p: int, q: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(route[there]), none, none, none, none, pa.nulls(len(blobs), pa.binary()), pa.array(blobs, pa.binary())], names)
 
     names = ["route", "doc_id", "text_id", "n_shingles", "sig", "check", "keys"]
+    flush = min(4 * FLUSH_KEYS, max(FLUSH_KEYS, 64 * ranges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        keys, nodes, held = [], [], 0
-        for b in batches:
+        keys, nodes, held, at = [], [], 0, TaskContext.get().partitionId() * 7919
+        for b in sliced(batches, 500):
             sizes, sigs, checks, routes = [], [], [], []
             for t in texts(b):
                 h = shingle_hashes(t, n)
                 sizes.append(len(h))
+                routes.append((at := at + 1) % ranges)
                 if not len(h):
                     sigs.append(None)
                     checks.append(None)
-                    routes.append(len(sizes) % ranges)
                     continue
                 sigs.append(s := signature(h))
-                routes.append(s % ranges)
                 if s in seen:
                     checks.append(None)
                     continue
@@ -207,7 +205,7 @@ def _routed(docs: DataFrame, ranges: int, n: int, p: int, q: int) -> DataFrame:
                     keys.append(k)
                     nodes.append(s & _NODE)
                     held += len(k)
-                if held > FLUSH_KEYS:
+                if held > flush:
                     yield packed(keys, nodes)
                     keys, nodes, held = [], [], 0
             yield pa.RecordBatch.from_arrays(
@@ -307,10 +305,9 @@ def _tiles(dealt: DataFrame, mine: str, blocks: str, *keep: str) -> DataFrame:
     return spread.select(*keep, F.col("t.i").alias("i"), F.col("t.j").alias("j"), (F.col(mine) == F.col("t.i")).alias("side"))
 
 
-def _candidates(lists: DataFrame, facts: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) of signatures that span all candidates of each tile."""
-    members = _tiles(lists, "slice", "slices", "bucket", "members").select("bucket", "i", "j", "side", F.explode("members").alias("node"))
-    spread = members.join(facts, "node").select("bucket", "i", "j", "side", "sig", "n", "check")
+def _candidates(members: DataFrame, facts: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) of signatures that span the candidates of different components, of members (bucket, slice, slices, sig, comp)."""
+    spread = _tiles(members, "slice", "slices", "bucket", "sig", "comp").join(facts.select("sig", "n", "check"), "sig").select("bucket", "i", "j", "side", "sig", "comp", "n", "check")
     spread = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,16 +317,16 @@ def _candidates(lists: DataFrame, facts: DataFrame, p: int, q: int) -> DataFrame
         def done() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
-            sigs, n, check, side = zip(*held, strict=True)
-            return [(sigs[i], sigs[j]) for i, j in forest(n, check, side if at[1] != at[2] else [True] * len(n), p, q)]
+            sigs, comps, n, check, side = zip(*held, strict=True)
+            return [(sigs[i], sigs[j]) for i, j in forest(n, check, side if at[1] != at[2] else [True] * len(n), comps, p, q)]
 
         for b in batches:
             found: list[tuple[int, int]] = []
-            for bucket, i, j, side, sig, n, check in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, i, j, side, sig, comp, n, check in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (bucket, i, j) != at:
                     found += done()
                     held, at = [], (bucket, i, j)
-                held.append((sig, n, check, side))
+                held.append((sig, comp, n, check, side))
             if found:
                 a, z = zip(*set(found), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
@@ -340,6 +337,24 @@ def _candidates(lists: DataFrame, facts: DataFrame, p: int, q: int) -> DataFrame
     return spread.mapInArrow(run, "a long, b long")
 
 
+def _groups(lists: DataFrame, facts: DataFrame, work: Workspace, p: int, q: int) -> DataFrame:
+    """node (a signature), component of all that a candidate touches."""
+    rows = lists.select("bucket", "slice", "slices", F.explode("members").alias("node")).join(facts.select("node", "sig"), "node")
+    members = work.table(rows.select("bucket", "slice", "slices", "sig"))
+    home = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64("bucket").alias("h"), "bucket")).alias("home")).select("home.bucket").distinct()
+    first = connected_components(_candidates(members.join(home, "bucket", "left_semi").withColumn("comp", F.col("sig")), facts, p, q), work)
+    known = members.join(first.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("component", "sig")).drop("component")
+    mixed = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    more = work.table(_candidates(known.join(mixed, "bucket", "left_semi"), facts, p, q))
+    ends = [first.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    between = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    second = connected_components(between, work)
+    moved = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    groups = work.table(moved.unionByName(second.join(first.select("node"), "node", "left_anti")))
+    work.drop(members, first, more, second)
+    return groups
+
+
 def tally(sets: list[np.ndarray], copies: np.ndarray, sides: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     """For each set the copies of the others that it links with, and the first place of those that links connect it with;
     in a tile of two blocks only links across them count."""
@@ -404,7 +419,7 @@ def _verified(docs: DataFrame, each: DataFrame, groups: DataFrame, work: Workspa
             out[1].extend(near.tolist())
             out[2].extend(sigs[r] for r in root.tolist())
 
-        for b in batches:
+        for b in sliced(batches, 500):
             for component, i, j, side, sig, copies, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (component, i, j) != at:
                     done()
@@ -435,7 +450,7 @@ def _joined(docs: DataFrame, n: int, p: int, q: int) -> tuple[Workspace, DataFra
     sets = found.filter("sig is not null").groupBy("sig")
     each = work.table(sets.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("check", True).alias("check"), alone.alias("copies")))
     facts = each.select(F.pmod("sig", F.lit(_NODE + 1)).alias("node"), "sig", "n", "check")
-    groups = connected_components(_candidates(lists, facts, p, q), work)
+    groups = _groups(lists, facts, work, p, q)
     seen = _verified(docs, each, groups, work, n, p, q)
     near = seen.groupBy("sig").agg(F.sum("near").alias("near"))
     labels = connected_components(seen.filter("sig <> root").select(F.col("sig").alias("a"), F.col("root").alias("b")), work)
