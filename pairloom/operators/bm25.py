@@ -6,58 +6,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import lexical_tokens
+from pairloom.operators.staging import against_all, maybe_broadcast, staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, dl, terms: array<struct<term, tf>>. Tokens are sorted and counted within the row, so nothing is shuffled."""
+    t = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(lexical_tokens(F.col(text_col))).alias("s"))
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get(F.col("s"), i) != F.get(F.col("s"), i - 1)))
+    t = t.withColumn("p", F.when(F.size("s") > 0, first).otherwise(F.array().cast("array<int>")))
+    many = lambda x, i: F.coalesce(F.get(F.col("p"), i + 1), F.size("s")) - x
+    terms = F.transform("p", lambda x, i: F.struct(F.get(F.col("s"), x).alias("term"), many(x, i).cast("long").alias("tf")))
+    return t.select("doc_id", F.size("s").alias("dl"), terms.alias("terms"))
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, term, tf, dl: tokens are counted within the row's partition before they meet."""
-    t = docs.select(F.col(id_col).alias("doc_id"), lexical_tokens(F.col(text_col)).alias("tokens"))
-    return t.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    """doc_id, term, tf, dl. The counts are staged: a plan that needs only some of them would move the sorted tokens into a lambda."""
+    return _spread(staged(counted(docs, id_col, text_col)))
 
 
-def corpus_size(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: n documents, avgdl."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(lexical_tokens(F.col(text_col)))).alias("avgdl"))
+def _spread(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "dl", F.explode("terms").alias("t")).select("doc_id", "t.term", "t.tf", "dl")
 
 
 def idf_table(posts: DataFrame, n: int) -> DataFrame:
     """term, df, idf: where the raw value is negative, a share of the mean over all terms stands in."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
     """query_id, doc_id, score of every pair that shares a term; a query's repeated terms count as often.
 
-    Postings are cut to the queries' terms before they are scored; collection statistics still see every term.
+    Texts are cut into tokens once, into a staged table, from which the statistics and the postings come. The queries'
+    weighted terms meet the postings where they are while they are few, and no postings but matching ones are shuffled.
     """
-    size = corpus_size(docs, text).first()
+    rows = staged(counted(docs, doc_id, text))
+    size = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     if not size.n:
         raise ValueError("an empty corpus cannot be ranked")
-    posts = postings(docs, doc_id, text)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(lexical_tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = posts.join(asked.select("term").distinct(), "term", "left_semi").join(idf_table(posts, size.n), "term")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / size.avgdl))
-    return wanted.select("doc_id", "term", weight.alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    asked = staged(asked.join(idf_table(_spread(rows), size.n).select("term", "idf"), "term"))
+    tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("dl") / size.avgdl)
+    weight = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + norm)
+    return _spread(rows).join(maybe_broadcast(asked, 96), "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
 def bm25_grid(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
     """Every query with every document, pairs that share no term at score 0."""
-    grid = docs.select(F.col(doc_id).alias("doc_id")).crossJoin(F.broadcast(queries.select(F.col(query_id).alias("query_id"))))
+    grid = against_all(docs.select(F.col(doc_id).alias("doc_id")), queries.select(F.col(query_id).alias("query_id")), "query_id")
     return grid.join(bm25(docs, queries, doc_id, query_id, text), ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
-    """Cosine of sublinear TF-IDF vectors (smoothed idf) of documents and queries, fitted on the documents."""
-    n = docs.count()
-    posts = postings(docs, doc_id, text)
-    idf = posts.groupBy("term").agg((F.log((1 + F.lit(float(n))) / (1 + F.count("*"))) + 1).alias("idf"))
-    w = posts.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+def tfidf(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text", stop_words: tuple[str, ...] = (), max_features: int | None = None) -> DataFrame:
+    """Cosine of sublinear TF-IDF vectors (smoothed idf) of documents and queries, fitted on the documents. Stop words are no
+    features; with ``max_features`` only so many terms are, the most frequent in the corpus, ties by term."""
+    rows = staged(counted(docs, doc_id, text))
+    n, posts = rows.count(), _spread(rows)
+    posts = posts.filter(~F.col("term").isin(*stop_words)) if stop_words else posts
+    idf = posts.groupBy("term").agg((F.log((1 + F.lit(float(n))) / (1 + F.count("*"))) + 1).alias("idf"), F.sum("tf").alias("all"))
+    idf = idf.orderBy(F.desc("all"), "term").limit(max_features) if max_features else idf
+    idf = maybe_broadcast(staged(idf.select("term", "idf")), 64)
+    w = posts.join(idf, "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     lengths = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = postings(queries, query_id, text).withColumnRenamed("doc_id", "query_id").join(idf, "term").withColumn("qw", (1 + F.log("tf")) * F.col("idf"))
+    asked = staged(postings(queries, query_id, text).withColumnRenamed("doc_id", "query_id").join(idf, "term").select("query_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("qw")))
     asked_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = w.select("doc_id", "term", "w").join(asked.select("query_id", "term", "qw"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    dots = w.join(maybe_broadcast(asked, 64), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     return dots.join(lengths, "doc_id").join(asked_norm, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
