@@ -10,23 +10,40 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 CURRENT = ("present", "hiện tại", "now", "current", "đang làm", "đến nay")
 
 
-def _padded(y: Column, m: Column) -> Column:
-    n = F.when(m != "", m.cast("int"))
-    return F.when((y != "") & n.between(1, 12), F.concat(y, F.lit("-"), F.lpad(n.cast("string"), 2, "0")))
+#: How a date is read: numbers, words, and what stands between them.
+_PIECES = r"[0-9]+|\p{L}+|[^0-9\p{L}]+"
 
 
 def normalize_date(value: Column) -> Column:
-    """YYYY-MM or YYYY out of free text, or null; a rule whose month is impossible yields to the next rule."""
-    s = F.replace(F.replace(F.lower(F.trim(value)), F.lit("tháng"), F.lit("thang")), F.lit("."), F.lit("/"))
-    ex = lambda p, i: F.regexp_extract(s, p, i)
-    dashed = r"(\d{4})\s*-\s*(\d{1,2})\b"
-    either = r"\b(\d{4})\s*[/-]\s*(\d{1,2})\b"
-    month_first = r"\b(\d{1,2})/\s*(\d{4})\b"
-    named = r"\b([a-z]{3,9})[.,]?\s+(\d{4})\b"
-    year = F.regexp_extract(s, r"(?<![0-9/])((?:19|20)\d{2})\b", 1)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.left(ex(named, 1), F.lit(3)))
-    by_name = F.when(month > 0, F.concat(ex(named, 2), F.lit("-"), F.lpad(month.cast("string"), 2, "0")))
-    return F.coalesce(_padded(ex(dashed, 1), ex(dashed, 2)), _padded(ex(either, 1), ex(either, 2)), _padded(ex(month_first, 2), ex(month_first, 1)), by_name, F.when(year != "", year))
+    """YYYY-MM or YYYY out of free text, or null.
+
+    The text is cut into numbers, words and separators, and four readings look at three pieces in a row: a year, a dash and
+    a month; the same with a slash or dash; a month, a slash and a year; a month's name and a year. Each takes the first
+    place that has its shape, and a reading whose month is impossible leaves the text to the next one. A lone year comes last.
+    """
+    s = F.translate(F.regexp_replace(F.lower(F.trim(value)), "tháng", "thang"), ".", "/")
+    t = F.regexp_extract_all(s, F.lit(_PIECES), F.lit(0))
+    n, end = F.size(t), F.array(F.lit(""))
+    rows = F.arrays_zip(F.concat(end, t).alias("before"), t.alias("a"), F.concat(F.slice(t, 2, n), end).alias("sep"), F.concat(F.slice(t, 3, n), end, end).alias("b"))
+    is_year, is_month = lambda x: x.rlike("^[0-9]{4}$"), lambda x: x.rlike("^[0-9]{1,2}$")
+    names = F.array(*[F.lit(m) for m in MONTHS])
+
+    def reading(shape, year: str, month) -> Column:
+        at = F.get(F.filter(rows, shape), 0)
+        n = month(at)
+        return F.when(n.between(1, 12), F.concat(at[year], F.lit("-"), F.lpad(n.cast("string"), 2, "0")))
+
+    year_first = lambda sep: lambda r: is_year(r["a"]) & r["sep"].rlike(sep) & is_month(r["b"])
+    month_first = lambda r: is_month(r["a"]) & r["sep"].rlike(r"^/\s*$") & is_year(r["b"])
+    named = lambda r: r["a"].rlike("^[a-z]{3,9}$") & r["sep"].rlike(r"^,?\s+$") & is_year(r["b"])
+    alone = lambda r: r["a"].rlike("^(19|20)[0-9]{2}$") & ~r["before"].endswith("/") & ~r["sep"].rlike(r"^[\p{L}_]")
+    return F.coalesce(
+        reading(year_first(r"^\s*-\s*$"), "a", lambda r: r["b"].cast("int")),
+        reading(year_first(r"^\s*[/-]\s*$"), "a", lambda r: r["b"].cast("int")),
+        reading(month_first, "b", lambda r: r["a"].cast("int")),
+        reading(named, "b", lambda r: F.array_position(names, F.left(r["a"], F.lit(3))).cast("int")),
+        F.get(F.filter(rows, alone), 0)["a"],
+    )
 
 
 def is_current(value: Column) -> Column:
