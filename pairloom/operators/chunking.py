@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.text import plain_tokens, words
 
 SIZE, OVERLAP, DIM = 64, 16, 256
+_TOKEN = re.compile("[a-z0-9]+")
 
 
 def chunk_count(n: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
@@ -33,8 +35,7 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: st
 def hash_vector(text: str | None, dim: int = DIM) -> list[float]:
     """Buckets of crc32 over a-z0-9 tokens, 1 + ln(count), unit length; no token gives the zero vector."""
     v = np.zeros(dim)
-    cleaned = "".join(c if c.isascii() and c.isalnum() else " " for c in (text or "").lower())
-    for token, count in Counter(cleaned.split()).items():
+    for token, count in Counter(_TOKEN.findall((text or "").lower())).items():
         v[zlib.crc32(token.encode()) % dim] += 1 + math.log(count)
     n = np.linalg.norm(v)
     return (v / n if n else v).astype(np.float32).tolist()
@@ -75,14 +76,13 @@ def embedder(name: str, dim: int = DIM, load: Callable[[], Callable[[list[str]],
     return model
 
 
-def max_similarity(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+def max_similarity(queries: DataFrame, candidates: DataFrame, k: int | None = None) -> DataFrame:
     """query_id, doc_id, score: the largest cosine between any window of a query and any window of a document.
 
-    queries and candidates: doc_id, chunk_idx, embedding. Windows get one id each and meet as blocks.
+    queries and candidates: doc_id, chunk_idx, embedding. A document's windows come together once and the maximum is taken
+    there, so pairs of windows are never written; with k a task keeps each query's best k.
     """
-    from pairloom.operators.matching import similarities
+    from pairloom.operators.matching import most_similar
 
-    tag = lambda d: d.withColumn("id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_idx").cast("string")))
-    of = lambda c: F.substring_index(c, "#", 1).cast("long")
-    s = similarities(tag(queries), tag(candidates))
-    return s.groupBy(of(F.col("query_id")).alias("query_id"), of(F.col("cand_id")).alias("doc_id")).agg(F.max("sim").alias("score"))
+    side = lambda d: d.select("doc_id", F.col("chunk_idx").alias("section"), "embedding")
+    return most_similar(side(queries), side(candidates), k)

@@ -1,4 +1,9 @@
-"""Vector matching: similarities of query blocks with candidate rows, section pairing and aggregation."""
+"""Vector matching: similarities of query blocks with candidate rows, section pairing and aggregation.
+
+``section_pairs``, ``components`` and ``aggregate`` are the definition, pair by pair. ``section_scores`` gives the same scores with
+the sections of a document side by side, so that a task reduces a block of queries against its documents to one score for each
+pair of documents, or to its best k, before anything is shuffled.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from pairloom.operators.staging import maybe_broadcast, staged
+
 #: Weights of the canonical sections, any other section's weight.
 SECTION_WEIGHTS = {"skills": 0.40, "experience": 0.35, "education": 0.15, "summary": 0.10}
 OTHER_WEIGHT = 0.1
@@ -105,9 +112,140 @@ def latest(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("__top", top).filter(F.col("version") == F.col("__top")).drop("__top")
 
 
-def two_stage(coarse: DataFrame, fine: DataFrame, size: int, k: int) -> DataFrame:
-    """The coarse ranking's first ``size`` documents, ranked by the fine score."""
+def by_document(vectors: DataFrame) -> DataFrame:
+    """doc_id, sections, vectors: a document's rows (doc_id, section, embedding) in one, in the order of the sections' names."""
+    side = F.array_sort(F.collect_list(F.struct("section", "embedding")))
+    return vectors.groupBy("doc_id").agg(side.alias("s")).select("doc_id", F.col("s.section").alias("sections"), F.col("s.embedding").alias("vectors"))
+
+
+def _flat(batch_vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list of lists of vectors, unit length, and where each list begins."""
+    starts = np.concatenate([[0], np.cumsum(batch_vectors.value_lengths().to_numpy(zero_copy_only=False))])
+    rows = batch_vectors.flatten()
+    v = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, length, out=np.zeros_like(v), where=length > 0), starts
+
+
+def _asking(queries: DataFrame, key: str = "doc_id"):
+    """Blocks of queries, as (ids, sections, unit vectors, starts)."""
+    spark, docs = queries.sparkSession, by_document(queries)
+    blocks = max(1, -(-docs.count() // QUERY_BLOCK))
+    for i in range(blocks):
+        block = (docs if blocks == 1 else docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == i)).orderBy("doc_id").toArrow()
+        if not block.num_rows:
+            continue
+        ids, names = block.column("doc_id").to_pylist(), [x for row in block.column("sections").to_pylist() for x in row]
+        v, starts = _flat(block.column("vectors").combine_chunks())
+        yield spark.sparkContext.broadcast((ids, names, v, starts))
+
+
+def _united(parts: list[DataFrame], spark, schema: str) -> DataFrame:
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def section_scores(
+    queries: DataFrame, candidates: DataFrame, pairing: str = "cross", how: str = "mean", k: int | None = None, pool: DataFrame | None = None, weights: dict[str, float] | None = None, full: str = "_full"
+) -> DataFrame:
+    """query_id, doc_id, score of tables (doc_id, section, embedding), as ``aggregate(components(...))`` has them. With k a task keeps
+    the best k of each query; with a pool (query_id, doc_id) only its pairs are scored."""
+    if pairing not in ("fixed", "cross"):
+        raise ValueError(f"unknown pairing {pairing!r}")
+    weights, spark = weights or SECTION_WEIGHTS, candidates.sparkSession
+    docs, id_type = by_document(candidates.filter(F.col("section") != full)), dict(candidates.dtypes)["doc_id"]
+    some = pool is not None
+    if some:
+        asked = pool.groupBy("doc_id").agg(F.collect_set("query_id").alias("asked"))
+        docs = docs.join(maybe_broadcast(staged(asked), 512), "doc_id")
+    schema = f"query_id {id_type}, doc_id {id_type}, score double"
+
+    def reduced(sims: np.ndarray, starts: np.ndarray, q_names: list[str], q_starts: np.ndarray, c_names: list[str]) -> np.ndarray:
+        """Scores of queries (rows) and documents (columns) out of the sims of their sections."""
+        if pairing == "fixed":
+            same = np.array(q_names, object)[:, None] == np.array(c_names, object)[None, :]
+            sims = np.where(same, sims, -np.inf)
+        best = np.maximum.reduceat(sims, starts[:-1], axis=1)
+        best = np.where(np.isneginf(best), 0.0, best)
+        if how == "max":
+            return np.maximum.reduceat(best, q_starts[:-1], axis=0)
+        w = np.array([weights.get(x.lower(), OTHER_WEIGHT) if how == "weighted" else 1.0 for x in q_names])
+        total = np.add.reduceat(w, q_starts[:-1])
+        plain, many = np.add.reduceat(best, q_starts[:-1], axis=0), np.diff(q_starts)[:, None]
+        weighed = total[:, None] > 0
+        return np.where(weighed, np.add.reduceat(best * w[:, None], q_starts[:-1], axis=0) / np.where(weighed, total[:, None], 1.0), plain / many)
+
+    def run_with(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, names, q, q_starts = shared.value
+            place = {x: i for i, x in enumerate(ids)}
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                c, starts = _flat(b.column(2))
+                c_names, cand = [x for row in b.column(1).to_pylist() for x in row], b.column(0).to_pylist()
+                if some:
+                    out: tuple[list, list, list] = ([], [], [])
+                    for j, asked in enumerate(b.column(3).to_pylist()):
+                        a, z = starts[j : j + 2]
+                        for i in sorted(place[x] for x in asked if x in place):
+                            y, x = q_starts[i : i + 2]
+                            score = reduced(q[y:x] @ c[a:z].T, np.array([0, z - a]), names[y:x], np.array([0, x - y]), c_names[a:z])
+                            for column, value in zip(out, (ids[i], cand[j], float(score[0, 0])), strict=True):
+                                column.append(value)
+                    yield pa.RecordBatch.from_pydict({"query_id": out[0], "doc_id": out[1], "score": out[2]}, schema=pa.schema([("query_id", b.schema.field(0).type), ("doc_id", b.schema.field(0).type), ("score", pa.float64())]))
+                    continue
+                scores = reduced(q @ c.T, starts, names, q_starts, c_names)
+                yield from _best(scores, ids, b.column(0), k)
+
+        return run
+
+    parts = [docs.mapInArrow(run_with(shared), schema) for shared in _asking(queries.filter(F.col("section") != full))]
+    return _united(parts, spark, schema)
+
+
+def _best(scores: np.ndarray, ids: list, cand: pa.Array, k: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows of a matrix of queries and candidates: all of them, or each query's best k, ties by id."""
+    names, n = ["query_id", "doc_id", "score"], scores.shape[1]
+    if k and k < n:
+        tie = np.argsort(np.argsort(cand.to_numpy(zero_copy_only=False)))
+        order = np.lexsort((np.broadcast_to(tie, scores.shape), -np.round(scores, 6)), axis=1)[:, :k]
+        flat = pa.array(order.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, cand.type).take(pa.array(np.repeat(np.arange(len(ids)), k))), cand.take(flat), pa.array(np.take_along_axis(scores, order, 1).ravel())], names)
+    else:
+        yield pa.RecordBatch.from_arrays([pa.array(ids, cand.type).take(pa.array(np.repeat(np.arange(len(ids)), n))), cand.take(pa.array(np.tile(np.arange(n), len(ids)))), pa.array(scores.ravel())], names)
+
+
+def most_similar(queries: DataFrame, candidates: DataFrame, k: int | None = None) -> DataFrame:
+    """query_id, doc_id, score: the largest cosine between any vector of a query and any of a document, over tables
+    (doc_id, section, embedding). A task takes the maximum over its documents' vectors, so pairs of vectors are never written."""
+    spark, id_type = candidates.sparkSession, dict(candidates.dtypes)["doc_id"]
+    docs, schema = by_document(candidates), f"query_id {id_type}, doc_id {id_type}, score double"
+
+    def run_with(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, _, q, q_starts = shared.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    b = whole.slice(at, 500)
+                    c, starts = _flat(b.column(2))
+                    best = np.maximum.reduceat(np.maximum.reduceat(q @ c.T, starts[:-1], axis=1), q_starts[:-1], axis=0)
+                    yield from _best(best, ids, b.column(0), k)
+
+        return run
+
+    return _united([docs.mapInArrow(run_with(shared), schema) for shared in _asking(queries)], spark, schema)
+
+
+def two_stage(queries: DataFrame, candidates: DataFrame, size: int, k: int, coarse: str = "summary", pairing: str = "cross", how: str = "weighted") -> DataFrame:
+    """query_id, doc_id, score, rank: the ``size`` documents whose coarse section is most similar, ranked by all sections. Only the
+    pairs of the coarse stage reach the fine one."""
     from pairloom.operators.ranking import ranked
 
-    head = ranked(coarse, size).select("query_id", "doc_id")
-    return ranked(fine.join(head, ["query_id", "doc_id"], "left_semi"), k)
+    only = lambda d: d.filter(F.col("section") == coarse)
+    rough = most_similar(only(queries), only(candidates), size).withColumn("score", F.round("score", 6))
+    head = staged(ranked(rough, size).select("query_id", "doc_id"))
+    fine = section_scores(queries, candidates, pairing, how, pool=head)
+    return ranked(fine.withColumn("score", F.round("score", 6)), k)

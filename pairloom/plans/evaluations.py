@@ -11,7 +11,7 @@ from pairloom.plans.catalogue import query, table
 from pairloom.plans.vectors import KNN, knn
 
 RUN = f"""{KNN}, r as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from s),
-qr as (select a.vec_id as query_id, b.vec_id as doc_id, 2 as grade from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id and a.vec_id % 10 = 0),
+qr as (select a.vec_id as query_id, b.vec_id as doc_id, 2 as grade from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id and a.vec_id % 100 = 0),
 g as (select r.*, coalesce(grade, 0) as grade from r left join qr using (query_id, doc_id)),
 h as (select *, (grade >= 2)::int as hit, sum((grade >= 2)::int) over (partition by query_id order by rank rows unbounded preceding) as seen from g),
 ideal as (select query_id, sum(case when p <= 10 then (pow(2, grade) - 1) / log2(p + 1) end) as idcg, count(*) as relevant from (select *, row_number() over (partition by query_id order by grade desc, doc_id) as p from qr) group by query_id),
@@ -22,7 +22,7 @@ m as (select query_id, sum(case when rank <= 10 then (pow(2, grade) - 1) / log2(
 
 def run_and_qrels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asked = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
     qrels = e.withColumnRenamed("vec_id", "doc_id").join(asked, "label").filter("query_id <> doc_id").select("query_id", "doc_id", F.lit(2).alias("grade"))
     return ranked(knn(spark, sf_dir, None)), qrels
 
@@ -120,15 +120,15 @@ def paired_p_values(spark, sf_dir):
     return t.unionByName(w)
 
 
-@query(f"""with {RUN}, f as (select query_id, (query_id // 10) % 5 as fold, ndcg, ap from m), a as (select unnest([0.0, 0.5, 1.0])::double as alpha),
+@query(f"""with {RUN}, f as (select query_id, (query_id // 100) % 5 as fold, ndcg, ap from m), a as (select unnest([0.0, 0.5, 1.0])::double as alpha),
 v as (select t.fold, alpha, avg(round(alpha * f.ndcg + (1 - alpha) * f.ap, 6)) as value from f, a, (select unnest([0, 1, 2, 3, 4]) as fold) t where f.fold <> t.fold group by all)
-select fold::int as fold, arg_max(alpha, value * 1000 - alpha / 1000000) as alpha, round(max(value), 6) as value from v group by fold""")
+select fold::int as fold, arg_max(alpha, value * 1000 - alpha / 1000000) as alpha, round(max(value), 9) as value from v group by fold""")
 def best_alpha_folds(spark, sf_dir):
     """The alpha with the best training mean for each of five folds."""
-    m = metrics(spark, sf_dir).withColumn("own", (F.floor(F.col("query_id") / 10) % 5).cast("int"))
+    m = metrics(spark, sf_dir).withColumn("own", (F.floor(F.col("query_id") / 100) % 5).cast("int"))
     s = m.withColumn("alpha", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)))).withColumn("value", F.round(F.col("alpha") * F.col("ndcg") + (1 - F.col("alpha")) * F.col("ap"), 6))
     t = s.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(5)]))).filter("fold <> own")
-    return statistics.best_alpha(t.select("fold", "alpha", "value")).withColumn("value", F.round("value", 6))
+    return statistics.best_alpha(t.select("fold", "alpha", "value")).withColumn("value", F.round("value", 9))
 
 
 @query("""with t as (select d.doc_id, d.lang, l.quality as grade from documents d join labels l using (doc_id))

@@ -1,4 +1,5 @@
-"""Dense ranking and fusion. Vectors 4n..4n+3 are the sections of document n; documents with n divisible by 10 are queries."""
+"""Dense ranking and fusion. Vectors 4n..4n+3 are the sections of document n; vectors with ids
+divisible by 100 ask, and so do the documents that hold one. In fusions every passage asks, together with the vector of its number."""
 
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ NAMES = ("skills", "experience", "education", "summary")
 COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 RANK = "row_number() over (partition by query_id order by score desc, doc_id)::int as rank"
 SIMS = f"""v as (select vec_id as id, vec_id // 4 as doc, (['skills', 'experience', 'education', 'summary'])[vec_id % 4 + 1] as section, embedding from embeddings),
-pairs as (select a.doc as query_doc, a.section as query_section, b.doc as doc_id, b.section, {COS} as sim from v a join v b on a.doc % 10 = 0)"""
+pairs as (select a.doc as query_doc, a.section as query_section, b.doc as doc_id, b.section, {COS} as sim from v a join v b on a.doc % 25 = 0)"""
 CROSS = f"with {SIMS}, c as (select query_doc, doc_id, query_section, max(sim) as sim from pairs group by all)"
 
 
@@ -33,13 +34,13 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn(spark: SparkSession, sf_dir: str, k: int | None = 10) -> DataFrame:
-    """query_id, doc_id, score: vectors with ids divisible by 10 against all, nearest first."""
+    """query_id, doc_id, score: vectors with ids divisible by 100 against all, nearest first."""
     v = flat(spark, sf_dir)
-    s = matching.similarities(v.filter("id % 10 = 0"), v, k and k + 1)
+    s = matching.similarities(v.filter("id % 100 = 0"), v, k and k + 1)
     return s.filter("query_id <> cand_id").select("query_id", F.col("cand_id").alias("doc_id"), F.round("sim", 6).alias("score"))
 
 
-KNN = f"s as (select a.vec_id as query_id, b.vec_id as doc_id, round({COS}, 6) as score from embeddings a join embeddings b on a.vec_id % 10 = 0 and a.vec_id <> b.vec_id)"
+KNN = f"s as (select a.vec_id as query_id, b.vec_id as doc_id, round({COS}, 6) as score from embeddings a join embeddings b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)"
 
 
 @query(f"with {KNN} select * from (select query_id, doc_id, score, {RANK} from s) where rank <= 10")
@@ -60,7 +61,7 @@ def rank_all_counts(spark, sf_dir):
     return knn(spark, sf_dir, None).groupBy("query_id").agg(F.count("*").alias("ranked"), F.round(F.max("score"), 6).alias("best"))
 
 
-@query(f"""with s as (select a.vec_id as query_id, b.vec_id // 4 as doc_id, b.vec_id % 4 as version, round(1 - {COS}, 6) as distance from embeddings a join embeddings b on a.vec_id % 10 = 0 and a.vec_id <> b.vec_id),
+@query(f"""with s as (select a.vec_id as query_id, b.vec_id // 4 as doc_id, b.vec_id % 4 as version, round(1 - {COS}, 6) as distance from embeddings a join embeddings b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
 n as (select *, row_number() over (partition by query_id order by distance, doc_id) as nth from s),
 b as (select query_id, doc_id, min(distance) as distance, arg_min(version, distance)::int as version from n where nth <= 15 group by query_id, doc_id)
 select query_id, doc_id, distance, version, row_number() over (partition by query_id order by distance, doc_id)::int as pos from b""")
@@ -71,14 +72,11 @@ def knn_pool_dedup(spark, sf_dir):
     return matching.pool(hits, 5)
 
 
-def section_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    return matching.section_pairs(v.filter("doc_id % 10 = 0"), v)
-
-
 def section_scores(spark: SparkSession, sf_dir: str, pairing: str, how: str) -> DataFrame:
-    s = matching.aggregate(matching.components(section_pairs(spark, sf_dir), pairing), how)
-    return s.withColumn("score", F.round("score", 6))
+    """The ten best documents of each asking one, reduced within the tasks."""
+    v = vectors(spark, sf_dir)
+    s = matching.section_scores(v.filter("doc_id % 25 = 0"), v, pairing, how, k=10)
+    return ranked(s.withColumn("score", F.round("score", 6)), 10)
 
 
 TOP = f"select * from (select query_id, doc_id, score, {RANK} from s) where rank <= 10"
@@ -88,52 +86,48 @@ WEIGHT = "case query_section when 'skills' then 0.4 when 'experience' then 0.35
 @query(f"with {SIMS}, c as (select query_doc, doc_id, query_section, coalesce(max(case when section = query_section then sim end), 0) as sim from pairs group by all), s as (select query_doc as query_id, doc_id, round(avg(sim), 6) as score from c group by all) {TOP}")
 def section_fixed_mean(spark, sf_dir):
     """Sections of the same name against each other, mean."""
-    return ranked(section_scores(spark, sf_dir, "fixed", "mean"), 10)
+    return section_scores(spark, sf_dir, "fixed", "mean")
 
 
 @query(f"{CROSS}, s as (select query_doc as query_id, doc_id, round(avg(sim), 6) as score from c group by all) {TOP}")
 def section_cross_mean(spark, sf_dir):
     """Each query section against its best candidate section, mean."""
-    return ranked(section_scores(spark, sf_dir, "cross", "mean"), 10)
+    return section_scores(spark, sf_dir, "cross", "mean")
 
 
 @query(f"{CROSS}, s as (select query_doc as query_id, doc_id, round(max(sim), 6) as score from c group by all) {TOP}")
 def section_cross_max(spark, sf_dir):
     """Each query section against its best candidate section, maximum."""
-    return ranked(section_scores(spark, sf_dir, "cross", "max"), 10)
+    return section_scores(spark, sf_dir, "cross", "max")
 
 
 @query(f"{CROSS}, s as (select query_doc as query_id, doc_id, round(sum({WEIGHT} * sim) / sum({WEIGHT}), 6) as score from c group by all) {TOP}")
 def section_cross_weighted(spark, sf_dir):
     """Each query section against its best candidate section, weighted by section."""
-    return ranked(section_scores(spark, sf_dir, "cross", "weighted"), 10)
+    return section_scores(spark, sf_dir, "cross", "weighted")
 
 
 DENSE = "dense as (select query_doc as query_id, doc_id, round(max(sim), 6) as score from pairs where query_section = 'summary' and section = 'summary' group by all)"
 
 
-def summary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary against summary: the coarse ranking."""
-    p = section_pairs(spark, sf_dir).filter("query_section = 'summary' and section = 'summary'")
-    return p.groupBy(F.col("query_doc").alias("query_id"), "doc_id").agg(F.round(F.max("sim"), 6).alias("score"))
-
-
 @query(f"""{CROSS}, {DENSE}, coarse as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from dense) where r <= 50),
 s as (select query_doc as query_id, doc_id, round(sum({WEIGHT} * sim) / sum({WEIGHT}), 6) as score from c where (query_doc, doc_id) in (select (query_id, doc_id) from coarse) group by all) {TOP}""")
 def two_stage_rank(spark, sf_dir):
     """Fifty documents by summary, ranked by weighted sections."""
-    return matching.two_stage(summary_scores(spark, sf_dir), section_scores(spark, sf_dir, "cross", "weighted"), 50, 10)
+    v = vectors(spark, sf_dir)
+    return matching.two_stage(v.filter("doc_id % 25 = 0"), v, 50, 10)
 
 
-LEXICAL = "kw as (select query_id, doc_id, round(score, 4) as score from bm where query_id < 20)"
-SEMANTIC = f"sem as (select a.vec_id as query_id, b.vec_id as doc_id, round({COS}, 6) as score from embeddings a join embeddings b on a.vec_id < 20)"
+LEXICAL = "kw as (select query_id, doc_id, round(score, 4) as score from bm)"
+SEMANTIC = f"sem as (select a.vec_id as query_id, b.vec_id as doc_id, round({COS}, 6) as score from embeddings a join embeddings b on a.vec_id in (select item_id from benchmark))"
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(semantic, keyword) scores of queries 0..19: vector n and passage n ask, vector ids and document ids are one space."""
+    """(semantic, keyword) scores of every passage: vector n and passage n ask, vector ids and document ids are one space."""
     v = flat(spark, sf_dir)
-    sem = matching.similarities(v.filter("id < 20"), v).select("query_id", F.col("cand_id").alias("doc_id"), F.round("sim", 6).alias("score"))
-    return sem, bm25_scores(spark, sf_dir).filter("query_id < 20")
+    asking = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+    sem = matching.similarities(asking, v).select("query_id", F.col("cand_id").alias("doc_id"), F.round("sim", 6).alias("score"))
+    return sem, bm25_scores(spark, sf_dir)
 
 
 @query(f"""with {BM25_SQL}, {SEMANTIC}, {LEXICAL},
@@ -201,7 +195,7 @@ def chunk_max_sim(spark, sf_dir):
     """Passages against documents by their most similar windows (hashed embeddings)."""
     docs = chunking.chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
     asked = chunking.chunks(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
-    s = chunking.max_similarity(asked.withColumn("embedding", chunking.hash_embed(F.col("text"))), docs.withColumn("embedding", chunking.hash_embed(F.col("text"))))
+    s = chunking.max_similarity(asked.withColumn("embedding", chunking.hash_embed(F.col("text"))), docs.withColumn("embedding", chunking.hash_embed(F.col("text"))), 20)
     return ranked(s.withColumn("score", F.round("score", 5)), 5)
 
 
