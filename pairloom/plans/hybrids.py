@@ -8,10 +8,11 @@ from pyspark.sql.window import Window as W
 
 from pairloom.functions import hybrid
 from pairloom.operators.ranking import ranked
+from pairloom.operators.staging import against_all
 from pairloom.plans.catalogue import query, table
 
-#: Customers that ask: every 50th, against every supplier.
-ASKING = "c_custkey % 50 = 0"
+#: Customers that ask: those with numbers divisible by 100, against every supplier.
+ASKING = "c_custkey % 100 = 0"
 
 WANT_SQL = f"""want as (select c_custkey as query_id, p_brand as brand, count(*)::double as weight from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey
 join part on p_partkey = l_partkey where {ASKING} group by all),
@@ -24,7 +25,7 @@ def wants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, brand, weight."""
     t = lambda n: table(spark, sf_dir, n)
     lines = t("lineitem").select("l_orderkey", "l_partkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    asking = lines.filter(F.col("o_custkey") % 50 == 0).join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    asking = lines.filter(F.col("o_custkey") % 100 == 0).join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return asking.groupBy(F.col("o_custkey").alias("query_id"), F.col("p_brand").alias("brand")).agg(F.count("*").cast("double").alias("weight"))
 
 
@@ -59,26 +60,26 @@ def skill_theta_match(spark, sf_dir):
     return wa.join(wb, "w").select("a", "b").distinct().filter(hybrid.skill_match(F.col("a"), F.col("b")))
 
 
-@query("""select s_suppkey as doc_id, c_custkey as query_id, round(case when c_nationkey % 7 = 0 then 1 else least(1, (s_nationkey % 9) / (c_nationkey % 7)::double) end, 6) as score from supplier join customer on c_custkey % 50 = 0""")
+@query("""select s_suppkey as doc_id, c_custkey as query_id, round(case when c_nationkey % 7 = 0 then 1 else least(1, (s_nationkey % 9) / (c_nationkey % 7)::double) end, 6) as score from supplier join customer on c_custkey % 100 = 0""")
 def experience_score(spark, sf_dir):
     """Years offered over years needed, at most 1."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer").filter(ASKING)
-    pairs = s.crossJoin(F.broadcast(c.select("c_custkey", "c_nationkey")))
+    pairs = against_all(s, c.select("c_custkey", "c_nationkey"), "c_custkey")
     years, need = (F.col("s_nationkey") % 9).cast("double"), (F.col("c_nationkey") % 7).cast("double")
     return pairs.select(F.col("s_suppkey").alias("doc_id"), F.col("c_custkey").alias("query_id"), F.round(hybrid.experience_score(years, need), 6).alias("score"))
 
 
 BUDGET_SQL = """b as (select c_custkey as query_id, s_suppkey as doc_id, case when c_custkey % 3 = 0 then null else abs(c_acctbal) end as a1, case when c_custkey % 4 = 0 then null else abs(c_acctbal) * 2 end as a2,
-case when s_suppkey % 3 = 0 then null else abs(s_acctbal) end as b1, case when s_suppkey % 4 = 0 then null else abs(s_acctbal) * 3 end as b2 from customer join supplier on c_custkey % 50 = 0),
-c as (select *, coalesce(a1, 0) as la, coalesce(a2, coalesce(a1, 0)) as ha, coalesce(b1, coalesce(a1, 0)) as lb, coalesce(b2, coalesce(a1, 0)) as hb from b),
-d as (select *, case when a1 is null and b1 is not null then lb else la end as l1, case when a1 is null and b1 is not null then la else lb end as l2, case when a2 is null and b2 is not null then hb else ha end as h1, case when a2 is null and b2 is not null then ha else hb end as h2 from c),
-bs as (select query_id, doc_id, round(case when a1 is null and a2 is null then 1 when h1 - l1 <= 0 then case when l2 <= l1 and l1 <= h2 then 1 else 0 end else greatest(0, least(1, (least(h1, h2) - greatest(l1, l2)) / (h1 - l1))) end::double, 6) as score from d)"""
+case when s_suppkey % 3 = 0 then null else abs(s_acctbal) end as b1, case when s_suppkey % 4 = 0 then null else abs(s_acctbal) * 3 end as b2 from customer join supplier on c_custkey % 100 = 0),
+c as (select *, case when a2 is null then a1 when a1 is null then coalesce(b1, 0) else a1 end as lo, case when a2 is null then coalesce(b2, a1) else a2 end as hi,
+case when a1 is null then 0 else coalesce(b1, a1) end as f, case when a2 is null then a1 when a1 is null then coalesce(b2, 0) else coalesce(b2, a1) end as t from b),
+bs as (select query_id, doc_id, round(case when (a1 is null and a2 is null) or (b1 is null and b2 is null) then 1 when hi - lo <= 0 then case when f <= lo and lo <= t then 1 else 0 end else greatest(0, least(1, (least(hi, t) - greatest(lo, f)) / (hi - lo))) end::double, 6) as score from c)"""
 
 
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").filter(ASKING).select("c_custkey", F.abs(F.col("c_acctbal").cast("double")).alias("a"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.abs(F.col("s_acctbal").cast("double")).alias("b"))
-    p = s.crossJoin(F.broadcast(c))
+    p = against_all(s, c, "c_custkey")
     unless = lambda key, k, x: F.when(F.col(key) % k != 0, x)
     score = hybrid.budget_score(unless("c_custkey", 3, F.col("a")), unless("c_custkey", 4, F.col("a") * 2), unless("s_suppkey", 3, F.col("b")), unless("s_suppkey", 4, F.col("b") * 3))
     return p.select(F.col("c_custkey").alias("query_id"), F.col("s_suppkey").alias("doc_id"), F.round(score, 6).alias("score"))
@@ -90,7 +91,7 @@ def budget_overlap(spark, sf_dir):
     return budgets(spark, sf_dir)
 
 
-PREF_SQL = """pr as (select c_custkey as query_id, s_suppkey as doc_id, round(((case when c_nationkey = s_nationkey or s_nationkey % 5 = 0 then 1 else 0 end) + (case when lower(c_mktsegment) = case s_suppkey % 3 when 0 then 'building' when 1 then 'machinery' else '*' end or s_suppkey % 3 = 2 then 1 else 0 end)) / 2.0::double, 6) as score from customer join supplier on c_custkey % 50 = 0)"""
+PREF_SQL = """pr as (select c_custkey as query_id, s_suppkey as doc_id, round(((case when c_nationkey = s_nationkey or s_nationkey % 5 = 0 then 1 else 0 end) + (case when lower(c_mktsegment) = case s_suppkey % 3 when 0 then 'building' when 1 then 'machinery' else '*' end or s_suppkey % 3 = 2 then 1 else 0 end)) / 2.0::double, 6) as score from customer join supplier on c_custkey % 100 = 0)"""
 
 
 def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +99,7 @@ def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.when(F.col("s_nationkey") % 5 == 0, "*").otherwise(F.col("s_nationkey").cast("string"))
     segment = F.element_at(F.array(F.lit("Building"), F.lit("Machinery"), F.lit("*")), (F.col("s_suppkey") % 3 + 1).cast("int"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.create_map(F.lit("place"), place, F.lit("segment"), segment).alias("offers"))
-    return s.crossJoin(F.broadcast(c)).select(F.col("c_custkey").alias("query_id"), F.col("s_suppkey").alias("doc_id"), F.round(hybrid.preferences_score(F.col("wants"), F.col("offers")), 6).alias("score"))
+    return against_all(s, c, "c_custkey").select(F.col("c_custkey").alias("query_id"), F.col("s_suppkey").alias("doc_id"), F.round(hybrid.preferences_score(F.col("wants"), F.col("offers")), 6).alias("score"))
 
 
 @query(f"with {PREF_SQL} select * from pr")
@@ -170,22 +171,23 @@ def latest_confirmed(spark, sf_dir):
     return o.groupBy(F.col("o_custkey").alias("id")).agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("payload"))
 
 
-@query("""with p as (select o_custkey as id, arg_max(o_orderpriority, o_orderkey) as p from orders where o_orderstatus = 'F' and o_custkey % 3 = 0 group by 1),
-j as (select c_custkey as id, p, case when c_custkey % 2 = 0 then c_name end as s, case when c_custkey % 5 = 0 then c_mktsegment end as l from customer left join p on p.id = c_custkey)
+@query("""with p as (select o_custkey as id, arg_max(o_orderpriority, o_orderkey) as p from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT' group by 1),
+j as (select c_custkey as id, p, case when c_acctbal > 3000 then c_name end as s, case when c_acctbal > 0 then c_mktsegment end as l from customer left join p on p.id = c_custkey)
 select id, case when p is not null then 'payload' when s is not null then 'structured' else 'legacy' end as source, coalesce(p, s, l) as content from j where coalesce(p, s, l) is not null""")
 def export_three_way(spark, sf_dir):
     """Latest confirmed payload, else structured, else legacy content of each customer."""
     from pairloom.sources.io import export_profiles
 
     c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0")
+    o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     payloads = o.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("payload"), F.when(F.col("o_orderstatus") == "F", "CONFIRMED").otherwise("DRAFT").alias("status"), F.col("o_orderkey").alias("createdAt"))
-    return export_profiles(c, payloads, c.filter("id % 2 = 0").select("id", F.col("c_name").alias("content")), c.filter("id % 5 = 0").select("id", F.col("c_mktsegment").alias("content")))
+    held = lambda least, what: c.filter(F.col("c_acctbal") > least).select("id", F.col(what).alias("content"))
+    return export_profiles(c, payloads, held(3000, "c_name"), held(0, "c_mktsegment"))
 
 
-@query("""with j as (select o_orderkey, o_custkey as doc, string_agg(distinct p_brand, ', ' order by p_brand) as brands from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey where o_orderkey % 5 = 0 group by all) select o_orderkey as id, brands from j""")
+@query("""with j as (select o_orderkey, o_custkey as doc, string_agg(distinct p_brand, ', ' order by p_brand) as brands from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey group by all) select o_orderkey as id, brands from j""")
 def joined_names(spark, sf_dir):
     """Names of an order's brands, sorted and joined, by two equi-joins."""
     t = lambda n: table(spark, sf_dir, n)
-    lines = t("lineitem").select("l_orderkey", "l_partkey").filter("l_orderkey % 5 = 0").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = t("lineitem").select("l_orderkey", "l_partkey").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ", ").alias("brands"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators import acl, jobs, store
+from pairloom.operators.staging import remove_at_exit, shared_folder
 from pairloom.plans.catalogue import query, table
 from pairloom.streaming import jobs as machine
 from pairloom.streaming import outbox
@@ -163,10 +162,10 @@ def acl_gate(spark, sf_dir):
     return acl.gate(recs, acl_rows(spark, sf_dir), user="u3")
 
 
-@query("select 'jd_' || o_orderkey as doc_id, case when upper(o_orderstatus) in ('O') then 'READY' else lower(o_orderstatus) end as status from orders where o_orderkey % 10 = 0")
+@query("select 'jd_' || o_orderkey as doc_id, case when upper(o_orderstatus) in ('O') then 'READY' else lower(o_orderstatus) end as status from orders")
 def job_acl_rows(spark, sf_dir):
     """Access rows of jobs; open ones are ready."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     j = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise(F.col("o_orderstatus")).alias("status"), F.lit(None).cast("string").alias("visibility"), F.lit(None).cast("string").alias("owner_id"), F.lit(None).cast("string").alias("deleted_at"))
     return acl.job_acl(j).select("doc_id", "status")
 
@@ -225,14 +224,6 @@ def backoff_schedule(spark, sf_dir):
     return job_rows(spark, sf_dir).filter("attempt_count > 0").select("id", F.round(jobs.backoff(F.col("attempt_count")), 6).alias("delay"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that all executors see: under the shared checkpoint folder, a temporary one where none is set."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _write_in_order(df: DataFrame, order: str, parts: int, write) -> None:
     """The rows as so many files of rising ``order``, one written after the other: a stream of files takes them by time."""
     lo, hi = df.agg(F.min(order), F.max(order)).first()
@@ -247,7 +238,7 @@ def _write_in_order(df: DataFrame, order: str, parts: int, write) -> None:
 @query()
 def stream_outbox_apply(spark, sf_dir):
     """The log as a stream of files, applied to an empty store; the rows that remain."""
-    where = _folder(spark)
+    where = shared_folder(spark)
     e = log(spark, sf_dir).withColumns({"event_id": F.lpad(F.col("event_id").cast("string"), 9, "0"), "doc_id": F.concat_ws("_", "doc_type", F.col("doc_id").cast("string"))})
     _write_in_order(e, "line_no", 4, lambda w: w.json(f"{where}/log"))
     kept = store.SnapshotStore(spark, f"{where}/store")
@@ -259,6 +250,7 @@ def stream_outbox_apply(spark, sf_dir):
 
     q = outbox.apply_log(outbox.read_log(spark, f"{where}/log", 1), kept, resolve, f"{where}/checkpoint", f"{where}/rejected")
     q.awaitTermination()
+    remove_at_exit(spark, where)
     return kept.current().groupBy("doc_type", "doc_id").agg(F.max("version").alias("version"), F.count("*").alias("sections"))
 
 
@@ -268,7 +260,7 @@ COMMANDS = {"signup": "create", "view": "claim", "click": "step", "purchase": "r
 @query()
 def stream_job_state(spark, sf_dir):
     """The state machine over commands made of events, one job a user; its last states."""
-    where = _folder(spark)
+    where = shared_folder(spark)
     table_ = F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])
     c = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), table_[F.col("event_type")].alias("kind"), seconds().alias("at"), F.lit(None).cast("string").alias("error"), F.lit("PARSING").alias("step"), F.lit(None).cast("string").alias("hash"))
     _write_in_order(c, "seq", 3, lambda w: w.parquet(f"{where}/in"))
@@ -278,6 +270,7 @@ def stream_job_state(spark, sf_dir):
         df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{where}/out")
 
     states.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    remove_at_exit(spark, where)
     out = spark.read.parquet(f"{where}/out")
     return out.groupBy("key").agg(F.max_by(F.struct("status", "attempts"), "batch").alias("s")).select("key", "s.status", "s.attempts")
 

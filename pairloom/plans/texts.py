@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import dates, payload, text
 from pairloom.operators import chunking, sections
+from pairloom.operators.staging import against_all, maybe_broadcast
 from pairloom.plans.catalogue import query, table
 
 CHUNK = "(regexp_extract_all(text, '\\S+'))"
@@ -30,18 +31,22 @@ def chunk_counts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", chunking.chunk_count(F.size(text.words(F.col("text")))).alias("chunks"))
 
 
-RESUME = "'Intro line.\n' || 'SKILLS:\n' || substr(text, 1, 40) || '.\nWork History\n' || substr(text, 41, 60) || '.\nEducation\nSkills\n' || substr(text, 101, 20) || '.'"
-SPLIT = """with l as (select doc_id, unnest([0, 1, 2, 3, 4]) as ord, unnest(['preamble', 'skills', 'experience', 'education', 'skills_2']) as name, unnest(['', 'SKILLS:', 'Work History', 'Education', 'Skills']) as heading,
-unnest(['Intro line.', replace(substr(text, 1, 40), chr(10), ' ') || '.', replace(substr(text, 41, 60), chr(10), ' ') || '.', '', replace(substr(text, 101, 20), chr(10), ' ') || '.']) as text from documents where n_chars > 150)"""
+_PART = "replace(replace(substr(t, {0}, {1}), chr(10), ' '), chr(13), ' ') || '.'"
+SPLIT = f"""with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) // 3 as n from documents),
+l as (select doc_id, unnest([0, 1, 2, 3, 4]) as ord, unnest(['preamble', 'skills', 'experience', 'education', 'skills_2']) as name, unnest(['', 'SKILLS:', 'Work History', 'Education', 'Skills']) as heading,
+unnest(['Intro line.', 'x ' || {_PART.format("1", "n")}, 'x ' || {_PART.format("n + 1", "n")}, '', 'x ' || {_PART.format("2 * n + 1", "length(t)")}]) as text from d)"""
 
 
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = lambda a, n: F.concat(F.lit("x "), F.replace(F.substring("text", a, n), F.lit("\n"), F.lit(" ")), F.lit("."))
-    raw = F.concat_ws("\n", F.lit("Intro line."), F.lit("SKILLS:"), part(1, 40), F.lit("Work History"), part(41, 60), F.lit("Education"), F.lit("Skills"), part(101, 20))
-    return docs(spark, sf_dir).filter("n_chars > 150").select("doc_id", raw.alias("text"))
+    """Every document, its whole text in three parts below headings."""
+    t = F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ")
+    n = F.floor(F.length(t) / 3).cast("int")
+    part = lambda a, k: F.concat(F.lit("x "), t.substr(a + 1, k), F.lit("."))
+    raw = F.concat_ws("\n", F.lit("Intro line."), F.lit("SKILLS:"), part(F.lit(0), n), F.lit("Work History"), part(n, n), F.lit("Education"), F.lit("Skills"), part(2 * n, F.length(t)))
+    return docs(spark, sf_dir).select("doc_id", raw.alias("text"))
 
 
-@query(SPLIT.replace("replace(substr", "'x ' || replace(substr") + " select doc_id, ord::int as ord, name, heading, trim(text) as text from l")
+@query(SPLIT + " select doc_id, ord::int as ord, name, heading, trim(text) as text from l")
 def section_split(spark, sf_dir):
     """Sections of texts with headings put in."""
     return sections.split_sections(resumes(spark, sf_dir)).withColumn("text", F.trim("text"))
@@ -107,10 +112,13 @@ def clean_text_nfkc(spark, sf_dir):
     return p.select("page_id", F.length(text.clean_text(F.col("t"))).alias("chars"))
 
 
-@query()
+@query("""with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+o as (select doc_id, l, list_filter(range(1, len(l)), lambda i: (regexp_matches(ltrim(l[i + 1]), '^(- |[\\p{Lu}\\p{Nd}])') or trim(l[i + 1]) = '') or (rtrim(l[i]) = '' or regexp_matches(rtrim(l[i]), '[.!?:;,—–-]$'))) as b from d)
+select doc_id, len(l)::int as lines, (len(b) + 1)::int as merged from o""")
 def merge_lines(spark, sf_dir):
     """Documents with broken lines joined: lines before and after."""
-    d = docs(spark, sf_dir).select("doc_id", "text", text.merge_broken_lines(F.col("text")).alias("m"))
+    whole = F.coalesce("text", F.lit(""))
+    d = docs(spark, sf_dir).select("doc_id", whole.alias("text"), text.merge_broken_lines(whole).alias("m"))
     return d.select("doc_id", F.size(F.split("text", "\n", -1)).alias("lines"), F.size(F.split("m", "\n", -1)).alias("merged"))
 
 
@@ -171,21 +179,23 @@ def warnings_array(spark, sf_dir):
     return g.select("o_custkey", F.size(cut).alias("kept"), payload.warnings(warning).alias("warnings"))
 
 
-@query("""with o as (select o_custkey, string_agg(o_orderpriority || ', ' || o_orderstatus, chr(10) order by o_orderkey) as text from orders where o_custkey % 7 = 0 group by 1) select o_custkey, sha256(text) as hash from o""")
+@query("""with o as (select o_custkey, string_agg(o_orderpriority || ', ' || o_orderstatus, chr(10) order by o_orderkey) as text from orders group by 1) select o_custkey, sha256(text) as hash from o""")
 def education_texts(spark, sf_dir):
     """Lines of degree and school out of records, as hashes."""
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 7 = 0")
+    o = table(spark, sf_dir, "orders")
     items = F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_orderpriority").alias("degree"), F.col("o_orderstatus").alias("school"))))
     return o.groupBy("o_custkey").agg(items.alias("i")).select("o_custkey", F.sha2(payload.education_text(F.col("i")), 256).alias("hash"))
 
 
-@query("""with b as (select item_id, lower(regexp_replace(substr(text, 1, 60), '\\s+', '', 'g')) as e from benchmark), d as (select doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) as t from documents)
-select item_id, count(*) as documents from b join d on contains(t, e) group by item_id""")
+@query("""with b as (select item_id, lower(regexp_replace(text, '\\s+', '', 'g')) as e from benchmark), d as (select doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) as t from documents)
+select item_id, count(*) as documents from b join d on e <> '' and contains(t, e) group by item_id""")
 def grounded_evidence(spark, sf_dir):
-    """In how many documents the beginning of a passage stands. Passages are few and short: their list goes to the documents."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", text.squeezed(F.substring("text", 1, 60)).alias("e"))
-    d = docs(spark, sf_dir).select(text.squeezed(F.col("text")).alias("t"))
-    return d.join(F.broadcast(b), F.contains(F.col("t"), F.col("e"))).groupBy("item_id").agg(F.count("*").alias("documents"))
+    """In how many documents a whole passage stands: one pass over each text finds all passages."""
+    from pairloom.operators.evidence import holding
+
+    b = table(spark, sf_dir, "benchmark").select("item_id", text.squeezed(F.col("text")).alias("e"))
+    d = docs(spark, sf_dir).select("doc_id", text.squeezed(F.col("text")).alias("t"))
+    return holding(d, b).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 GRADE_SQL = """w as (select d.doc_id, list_distinct(regexp_extract_all(lower(d.text), '\\S+')) as w from documents d), b as (select item_id, list_distinct(regexp_extract_all(lower(text), '\\S+')) as w from benchmark),
@@ -197,9 +207,9 @@ def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = lambda d, i: d.select(F.col(i).alias("id"), F.explode(F.array_distinct(text.words(F.lower("text")))).alias("w"))
     asked, held = w(table(spark, sf_dir, "benchmark"), "item_id"), w(docs(spark, sf_dir), "doc_id")
     n = asked.groupBy(F.col("id").alias("query_id")).agg(F.count("*").alias("n"))
-    common = held.select(F.col("id").alias("doc_id"), "w").join(F.broadcast(asked.select(F.col("id").alias("query_id"), "w")), "w").groupBy("query_id", "doc_id").agg(F.count("*").alias("c"))
+    common = held.select(F.col("id").alias("doc_id"), "w").join(maybe_broadcast(asked.select(F.col("id").alias("query_id"), "w"), 64), "w").groupBy("query_id", "doc_id").agg(F.count("*").alias("c"))
     r = F.col("c") / F.col("n")
-    return common.join(F.broadcast(n), "query_id").select("query_id", "doc_id", F.when(r >= 0.35, 3).when(r >= 0.22, 2).when(r >= 0.12, 1).otherwise(0).alias("grade")).filter("grade > 0")
+    return common.join(maybe_broadcast(n, 32), "query_id").select("query_id", "doc_id", F.when(r >= 0.35, 3).when(r >= 0.22, 2).when(r >= 0.12, 1).otherwise(0).alias("grade")).filter("grade > 0")
 
 
 @query(f"with {GRADE_SQL} select query_id, grade::int as grade, count(*) as documents from s where grade > 0 group by all")
@@ -215,14 +225,14 @@ def qrels_build(spark, sf_dir):
     return g.join(g.groupBy("query_id").agg(F.max("grade").alias("m")).filter("m >= 2").select("query_id"), "query_id", "left_semi")
 
 
-@query("select b.item_id as jd_id, d.doc_id as cv_id, coalesce(l.quality, -1)::int as label from benchmark b cross join (select doc_id from documents where doc_id % 10 = 0) d left join labels l on l.doc_id = d.doc_id and b.item_id % 2 = 0")
+@query("select b.item_id as jd_id, d.doc_id as cv_id, coalesce(l.quality, -1)::int as label from benchmark b cross join documents d left join labels l on l.doc_id = d.doc_id where b.item_id % 100 = 0")
 def label_grid(spark, sf_dir):
-    """Every pair of a small grid with its label, -1 without one."""
+    """The passages with numbers divisible by 100 with every document and its label, -1 without one."""
     from pairloom.sources.io import build_queries
 
-    jds = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("jd_id"))
-    cvs = docs(spark, sf_dir).filter("doc_id % 10 = 0").select(F.col("doc_id").alias("cv_id"))
-    pairs = jds.filter("jd_id % 2 = 0").join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("cv_id"), F.col("quality").cast("int").alias("label"))).join(cvs, "cv_id", "left_semi")
+    jds = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("jd_id"))
+    cvs = docs(spark, sf_dir).select(F.col("doc_id").alias("cv_id"))
+    pairs = against_all(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("cv_id"), F.col("quality").cast("int").alias("label")), jds, "jd_id")
     q = build_queries(pairs, cvs, jds)
     return q.select("jd_id", F.explode(F.arrays_zip("cv_ids", "relevance")).alias("x")).select("jd_id", F.col("x.cv_ids").alias("cv_id"), F.col("x.relevance").alias("label"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from pairloom.operators.staging import against_all
 from pairloom.schemas import DOC_TYPES, DOCUMENT, PAIR, QUERY
 
 
@@ -46,7 +47,7 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def build_queries(pairs: DataFrame, cvs: DataFrame, jds: DataFrame) -> DataFrame:
     """jd_id, cv_ids, relevance over the full grid, -1 where a pair has no label."""
-    grid = jds.select("jd_id").crossJoin(F.broadcast(cvs.select("cv_id"))).join(pairs, ["jd_id", "cv_id"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    grid = against_all(cvs.select("cv_id"), jds.select("jd_id"), "jd_id").join(pairs, ["jd_id", "cv_id"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
     both = F.array_sort(F.collect_list(F.struct("cv_id", "label")))
     return grid.groupBy("jd_id").agg(both.alias("x")).select("jd_id", F.col("x.cv_id").alias("cv_ids"), F.col("x.label").alias("relevance"))
 
