@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 STATUSES = ("PENDING", "PROCESSING", "READY", "FAILED", "CANCELLED")
 # Progress of the steps; errors that no retry mends; retry settings.
 PROGRESS = {"QUEUED": 5, "EXTRACTING": 25, "PARSING": 55, "INDEXING": 85, "FINALIZING": 95}
-PERMANENT = ("CV_FILE_INVALID", "CV_FILE_TOO_LARGE", "CV_PASSWORD_PROTECTED", "CV_TEXT_EMPTY", "UNSUPPORTED_DOCUMENT")
+PERMANENT = ("CV_FILE_REQUIRED", "CV_FILE_INVALID", "CV_FILE_TOO_LARGE", "CV_TEXT_EMPTY", "CV_ENCRYPTED")
 MAX_ATTEMPTS, STALE_SECONDS, BASE_DELAY = 3, 300.0, 1.0
 
 
@@ -23,9 +23,17 @@ def progress(status: Column, step: Column) -> Column:
 
 
 def claim_order(jobs: DataFrame, now: float) -> DataFrame:
-    """Due pending jobs in the order in which they are claimed."""
-    due = jobs.filter((F.col("status") == "PENDING") & (F.coalesce("next_attempt_at", F.lit(0.0)) <= now))
-    return due.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("created_at", "id")))
+    """Due pending jobs in the order in which they are claimed. Places are counted in two levels, hours and then jobs of an hour."""
+    due = jobs.filter((F.col("status") == "PENDING") & (F.coalesce("next_attempt_at", F.lit(0.0)) <= now)).withColumn("__hour", F.floor(F.col("created_at") / 3600))
+    return numbered(due, "__hour", ["created_at", "id"], "place").drop("__hour")
+
+
+def numbered(rows: DataFrame, range_: str, order: list[str], name: str) -> DataFrame:
+    """The rows with their place, from 1, in an order that ``range_`` begins: windows see one row for each range, or one range."""
+    before = W.orderBy(range_).rowsBetween(W.unboundedPreceding, -1)
+    ahead = rows.groupBy(range_).agg(F.count("*").alias("__n")).select(range_, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    within = F.row_number().over(W.partitionBy(range_).orderBy(*order))
+    return rows.withColumn("__in", within).join(ahead, range_).withColumn(name, F.col("__in") + F.col("__ahead")).drop("__in", "__ahead")
 
 
 def requeue_stale(jobs: DataFrame, now: float, age: float = STALE_SECONDS, attempts: int = MAX_ATTEMPTS) -> DataFrame:

@@ -23,9 +23,9 @@ def stable_ranked(scores: DataFrame, ordinal: str, k: int | None = None) -> Data
     return out.filter(F.col("rank") <= k) if k else out
 
 
-def min_max(score: str, by: str | None = "query_id") -> Column:
-    """Scaled to 0..1 within a query (or over all rows); a constant becomes 1."""
-    w = W.partitionBy(by) if by else W.partitionBy(F.lit(0))
+def min_max(score: str, by: str = "query_id") -> Column:
+    """Scaled to 0..1 within a query; a constant becomes 1. ``over_all`` scales over all rows."""
+    w = W.partitionBy(by)
     lo, hi = F.min(score).over(w), F.max(score).over(w)
     return F.when(hi - lo <= 0, 1.0).otherwise((F.col(score) - lo) / (hi - lo))
 
@@ -53,6 +53,19 @@ def alpha_sweep(semantic: DataFrame, keyword: DataFrame, alphas: tuple[float, ..
     return both.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas]))).select("alpha", "query_id", "doc_id", (F.col("alpha") * F.col("s") + (1 - F.col("alpha")) * F.col("k")).alias("score"))
 
 
+def over_all(scores: DataFrame, *columns: str, eps: float = 1e-8) -> DataFrame:
+    """Columns scaled by their range over all rows, which comes from one aggregated row and not from a window."""
+    ends = scores.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    scaled = {c: (F.col(c) - F.col(f"__lo_{c}")) / (F.col(f"__hi_{c}") - F.col(f"__lo_{c}") + eps) for c in columns}
+    return scores.crossJoin(F.broadcast(ends)).withColumns(scaled).drop(*ends.columns)
+
+
+def global_hybrid(first: DataFrame, second: DataFrame, share: float = 0.6) -> DataFrame:
+    """query_id, doc_id, score of pairs that both sides score: each scaled over all pairs, then weighed."""
+    both = first.select("query_id", "doc_id", F.col("score").alias("a")).join(second.select("query_id", "doc_id", F.col("score").alias("b")), ["query_id", "doc_id"])
+    return over_all(both, "a", "b").select("query_id", "doc_id", (share * F.col("a") + (1 - share) * F.col("b")).alias("score"))
+
+
 def pool_union(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """Ordered distinct union of the first k/2 of two rankings: query_id, doc_id, pos."""
     half = k // 2

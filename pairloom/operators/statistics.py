@@ -11,15 +11,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def average_rank(col: str, by: tuple[str, ...] = ()) -> Column:
-    """Mean rank of ties, from 1."""
-    part = W.partitionBy(*(by or (F.lit(0),)))
-    return F.rank().over(part.orderBy(col)) + (F.count("*").over(part.partitionBy(*(by or (F.lit(0),)), col)) - 1) / 2.0
+def mean_ranks(df: DataFrame, col: str, name: str) -> DataFrame:
+    """The rows with the mean rank of ties, from 1. Rows are counted by value first, then values in two levels, ranges of values and
+    values of a range, so that no window sees more than the ranges or a range's values."""
+    counts = df.groupBy(col).agg(F.count("*").alias("__n"))
+    ends = counts.agg(F.min(F.col(col).cast("double")).alias("lo"), F.max(F.col(col).cast("double")).alias("hi"), F.count("*").alias("n")).first()
+    if not ends.n:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    width = (ends.hi - ends.lo) / max(1.0, math.sqrt(ends.n)) or 1.0
+    counts = counts.withColumn("__range", F.floor((F.col(col).cast("double") - ends.lo) / width))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    ahead = counts.groupBy("__range").agg(F.sum("__n").alias("__all")).select("__range", F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__ahead"))
+    inner = W.partitionBy("__range").orderBy(col).rowsBetween(W.unboundedPreceding, -1)
+    ranks = counts.withColumn("__in", F.coalesce(F.sum("__n").over(inner), F.lit(0))).join(ahead, "__range")
+    ranks = ranks.select(F.col(col).alias("__value"), (F.col("__ahead") + F.col("__in") + (F.col("__n") + 1) / 2.0).alias(name))
+    return df.join(ranks, F.col(col) == F.col("__value")).drop("__value")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: rho over all rows."""
-    return df.select(average_rank(x).alias("rx"), average_rank(y).alias("ry")).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    """One row: rho over all rows in which both are there."""
+    some = df.select(F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null")
+    return mean_ranks(mean_ranks(some, "x", "rx"), "y", "ry").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
 def paired_t(df: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -33,7 +45,7 @@ def paired_t(df: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFra
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """n (differences other than 0), w_plus, w_minus, w (the smaller)."""
     d = df.select((F.col(a) - F.col(b)).alias("d")).filter("d <> 0").withColumn("abs", F.round(F.abs("d"), 9))
-    r = d.withColumn("r", average_rank("abs"))
+    r = mean_ranks(d, "abs", "r")
     s = r.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus"))
     return s.withColumn("w", F.least("w_plus", "w_minus"))
 
