@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,39 +12,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.operators.staging import BROADCAST_BYTES, remove_at_exit, shared_folder
+
 #: Words of a text, as the contracts define them; ``bytes.split()`` cuts at exactly these six characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: A side is broadcast only when a count has shown that it holds no more than so many bytes.
-BROADCAST_BYTES = 32 << 20
-
-_CACHE_LIMIT = 1 << 19
+_CACHE_LIMIT = 1 << 18
 _word_ids: dict[bytes, int] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; only where none is named, a local one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            root = found.get()
-        else:
-            root = "/tmp/pairloom-checkpoint"
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/pairloom-{uuid.uuid4().hex}"
-
-
 class Workspace:
-    """Tables written under the shared folder: they cut lineage, survive lost executors and can be dropped early."""
+    """Tables written under the shared folder: they cut lineage, survive lost executors and can be dropped early. What is left goes
+    when the driver ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self._n = spark, shared_dir(spark), 0
+        self.spark, self.root, self._n = spark, shared_folder(spark), 0
 
     def table(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
         df.write.parquet(path)
+        if self._n == 1:
+            remove_at_exit(self.spark, self.root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pairloom_path = path
         return out
@@ -105,6 +95,21 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, which gives memory back to the system when a task ends: workers live on, and would keep the most that any
+    task has needed."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without this call keeps what it has
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One Arrow batch in, at most one out."""
 

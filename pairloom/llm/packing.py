@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from pairloom.llm.bpe_count import byte_symbols
-from pairloom.llm.common import id_text, texts
+from pairloom.llm.common import id_text, texts, tidied
 
 #: The split that byte-level pre-tokenizers apply before merging (a fixed value of the format).
 BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -114,4 +114,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, open_bins: int =
                     ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
                 )
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return id_text(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Workspace, maybe_broadcast, mix64, shingle_hashes, sliced, texts
+from pairloom.llm.common import Workspace, maybe_broadcast, mix64, shingle_hashes, sliced, texts, tidied
 from pairloom.llm.components import connected_components
 
 SHINGLE_WORDS, THRESHOLD = 5, (8, 10)
@@ -215,7 +215,7 @@ def _routed(docs: DataFrame, ranges: int, n: int, p: int, q: int) -> DataFrame:
             yield packed(keys, nodes)
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "route long, doc_id long, text_id long, n_shingles long, sig long, check binary, keys binary")
+    return chosen.mapInArrow(tidied(run), "route long, doc_id long, text_id long, n_shingles long, sig long, check binary, keys binary")
 
 
 def buckets(keys: np.ndarray, nodes: np.ndarray) -> Iterator[np.ndarray]:
@@ -334,7 +334,7 @@ def _candidates(members: DataFrame, facts: DataFrame, p: int, q: int) -> DataFra
             a, z = zip(*last, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
-    return spread.mapInArrow(run, "a long, b long")
+    return spread.mapInArrow(tidied(run), "a long, b long")
 
 
 def _groups(lists: DataFrame, facts: DataFrame, work: Workspace, p: int, q: int) -> DataFrame:
@@ -434,7 +434,7 @@ def _verified(docs: DataFrame, each: DataFrame, groups: DataFrame, work: Workspa
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["sig", "near", "root"])
 
-    return work.table(spread.mapInArrow(run, "sig long, near long, root long"))
+    return work.table(spread.mapInArrow(tidied(run), "sig long, near long, root long"))
 
 
 def _joined(docs: DataFrame, n: int, p: int, q: int) -> tuple[Workspace, DataFrame, DataFrame]:
@@ -443,7 +443,7 @@ def _joined(docs: DataFrame, n: int, p: int, q: int) -> tuple[Workspace, DataFra
     chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
     routed = _routed(docs, RANGES * parts, n, p, q).repartition(parts, "route").sortWithinPartitions("route")
-    found = work.table(routed.mapInArrow(_met(TILE), _FOUND))
+    found = work.table(routed.mapInArrow(tidied(_met(TILE)), _FOUND))
     rows = found.filter("bucket is null").select("doc_id", "text_id", "n_shingles", "sig")
     lists = found.filter("bucket is not null").select("bucket", "slice", "slices", "members").dropDuplicates(["bucket", "slice"])
     alone = F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("long"))

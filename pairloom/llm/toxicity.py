@@ -6,18 +6,22 @@ smoothed log-odds of being in toxic documents, counted by Spark over labelled tr
 list. Words inside an exception phrase do not count. A document's weight is normalised by its length and mapped to a
 probability by a one-variable logistic fit on the same rows. Labels are used only to learn; a score sees the text alone.
 
-The labelled rows used are at most ``max_labelled``, the first by a hash of their id (a documented bound, 40,000).
+The labelled rows used are at most ``max_labelled``, the first by a hash of their id (a documented bound, 40,000). Every
+term that they support often enough enters the lexicon, so its size is bounded by those rows alone.
 
 Defined cases: a null or empty text has no word and scores what a text without a match scores; repeated rows score
-alike; without usable labels the fixed list alone decides; an empty table gives an empty result.
+alike; without usable labels the fixed list alone decides; an empty table gives an empty result; of terms that begin at one
+place the heaviest counts; very long texts are matched whole, in one pass.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -25,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import id_text, texts
+from pairloom.llm.common import id_text, sliced, texts, tidied
 
 MAX_LABELLED = 40_000
-MAX_TERMS = 20_000
 THRESHOLD = 0.7
 
 #: General insults that need no label, and phrases in which such a word is harmless.
@@ -89,7 +92,11 @@ class Lexicon:
                 spared.append((start, end))
             elif w > best.get(start, 0.0):
                 best[start] = w
-        hits = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
+        if spared:
+            spared.sort()
+            ends = list(accumulate((b for _, b in spared), max))
+            best = {s: w for s, w in best.items() if not (k := bisect_right(spared, (s, len(folded)))) or ends[k - 1] <= s}
+        hits = best
         if not hits:
             return 0.0, 0, []
         words = folded.count(" ") - 1
@@ -106,13 +113,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out():
         return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64())], ["term", "toxic", "clean"])
 
-    for b in batches:
+    for b in sliced(batches, 500):
         for t, y in zip(texts(b), texts(b, "toxic"), strict=True):
             words = set(fold(t).split())
             terms = {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEM_LENGTHS if len(w) > n}
             for term in terms:
                 found.setdefault(term, [0, 0])[y] += 1
-        if len(found) > 500_000:
+        if len(found) > 200_000:
             yield out()
             found.clear()
     if found:
@@ -146,16 +153,16 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     if not n1 or not n0:
         return Lexicon(terms)
     weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    counted = train.mapInArrow(_counts, "term string, toxic long, clean long").filter("toxic > 0 or clean > 0").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = train.mapInArrow(tidied(_counts), "term string, toxic long, clean long").filter("toxic > 0 or clean > 0").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     kept = counted.filter(f"toxic >= {LEAST_SUPPORT} and clean <= toxic / 50").select("term", weight.alias("weight")).filter(f"weight >= {LEAST_WEIGHT}")
-    terms |= {r.term: float(r.weight) for r in kept.orderBy(F.desc("weight"), "term").limit(MAX_TERMS).collect()}
+    terms |= {r.term: float(r.weight) for r in kept.collect()}
     lexicon = Lexicon(terms)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([lexicon.weight(t)[0] for t in texts(b)], pa.float64()), b.column(b.schema.get_field_index("toxic"))], ["x", "y"])
 
-    xy = train.mapInArrow(weigh, "x double, y int").groupBy(F.round("x", 2).alias("x"), "y").count().orderBy("x", "y").collect()
+    xy = train.mapInArrow(tidied(weigh), "x double, y int").groupBy(F.round("x", 2).alias("x"), "y").count().orderBy("x", "y").collect()
     x, y, k = (np.array([r[i] for r in xy], float) for i in range(3))
     if len(set(y)) == 2:
         lexicon.slope, lexicon.shift = _fit(np.repeat(x, k.astype(int)), np.repeat(y, k.astype(int)))
@@ -166,7 +173,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, id_co
     """doc_id, score, predicted, n_hits, terms (the matched words) of every row. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [lexicon.weight(t) for t in texts(b)]
             p = [lexicon.probability(f[0]) for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -174,15 +181,15 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, id_co
                 ["doc_id", "score", "predicted", "n_hits", "terms"],
             )
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int, n_hits int, terms array<string>")
+    return id_text(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, score double, predicted int, n_hits int, terms array<string>")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that score below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keep = [lexicon.probability(lexicon.weight(t)[0]) < threshold for t in texts(b, text_col)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
