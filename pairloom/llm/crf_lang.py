@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pairloom.llm.common import id_text, maybe_broadcast, sliced, texts
+from pairloom.llm.common import id_text, maybe_broadcast, sliced, texts, tidied
 
 PER_LANGUAGE, LONGEST, MOST_ROWS, LEAST_ROWS = 600, 20_000, 24_000, 20
 UNIT = 32
@@ -247,4 +247,4 @@ def identify(docs: DataFrame, model: ChainModel | None, with_runs: bool = False)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, lang_pred string, score double" + (", runs array<struct<lang:string,words:int>>" if with_runs else "")
-    return id_text(docs).mapInArrow(run, schema)
+    return id_text(docs).mapInArrow(tidied(run), schema)

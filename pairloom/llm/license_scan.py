@@ -1,6 +1,7 @@
 """Licence notices and texts in documents by the Dice coefficient of word bigrams, with DataFrame functions only.
 
-A document's segments are its lines, the sentences of its lines, its paragraphs and the whole text. A segment's words are
+A document's segments are its lines, the sentences of its lines, its paragraphs, up to ``WINDOW`` sentences in a row of a
+paragraph, whose line breaks count as blanks, and the whole text. A segment's words are
 runs of letters and digits, lower case; its distinct word bigrams are compared with each template's. A Dice coefficient
 of t needs sizes within a factor (2-t)/t of each other, so templates of other sizes are pruned before any comparison.
 
@@ -18,11 +19,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.8
+THRESHOLD, WINDOW = 0.8, 4
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -61,6 +64,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: Whole texts of public licences, named by their files.
+TEMPLATES += tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
+
+
 def word_bigrams(text: str) -> list[str]:
     """Distinct bigrams of a template, in order."""
     words = re.findall(r"[^\W_]+", text.lower())
@@ -97,13 +104,26 @@ def _bigrams(segment: Column) -> Column:
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and matches: array<struct<license, dice, segment>>, the best template of each segment that reaches the
     threshold."""
-    cue = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, cue_words(templates, threshold)))})(?![\p{{L}}\p{{N}}])"
+    by_letter: dict[str, list[str]] = {}
+    for w in cue_words(templates, threshold):
+        by_letter.setdefault(w[0], []).append(re.escape(w[1:]))
+    cue = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'{a}(?:{chr(124).join(rest)})' for a, rest in by_letter.items())})(?![\p{{L}}\p{{N}}])"
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    table = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*[F.lit(g) for g in word_bigrams(t)]).alias("grams"), F.lit(len(word_bigrams(t))).alias("n")) for name, t in templates])
+    grams = lambda t: F.split(F.lit("|".join(word_bigrams(t))), r"\|")
+    table = F.array(*[F.struct(F.lit(name).alias("license"), grams(t).alias("grams"), F.lit(len(word_bigrams(t))).alias("n")) for name, t in templates])
     lines = F.split(text, "\n", -1)
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?;])[\x20\t]+", -1)))
     paragraphs = F.split(text, r"\n[\x20\t]*\n", -1)
-    segments = F.array_distinct(F.transform(F.concat(lines, sentences, paragraphs, F.array(text)), lambda x: F.trim(x)))
+
+
+    def runs(paragraph: Column) -> Column:
+        one = F.split(F.regexp_replace(paragraph, r"[\x20\t\r]*\n[\x20\t\r]*", " "), r"(?<=[.!?;])[\x20\t]+", -1)
+        later = [F.slice(one, k, F.greatest(F.size(one) - k + 1, F.lit(0))) for k in range(2, WINDOW + 1)]
+        joined = [reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat_ws(" ", x, y)), later[:k], one) for k in range(WINDOW)]
+        return F.concat(*joined)
+
+    windows = F.flatten(F.transform(paragraphs, runs))
+    segments = F.array_distinct(F.transform(F.concat(lines, sentences, windows, paragraphs, F.array(text)), lambda x: F.trim(x)))
     segments = F.filter(segments, lambda x: x.rlike(cue))
     cut = F.transform(segments, lambda s: F.struct(s.alias("segment"), _bigrams(s).alias("grams")))
     wide = (2 - threshold) / threshold + 1e-9

@@ -7,11 +7,14 @@ quota is settled in one last shard, and draws beyond it are void, so that each s
 slot of a source is mapped by a pseudorandom permutation of the source's block indexes, another one for each pass, and
 slots meet blocks by index. No source exceeds its passes, so no block, and no document, is taken more often than that.
 
-Streams are laid out in two levels (buckets by hash, then documents within a bucket), so a hot source is not one task.
-The number of sources is bounded by ``MAX_SOURCES`` and checked; only their sizes reach the driver.
+Streams are laid out in two levels (buckets by hash, so many that each holds a few thousand documents at most, then documents
+within a bucket), so a hot source is not one task. Draws find their source by a join on cells of the range of quotas, where a
+large source has many cells and small ones share one; of the sources, only their number and total reach the driver. Windows
+over all sources see one row for each.
 
 Defined cases: a null or empty text has size 0 and nothing of it is taken; a null source is a source of its own, last
-in order; repeated rows are mixed each on its own; an empty table gives an empty result; other columns are not read.
+in order; repeated rows are mixed each on its own, those without an id as well; documents of one id and text are laid out in any
+order, which changes nothing; very long texts fill many blocks; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,16 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pairloom.llm.common import WORD_PATTERN, Workspace
+from pairloom.llm.common import WORD_PATTERN, Workspace, maybe_broadcast
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS, SHARD_SLOTS, MOST_PASSES = 64, 16_384, 3
-BUCKETS, ROUNDS, MAX_SOURCES = 1024, 16, 100_000
+BUCKET_ROWS, LEAST_BUCKETS, CELLS, ROUNDS = 4096, 64, 1 << 16, 16
 
 
 @dataclass
 class Mix:
-    """documents: doc_id, size, source_no, source_size, target, start. blocks: source_no, block, doc_id, start, at, length.
+    """documents: doc_id, text_id, size, source_no, source_size, target, start. blocks: source_no, block, doc_id, start, at, length.
     slots: shard, source_no, nth, pass_no, block. All lazy over small staged tables."""
 
     documents: DataFrame
@@ -84,37 +87,30 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(rounds, index, step)
 
 
-def lower_bound(bounds: list[int], u: Column) -> Column:
-    """How many of the ascending bounds are at most u, by binary steps over a literal array."""
-    powers = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    table = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.aggregate(
-        F.array(*[F.lit(p) for p in powers]), F.lit(0), lambda lo, p: F.when((lo + p <= len(bounds)) & (F.get(table, lo + p - 1) <= u), lo + p).otherwise(lo)
-    )
-
-
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17, text_col: str = "text"
 ) -> Mix:
     """Lay out the mix of documents (doc_id, source, text)."""
     spark: SparkSession = docs.sparkSession
     work = Workspace(spark)
-    sized = work.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_col).alias("size")))
+    sized = work.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_id"), F.col("source").cast("string").alias("source"), word_count(text_col).alias("size")))
     sources = work.table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
     n_blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     quota = F.when(F.col("source_size") > 0, F.least(n_blocks * MOST_PASSES, F.round(F.col("target") * n_blocks / F.col("source_size")))).otherwise(0).cast("long")
-    rows = sources.select("source_no", n_blocks.alias("n"), quota.alias("quota")).orderBy("source_no").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    upto = W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0)
+    quotas = sources.select("source_no", n_blocks.alias("n"), quota.alias("quota")).withColumn("hi", F.sum("quota").over(upto))
+    quotas = work.table(quotas.withColumn("lo", F.col("hi") - F.col("quota")))
+    buckets = max(LEAST_BUCKETS, -(-sized.count() // BUCKET_ROWS))
 
     # layout of each source's stream
-    keyed = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "source_no", "source_size", "target")
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BUCKETS)).cast("int"))
+    named = sources.withColumnRenamed("source", "of")
+    keyed = sized.join(maybe_broadcast(named, named.count(), 128), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "text_id", "size", "source_no", "source_size", "target")
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_id", F.lit(seed)), F.lit(buckets)).cast("int"))
     ahead = W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = keyed.groupBy("source_no", "bucket").agg(F.sum("size").alias("all")).select("source_no", "bucket", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("offset"))
-    within = W.partitionBy("source_no", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source_no", "bucket").orderBy("doc_id", "text_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = keyed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["source_no", "bucket"])
-    documents = work.table(placed.select("doc_id", "size", "source_no", "source_size", "target", (F.col("offset") + F.col("inner")).alias("start")))
+    documents = work.table(placed.select("doc_id", "text_id", "size", "source_no", "source_size", "target", (F.col("offset") + F.col("inner")).alias("start")))
     length = F.lit(block_words).cast("long")
     first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("size") - 1) / length)
     parts = documents.filter("size > 0").select("source_no", "doc_id", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
@@ -122,34 +118,37 @@ def mix(
     blocks = parts.select("source_no", "block", "doc_id", "start", (begin - F.col("start")).alias("at"), (end - begin).alias("length"))
 
     # draws
-    total = sum(r.quota for r in rows)
+    total = quotas.agg(F.sum("quota")).first()[0]
     if not total:
         return Mix(documents, blocks, spark.createDataFrame([], "shard long, source_no int, nth long, pass_no long, block long"))
-    cum, ns, quotas = [], F.array(*[F.lit(r.n).cast("long") for r in rows]), F.array(*[F.lit(r.quota).cast("long") for r in rows])
-    for r in rows:
-        cum.append((cum[-1] if cum else 0) + r.quota)
+    wide = max(1, total // CELLS)
+    cells = quotas.filter("quota > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / wide), F.floor((F.col("hi") - 1) / wide))))
     shards = -(-total // shard_slots)
     slots = spark.range(shards * shard_slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / shard_slots).cast("long").alias("shard"))
-    slots = slots.withColumn("source_no", lower_bound(cum, F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "slot"), F.lit(total).cast("long"))) + 1)
+    slots = slots.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "slot"), F.lit(total).cast("long"))).withColumn("cell", F.floor(F.col("u") / wide))
+    within = F.col("u").between(F.col("lo"), F.col("hi") - 1)
+    slots = slots.join(maybe_broadcast(cells, cells.count(), 64), "cell").filter(within).select("slot", "shard", "source_no", "n", "quota")
     counts = work.table(slots.groupBy("shard", "source_no").agg(F.count("*").alias("drawn")))
     sofar = W.partitionBy("source_no").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     prefix = counts.withColumn("before", F.coalesce(F.sum("drawn").over(sofar), F.lit(0)))
     rank = F.row_number().over(W.partitionBy("shard", "source_no").orderBy("slot"))
-    drawn = slots.withColumn("rank", rank).join(prefix, ["shard", "source_no"]).select("shard", "source_no", (F.col("before") + F.col("rank") - 1).alias("nth"))
-    drawn = drawn.filter(F.col("nth") < F.get(quotas, F.col("source_no") - 1))
-    missing = sources.select("source_no", quota.alias("quota")).join(counts.groupBy("source_no").agg(F.sum("drawn").alias("drawn")), "source_no", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    settled = missing.filter("drawn < quota").select(F.lit(shards).cast("long").alias("shard"), "source_no", F.explode(F.sequence(F.col("drawn"), F.col("quota") - 1)).alias("nth"))
-    every = drawn.unionByName(settled).withColumn("n", F.get(ns, F.col("source_no") - 1)).withColumn("pass_no", F.floor(F.col("nth") / F.col("n")).cast("long"))
+    drawn = slots.withColumn("rank", rank).join(prefix, ["shard", "source_no"]).select("shard", "source_no", (F.col("before") + F.col("rank") - 1).alias("nth"), "n", "quota")
+    drawn = drawn.filter("nth < quota").drop("quota")
+    missing = quotas.join(counts.groupBy("source_no").agg(F.sum("drawn").alias("drawn")), "source_no", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    settled = missing.filter("drawn < quota").select(F.lit(shards).cast("long").alias("shard"), "source_no", F.explode(F.sequence(F.col("drawn"), F.col("quota") - 1)).alias("nth"), "n")
+    every = drawn.unionByName(settled).withColumn("pass_no", F.floor(F.col("nth") / F.col("n")).cast("long"))
     block = permuted(F.pmod(F.col("nth"), F.col("n")), F.col("n"), F.lit(seed), F.col("source_no"), F.col("pass_no"))
     return Mix(documents, blocks, every.select("shard", "source_no", "nth", "pass_no", block.alias("block")))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
     """The documents, all columns kept, each as often as the mix takes its words: taken over size, rounded up or down by a
-    hash of its id so that sums come out right; at most as often as there are passes. Rows without words stay once."""
+    hash of its id and text so that sums come out right; at most as often as there are passes. Rows without words stay once;
+    rows that are the same document are each emitted as often as the one of which most is taken."""
     m = mix(docs, weights, seed=seed).taken()
-    even = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("round")), F.lit(1 << 20)) / float(1 << 20)
+    even = F.pmod(F.xxhash64("doc_id", "text_id", F.lit(seed), F.lit("round")), F.lit(1 << 20)) / float(1 << 20)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + even)).otherwise(1).cast("int")
-    by_id = m.select("doc_id", copies.alias("copies")).groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    joined = docs.join(by_id, docs["doc_id"].eqNullSafe(by_id["doc_id"])).drop(by_id["doc_id"])
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
+    by_id = m.select(F.col("doc_id").alias("its_id"), F.col("text_id").alias("its_text"), copies.alias("copies")).groupBy("its_id", "its_text").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    held = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = held.join(by_id, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("text_id") == F.col("its_text")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Workspace, mix64, sliced, texts
+from pairloom.llm.common import Workspace, mix64, sliced, texts, tidied
 
 ORDER = 4
 BAND = (7.0, 7.5)  # quartile spreads, scaled to standard deviations, below and above the median
@@ -183,9 +183,9 @@ def _gram_rows(order: int):
 
 def counted(docs: DataFrame, work: Workspace, order: int = ORDER) -> dict[int, DataFrame]:
     """For each order the n-grams with their counts: of occurrences in the highest, of characters before them in the others."""
-    grams = docs.mapInArrow(_gram_counts(order), "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = docs.mapInArrow(tidied(_gram_counts(order)), "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     run, schema = _gram_rows(order)
-    levels = {order: work.table(grams.mapInArrow(run, schema))}
+    levels = {order: work.table(grams.mapInArrow(tidied(run), schema))}
     for k in range(order - 1, 0, -1):
         keep = [f"g{i}" for i in range(1, k + 1)] + [f"c{i}" for i in range(1, k + 1)]
         levels[k] = work.table(levels[k + 1].groupBy("lang", *keep).agg(F.count("*").alias("n")))
@@ -326,7 +326,7 @@ def _joined_scores(docs: DataFrame, top: DataFrame, work: Workspace, order: int)
     """What ``_score`` gives, for a model of any size: a join of the documents' n-grams with the model's."""
     grams = top.select(F.col(f"g{order}").alias("g"), F.log("p").cast("float").cast("double").alias("v"))
     schema = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, size long, grams array<struct<g: long, times: long>>"
-    rows = work.table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang").mapInArrow(_held(order), schema))
+    rows = work.table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang").mapInArrow(tidied(_held(order)), schema))
     met = rows.select("row", F.explode("grams").alias("u")).select("row", "u.g", "u.times").join(grams, "g")
     total = met.groupBy("row").agg(F.sum(F.col("times") * F.col("v")).alias("total"))
     return rows.drop("grams").join(total, "row", "left").withColumn("log_perplexity", -F.col("total") / F.col("size")).drop("row", "size", "total")
@@ -343,7 +343,7 @@ def judge(docs: DataFrame, order: int = ORDER, band: tuple[float, float] = BAND)
     if size * 24 <= MODEL_BYTES:
         shared = spark.sparkContext.broadcast((gathered(tables), flat))
         schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-        scored = chosen.mapInArrow(_score(shared, order), schema)
+        scored = chosen.mapInArrow(tidied(_score(shared, order)), schema)
     else:
         scored = _joined_scores(chosen, tables[-1], work, order)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * MOST_REPEATED[1] > F.col("n_words") * MOST_REPEATED[0])

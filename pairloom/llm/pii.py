@@ -78,18 +78,17 @@ def located(df: DataFrame, text: str, patterns: dict[str, str], needs: dict[str,
     df = df.withColumns({f"__m_{k}": F.when(needs[k], F.regexp_extract_all(F.col(text), F.lit(patterns[k]), F.lit(0))).otherwise(none) for k in names})
     df = df.withColumns({f"{k}_gaps": F.when(F.size(f"__m_{k}") > 0, F.split(F.col(text), patterns[k], -1)).otherwise(none) for k in names})
 
+    # arrays meet by zipping: a lambda that looks into another column may get that column's whole expression instead
     def long(k: str) -> Column:
-        return F.transform(f"__m_{k}", lambda m, i: F.length(F.get(F.col(f"{k}_gaps"), i)) + F.length(m))
+        gaps = F.slice(F.transform(f"{k}_gaps", F.length), 1, F.size(f"__m_{k}"))
+        return F.zip_with(f"__m_{k}", gaps, lambda m, g: F.length(m) + g)
 
     df = df.withColumns({f"__l_{k}": long(k) for k in names})
     df = _with_prefix(df, {f"__p_{k}": f"__l_{k}" for k in names}, 0, lambda a, x: a + x)
 
     def one(k: str) -> Column:
-        def at(m: Column, i: Column) -> Column:
-            end = F.get(F.col(f"__p_{k}"), i) + F.get(F.col(f"__l_{k}"), i)
-            return F.struct(m.alias("m"), (end - F.length(m)).cast("int").alias("start"), end.cast("int").alias("end"))
-
-        return F.transform(F.col(f"__m_{k}"), at)
+        ends = F.zip_with(f"__p_{k}", f"__l_{k}", lambda a, x: (a + x).cast("int"))
+        return F.zip_with(f"__m_{k}", ends, lambda m, end: F.struct(m.alias("m"), (end - F.length(m)).alias("start"), end.alias("end")))
 
     df = df.withColumns({k: one(k) for k in names})
     return df.drop(*[f"__{x}_{k}" for k in names for x in "mlp"], *([] if gaps else [f"{k}_gaps" for k in names]))
@@ -160,13 +159,14 @@ def _windows(left: Column, right: Column) -> Column:
 
 def _instances(kind: str, spans: str) -> Column:
     """A struct for each valid match: kind, m, start, end and the patterns around it; neighbours come from the gaps."""
-    gaps = F.col(f"{spans}_gaps")
+    n = F.size(spans)
+    beside = F.arrays_zip(F.col(spans).alias("x"), F.slice(f"{spans}_gaps", 1, n).alias("left"), F.slice(f"{spans}_gaps", 2, n).alias("right"))
 
-    def one(x: Column, i: Column) -> Column:
-        patterns = _windows(F.get(gaps, i), F.get(gaps, i + 1)).alias("patterns")
-        return F.struct(F.lit(kind).alias("kind"), F.lower(x["m"]).alias("m"), x["start"].alias("start"), x["end"].alias("end"), _valid(kind, x["m"]).alias("good"), patterns)
+    def one(z: Column) -> Column:
+        x = z["x"]
+        return F.struct(F.lit(kind).alias("kind"), F.lower(x["m"]).alias("m"), x["start"].alias("start"), x["end"].alias("end"), _valid(kind, x["m"]).alias("good"), _windows(z["left"], z["right"]).alias("patterns"))
 
-    return F.filter(F.transform(F.col(spans), one), lambda x: x["good"])
+    return F.filter(F.transform(beside, one), lambda x: x["good"])
 
 
 def bootstrap(docs: DataFrame, work: Workspace, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -188,7 +188,8 @@ def bootstrap(docs: DataFrame, work: Workspace, rounds: int = ROUNDS) -> tuple[D
     df = df.withColumn("open", F.when(F.size("__cover") > 0, F.concat(F.array_join(F.transform("__cover", blot), ""), rest)).otherwise(F.col("text")))
     df = located(df.drop("chunks", "__cover", "__cover_end"), "open", {"token": SHAPE}, {"token": F.col("open").rlike("[0-9]")}, gaps=True)
     each = [_instances(k, f"s_{k}") for k in (*KINDS, "secret")] + [_instances("open", "token")]
-    df = df.select("row", F.explode(F.concat(*each)).alias("i")).select("row", "i.kind", "i.m", "i.start", "i.end", "i.patterns")
+    # outer, for a plain explode brings a filter that Catalyst pushes below the columns, with their expressions in its lambdas
+    df = df.select("row", F.explode_outer(F.concat(*each)).alias("i")).filter("i is not null").select("row", "i.kind", "i.m", "i.start", "i.end", "i.patterns")
     instances = work.table(df)
     edges = instances.select("kind", "m", F.explode("patterns").alias("p")).select("kind", "m", "p.side", "p.word")
     edges = work.table(edges.groupBy("side", "word", "m").agg(F.max(F.when(F.col("kind") != "open", F.col("kind"))).alias("seed")))

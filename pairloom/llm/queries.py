@@ -88,7 +88,9 @@ def _license_sql() -> str:
     return f"""with t(license, grams) as (values {rows}), d as (select doc_id, lower(coalesce(text, '')) as x from documents),
 parts as (select doc_id, unnest(string_split(x, chr(10))) as s from d union all select doc_id, unnest(string_split(regexp_replace(regexp_replace(x, '([.!?;])[ \\t]+', '\\1' || chr(31), 'g'), chr(10), chr(31), 'g'), chr(31))) from d
 union all select doc_id, unnest(string_split(regexp_replace(x, '\\n[ \\t]*\\n', chr(31), 'g'), chr(31))) from d union all select doc_id, x from d),
-seg as (select distinct doc_id, trim(s, ' ') as s from parts), w as (select doc_id, s, regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+') as w from seg),
+paras as (select doc_id, unnest(string_split(regexp_replace(x, '\\n[ \\t]*\\n', chr(31), 'g'), chr(31))) as p from d),
+sent as (select doc_id, string_split(regexp_replace(regexp_replace(p, '[ \\t\\r]*\\n[ \\t\\r]*', ' ', 'g'), '([.!?;])[ \\t]+', '\\1' || chr(31), 'g'), chr(31)) as l from paras),
+seg as (select distinct doc_id, trim(s, ' ') as s from (select * from parts union all select doc_id, unnest(flatten(list_transform(range(0, {license_scan.WINDOW}), lambda k: list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:i + k], ' '))))) from sent)), w as (select doc_id, s, regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+') as w from seg),
 g as (select doc_id, s, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) > 1),
 m as (select doc_id, s, license, 2.0::double * len(list_intersect(g, grams)) / (len(g) + len(grams)) as dice from g join t on len(g) * {(2 - t) / t + 1e-9} >= len(grams) and len(grams) * {(2 - t) / t + 1e-9} >= len(g)),
 b as (select doc_id, s, max(dice) as dice, arg_min(license, (-dice, license)) as license from m group by doc_id, s having max(dice) >= {t}),
@@ -96,4 +98,14 @@ r as (select doc_id, string_agg(distinct license, ',' order by license) as licen
 select doc_id, coalesce(licenses, '') as licenses, coalesce(n_segments, 0) as n_segments, best_dice from d left join r using (doc_id)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op9_license_scan": _license_sql()}
+#: Exact Jaccard over 3-word shingles, its classes and its links.
+_JACCARD_SQL = """with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from w),
+n as (select doc_id, coalesce(len(s), 0) as n from s), u as (select doc_id, unnest(s) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select p.a, p.b from p join n na on na.doc_id = p.a join n nb on nb.doc_id = p.b where 100 * p.c >= 90 * (na.n + nb.n - p.c)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, root) as (select doc_id, doc_id from documents union select e.b, r.root from r join e on e.a = r.doc_id)
+select n.doc_id, n.n as n_shingles, (select min(root) from r where r.doc_id = n.doc_id) as component_id, (select count(*) from e where e.a = n.doc_id) as n_links from n"""
+
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD_SQL, "op9_license_scan": _license_sql()}

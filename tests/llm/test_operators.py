@@ -141,7 +141,7 @@ def test_parity_join_repeated_ids_and_clashing_names(spark):
 @pytest.mark.parametrize("tile", [4, 1000])
 def test_parity_join_slices_of_a_bucket_meet(spark, monkeypatch, tile):
     monkeypatch.setattr(parity_join, "TILE", tile)
-    monkeypatch.setattr(parity_join, "SMALL", 6)
+    monkeypatch.setattr(parity_join, "SMALL", 6)  # in this process alone
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(60)] + [(100 + i, " ".join(base[:10] + [f"y{i}_{j}" for j in range(60)])) for i in range(20)]
     found = parity_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, (9, 10)).collect()
@@ -179,6 +179,43 @@ def test_collision_ann_recall_and_order(spark, sf):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize(("kind", "n", "sample"), [("clusters", 10_000, 20_000), ("random", 10_000, 20_000), ("clusters", 10_000, 1_000), ("random", 3_000, 700)])
+def test_collision_ann_recall_work_and_partitions(spark, monkeypatch, kind, n, sample):
+    monkeypatch.setattr(collision_ann, "SAMPLE", sample)
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((n, 64))
+    if kind == "clusters":
+        v = rng.standard_normal((100, 64))[rng.integers(0, 100, n)] + 0.25 * v
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in collision_ann.nearest(rows.repartition(3), F.col("vec_id") % 400 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hits = total = 0
+    for i in range(0, n, 400):
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert len(got[i]) == 10 and all(s == d[j] for j, s in got[i])
+        hits += len({j for j, _ in got[i]} & set(np.argsort(d, kind="stable")[:10].tolist()))
+        total += 10
+    assert hits >= 0.9 * total
+    again = {(r.query_id, r.rank, r.vec_id, r.score) for r in collision_ann.nearest(rows.repartition(7), F.col("vec_id") % 400 == 0).collect()}
+    assert again == {(i, k + 1, j, s) for i, x in got.items() for k, (j, s) in enumerate(x)}
+
+
+@pytest.mark.parametrize(("kind", "most"), [("clusters", 0.25), ("random", 1.0)])
+def test_collision_ann_takes_less_than_a_scan(kind, most):
+    rng = np.random.default_rng(8)
+    n, dim = 20_000, 64
+    v = rng.standard_normal((n, dim))
+    v = rng.standard_normal((200, dim))[rng.integers(0, 200, n)] + 0.25 * v if kind == "clusters" else v / np.linalg.norm(v, axis=1, keepdims=True)
+    index = collision_ann.SortedProjections(v, collision_ann.random_directions(dim, collision_ann.PROJECTIONS, 1))
+    asked = v[::1000]
+    radius = np.array([np.partition(collision_ann._distances(v, q), 10)[10] for q in asked])
+    lo, hi = index.windows(asked, radius)
+    steps = sum(int((z - a).sum()) + dim * len(index.collided(a, z)) for a, z in zip(lo, hi, strict=True))
+    assert steps <= most * dim * n * len(asked)
+
+
 def test_collision_ann_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, [1.0]), (None, [1.0, 1.0]), (9, [1.0, 0.0])]
@@ -482,16 +519,28 @@ def test_token_counts_odd_rows(odd, empty):
 
 
 def brute_matches(text, threshold=0.8):
-    low, found = (text or "").lower(), set()
-    parts = low.split("\n") + [s for x in low.split("\n") for s in re.split(r"(?<=[.!?;])[ \t]+", x)] + re.split(r"\n[ \t]*\n", low) + [low]
+    low, found, templates = (text or "").lower(), set(), [(n, set(license_scan.word_bigrams(t))) for n, t in license_scan.TEMPLATES]
+    paragraphs = re.split(r"\n[ \t]*\n", low)
+    parts = low.split("\n") + [s for x in low.split("\n") for s in re.split(r"(?<=[.!?;])[ \t]+", x)] + paragraphs + [low]
+    for p in paragraphs:
+        s = re.split(r"(?<=[.!?;])[ \t]+", re.sub(r"[ \t\r]*\n[ \t\r]*", " ", p))
+        parts += [" ".join(s[i : i + k]) for k in range(1, 5) for i in range(len(s))]
     for p in {x.strip(" ") for x in parts}:
         g = set(license_scan.word_bigrams(p))
-        scored = [(-2 * len(g & set(license_scan.word_bigrams(t))) / (len(g) + len(license_scan.word_bigrams(t))), n) for n, t in license_scan.TEMPLATES] if g else []
+        scored = [(-2 * len(g & t) / (len(g) + len(t)), n) for n, t in templates] if g else []
         if scored and -min(scored)[0] >= threshold:
             found.add((min(scored)[1], round(-min(scored)[0], 9), p))
     return found
 
 
+def test_license_scan_finds_whole_texts_and_wrapped_notices(spark):
+    whole = dict(license_scan.TEMPLATES[-7:])
+    header = "Some prose goes before it, on a line\nof its own. Licensed under the Apache\nLicense, Version 2.0. And more prose follows\nto the end of the paragraph, which is long enough."
+    rows = [(i, f"Notes.\n\n{t}") for i, t in enumerate(whole.values())] + [(100, header)]
+    got = {r.doc_id: {m.license for m in r.matches} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(n in got[i] for i, n in enumerate(whole)) and got[100] == {"Apache-2.0"}
+
+
 def test_license_scan_equals_brute_force(spark, plain):
     mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 900)
     rows = [*plain.items(), (10**6, mit.replace("Software", "Program", 2)), (10**6 + 1, "x\n\nReleased under the MIT license!\ny"), (10**6 + 2, "Text. Licensed under CC BY-NC 4.0. More text"), (10**6 + 3, None), (10**6 + 4, "licensed")]
