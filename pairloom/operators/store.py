@@ -62,7 +62,10 @@ def remaining(queries: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
 
 
 class SnapshotStore:
-    """Versioned directories and a pointer to the current one; readers of an old snapshot are never disturbed."""
+    """Versioned directories, the last finished one being current; readers of an old snapshot are never disturbed. A store is opened
+    by its path, whether it exists or not; ``create`` writes an empty one."""
+
+    schema, parts = VECTOR, "doc_type"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -80,13 +83,24 @@ class SnapshotStore:
 
     def current(self) -> DataFrame:
         found = self.versions()
-        return self.spark.read.schema(VECTOR).parquet(f"{self.path}/s{found[-1]}") if found else self.spark.createDataFrame([], VECTOR)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/s{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
 
     def write(self, df: DataFrame) -> int:
         n = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").partitionBy("doc_type").parquet(f"{self.path}/s{n}")
+        df.write.mode("overwrite").partitionBy(self.parts).parquet(f"{self.path}/s{n}")
         return n
 
+    def create(self) -> None:
+        """An empty snapshot, where there is none yet."""
+        if not self.versions():
+            self.write(self.spark.createDataFrame([], self.schema))
+
+    def prune(self, keep: int = 2) -> None:
+        """Drop all snapshots but the last so many."""
+        for n in self.versions()[:-keep]:
+            fs, p = self._fs(f"{self.path}/s{n}")
+            fs.delete(p, True)
+
     def upsert(self, new: DataFrame) -> int:
         return self.write(upsert(self.current(), new))
 

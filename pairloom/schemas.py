@@ -10,6 +10,7 @@ VECTOR = (
     "vector_id string, doc_type string, doc_id string, version int, section string, embedding array<float>, text string, status string, "
     "visibility string, owner_id string, language string, embedding_model string, content_hash string"
 )
+PAYLOAD = "doc_type string, doc_id string, version int, payload string"
 QRELS = "direction string, query_id string, doc_id string, grade int"
 RUN = "query_id string, doc_id string, score double, rank int"
 ACL = "doc_id string, doc_type string, status string, visibility string, owner_id string, deleted_at string, version int"
