@@ -32,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from pairloom.plans import evaluations, hybrids, lexical, logs, services, texts, vectors  # noqa: E402, F401
+from pairloom.plans import evaluations, hybrids, lexical, logs, pieces, services, texts, vectors  # noqa: E402, F401

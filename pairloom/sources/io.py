@@ -115,6 +115,15 @@ def export_profiles(profiles: DataFrame, payloads: DataFrame, structured: DataFr
     return j.select("id", kind.alias("source"), F.coalesce(some(F.col("p")), some(F.col("s")), some(F.col("l"))).alias("content")).filter("source is not null")
 
 
+def write_manifest(docs: DataFrame, kind: str, path: str) -> None:
+    """Which row of a source each document (doc_id, id, note) comes from, as JSON lines."""
+    docs.select("doc_id", F.concat_ws(":", F.lit(kind), F.col("id").cast("string")).alias("source"), "note").write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return read_jsonl(spark, path, "doc_id string, source string, note string")
+
+
 def classify_upload(content: Column) -> Column:
     """pdf, doc, zip or null by the first bytes."""
     head = F.hex(F.substring(content, 1, 8))
