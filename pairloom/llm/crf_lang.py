@@ -40,7 +40,7 @@ BUCKETS, LEXICON_LEAST = 1 << 16, 5
 SEQUENCE, BATCH, STEPS, RATE = 64, 128, 240, 0.4
 UNKNOWN = "und"
 _WORD = re.compile(rf"[^\W\d_]{{1,{UNIT}}}")
-_KNOWN, _CELLS = 500_000, 1 << 17
+_KNOWN, _CELLS, _LABELS = 500_000, 1 << 17, 32
 
 
 def words_of(text: str | None) -> list[str]:
@@ -158,13 +158,15 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> ChainModel | None:
         sizes = np.array([len(fs) for fs in lists])
         flat = np.fromiter((f for fs in lists for f in fs), np.int64, sizes.sum())
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        scores = np.add.reduceat(model.weights[flat], starts, axis=0).reshape(SEQUENCE, BATCH, n)
+        scores = np.concatenate([np.add.reduceat(model.weights[:, j : j + _LABELS][flat], starts, axis=0) for j in range(0, n, _LABELS)], axis=1).reshape(SEQUENCE, BATCH, n)
         marginals, moves, _ = forward_backward(scores, np.full(BATCH, SEQUENCE), model.transitions, model.first)
         diff = -marginals
         np.put_along_axis(diff, gold[:, :, None], np.take_along_axis(diff, gold[:, :, None], 2) + 1, 2)
-        touched, place = np.unique(flat, return_inverse=True)
-        per = np.repeat(diff.reshape(-1, n), sizes, axis=0)
-        grad = np.stack([np.bincount(place, weights=per[:, j], minlength=len(touched)) for j in range(n)], axis=1) / BATCH
+        by = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[by], prepend=-1))
+        touched, word = flat[by][first], np.repeat(np.arange(len(sizes)), sizes)[by]
+        diff = diff.reshape(-1, n)
+        grad = np.concatenate([np.add.reduceat(diff[:, j : j + _LABELS][word], first, axis=0) for j in range(0, n, _LABELS)], axis=1) / BATCH
         squares[touched] += grad**2
         model.weights[touched] += RATE * grad / np.sqrt(squares[touched])
         seen = np.zeros((n, n))
