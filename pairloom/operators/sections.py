@@ -34,3 +34,12 @@ def section_texts(docs: DataFrame) -> DataFrame:
     some = docs.select("doc_id", F.explode("sections").alias("section", "s")).select("doc_id", "section", strip(F.col("s.text")).alias("text"))
     full = docs.select("doc_id", F.lit("_full").alias("section"), strip(F.col("raw_text")).alias("text"))
     return some.unionByName(full).filter("text <> ''")
+
+
+def resplit(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, raw_text, ...) with their sections made anew from the raw text: a map by name; no section gives an empty one."""
+    parts = split_sections(docs, "doc_id", "raw_text")
+    entry = F.struct("name", F.struct("name", "text", F.col("heading").alias("heading_raw"), "ord"))
+    maps = parts.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("sections"))
+    empty = F.create_map().cast("map<string,struct<name:string,text:string,heading_raw:string,ord:int>>")
+    return docs.drop("sections").join(maps, "doc_id", "left").withColumn("sections", F.coalesce("sections", empty))

@@ -236,7 +236,7 @@ def _write_in_order(df: DataFrame, order: str, parts: int, write) -> None:
 
 
 @query(f"""with {LOG_SQL}, ends as (select min(line_no) as lo, max(line_no) + 1 - min(line_no) as n from log),
-l as (select log.*, (line_no >= lo + n * 1 // 4)::int + (line_no >= lo + n * 2 // 4)::int + (line_no >= lo + n * 3 // 4)::int as batch, (created_at, version, lpad(event_id::varchar, 9, '0')) as place from log, ends),
+l as (select log.*, (line_no >= lo + n * 1 // 4)::int + (line_no >= lo + n * 2 // 4)::int + (line_no >= lo + n * 3 // 4)::int as batch, line_no as place from log, ends),
 e as (select batch, doc_type, doc_id, arg_max(action, place) as action, arg_max(version, place) as version from l group by all)
 select doc_type, doc_type || '_' || doc_id as doc_id, max(version) as version, count(*) * 2 as sections from e
 where action = 'upsert' and not exists (select 1 from e f where f.doc_type = e.doc_type and f.doc_id = e.doc_id and f.batch > e.batch and (f.action = 'delete' or f.version >= e.version)) group by all""")

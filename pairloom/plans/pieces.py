@@ -246,3 +246,45 @@ def evidence_checked(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("length(trim(text)) > 20")
     evidence = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.left(F.trim("text"), F.lit(12)), F.lit("\n"))).otherwise("no such words 4711")
     return d.select("doc_id", payload.checked_confidence(F.lower("text"), F.lower(evidence), F.lit(0.9)).alias("confidence"))
+
+
+@query("select doc_id, sha256(translate(strip_accents(text), 'đĐ', 'dD')) as plain from documents")
+def marks_strip(spark, sf_dir):
+    """Texts without any marks, as hashes."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.strip_marks(F.col("text")), 256).alias("plain"))
+
+
+@query(f"select doc_id, coalesce(len(regexp_extract_all(lower(nfc_normalize(text)), '[a-z0-9{text.VIETNAMESE}_]+')), 0)::int as tokens from documents")
+def composed_tokens(spark, sf_dir):
+    """Tokens of composed texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.segmented_tokens(F.col("text"))).alias("tokens"))
+
+
+@query("select p_partkey, case when contains(lower(p_name), 'steel') then 'Thép' when contains(lower(p_name), 'copper') then 'Đồng' else p_name end as name from part")
+def keyword_rewrites(spark, sf_dir):
+    """Names by the first keyword that they hold."""
+    return table(spark, sf_dir, "part").select("p_partkey", text.by_keyword(F.col("p_name"), [("Steel", "Thép"), ("copper", "Đồng")]).alias("name"))
+
+
+@query("select doc_id, 5 as sections from documents")
+def sections_again(spark, sf_dir):
+    """Documents whose sections are made anew from their texts."""
+    from pairloom.plans.texts import resumes
+
+    d = resumes(spark, sf_dir).select("doc_id", F.col("text").alias("raw_text"), F.lit("old").alias("sections"))
+    return sections.resplit(d).select("doc_id", F.size("sections").alias("sections"))
+
+
+@query("select 'region' as t, 'r_regionkey' as c union all select 'region', 'r_name' union all select 'nation', 'n_nationkey' union all select 'nation', 'n_name' union all select 'nation', 'n_regionkey'")
+def catalog_columns(spark, sf_dir):
+    """What columns registered tables have."""
+    for name in ("nation", "region"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return io.columns_of(spark, ["region", "nation"]).select(F.col("table").alias("t"), F.col("column").alias("c"))
+
+
+@query("select n_nationkey::bigint as key, n_name as name, null::varchar as comment from nation")
+def columns_picked(spark, sf_dir):
+    """Columns by name whatever their case; what a table lacks is null."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("KEY"), F.col("n_name").alias("Name"))
+    return io.picked(n, {"key": "bigint", "name": "string", "comment": "string"})

@@ -14,7 +14,7 @@ PAYLOAD = "doc_type string, doc_id string, version int, payload string"
 QRELS = "direction string, query_id string, doc_id string, grade int"
 RUN = "query_id string, doc_id string, score double, rank int"
 ACL = "doc_id string, doc_type string, status string, visibility string, owner_id string, deleted_at string, version int"
-EVENT = "event_id string, doc_type string, doc_id string, action string, version int, created_at double, language string, status string, owner_id string, visibility string"
+EVENT = "event_id string, doc_type string, doc_id string, action string, version int, created_at double, language string, status string, owner_id string, visibility string, line_no long"
 JOB = (
     "id string, document_type string, document_id string, version int, status string, step string, attempt_count int, next_attempt_at double, last_error string, "
     "content_hash string, source_kind string, source_ref string, text string, title string, owner_id string, visibility string, warnings string, "

@@ -100,6 +100,18 @@ def inspect(spark: SparkSession, tables: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "table string, columns array<string>, rows long")
 
 
+def columns_of(spark: SparkSession, tables: list[str]) -> DataFrame:
+    """table, column (lower case) of registered tables or views, of which a reader picks what there is."""
+    rows = [(t.lower(), c.name.lower()) for t in tables for c in spark.catalog.listColumns(t)]
+    return spark.createDataFrame(rows, "table string, column string")
+
+
+def picked(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """The wanted columns (name to type) of a table, whatever their case; those that it lacks are null."""
+    have = {c.lower(): c for c in df.columns}
+    return df.select(*[(F.col(f"`{have[c.lower()]}`") if c.lower() in have else F.lit(None)).cast(kind).alias(c) for c, kind in wanted.items()])
+
+
 def export_jobs(jobs: DataFrame, skip: tuple[str, ...] = ("DRAFT", "CANCELLED")) -> DataFrame:
     """Jobs that are not deleted, have a description and are in no skipped status, by id."""
     return jobs.filter(F.col("deletedAt").isNull() & (F.trim("description") != "") & ~F.col("status").isin(*skip)).orderBy("id")

@@ -39,13 +39,13 @@ def apply_log(events: DataFrame, store: SnapshotStore, resolve: Callable[[DataFr
     """Start the query that keeps the store in step with the log.
 
     Each micro-batch is compacted to one event a document; ``resolve`` turns upserts into vector rows (documents that it
-    does not know drop out). A batch that runs again writes the same rows, for ids and versions are replaced, not added.
+    does not know drop out). Events count in the order of their lines, and without line numbers in that of their times. A batch that
+    runs again writes the same rows, for ids and versions are replaced, not added, and rejected events have a folder for each batch.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df.filter(~valid()).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(rejected)
-        ordered = df.filter(valid()).withColumn("line_no", F.struct("created_at", "version", "event_id"))
-        last = compacted(ordered)
+        df.filter(~valid()).write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
+        last = compacted(df.filter(valid()).withColumn("__place", F.struct("line_no", "created_at", "version", "event_id")), "__place")
         new = resolve(last.filter("action = 'upsert'"))
         gone = last.filter("action = 'delete'").select("doc_type", "doc_id", F.lit(None).cast("int").alias("version"))
         from pairloom.operators.store import delete, upsert
