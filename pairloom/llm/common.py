@@ -21,6 +21,18 @@ _CACHE_LIMIT = 1 << 18
 _word_ids: dict[bytes, int] = {}
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of few rows while a table is written, for texts are long and both sides of a worker hold a batch."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf
+    before = conf.get(key, None)
+    conf.set(key, str(min(rows, int(before)) if before and int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 class Workspace:
     """Tables written under the shared folder: they cut lineage, survive lost executors and can be dropped early. What is left goes
     when the driver ends."""
@@ -31,7 +43,8 @@ class Workspace:
     def table(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         if self._n == 1:
             remove_at_exit(self.spark, self.root)
         out = self.spark.read.schema(df.schema).parquet(path)
