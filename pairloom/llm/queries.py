@@ -34,6 +34,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(pii.listed(pii.KINDS), 256).alias("base_sha256"),
         pii.listed().alias("spans"),
+        sum((F.size(k) for k in (*pii.KINDS, "found")), F.lit(0)).cast("long").alias("n_spans"),
     )
 
 
