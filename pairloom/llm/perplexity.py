@@ -9,8 +9,9 @@ with new n-grams, all of which stay. The arrays are broadcast behind a check of
 is gathered: each document's n-grams, with how often it holds them, meet the written ones in a join. Every text is one
 that the model has counted, so that all its n-grams of the highest order are there, and both ways give the same scores.
 
-Per language, documents that pass the base rules give the median and the quartiles of log-perplexity, and the band is so
-many quartile spreads below and above the median. A language with few documents takes the band of all.
+Per language, documents that pass the base rules give the median and the quartiles of log-perplexity (the mean surprise of a
+character), and the band is so many quartile spreads below and above the median. The root mean square of the surprise,
+in which rare marks between plain words show, has an upper bound of the same kind. A language with few documents takes the bands of all.
 
 Defined cases: null text has no words and fails the base rules; a text without words has no perplexity and is not kept;
 a null language is a language of its own; repeated rows count and score each; an empty table gives an empty result; very
@@ -33,13 +34,14 @@ from pairloom.llm.common import Workspace, mix64, sliced, texts, tidied
 
 ORDER = 4
 BAND = (7.0, 7.5)  # quartile spreads, scaled to standard deviations, below and above the median
+SPIKES = 4.5  # the same above the median of the root mean square
 LEAST_DOCUMENTS = 30
 LEAST_WORDS, MOST_REPEATED = 50, (50, 100)
 SYMBOLS = "#*$%&|<>"
 MODEL_BYTES = 256 << 20
 _SPACES = " \t\n\x0b\x0c\r"
 _START, _END = 2, 3  # code points of the marks; control characters are no text's letters
-_CHARS = 1 << 20  # characters that are counted or scored at a time
+_CHARS, _TABLE = 1 << 20, 1 << 22  # characters that are counted or scored at a time; entries of a table of n-grams
 
 _BLANKS = re.compile(r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")
 _RUNS = re.compile(r"([!-/:-@\[-`{-~])\1+")
@@ -136,18 +138,29 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[int],
             yield lang, [mine[k] for k in part], [rows[mine[k]] for k in part]
 
 
+def _compact(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of keys below a size, in order, and which of them each is: by a table where that is small, else by sorting."""
+    if size <= _TABLE:
+        there = np.zeros(size, bool)
+        there[keys] = True
+        distinct = np.flatnonzero(there)
+        number = np.empty(size, np.int32)
+        number[distinct] = np.arange(len(distinct), dtype=np.int32)
+        return distinct, number[keys]
+    distinct = np.unique(keys)
+    return distinct, np.searchsorted(distinct, keys)
+
+
 def _distinct(chars: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct n-grams at the places as rows of code points, which each place has, and how often each is there."""
-    alphabet, code = np.unique(chars, return_inverse=True)
-    base = np.uint64(len(alphabet))
-    if len(alphabet) ** order < 1 << 64:
-        key = np.zeros(len(at), np.uint64)
-        for i in reversed(range(order)):
-            key = key * base + code[at - i].astype(np.uint64)
-        _, first, which, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    else:
-        _, first, which, n = np.unique(np.stack([chars[at - i] for i in range(order)], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-    return np.stack([chars[at[first] - i] for i in reversed(range(order))], axis=1), which.ravel(), n
+    """The distinct n-grams at the places as rows of code points, which each place has, and how often each is there. Grams grow
+    by a character at a time and are numbered anew at each length, so that the numbers stay small."""
+    alphabet, code = _compact(chars, 0x110000)
+    k, grams, which = len(alphabet), alphabet.astype(np.uint32)[:, None], code[at - order + 1].astype(np.int64)
+    for i in range(order - 2, -1, -1):
+        made, which = _compact(which * k + code[at - i], len(grams) * k)
+        grams = np.concatenate([grams[made // k], alphabet[made % k].astype(np.uint32)[:, None]], axis=1)
+        which = which.astype(np.int64)
+    return grams, which, np.bincount(which, minlength=len(grams))
 
 
 def _gram_counts(order: int):
@@ -274,26 +287,33 @@ def place_scores(chars: np.ndarray, at: np.ndarray, lang: str | None, arrays: li
 
 
 def text_scores(rows: list[str], lang: str | None, arrays: list[tuple[np.ndarray, np.ndarray]], flat: dict[str | None, float]) -> np.ndarray:
-    """Natural log-probability for each character, end mark included, of each normal text. Equal n-grams are looked up once."""
+    """Natural log-probability for each character, end mark included, of each normal text."""
+    return -text_surprise(rows, lang, arrays, flat)[0]
+
+
+def text_surprise(rows: list[str], lang: str | None, arrays: list[tuple[np.ndarray, np.ndarray]], flat: dict[str | None, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and root mean square of the surprise of the characters of each normal text. Equal n-grams are looked up once."""
     order = len(arrays) // 2
     chars, at, many = _layout(rows, order)
     grams, which, _ = _distinct(chars, at, order)
     each = place_scores(grams.ravel(), np.arange(len(grams)) * order + order - 1, lang, arrays, flat)
-    return np.add.reduceat(each[which], np.concatenate([[0], np.cumsum(many)[:-1]])) / many
+    first = np.concatenate([[0], np.cumsum(many)[:-1]])
+    return -np.add.reduceat(each[which], first) / many, np.sqrt(np.add.reduceat((each * each)[which], first) / many)
 
 
 def _score(shared, order: int):
-    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "surprise"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, flat = shared.value
         for b in sliced(batches, 2000):
-            found: list[float | None] = [None] * b.num_rows
+            mean: list[float | None] = [None] * b.num_rows
+            root: list[float | None] = [None] * b.num_rows
             for lang, mine, rows in _by_language(b):
-                for i, v in zip(mine, text_scores(rows, lang, arrays, flat).tolist(), strict=True):
-                    found[i] = -v
+                for i, v, w in zip(mine, *(x.tolist() for x in text_surprise(rows, lang, arrays, flat)), strict=True):
+                    mean[i], root[i] = v, w
             columns = zip(*(base_rules(t, split_words(t)) for t in texts(b)), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("lang")), *[pa.array(c, pa.int64()) for c in columns], pa.array(found, pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("lang")), *[pa.array(c, pa.int64()) for c in columns], pa.array(mean, pa.float64()), pa.array(root, pa.float64())], names)
 
     return run
 
@@ -328,12 +348,14 @@ def _joined_scores(docs: DataFrame, top: DataFrame, work: Workspace, order: int)
     schema = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, size long, grams array<struct<g: long, times: long>>"
     rows = work.table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "lang").mapInArrow(tidied(_held(order)), schema))
     met = rows.select("row", F.explode("grams").alias("u")).select("row", "u.g", "u.times").join(grams, "g")
-    total = met.groupBy("row").agg(F.sum(F.col("times") * F.col("v")).alias("total"))
-    return rows.drop("grams").join(total, "row", "left").withColumn("log_perplexity", -F.col("total") / F.col("size")).drop("row", "size", "total")
+    total = met.groupBy("row").agg(F.sum(F.col("times") * F.col("v")).alias("total"), F.sum(F.col("times") * F.col("v") * F.col("v")).alias("squares"))
+    scored = rows.drop("grams").join(total, "row", "left").withColumns({"log_perplexity": -F.col("total") / F.col("size"), "surprise": F.sqrt(F.col("squares") / F.col("size"))})
+    return scored.drop("row", "size", "total", "squares")
 
 
-def judge(docs: DataFrame, order: int = ORDER, band: tuple[float, float] = BAND) -> DataFrame:
-    """doc_id, lang, the base counts, base_failed, log_perplexity (per character), low, high, kept of every row."""
+def judge(docs: DataFrame, order: int = ORDER, band: tuple[float, float] = BAND, spikes: float = SPIKES) -> DataFrame:
+    """doc_id, lang, the base counts, base_failed, log_perplexity (per character) with its band low and high, surprise with
+    its upper bound, kept, of every row."""
     spark = docs.sparkSession
     work = Workspace(spark)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -342,20 +364,21 @@ def judge(docs: DataFrame, order: int = ORDER, band: tuple[float, float] = BAND)
     tables, flat = estimated(levels, work)
     if size * 24 <= MODEL_BYTES:
         shared = spark.sparkContext.broadcast((gathered(tables), flat))
-        schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+        schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, surprise double"
         scored = chosen.mapInArrow(tidied(_score(shared, order)), schema)
     else:
         scored = _joined_scores(chosen, tables[-1], work, order)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * MOST_REPEATED[1] > F.col("n_words") * MOST_REPEATED[0])
     scored = work.table(scored.withColumn("base_failed", failed))
     sound = scored.filter("not base_failed and log_perplexity is not null")
-    q = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q")
-    bands = sound.groupBy("lang").agg(q, F.count("*").alias("n"))
-    every = sound.agg(q).first()["q"]
-    whole = F.array(*[F.lit(float(x)) for x in (every or (0.0, 0.0, 0.0))])
-    bands = bands.withColumn("q", F.when(F.col("n") >= LEAST_DOCUMENTS, F.col("q")).otherwise(whole))
-    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(1e-3))
-    bands = work.table(bands.select(F.col("lang").alias("band_lang"), (F.col("q")[1] - band[0] * spread).alias("low"), (F.col("q")[1] + band[1] * spread).alias("high")))
+    q, r = (F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(n) for c, n in (("log_perplexity", "q"), ("surprise", "r")))
+    bands = sound.groupBy("lang").agg(q, r, F.count("*").alias("n"))
+    every = sound.agg(q, r).first()
+    whole = {n: F.array(*[F.lit(float(x)) for x in (every[n] or (0.0, 0.0, 0.0))]) for n in ("q", "r")}
+    bands = bands.withColumns({n: F.when(F.col("n") >= LEAST_DOCUMENTS, F.col(n)).otherwise(whole[n]) for n in whole})
+    spread = lambda n: F.greatest((F.col(n)[2] - F.col(n)[0]) / 1.349, F.lit(1e-3))
+    ends = [(F.col("q")[1] - band[0] * spread("q")).alias("low"), (F.col("q")[1] + band[1] * spread("q")).alias("high"), (F.col("r")[1] + spikes * spread("r")).alias("bound")]
+    bands = work.table(bands.select(F.col("lang").alias("band_lang"), *ends))
     joined = scored.join(bands, scored["lang"].eqNullSafe(bands["band_lang"]), "left").drop("band_lang")
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")) & (F.col("surprise") <= F.col("bound")), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & inside)
