@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from pairloom.llm.bpe_count import byte_symbols
-from pairloom.llm.common import id_text, texts, tidied
+from pairloom.llm.common import id_text, sliced, texts, tidied
 
 #: The split that byte-level pre-tokenizers apply before merging (a fixed value of the format).
 BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -100,18 +100,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, open_bins: int =
         enc, special = encoder(tokenizer)
         base = TaskContext.get().partitionId() << 40
         bins = OpenBins(capacity, open_bins)
+        end, names = np.array([end_id], np.uint32), ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
         for batch in batches:
-            end = np.array([end_id], np.uint32)
-            ids = [np.concatenate([np.asarray(enc.encode_to_numpy(t, allowed_special=special), np.uint32), end]) if t else end for t in texts(batch)]
+            ids: list[np.ndarray] = []
+            for some in sliced(iter([batch]), 500):  # few texts at a time; of a whole batch only the ids are held
+                ids += [np.concatenate([np.asarray(enc.encode_to_numpy(t, allowed_special=special), np.uint32), end]) if t else end for t in texts(some)]
             doc_ids = batch.column(0).to_pylist()
             pieces = [(length, k, p, s) for k, x in enumerate(ids) for p, (s, length) in enumerate(cuts(len(x), capacity))]
             pieces.sort(key=lambda x: -x[0])
-            rows = [(doc_ids[k], p, s, n, ids[k][s : s + n].astype("<u4").tobytes(), *bins.place(n)) for n, k, p, s in pieces]
-            for at in range(0, len(rows), 4096):
-                d, p, s, n, raw, seq, off = zip(*rows[at : at + 4096], strict=True)
+            places = [bins.place(x[0]) for x in pieces]
+            for at in range(0, len(pieces), 4096):
+                n, k, p, s = zip(*pieces[at : at + 4096], strict=True)
+                seq, off = zip(*places[at : at + 4096], strict=True)
+                raw = [ids[i][b : b + m].astype("<u4").tobytes() for m, i, b in zip(n, k, s, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.array([base + x for x in seq], pa.int64()), pa.array(off, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
+                    [pa.array([doc_ids[i] for i in k], pa.int64()), pa.array(p, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.array([base + x for x in seq], pa.int64()), pa.array(off, pa.int64())], names
                 )
 
     return id_text(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
