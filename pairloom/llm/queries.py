@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe_count, collision_ann, crf_lang, license_scan, mixing, packing, parity_join, perplexity, pii, toxicity
+from pairloom.llm import bpe_count, collision_ann, crf_lang, divergence, kd_shards, license_scan, mixing, packing, parity_join, perplexity, pii, spelling, toxicity
 from pairloom.llm.common import fold_of, read
 
 
@@ -66,6 +66,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = kd_shards.shard(read(spark, sf_dir, "documents"), 8).slots()
+    return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(read(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -77,10 +90,12 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
+    "op11_sharding": op11_sharding,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 
-
 def _license_sql() -> str:
     """The licence scan over all segments, without the cue filter that only spares work."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
@@ -109,4 +124,53 @@ e as (select a, b from l union all select b, a from l),
 r(doc_id, root) as (select doc_id, doc_id from documents union select e.b, r.root from r join e on e.a = r.doc_id)
 select n.doc_id, n.n as n_shingles, (select min(root) from r where r.doc_id = n.doc_id) as component_id, (select count(*) from e where e.a = n.doc_id) as n_links from n"""
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD_SQL, "op9_license_scan": _license_sql()}
+#: crc32 of a text, by its table; for ``with``.
+_CRC_SQL = """crc as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as tab)"""
+
+
+def _crc(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"xor(list_reduce({octets}, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255)::int + 1]), 4294967295), 4294967295)"
+
+
+def _kd_sql(levels: int = 3) -> str:
+    """The tree level by level: each node's widest dimension, running sums in key order, and the key in which the target falls."""
+    bits = lambda x: f"('0x' || substr(md5({x}), 1, 5))::bigint"
+    of = lambda d: f"coalesce({bits(d)}, 0)"
+    md5 = "('0x' || substr(md5(tie::varchar), 1, 8))::bigint"
+    steps = [f"""ends as (select min(n_chars)::double as lo, max(n_chars)::double as hi from documents),
+l0 as (select doc_id, strlen(coalesce(text, '')) + 1 as size, {_crc("coalesce(text, '')")} as text_crc32, {of('lang')} as a1, {of('source')} as a2,
+coalesce(case when lo < hi then floor((n_chars::double - lo) / (hi - lo) * 1048575)::bigint end, 0) as a3, ({bits("coalesce(text, '')")} << 20) | {bits("coalesce(doc_id::varchar, '')")} as tie, 0 as node, {1 << levels} as k from documents, ends, crc)"""]
+    for i in range(levels):
+        steps.append(f"""n{i} as (select node, k, sum(size) as w, max(a1) - min(a1) as e1, max(a2) - min(a2) as e2, max(a3) - min(a3) as e3 from l{i} group by all),
+d{i} as (select node, case when e1 >= e2 and e1 >= e3 then 1 when e2 >= e3 then 2 else 3 end as dim, (w // k) * (k // 2) + ((w % k) * (k // 2)) // k as target from n{i}),
+k{i} as (select l.*, target, ((case dim when 1 then a1 when 2 then a2 else a3 end) << 40) | tie as key from l{i} l join d{i} using (node)),
+s{i} as (select node, key, target, sum(own) over (partition by node order by key) as through, own from (select node, key, target, sum(size) as own from k{i} group by all)),
+c{i} as (select node, min(key) as key, arg_min(through, key) as through, arg_min(own, key) as own, any_value(target) as target from s{i} where through >= target group by node),
+l{i + 1} as (select doc_id, size, text_crc32, a1, a2, a3, tie, node + case when k{i}.key < c.key + (2 * (c.target - (through - own)) >= own)::int then 0 else k // 2 end as node, k // 2 as k from k{i} join c{i} c using (node))""")
+    return f"with {_CRC_SQL}, {', '.join(steps)} select doc_id, size::bigint as size, text_crc32, 'bytes' as law, node::int as shard, row_number() over (partition by node order by {md5}, doc_id, text_crc32, size) - 1 as slot, null::int as grown_shard from l{levels}"
+
+
+_VARIANTS_SQL = f"""with recursive {_CRC_SQL}, r as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) as w from documents),
+c as (select doc_id, w, count(*) as n from r group by all), h as (select w, n, {_crc("coalesce(doc_id::varchar, '') || ':' || w")} as h from c, crc),
+m as (select case when h % 97 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as w, n from h),
+v as (select w, sum(n)::bigint as n from m where length(w) >= 5 group by w having sum(n) >= 3),
+g as (select w, i, substr(w, 1, i::int - 1) || substr(w, i::int + 1) as s from (select w, unnest(range(1, length(w) + 1)) as i from v)),
+p as (select a.w, b.w as x from g a join g b on a.i = b.i and a.s = b.s and a.w <> b.w union select w, s from g where s in (select w from v) union select s, w from g where s in (select w from v)),
+b as (select p.w, count(*) as n_near, arg_min(x, (-v.n, x)) as x, max(v.n) as xn from p join v on v.w = p.x group by p.w),
+f as (select v.w, v.n, coalesce(n_near, 0) as n_near, case when xn >= 2 * v.n then x end as form, case when xn >= 2 * v.n then xn end as form_n from v left join b using (w)),
+t(w, z) as (select w, w from f union all select t.w, f.form from t join f on f.w = t.z where f.form is not null)
+select f.w as word, f.form, z as root, f.n, f.n_near, f.form_n from f join t on t.w = f.w join f e on e.w = z and e.form is null"""
+
+_DIVERGENCE_SQL = """with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w, row_number() over () as i from documents),
+x as (select lang, source, i, unnest(w) as term from d), t as (select lang, term from x group by all having count(distinct i) >= 10),
+c as (select lang, source, term, count(*)::hugeint as n from x semi join t using (lang, term) group by all), g as (select distinct lang, source from d), v as (select lang, count(*)::hugeint as v from t group by lang),
+s as (select g.lang, g.source, coalesce(any_value(v.v), 0) + 0::hugeint as v, coalesce(sum(c.n), 0)::hugeint as n from g left join v using (lang) left join c on c.lang = g.lang and c.source = g.source group by all),
+k as (select s.lang, s.source, t.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (s.n + 2 * s.v) as p from s join t using (lang) left join c on c.lang = s.lang and c.source = s.source and c.term = t.term),
+l as (select lang, term, sum(n)::hugeint as n from c group by all), q as (select lang, term, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang)::hugeint + 2 * (count(*) over (partition by lang))) as q from l),
+pv as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::hugeint as f from k a join k b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pr as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+tr as (select k.lang, k.source, 'term' as part, k.term as item, ((p - q) * (p - q) // (p + q))::bigint as value from k join q using (lang, term) where k.n > 0 and p > q),
+o as (select *, row_number() over (partition by lang, source, part order by value desc, item) as r from (select * from pr union all select * from tr)) select lang, source, part, item, value, r::int as rank from o where part = 'pair' or r <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op11_sharding": _kd_sql(), "op12_spelling_variants": _VARIANTS_SQL, "op13_source_divergence": _DIVERGENCE_SQL, "op1_ngram_jaccard_join": _JACCARD_SQL, "op9_license_scan": _license_sql()}
