@@ -163,7 +163,7 @@ def _neighbours(words: DataFrame, work: Workspace, shard: int, hot: int) -> Data
     level, out = words.select(F.lit("").alias("ctx"), F.col("word").alias("rest"), "word", "n"), None
     while True:
         keys = work.table(_keys(level))
-        many, holding = work.table(keys.groupBy("key").agg(F.count_if("holds").alias("h")).filter(F.col("h") > hot).select("key")), keys.filter("holds").count()
+        many, holding = work.table(keys.filter("holds and seg <> ''").groupBy("key").agg(F.count("*").alias("h")).filter(F.col("h") > hot).select("key")), keys.filter("holds").count()
         n_hot = many.count()
         calm = keys.join(maybe_broadcast(many, n_hot, 100), "key", "left_anti") if n_hot else keys
         shards = max(1, holding // (2 * shard))
