@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.acl import vector_id
 from pairloom.operators.sections import section_texts
-from pairloom.operators.store import KEY, SnapshotStore, delete, upsert
+from pairloom.operators.store import KEY, SnapshotStore
 from pairloom.schemas import PAYLOAD, VECTOR
 
 Embedder = Callable[[Column], Column]
@@ -39,7 +39,7 @@ def embed_corpus(docs: DataFrame, embed: Embedder, model: str, version: int | Co
 
 
 def index_corpus(store: SnapshotStore, docs: DataFrame, embed: Embedder, model: str, version: int = 1, limit: int | None = None, clear: bool = False) -> DataFrame:
-    """Embed documents and put them into the store, all in one snapshot; with ``clear`` the store holds nothing else afterwards,
+    """Embed documents and put them into the store, all in one commit; with ``clear`` the store holds nothing else afterwards,
     with ``limit`` only the first so many by id are indexed. Returns what was added to each document."""
     docs = docs.orderBy("doc_id").limit(limit) if limit else docs
     rows = embed_corpus(docs, embed, model, version)
@@ -57,7 +57,7 @@ def index_document(store: SnapshotStore, docs: DataFrame, doc_id: str, embed: Em
 
 
 class PayloadStore(SnapshotStore):
-    """Extracted payloads by document and version, in snapshots like the vectors."""
+    """Extracted payloads by document and version, in a ledger like the vectors."""
 
     schema = PAYLOAD
 
@@ -69,7 +69,7 @@ class PayloadStore(SnapshotStore):
 
 
 class Index:
-    """The two tables of a service. Vectors are written first, so that a payload never stands without them."""
+    """The two tables of a service. Vectors come first and go last, so that a payload never stands without them."""
 
     def __init__(self, spark: SparkSession, path: str, embed: Embedder, model: str):
         self.vectors, self.payloads = SnapshotStore(spark, f"{path}/vectors"), PayloadStore(spark, f"{path}/payloads")
@@ -78,13 +78,13 @@ class Index:
     def put(self, docs: DataFrame, version: int = 1) -> DataFrame:
         """Index documents (with a column payload, JSON) and keep their payloads; returns what was added."""
         added = index_corpus(self.vectors, docs, self.embed, self.model, version)
-        self.payloads.write(upsert(self.payloads.current(), docs.select("doc_type", "doc_id", F.lit(version).alias("version"), "payload")))
+        self.payloads.upsert(docs.select("doc_type", "doc_id", F.lit(version).alias("version"), "payload"))
         return added
 
     def remove(self, gone: DataFrame) -> None:
         """Documents (doc_type, doc_id, version or null for all) leave both tables."""
-        self.vectors.write(delete(self.vectors.current(), gone))
-        self.payloads.write(delete(self.payloads.current(), gone))
+        self.payloads.delete(gone)
+        self.vectors.delete(gone)
 
     def with_payloads(self, hits: DataFrame) -> DataFrame:
         """Hits (doc_type, doc_id, ...) that have a payload, with it."""

@@ -1,10 +1,11 @@
-"""The vector table as versioned snapshots: each change is a new table of anti-joins and unions, written beside the old."""
+"""Changes of the vector table: as plans over tables, and as layers of a ledger that is merged when it is read."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.ledger import HIGH, LOW, Ledger
 from pairloom.schemas import VECTOR
 
 KEY = ["doc_type", "doc_id"]
@@ -61,55 +62,49 @@ def remaining(queries: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     return queries.join(done.select(*on).distinct(), on, "left_anti")
 
 
-class SnapshotStore:
-    """Versioned directories, the last finished one being current; readers of an old snapshot are never disturbed. A store is opened
-    by its path, whether it exists or not; ``create`` writes an empty one."""
+def upsert_cuts(rows: DataFrame) -> DataFrame:
+    """What new rows end: versions up to the greatest new one of each document."""
+    return rows.groupBy(*KEY).agg(F.max("version").alias("hi")).select(*KEY, F.lit(LOW).alias("lo"), "hi")
 
-    schema, parts = VECTOR, "doc_type"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+def delete_cuts(gone: DataFrame) -> DataFrame:
+    """What goes with the documents of ``gone`` (doc_type, doc_id, version or null for all versions)."""
+    v = F.col("version").cast("int")
+    return gone.select(*KEY, F.coalesce(v, F.lit(LOW)).alias("lo"), F.coalesce(v, F.lit(HIGH)).alias("hi"))
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[int]:
-        fs, p = self._fs(self.path)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "s" and n[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+class SnapshotStore(Ledger):
+    """The vector table. A store is opened by its path, whether it exists or not; ``create`` writes an empty one. Each change adds
+    a layer and returns its number."""
+
+    schema = VECTOR
 
     def current(self) -> DataFrame:
-        found = self.versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/s{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+        return self.read()
 
     def write(self, df: DataFrame) -> int:
-        n = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").partitionBy(self.parts).parquet(f"{self.path}/s{n}")
-        return n
+        """These rows and nothing else."""
+        return self.commit(df, replace=True)
 
     def create(self) -> None:
         """An empty snapshot, where there is none yet."""
         if not self.versions():
-            self.write(self.spark.createDataFrame([], self.schema))
+            self.commit()
 
-    def prune(self, keep: int = 2) -> None:
-        """Drop all snapshots but the last so many."""
-        for n in self.versions()[:-keep]:
-            fs, p = self._fs(f"{self.path}/s{n}")
-            fs.delete(p, True)
+    def upsert(self, new: DataFrame, once: tuple[str, int] | None = None) -> int:
+        return self.commit(new, upsert_cuts, once=once)
 
-    def upsert(self, new: DataFrame) -> int:
-        return self.write(upsert(self.current(), new))
+    def upsert_all(self, rows: DataFrame) -> int:
+        """Rows of several versions of a document, which replace their own versions only."""
+        own = lambda r: r.select(*KEY, F.col("version").alias("lo"), F.col("version").alias("hi")).distinct()
+        return self.commit(rows, own)
 
     def delete(self, gone: DataFrame) -> int:
-        return self.write(delete(self.current(), gone))
+        return self.commit(cuts=delete_cuts(gone))
 
-    def point_read(self, doc_type: str, doc_id: str, version: int | None = None) -> DataFrame:
-        rows = self.current().filter((F.col("doc_type") == doc_type) & (F.col("doc_id") == doc_id))
-        return rows.filter(F.col("version") == version) if version is not None else rows
+    def apply(self, new: DataFrame, gone: DataFrame, once: tuple[str, int] | None = None) -> int:
+        """Deletes, and upserts after them, in one commit."""
+        return self.commit(new, lambda rows: upsert_cuts(rows).unionByName(delete_cuts(gone)), once=once)
 
     def count(self, doc_type: str) -> int:
         return self.current().filter(F.col("doc_type") == doc_type).count()

@@ -7,29 +7,7 @@ skills, customers are requirements; events stand for the outbox and the job tabl
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pairloom.plans import evaluations, hybrids, lexical, logs, pieces, services, texts, vectors  # noqa: F401
+from pairloom.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL where SQL can express it."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from pairloom.plans import evaluations, hybrids, lexical, logs, pieces, services, texts, vectors  # noqa: E402, F401
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import evaluation, statistics
 from pairloom.operators.ranking import ranked
-from pairloom.plans.catalogue import query, table
+from pairloom.plans.registry import query, table
 from pairloom.plans.vectors import KNN, knn
 
 RUN = f"""{KNN}, r as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from s),
@@ -39,11 +39,11 @@ def _metric(name: str):
     return f
 
 
-from pairloom.plans import catalogue  # noqa: E402
+from pairloom.plans import registry  # noqa: E402
 
 for _name, _column in (("metric_ndcg", "ndcg"), ("metric_precision", "precision"), ("metric_recall", "recall"), ("metric_mrr", "rr"), ("metric_map", "ap")):
     _f = _metric(_column)
-    catalogue.QUERIES[_name], catalogue.ORACLE_SQL[_name] = catalogue.QUERIES.pop("f"), catalogue.ORACLE_SQL.pop("f")
+    registry.QUERIES[_name], registry.ORACLE_SQL[_name] = registry.QUERIES.pop("f"), registry.ORACLE_SQL.pop("f")
 
 
 @query(f"with {RUN} select round(avg(ndcg), 4) as ndcg, round(avg(precision), 4) as precision, round(avg(recall), 4) as recall, round(avg(rr), 4) as rr, round(avg(ap), 4) as ap, count(*) as queries from m")

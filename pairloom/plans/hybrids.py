@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from pairloom.functions import hybrid
 from pairloom.operators.ranking import ranked
 from pairloom.operators.staging import against_all
-from pairloom.plans.catalogue import query, table
+from pairloom.plans.registry import query, table
 
 #: Customers that ask: those with numbers divisible by 100, against every supplier.
 ASKING = "c_custkey % 100 = 0"

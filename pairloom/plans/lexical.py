@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.text import VIETNAMESE
 from pairloom.operators import bm25 as lex
 from pairloom.operators.ranking import ranked
-from pairloom.plans.catalogue import query, table
+from pairloom.plans.registry import query, table
 
 TOKENS = f"regexp_extract_all(lower(text), '[a-z0-9{VIETNAMESE}_]+')"
 

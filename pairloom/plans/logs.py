@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators import acl, jobs, store
 from pairloom.operators.staging import remove_at_exit, shared_folder
-from pairloom.plans.catalogue import query, table
+from pairloom.plans.registry import query, table
 from pairloom.streaming import jobs as machine
 from pairloom.streaming import outbox
+from pairloom.streaming.worker import UNIQUE, JobTable
 
 EPOCH = "(epoch_us(ts) / 1000000.0::double)"
 LOG_SQL = f"log as (select event_id + 1 as line_no, event_id, case when user_id % 2 = 0 then 'cv' else 'jd' end as doc_type, user_id as doc_id, case when event_type = 'error' then 'delete' else 'upsert' end as action, (event_id % 1000 + 1)::int as version, {EPOCH} as created_at from events)"
@@ -113,6 +116,20 @@ def latest_version(spark, sf_dir):
     return latest(stored_and_new(spark, sf_dir)[0])
 
 
+@query(f"""with {STORE_SQL}, u as (select * from stored s where not exists (select 1 from nw where nw.doc_type = s.doc_type and nw.doc_id = s.doc_id and s.version <= 4) union all select * from nw)
+select doc_type, doc_id::varchar as doc_id, version, section from u where doc_id % 4 <> 0""")
+def merge_on_read(spark, sf_dir):
+    """A store in layers: its rows, newer versions over them, deletes over both; merged when it is read."""
+    where = shared_folder(spark)
+    kept, (old, new) = store.SnapshotStore(spark, f"{where}/store"), stored_and_new(spark, sf_dir)
+    kept.upsert_all(old)
+    kept.upsert(new)
+    gone = old.unionByName(new).select("doc_type", "doc_id", F.lit(None).cast("int").alias("version")).filter("doc_id % 4 = 0").distinct()
+    kept.delete(gone)
+    remove_at_exit(spark, where)
+    return kept.current().select("doc_type", "doc_id", "version", "section")
+
+
 # ---- access
 
 ACL_SQL = """acl as (select d.doc_id, case when d.doc_id % 3 = 0 then 'jd' when d.doc_id % 17 = 5 then 'xx' else 'cv' end as doc_type, case when quality = 0 then 'PROCESSING' else 'READY' end as status,
@@ -212,6 +229,23 @@ def claim_order(spark, sf_dir):
     return jobs.claim_order(job_rows(spark, sf_dir), NOW).select("id", F.col("place").cast("long").alias("place"))
 
 
+JOB_TABLE_SQL = "j as (select 'cv:' || id || ':1' as id, created_at from jobs where status = 'PENDING')"
+
+
+@query(f"with {JOBS_SQL}, {JOB_TABLE_SQL} select id, (1 + (row_number() over (order by created_at, id) - 1) // 100)::int as round, 1 as attempt_count from j qualify round <= 3")
+def claimed_jobs(spark, sf_dir):
+    """Requested jobs, taken by three claims of a hundred each."""
+    where = shared_folder(spark)
+    jobs_ = JobTable(spark, f"{where}/jobs")
+    j = job_rows(spark, sf_dir).filter("status = 'PENDING'")
+    requests = j.select(F.lit("cv").alias("document_type"), F.col("id").cast("string").alias("document_id"), F.lit(1).alias("version"), "created_at")
+    jobs_.request(requests.drop("created_at"), 0.0)
+    jobs_.change(lambda have: have.drop("created_at").join(requests, UNIQUE))
+    taken = [jobs_.added(jobs_.claim(NOW, 100)).select("id", F.lit(i + 1).alias("round"), "attempt_count") for i in range(3)]
+    remove_at_exit(spark, where)
+    return reduce(DataFrame.unionByName, taken)
+
+
 @query(f"with {JOBS_SQL} select id, status, case when status = 'PROCESSING' and updated_at < {NOW} - 300 then case when attempt_count >= 3 then 'FAILED' else 'PENDING' end else status end as new_status from jobs")
 def stale_requeue(spark, sf_dir):
     """Stale jobs start again or fail."""
@@ -235,11 +269,12 @@ def _write_in_order(df: DataFrame, order: str, parts: int, write) -> None:
         write(part.write.mode("append"))
 
 
-@query(f"""with {LOG_SQL}, ends as (select min(line_no) as lo, max(line_no) + 1 - min(line_no) as n from log),
-l as (select log.*, (line_no >= lo + n * 1 // 4)::int + (line_no >= lo + n * 2 // 4)::int + (line_no >= lo + n * 3 // 4)::int as batch, line_no as place from log, ends),
-e as (select batch, doc_type, doc_id, arg_max(action, place) as action, arg_max(version, place) as version from l group by all)
-select doc_type, doc_type || '_' || doc_id as doc_id, max(version) as version, count(*) * 2 as sections from e
-where action = 'upsert' and not exists (select 1 from e f where f.doc_type = e.doc_type and f.doc_id = e.doc_id and f.batch > e.batch and (f.action = 'delete' or f.version >= e.version)) group by all""")
+#: The order of the log alone decides: an upsert stands if no delete and no upsert of the same or a higher version follows.
+STANDING_SQL = """select doc_type, doc_type || '_' || doc_id as doc_id, version, 2::bigint as sections from log e where action = 'upsert'
+and not exists (select 1 from log f where f.doc_type = e.doc_type and f.doc_id = e.doc_id and f.line_no > e.line_no and (f.action = 'delete' or f.version >= e.version))"""
+
+
+@query(f"with {LOG_SQL} {STANDING_SQL}")
 def stream_outbox_apply(spark, sf_dir):
     """The log as a stream of files, applied to an empty store; the rows that remain."""
     where = shared_folder(spark)
@@ -255,7 +290,7 @@ def stream_outbox_apply(spark, sf_dir):
     q = outbox.apply_log(outbox.read_log(spark, f"{where}/log", 1), kept, resolve, f"{where}/checkpoint", f"{where}/rejected")
     q.awaitTermination()
     remove_at_exit(spark, where)
-    return kept.current().groupBy("doc_type", "doc_id").agg(F.max("version").alias("version"), F.count("*").alias("sections"))
+    return kept.current().groupBy("doc_type", "doc_id", "version").agg(F.count("*").alias("sections"))
 
 
 COMMANDS = {"signup": "create", "view": "claim", "click": "step", "purchase": "ready", "error": "error"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import dates, hybrid, payload, text
 from pairloom.operators import acl, jobs, ranking, sections, statistics, store
 from pairloom.operators.staging import remove_at_exit, shared_folder
-from pairloom.plans.catalogue import query, table
+from pairloom.plans.registry import query, table
 from pairloom.plans.logs import STORE_SQL, stored_and_new
 from pairloom.sources import io
 

@@ -14,7 +14,7 @@ from pairloom.operators.matching import most_similar, section_pairs
 from pairloom.operators.ranking import global_hybrid as over_all_pairs
 from pairloom.operators.ranking import ranked
 from pairloom.operators.staging import remove_at_exit, shared_folder
-from pairloom.plans.catalogue import query, table
+from pairloom.plans.registry import query, table
 from pairloom.plans.evaluations import RUN, metrics
 from pairloom.plans.hybrids import WANT_SQL, coverages, offers, wants
 from pairloom.plans.lexical import BM25_SQL

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import dates, payload, text
 from pairloom.operators import chunking, sections
 from pairloom.operators.staging import against_all, maybe_broadcast
-from pairloom.plans.catalogue import query, table
+from pairloom.plans.registry import query, table
 
 CHUNK = "(regexp_extract_all(text, '\\S+'))"
 

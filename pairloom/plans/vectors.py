@@ -12,7 +12,7 @@ from pairloom.operators.ranking import alpha_sweep as sweep
 from pairloom.operators.ranking import cascade, fuse, ranked
 from pairloom.operators.ranking import fuse_raw as raw
 from pairloom.operators.ranking import pool_union as union_of
-from pairloom.plans.catalogue import query, table
+from pairloom.plans.registry import query, table
 from pairloom.plans.lexical import BM25_SQL, bm25_scores
 
 NAMES = ("skills", "experience", "education", "summary")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from pairloom.operators.store import SnapshotStore
+from pairloom.operators.ledger import MOST
+from pairloom.operators.store import KEY, SnapshotStore
 from pairloom.schemas import DOC_TYPES, EVENT
 
 ACTIONS, MAX_VERSION = ("upsert", "delete"), 1000
@@ -35,22 +38,45 @@ def read_log(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFram
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
+def effects(events: DataFrame) -> DataFrame:
+    """What a batch of events does to each document, in whatever batches the log comes: its deletes, and the upserts that stand at
+    the end (live). An upsert ends lower versions and its own, not higher ones; so it stands if no delete and no upsert of the
+    same or a higher version follows. Events count in the order of their lines, and without line numbers in that of their times.
+
+    Versions are few (``MAX_VERSION``), so a document's events are reduced to one for each version before they are ordered.
+    """
+    rest = [c for c in events.columns if c not in KEY]
+    slot = F.when(F.col("action") == "upsert", F.col("version")).otherwise(0)
+    place = F.struct("line_no", "created_at", "version", "event_id")
+    last = events.withColumns({"__slot": slot, "__place": place}).groupBy(*KEY, "__slot").agg(F.max_by(F.struct(*rest), "__place").alias("e"), F.max("__place").alias("__place"))
+    whole = W.partitionBy(*KEY)
+    cleared = F.max(F.when(F.col("__slot") == 0, F.col("__place"))).over(whole)
+    later = F.max("__slot").over(whole.orderBy(F.desc("__place")).rowsBetween(W.unboundedPreceding, -1))
+    live = (F.col("__slot") > 0) & (cleared.isNull() | (F.col("__place") > cleared)) & (F.coalesce(later, F.lit(0)) < F.col("__slot"))
+    return last.withColumn("live", live).select(*KEY, "e.*", "live")
+
+
 def apply_log(events: DataFrame, store: SnapshotStore, resolve: Callable[[DataFrame], DataFrame], checkpoint: str, rejected: str, loop_seconds: int | None = None):
     """Start the query that keeps the store in step with the log.
 
-    Each micro-batch is compacted to one event a document; ``resolve`` turns upserts into vector rows (documents that it
-    does not know drop out). Events count in the order of their lines, and without line numbers in that of their times. A batch that
-    runs again writes the same rows, for ids and versions are replaced, not added, and rejected events have a folder for each batch.
+    Each micro-batch becomes one commit of its ``effects``: what it deletes, then what it leaves; the end state does not depend on where
+    batches are cut. ``resolve`` turns upserts into vector rows; documents that it does not know drop out, and it decides so by the document,
+    not the version. A batch that runs again is not committed again, and rejected events have a folder for each batch.
     """
+    ids: list[str] = []
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        ids[:] = ids or [json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]]  # of the query, also after a restart
+        df = df.persist()
         df.filter(~valid()).write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
-        last = compacted(df.filter(valid()).withColumn("__place", F.struct("line_no", "created_at", "version", "event_id")), "__place")
-        new = resolve(last.filter("action = 'upsert'"))
-        gone = last.filter("action = 'delete'").select("doc_type", "doc_id", F.lit(None).cast("int").alias("version"))
-        from pairloom.operators.store import delete, upsert
-
-        store.write(delete(upsert(store.current(), new), gone))
+        done = effects(df.filter(valid())).persist()
+        gone = done.filter("action = 'delete'").select(*KEY, F.lit(None).cast("int").alias("version"))
+        store.apply(resolve(done.filter("live").drop("live")), gone, once=(ids[0], batch_id))
+        if store.compact():
+            store.prune(2 * MOST)
+        done.unpersist()
+        df.unpersist()
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{loop_seconds} seconds") if loop_seconds else writer.trigger(availableNow=True)).start()

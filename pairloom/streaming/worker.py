@@ -1,4 +1,4 @@
-"""The processing worker: a job table in snapshots, the run of claimed jobs as one plan, and the loop around it.
+"""The processing worker: a job table in a ledger, the run of claimed jobs as one plan, and the loop around it.
 
 A round takes the due jobs in order, as many as the round may hold, and runs them together: texts are cleaned and hashed, what is
 unchanged and still indexed is finished at once, the rest is parsed, indexed and finished. A job that fails alone goes
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.text import clean_text, content_hash, format_error, merge_broken_lines
 from pairloom.operators.indexing import Index
 from pairloom.operators.jobs import BASE_DELAY, MAX_ATTEMPTS, PERMANENT, STALE_SECONDS, backoff, claim_order, requeue_stale
+from pairloom.operators.ledger import MOST
 from pairloom.operators.staging import staged
 from pairloom.operators.store import SnapshotStore, indexed
 from pairloom.schemas import JOB
@@ -26,21 +27,43 @@ UNIQUE = ["document_type", "document_id", "version"]
 
 
 class JobTable(SnapshotStore):
-    """Jobs by document and version; a new request for one that is there changes nothing unless that has failed or was cancelled."""
+    """Jobs by document and version in a ledger. A change writes the rows that it changes; of two that change the same jobs one wins, and
+    the other looks again, so any number of workers may share a table."""
 
     schema = JOB
-    parts = "document_type"
+    key = ("document_type", "document_id")
+
+    def _replaced(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.key, F.col("version").alias("lo"), F.col("version").alias("hi"))
+
+    def change(self, made: Callable[[DataFrame], DataFrame]) -> int:
+        """Replace jobs by what ``made`` makes of the table; number of the commit, 0 where that is nothing."""
+        return self.transact(lambda have: (made(have), self._replaced))
 
     def request(self, new: DataFrame, now: float) -> int:
-        """Add requests (document_type, document_id, version, text, ...) as pending jobs."""
-        have = self.current()
-        again = F.col("status").isin("FAILED", "CANCELLED")
-        once = new.dropDuplicates(UNIQUE)
-        stays = have.join(once.select(*UNIQUE, F.lit(True).alias("__asked")), UNIQUE, "left").filter(F.col("__asked").isNull() | ~again).drop("__asked")
-        known = have.filter(~again).select(*UNIQUE)
+        """Add requests (document_type, document_id, version, text, ...) as pending jobs; one for a job that is there changes nothing unless
+        that has failed or was cancelled."""
         start = {"id": F.concat_ws(":", *[F.col(c).cast("string") for c in UNIQUE]), "status": F.lit("PENDING"), "step": F.lit("QUEUED"), "attempt_count": F.lit(0), "next_attempt_at": F.lit(now), "created_at": F.lit(now), "updated_at": F.lit(now)}
-        fresh = once.join(known, UNIQUE, "left_anti").withColumns(start)
-        return self.write(stays.unionByName(fresh, allowMissingColumns=True))
+        fresh = new.dropDuplicates(UNIQUE).withColumns(start)
+        return self.change(lambda have: fresh.join(have.filter(~F.col("status").isin("FAILED", "CANCELLED")).select(*UNIQUE), UNIQUE, "left_anti"))
+
+    def claim(self, now: float, most: int) -> int:
+        """Take the first due jobs into work; ``added`` of the number has them. No job is taken twice."""
+
+        def taken(have: DataFrame) -> DataFrame:
+            new = {"status": F.lit("PROCESSING"), "step": F.lit("EXTRACTING"), "attempt_count": F.col("attempt_count") + 1, "started_at": F.coalesce("started_at", F.lit(now)), "updated_at": F.lit(now)}
+            return claim_order(have, now).filter(F.col("place") <= most).drop("place").withColumns(new)
+
+        return self.change(taken)
+
+    def requeue(self, now: float, stale: float = STALE_SECONDS, attempts: int = MAX_ATTEMPTS) -> int:
+        """What a stopped worker left in work goes back to the queue, or has failed."""
+
+        def freed(have: DataFrame) -> DataFrame:
+            j = requeue_stale(have, now, stale, attempts).filter(F.col("new_status") != F.col("status"))
+            return j.withColumns({"step": F.when(F.col("new_status") == "PENDING", "QUEUED").otherwise(F.col("step")), "status": F.col("new_status")}).drop("new_status")
+
+        return self.change(freed)
 
 
 def run(jobs: DataFrame, index: Index, parse: Callable[[Column], Column], skip_unchanged: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -92,28 +115,22 @@ class Worker:
 
     def requeue(self, now: float) -> None:
         """What a stopped worker left in work goes back to the queue."""
-        j = requeue_stale(self.jobs.current(), now, self.stale, self.attempts)
-        j = j.withColumns({"step": F.when(F.col("new_status") == "PENDING", "QUEUED").otherwise(F.col("step")), "status": F.col("new_status")})
-        self.jobs.write(j.drop("new_status"))
+        self.jobs.requeue(now, self.stale, self.attempts)
 
     def round(self, now: float) -> int:
         """Claim the due jobs and run them; how many there were."""
-        table = self.jobs.current()
-        claimed = staged(claim_order(table, now).filter(F.col("place") <= self.most).select("id"))
-        n = claimed.count()
-        if not n:
+        seq = self.jobs.claim(now, self.most)
+        if not seq:
             return 0
-        mine = table.join(claimed.withColumn("__mine", F.lit(True)), "id", "left")
-        start = lambda c, x: F.when(F.col("__mine"), x).otherwise(F.col(c))
-        new = {"status": start("status", F.lit("PROCESSING")), "step": start("step", F.lit("EXTRACTING")), "attempt_count": start("attempt_count", F.col("attempt_count") + 1), "started_at": start("started_at", F.coalesce("started_at", F.lit(now))), "updated_at": start("updated_at", F.lit(now))}
-        self.jobs.write(mine.withColumns(new).drop("__mine"))
-        table = self.jobs.current()
-        outcomes, docs = run(table.join(claimed, "id", "left_semi"), self.index, self.parse)
+        claimed = self.jobs.added(seq)
+        outcomes, docs = run(claimed, self.index, self.parse)
         for version in [r.version for r in docs.select("version").distinct().orderBy("version").collect()]:
             self.index.put(docs.filter(F.col("version") == version), version)
-        self.jobs.write(settled(table, outcomes, now, self.attempts))
-        self.jobs.prune(3)
-        return n
+        mine = claimed.select("id", "attempt_count", "updated_at", "status")  # a job that was taken away as stale is another worker's now
+        self.jobs.change(lambda have: settled(have.join(mine, mine.columns, "left_semi"), outcomes, now, self.attempts))
+        if self.jobs.compact():
+            self.jobs.prune(2 * MOST)
+        return claimed.count()
 
     def loop(self, poll: float = 1.0, clock: Callable[[], float] = time.time) -> None:
         """Until ``stopped``: a round at once while there is work, else after a pause. Starts with what was left in work."""
