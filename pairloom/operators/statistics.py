@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -112,6 +113,27 @@ def bootstrap_ci(values: DataFrame, by: str, value: str, resamples: int = 1000,
     return values.select(by, value).groupBy(by).applyInPandas(run, f"{by} {kind}, mean double, low double, high double")
 
 
+#: How often a value is drawn when as many are drawn as there are: Poisson with mean 1, by 32 bits of a hash below these bounds.
+DRAWS = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12)]
+
+
+def draws(unit: Column, resample: Column) -> Column:
+    """How often a resample draws a unit: fixed by the two alone, wherever the row lies."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", unit.cast("string"), resample.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return reduce(lambda a, b: a + b, [(u >= bound).cast("int") for bound in DRAWS])
+
+
+def resampled_ci(values: DataFrame, by: str, unit: str, value: str, resamples: int = 1000, level: float = 0.95) -> DataFrame:
+    """by, mean, low, high: the interval of resampled means, for groups of any size. Weights come from a hash of unit and number of the
+    resample, so tasks add up weighted sums of what they hold, and only one row for each resample leaves them. Nulls are left out; a
+    resample that draws nothing has no mean."""
+    v = values.select(by, unit, value).filter(F.col(value).isNotNull()).withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    v = v.withColumn("__n", draws(F.col(unit), F.col("__r"))).filter("__n > 0")
+    means = v.groupBy(by, "__r").agg((F.sum(F.col(value) * F.col("__n")) / F.sum("__n")).alias("__m"))
+    ends = means.groupBy(by).agg(*[F.percentile("__m", F.lit(p)).alias(n) for n, p in (("low", (1 - level) / 2), ("high", (1 + level) / 2))])
+    return values.groupBy(by).agg(F.avg(value).alias("mean")).join(ends, by, "left")
+
+
 def folds(ids: DataFrame, permutation: list, k: int = 5) -> DataFrame:
     """ids with the fold of their place in a permutation, the first folds one longer where k does not divide."""
     spark, n = ids.sparkSession, len(permutation)

@@ -111,6 +111,15 @@ def bootstrap_ci(spark, sf_dir):
     return statistics.bootstrap_ci(v, "metric", "ndcg")
 
 
+@query(f"""with {RUN}, x as (select query_id, ndcg, r, ('0x' || substr(md5(query_id || ':' || r), 1, 8))::bigint as u from m, (select unnest(range(1, 1001)) as r)),
+w as (select r, ndcg, {' + '.join(f'(u >= {b})::int' for b in statistics.DRAWS)} as n from x), e as (select r, sum(ndcg * n) / sum(n) as mean from w where n > 0 group by r)
+select 'ndcg' as metric, (select round(avg(ndcg), 6) from m) as mean, round(quantile_cont(mean, 0.025), 6) as low, round(quantile_cont(mean, 0.975), 6) as high from e""")
+def bootstrap_mergeable(spark, sf_dir):
+    """The interval from weights that a hash fixes: summed within the tasks."""
+    v = metrics(spark, sf_dir).select(F.lit("ndcg").alias("metric"), "query_id", "ndcg")
+    return statistics.resampled_ci(v, "metric", "query_id", "ndcg").select("metric", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
 @query()
 def paired_p_values(spark, sf_dir):
     """p values of the paired t and the signed-rank test."""

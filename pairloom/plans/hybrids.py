@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pairloom.functions import hybrid
+from pairloom.operators.containment import matching_skills
 from pairloom.operators.ranking import ranked
 from pairloom.operators.staging import against_all
 from pairloom.plans.registry import query, table
@@ -51,13 +52,10 @@ def skill_coverage(spark, sf_dir):
 @query("""with a as (select distinct lower(trim(p_name)) as a from part), b as (select distinct lower(trim(regexp_replace(p_name, '^\\S+\\s+', ''))) as b from part)
 select a, b from a, b where a = b or len(list_filter(string_split(a, ' '), lambda x: not list_contains(string_split(b, ' '), x))) = 0 or len(list_filter(string_split(b, ' '), lambda x: not list_contains(string_split(a, ' '), x))) = 0""")
 def skill_theta_match(spark, sf_dir):
-    """Pairs of type names of which one's words are all among the other's. A pair needs a common word, so candidates meet by
-    an equi-join on words before the predicate runs."""
+    """Pairs of type names of which one's words are all among the other's; each name is filed under its rarest word."""
     p = table(spark, sf_dir, "part")
-    a = p.select(hybrid.normalize_skill(F.col("p_name")).alias("a")).distinct()
-    b = p.select(hybrid.normalize_skill(F.regexp_replace("p_name", r"^\S+\s+", "")).alias("b")).distinct()
-    wa, wb = a.withColumn("w", F.explode(F.split("a", " "))), b.withColumn("w", F.explode(F.split("b", " ")))
-    return wa.join(wb, "w").select("a", "b").distinct().filter(hybrid.skill_match(F.col("a"), F.col("b")))
+    a, b = hybrid.normalize_skill(F.col("p_name")), hybrid.normalize_skill(F.regexp_replace("p_name", r"^\S+\s+", ""))
+    return matching_skills(p.select(a.alias("name")).distinct(), p.select(b.alias("name")).distinct())
 
 
 @query("""select s_suppkey as doc_id, c_custkey as query_id, round(case when c_nationkey % 7 = 0 then 1 else least(1, (s_nationkey % 9) / (c_nationkey % 7)::double) end, 6) as score from supplier join customer on c_custkey % 100 = 0""")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pairloom.operators import acl, jobs, store
 from pairloom.operators.staging import remove_at_exit, shared_folder
 from pairloom.plans.registry import query, table
+from pairloom.schemas import EVENT
 from pairloom.streaming import jobs as machine
-from pairloom.streaming import outbox
+from pairloom.streaming import linelog, outbox, timers
 from pairloom.streaming.worker import UNIQUE, JobTable
 
 EPOCH = "(epoch_us(ts) / 1000000.0::double)"
@@ -258,15 +259,26 @@ def backoff_schedule(spark, sf_dir):
     return job_rows(spark, sf_dir).filter("attempt_count > 0").select("id", F.round(jobs.backoff(F.col("attempt_count")), 6).alias("delay"))
 
 
-def _write_in_order(df: DataFrame, order: str, parts: int, write) -> None:
-    """The rows as so many files of rising ``order``, one written after the other: a stream of files takes them by time."""
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    if lo is None:
-        return write(df.limit(0).write)
-    for i in range(parts):
-        a, b = (lo + (hi + 1 - lo) * x // parts for x in (i, i + 1))
-        part = df.filter((F.col(order) >= a) & (F.col(order) < b)).coalesce(1).sortWithinPartitions(order)
-        write(part.write.mode("append"))
+def _segments(df: DataFrame, order: str, path: str) -> None:
+    """The rows as lines of JSON in segments of rising ``order``, written side by side."""
+    lines = df.select(order, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    lines.repartitionByRange(order).sortWithinPartitions(order).select("value").write.text(path)
+
+
+def _stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of the lines as a stream, with the number of each line."""
+    return linelog.read_lines(spark, path).select("line_no", F.from_json("value", schema).alias("e")).select("line_no", "e.*")
+
+
+@query(f"with {LOG_SQL} select line_no, event_id, doc_type, doc_id, action, version from log")
+def stream_log_lines(spark, sf_dir):
+    """The log in segments, read as a stream of numbered lines."""
+    where = shared_folder(spark)
+    _segments(log(spark, sf_dir).drop("line_no"), "event_id", f"{where}/log")
+    lines = _stream(spark, f"{where}/log", "event_id long, doc_type string, doc_id long, action string, version int")
+    lines.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    remove_at_exit(spark, where)
+    return spark.read.schema(lines.schema).parquet(f"{where}/out")
 
 
 #: The order of the log alone decides: an upsert stands if no delete and no upsert of the same or a higher version follows.
@@ -276,10 +288,10 @@ and not exists (select 1 from log f where f.doc_type = e.doc_type and f.doc_id =
 
 @query(f"with {LOG_SQL} {STANDING_SQL}")
 def stream_outbox_apply(spark, sf_dir):
-    """The log as a stream of files, applied to an empty store; the rows that remain."""
+    """The log as a stream of lines, applied to an empty store; the rows that remain."""
     where = shared_folder(spark)
     e = log(spark, sf_dir).withColumns({"event_id": F.lpad(F.col("event_id").cast("string"), 9, "0"), "doc_id": F.concat_ws("_", "doc_type", F.col("doc_id").cast("string"))})
-    _write_in_order(e, "line_no", 4, lambda w: w.json(f"{where}/log"))
+    _segments(e.drop("line_no"), "event_id", f"{where}/log")
     kept = store.SnapshotStore(spark, f"{where}/store")
 
     def resolve(upserts: DataFrame) -> DataFrame:
@@ -287,7 +299,8 @@ def stream_outbox_apply(spark, sf_dir):
         rows = s.select(acl.vector_id(F.col("doc_type"), F.col("doc_id"), F.col("version"), F.col("section")).alias("vector_id"), "doc_type", "doc_id", "version", "section", F.lit(None).cast("array<float>").alias("embedding"), F.lit("").alias("text"), "status", "visibility", "owner_id")
         return rows.withColumns({"language": F.lit("en"), "embedding_model": F.lit("hash"), "content_hash": F.sha2("doc_id", 256)})
 
-    q = outbox.apply_log(outbox.read_log(spark, f"{where}/log", 1), kept, resolve, f"{where}/checkpoint", f"{where}/rejected")
+    events = _stream(spark, f"{where}/log", ", ".join(c for c in EVENT.split(", ") if c != "line_no long"))
+    q = outbox.apply_log(events, kept, resolve, f"{where}/checkpoint", f"{where}/rejected")
     q.awaitTermination()
     remove_at_exit(spark, where)
     return kept.current().groupBy("doc_type", "doc_id", "version").agg(F.count("*").alias("sections"))
@@ -302,8 +315,8 @@ def stream_job_state(spark, sf_dir):
     where = shared_folder(spark)
     table_ = F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])
     c = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), table_[F.col("event_type")].alias("kind"), seconds().alias("at"), F.lit(None).cast("string").alias("error"), F.lit("PARSING").alias("step"), F.lit(None).cast("string").alias("hash"))
-    _write_in_order(c, "seq", 3, lambda w: w.parquet(f"{where}/in"))
-    states = machine.run_jobs(spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in"))
+    _segments(c, "seq", f"{where}/in")
+    states = machine.run_jobs(_stream(spark, f"{where}/in", "key string, seq long, kind string, at double, error string, step string, hash string").drop("line_no"))
 
     def batch(df: DataFrame, n: int) -> None:
         df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{where}/out")
@@ -314,6 +327,25 @@ def stream_job_state(spark, sf_dir):
     return out.groupBy("key").agg(F.max_by(F.struct("status", "attempts"), "batch").alias("s")).select("key", "s.status", "s.attempts")
 
 
+STALE = 86_400
+
+
+@query(f"""with s as (select user_id::varchar as key, event_id, epoch_us(ts) // 1000 as t0, lead(epoch_us(ts) // 1000) over (partition by user_id order by ts, event_id) as nx, max(epoch_us(ts) // 1000) over () as hi from events),
+f as (select key, t0 + {STALE}000 as due_ms, row_number() over (partition by key order by t0, event_id) as attempts from s where nx - t0 > {STALE}000 or (nx is null and t0 + {STALE}000 < hi))
+select key, due_ms, attempts::int as attempts, case when attempts = 3 then 'FAILED' else 'PENDING' end as status from f where attempts <= 3""")
+def stream_returns(spark, sf_dir):
+    """Events as signs of life of one job a user: the moments at which silent jobs come back by their timers."""
+    where = shared_folder(spark)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    _segments(e, "us", f"{where}/in")
+    signs = _stream(spark, f"{where}/in", "key string, us long").select("key", F.timestamp_micros("us").alias("at"))
+    with timers.timed_state(spark):
+        q = timers.returning(signs, STALE).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    remove_at_exit(spark, where)
+    return spark.read.schema(timers.RETURNS).parquet(f"{where}/out")
+
+
 @query("""select date_trunc('day', ts) as start, event_type, count(*) as events from events group by all""")
 def activity_windows(spark, sf_dir):
     """Events by day and type: the batch twin of the windowed stream."""

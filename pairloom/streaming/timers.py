@@ -1,6 +1,6 @@
 """Jobs that come back by themselves: state timers over a stream of signs of life.
 
-A job whose worker has been silent for ``stale`` seconds goes back to the queue at that very moment of event time, or has failed once
+A job whose worker has been silent for more than ``stale`` seconds goes back to the queue at that very moment of event time, or has failed once
 its attempts are used up; after that it is let go. Nobody has to ask: the state registers a timer for each job in work. What is
 emitted depends on the signs alone, not on how they are cut into micro-batches: silence between two signs of one batch is found
 in their order, and silence after the last one by the timer.

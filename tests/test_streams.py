@@ -70,7 +70,7 @@ def test_jobs_come_back_by_timers_alone(spark, tmp_path):
     for key in {k for _, k in signs}:
         mine, n = [s for s, k in signs if k == key], 0
         for s, following in zip(mine, [*mine[1:], 10**9], strict=True):
-            if following - s > 100 and s + 100 <= 6000 and n < 3:
+            if following - s > 100 and s + 100 < 6000 and n < 3:
                 n += 1
                 want.add((key, (s + 100) * 1000, n, "FAILED" if n == 3 else "PENDING"))
     got = [tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect()]
