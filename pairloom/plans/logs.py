@@ -340,8 +340,9 @@ def stream_returns(spark, sf_dir):
     _segments(e, "us", f"{where}/in")
     signs = _stream(spark, f"{where}/in", "key string, us long").select("key", F.timestamp_micros("us").alias("at"))
     with timers.timed_state(spark):
-        q = timers.returning(signs, STALE).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+        q = timers.returning(signs, STALE).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").start()
+    q.processAllAvailable()  # also the batch without data in which the last timers end
+    q.stop()
     remove_at_exit(spark, where)
     return spark.read.schema(timers.RETURNS).parquet(f"{where}/out")
 
