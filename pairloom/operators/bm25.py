@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import lexical_tokens
+from pairloom.functions.text import TOKEN, lexical_tokens
 from pairloom.operators.staging import against_all, maybe_broadcast, staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Texts whose tokens a task holds at once.
+SLICE = 500
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, dl, terms: array<struct<term, tf>>. Tokens are sorted and counted within the row, so nothing is shuffled."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(lexical_tokens(F.col(text_col))).alias("s"))
-    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get(F.col("s"), i) != F.get(F.col("s"), i - 1)))
-    t = t.withColumn("p", F.when(F.size("s") > 0, first).otherwise(F.array().cast("array<int>")))
-    many = lambda x, i: F.coalesce(F.get(F.col("p"), i + 1), F.size("s")) - x
-    terms = F.transform("p", lambda x, i: F.struct(F.get(F.col("s"), x).alias("term"), many(x, i).cast("long").alias("tf")))
-    return t.select("doc_id", F.size("s").alias("dl"), terms.alias("terms"))
+    """doc_id, dl, terms: array<struct<term, tf>>, in one pass over Arrow batches of texts: nothing is shuffled, and no token becomes a row."""
+    t = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("text"))
+    find = re.compile(TOKEN).findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                sizes, ends, terms, times = [], [0], [], []
+                for text in b.column(1).to_pylist():
+                    found = find(text) if text else []
+                    n = Counter(found)
+                    sizes.append(len(found))
+                    terms += n.keys()
+                    times += n.values()
+                    ends.append(len(terms))
+                entries = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(times, pa.int64())], ["term", "tf"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], ["doc_id", "dl", "terms"])
+
+    return t.mapInArrow(run, f"doc_id {t.dtypes[0][1]}, dl int, terms array<struct<term:string,tf:bigint>>")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, term, tf, dl. The counts are staged: a plan that needs only some of them would move the sorted tokens into a lambda."""
+    """doc_id, term, tf, dl. The counts are staged, for statistics and scores both read them."""
     return _spread(staged(counted(docs, id_col, text_col)))
 
 

@@ -3,14 +3,13 @@ divisible by 100 ask, and so do the documents that hold one. In fusions every pa
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.operators import chunking, matching
+from pairloom.operators import chunking, fusion, matching
 from pairloom.operators.evaluation import gain  # noqa: F401
-from pairloom.operators.ranking import alpha_sweep as sweep
-from pairloom.operators.ranking import cascade, fuse, ranked
-from pairloom.operators.ranking import fuse_raw as raw
+from pairloom.operators.ranking import cascade, ranked
 from pairloom.operators.ranking import pool_union as union_of
 from pairloom.plans.registry import query, table
 from pairloom.plans.lexical import BM25_SQL, bm25_scores
@@ -140,6 +139,13 @@ def pool_union(spark, sf_dir):
     return union_of(ranked(sem, 10), ranked(kw, 10), 20)
 
 
+def fused(spark: SparkSession, sf_dir: str, k: int, score=lambda x: np.round(x, 6)) -> DataFrame:  # noqa: ANN001
+    """What can be among the best k of both sides' weighted sums, for every passage."""
+    v = flat(spark, sf_dir)
+    asking = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+    return fusion.met(asking, v, bm25_scores(spark, sf_dir), k, 1e-4, score)
+
+
 BOTH = f"""with {BM25_SQL}, {SEMANTIC}, {LEXICAL},
 b as (select coalesce(sem.query_id, kw.query_id) as query_id, coalesce(sem.doc_id, kw.doc_id) as doc_id, coalesce(sem.score, 0) as s, coalesce(kw.score, 0) as k
       from sem full outer join kw on sem.query_id = kw.query_id and sem.doc_id = kw.doc_id),
@@ -150,33 +156,30 @@ m as (select *, case when max(s) over w - min(s) over w <= 0 then 1 else (s - mi
 @query(f"{BOTH}, s as (select query_id, doc_id, round(0.5 * ns + 0.5 * nk, 6) as score from m) {TOP}")
 def fuse_pre(spark, sf_dir):
     """Scaled semantic and keyword scores, half and half."""
-    sem, kw = sides(spark, sf_dir)
-    return ranked(fuse(sem, kw).withColumn("score", F.round("score", 6)), 10)
+    return ranked(fused(spark, sf_dir, 10).withColumn("score", F.round(fusion.scaled(), 6)), 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"{BOTH}, s as (select query_id, doc_id, round(0.5 * s + 0.5 * k, 8) as score from b) {TOP}")
 def fuse_raw(spark, sf_dir):
     """Unscaled semantic and keyword scores, half and half."""
-    sem, kw = sides(spark, sf_dir)
-    return ranked(raw(sem, kw).withColumn("score", F.round("score", 8)), 10)
+    return ranked(fused(spark, sf_dir, 10).withColumn("score", F.round(F.col("s") * 0.5 + F.col("k") * 0.5, 8)), 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"""{BOTH.replace("from sem full", "from (select query_id, doc_id, round(0.4 * greatest(0, least(1, score)) + 0.6, 6) as score from sem) sem full")}, s as (select query_id, doc_id, round(0.5 * ns + 0.5 * nk, 6) as score from m) {TOP}""")
 def fuse_post(spark, sf_dir):
     """Hybrid scores first (without structured data all other parts are neutral), then fused with keyword scores."""
-    sem, kw = sides(spark, sf_dir)
-    hybrid = sem.withColumn("score", F.round(0.4 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))) + 0.6, 6))
-    return ranked(fuse(hybrid, kw).withColumn("score", F.round("score", 6)), 10)
+    neutral = lambda x: np.round(0.4 * np.clip(np.round(x, 6), 0, 1) + 0.6, 6)
+    return ranked(fused(spark, sf_dir, 10, neutral).withColumn("score", F.round(fusion.scaled(), 6)), 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"""{BOTH}, s as (select alpha, query_id, doc_id, round(alpha * ns + (1 - alpha) * nk, 6) as score from m, (select unnest([0.0, 0.2, 0.4, 0.5, 0.6, 0.8, 1.0])::double as alpha))
 select alpha, query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by alpha, query_id order by score desc, doc_id) as rank from s) where rank <= 3""")
 def alpha_sweep(spark, sf_dir):
     """The three best documents at each alpha, from one scaling."""
-    sem, kw = sides(spark, sf_dir)
     from pyspark.sql.window import Window as W
 
-    s = sweep(sem, kw).withColumn("score", F.round("score", 6))
+    alphas = F.explode(F.array(*[F.lit(a) for a in (0.0, 0.2, 0.4, 0.5, 0.6, 0.8, 1.0)]))
+    s = fused(spark, sf_dir, 3).withColumn("alpha", alphas).withColumn("score", F.round(fusion.scaled(F.col("alpha")), 6))
     return s.withColumn("rank", F.row_number().over(W.partitionBy("alpha", "query_id").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 3").select("alpha", "query_id", "doc_id", "score", "rank")
 
 
