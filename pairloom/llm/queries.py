@@ -97,10 +97,11 @@ QUERIES = {
 
 
 def _license_sql() -> str:
-    """The licence scan over all segments, without the cue filter that only spares work."""
+    """The licence scan over all segments and all windows, without the cue filter that only spares work."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(name)}, [{', '.join(map(quote, license_scan.word_bigrams(text)))}])" for name, text in license_scan.TEMPLATES)
     t = license_scan.THRESHOLD
+    whole = ", ".join(f"({i}, {quote(name)}, [{', '.join(map(quote, grams))}], {size}, {license_scan.least_shared(len(grams), t)})" for i, name, grams, size in license_scan.bodies(license_scan.TEMPLATES))
     return f"""with t(license, grams) as (values {rows}), d as (select doc_id, lower(coalesce(text, '')) as x from documents),
 parts as (select doc_id, unnest(string_split(x, chr(10))) as s from d union all select doc_id, unnest(string_split(regexp_replace(regexp_replace(x, '([.!?;])[ \\t]+', '\\1' || chr(31), 'g'), chr(10), chr(31), 'g'), chr(31))) from d
 union all select doc_id, unnest(string_split(regexp_replace(x, '\\n[ \\t]*\\n', chr(31), 'g'), chr(31))) from d union all select doc_id, x from d),
@@ -108,9 +109,16 @@ paras as (select doc_id, unnest(string_split(regexp_replace(x, '\\n[ \\t]*\\n',
 sent as (select doc_id, string_split(regexp_replace(regexp_replace(p, '[ \\t\\r]*\\n[ \\t\\r]*', ' ', 'g'), '([.!?;])[ \\t]+', '\\1' || chr(31), 'g'), chr(31)) as l from paras),
 seg as (select distinct doc_id, trim(s, ' ') as s from (select * from parts union all select doc_id, unnest(flatten(list_transform(range(0, {license_scan.WINDOW}), lambda k: list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:i + k], ' '))))) from sent)), w as (select doc_id, s, regexp_extract_all(s, '[\\p{{L}}\\p{{N}}]+') as w from seg),
 g as (select doc_id, s, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) > 1),
-m as (select doc_id, s, license, 2.0::double * len(list_intersect(g, grams)) / (len(g) + len(grams)) as dice from g join t on len(g) * {(2 - t) / t + 1e-9} >= len(grams) and len(grams) * {(2 - t) / t + 1e-9} >= len(g)),
-b as (select doc_id, s, max(dice) as dice, arg_min(license, (-dice, license)) as license from m group by doc_id, s having max(dice) >= {t}),
-r as (select doc_id, string_agg(distinct license, ',' order by license) as licenses, count(*) as n_segments, round(max(dice), 6) as best_dice from b group by doc_id)
+m as (select doc_id, s, g, license, 2.0::double * len(list_intersect(g, grams)) / (len(g) + len(grams)) as dice from g join t on len(g) * {(2 - t) / t + 1e-9} >= len(grams) and len(grams) * {(2 - t) / t + 1e-9} >= len(g)),
+b as (select doc_id, s, any_value(g) as g, max(dice) as dice, arg_min(license, (-dice, license)) as license from m group by doc_id, s having max(dice) >= {t}),
+body(t, license, grams, size, least) as (values {whole}), dg as (select doc_id, w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as g from (select doc_id, regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+') as w from d) where len(w) > 1),
+wi as (select doc_id, t, license, grams, w, u.s, list_distinct(g[u.s + 1:u.s + size]) as wg, least(size, len(g)) as l from dg join body on len(list_intersect(list_distinct(g), grams)) >= least, unnest(range(0, greatest(0, len(g) - size) + 1)) as u(s)),
+wd as (select doc_id, t, license, grams, s, l, w[s + 1:s + l + 1] as w, 2.0::double * len(list_intersect(wg, grams)) / (len(wg) + len(grams)) as dice from wi),
+wb as (select distinct on (doc_id, t) * from wd where dice >= {t} order by doc_id, t, dice desc, s),
+wk as (select * from wb a where not exists (select 1 from wb b where b.doc_id = a.doc_id and (b.dice > a.dice or (b.dice = a.dice and (b.l > a.l or (b.l = a.l and b.t < a.t)))) and 2 * (least(a.s + a.l, b.s + b.l) - greatest(a.s, b.s)) > least(a.l, b.l))),
+kept as (select doc_id, license, dice from wk union all select doc_id, license, dice from b where not exists (select 1 from wk where wk.doc_id = b.doc_id and len(list_intersect(b.g, wk.grams)) >= {t} * len(b.g)
+and contains(' ' || array_to_string(wk.w, ' ') || ' ', ' ' || array_to_string(regexp_extract_all(b.s, '[\\p{{L}}\\p{{N}}]+'), ' ') || ' '))),
+r as (select doc_id, string_agg(distinct license, ',' order by license) as licenses, count(*) as n_segments, round(max(dice), 6) as best_dice from kept group by doc_id)
 select doc_id, coalesce(licenses, '') as licenses, coalesce(n_segments, 0) as n_segments, best_dice from d left join r using (doc_id)"""
 
 

@@ -530,11 +530,49 @@ def brute_matches(text, threshold=0.8):
         scored = [(-2 * len(g & t) / (len(g) + len(t)), n) for n, t in templates] if g else []
         if scored and -min(scored)[0] >= threshold:
             found.add((min(scored)[1], round(-min(scored)[0], 9), p))
-    return found
+    windows = brute_windows(low, threshold)
+    spaced = lambda words: f" {' '.join(words)} "
+    inside = lambda p, w: spaced(re.findall(r"[^\W_]+", p)) in spaced(w[4]) and len(set(license_scan.word_bigrams(p)) & w[5]) >= threshold * len(license_scan.word_bigrams(p))
+    return {x for x in found if not any(inside(x[2], w) for w in windows)} | {(w[1], round(w[0], 9), " ".join(w[4])) for w in windows}
+
+
+def brute_windows(low, threshold):
+    """dice, licence, start, length, words, bigrams of the template of the windows that remain; every window is compared."""
+    words, best = re.findall(r"[^\W_]+", low), []
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    for t, name, known, size in license_scan.bodies(license_scan.TEMPLATES):
+        known = set(known)
+        if len(known & set(grams)) * 2 / (len(known & set(grams)) + len(known)) < threshold:
+            continue
+        scored = []
+        for s in range(max(0, len(grams) - size) + 1):
+            g = set(grams[s : s + size])
+            scored.append((2 * len(g & known) / (len(g) + len(known)), -s))
+        if scored and max(scored)[0] >= threshold:
+            d, s = max(scored)
+            best.append((d, name, -s, min(size, len(grams)), words[-s : min(size, len(grams)) + 1 - s], known, -t))
+    shared = lambda a, b: min(a[2] + a[3], b[2] + b[3]) - max(a[2], b[2])
+    return [a for a in best if not any((b[0], b[3], b[6]) > (a[0], a[3], a[6]) and 2 * shared(a, b) > min(a[3], b[3]) for b in best)]
+
+
+def test_licences_in_the_midst_of_longer_texts(spark):
+    """A body between code, with other words, in one line, twice, behind another licence; BSD-3 is not BSD-2, nor the other way round."""
+    texts = {name: t for name, t in license_scan.TEMPLATES if len(t) > 600}
+    code = "\n".join(f"int f{i}(int x) {{ return x * {i} + g(x, {i % 7}); }}" for i in range(400))
+    edited = " ".join(w for i, w in enumerate(texts["BSD-3-Clause"].split()) if i % 23)
+    rows = [
+        (1, f"{texts['BSD-3-Clause']}\n{code}", {"BSD-3-Clause"}), (2, f"{code}\n{texts['BSD-2-Clause']}\n{code}", {"BSD-2-Clause"}), (3, f"/* {edited} */ {code}", {"BSD-3-Clause"}),
+        (4, re.sub(r"\s+", " ", f"{code} {texts['ISC']} {code}"), {"ISC"}), (5, f"{texts['MIT']}\n{code}\n{texts['Apache-2.0']}\n{code}", {"MIT", "Apache-2.0"}), (6, texts["BSD-3-Clause"], {"BSD-3-Clause"}),
+        (7, code, set()), (8, f"{texts['MIT']}\n{code}\n{texts['MIT']}", {"MIT"}), (9, f"{texts['BSD-3-Clause']}\n{code}\nReleased under the MIT License.\n", {"BSD-3-Clause", "MIT"}),
+    ]
+    got = {r.doc_id: r.matches for r in license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, text, want in rows:
+        assert {m.license for m in got[i]} == want, (i, [(m.license, m.dice, m.segment[:60]) for m in got[i]])
+        assert {(m.license, round(m.dice, 9), m.segment) for m in got[i]} == brute_matches(text), i
 
 
 def test_license_scan_finds_whole_texts_and_wrapped_notices(spark):
-    whole = dict(license_scan.TEMPLATES[-7:])
+    whole = {n: t for n, t in license_scan.TEMPLATES if len(t) > 600 and n not in ("MIT", "ISC", "Apache-2.0")}
     header = "Some prose goes before it, on a line\nof its own. Licensed under the Apache\nLicense, Version 2.0. And more prose follows\nto the end of the paragraph, which is long enough."
     rows = [(i, f"Notes.\n\n{t}") for i, t in enumerate(whole.values())] + [(100, header)]
     got = {r.doc_id: {m.license for m in r.matches} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
