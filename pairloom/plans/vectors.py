@@ -7,10 +7,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.operators import chunking, fusion, matching
+from pairloom.operators import cells, chunking, fusion, matching
 from pairloom.operators.evaluation import gain  # noqa: F401
 from pairloom.operators.ranking import cascade, ranked
 from pairloom.operators.ranking import pool_union as union_of
+from pairloom.operators.staging import remove_at_exit, shared_folder
 from pairloom.plans.registry import query, table
 from pairloom.plans.lexical import BM25_SQL, bm25_scores
 
@@ -48,6 +49,17 @@ def knn_cosine_topk(spark, sf_dir):
     return ranked(knn(spark, sf_dir), 10)
 
 
+@query(f"with {KNN} select * from (select query_id, doc_id, score, {RANK} from s) where rank <= 10")
+def knn_cells_topk(spark, sf_dir):
+    """The same from an index of cells, written once and opened again; cells that cannot hold a hit are not read."""
+    v, where = flat(spark, sf_dir), shared_folder(spark)
+    cells.CellIndex(spark, f"{where}/cells").write(v)
+    found, _ = cells.CellIndex(spark, f"{where}/cells").search(v.filter("id % 100 = 0"), 11, slack=2e-6)
+    remove_at_exit(spark, where)
+    hits = found.filter("query_id <> cand_id").select("query_id", F.col("cand_id").alias("doc_id"), F.round("sim", 6).alias("score"))
+    return ranked(hits, 10)
+
+
 @query(f"with {KNN} select query_id, doc_id, score, {RANK} from s")
 def single_vector_rank(spark, sf_dir):
     """All vectors ranked for each query."""
@@ -57,7 +69,9 @@ def single_vector_rank(spark, sf_dir):
 @query(f"with {KNN} select query_id, count(*) as ranked, round(max(score), 6) as best from s group by query_id")
 def rank_all_counts(spark, sf_dir):
     """How many candidates each query ranks, and its best score."""
-    return knn(spark, sf_dir, None).groupBy("query_id").agg(F.count("*").alias("ranked"), F.round(F.max("score"), 6).alias("best"))
+    best = knn(spark, sf_dir, 1).groupBy("query_id").agg(F.max("score").alias("best"))
+    ranked_ = flat(spark, sf_dir).agg((F.count("*") - 1).alias("ranked"))  # all but the query itself: one row
+    return best.crossJoin(F.broadcast(ranked_)).select("query_id", "ranked", F.round("best", 6).alias("best"))
 
 
 @query(f"""with s as (select a.vec_id as query_id, b.vec_id // 4 as doc_id, b.vec_id % 4 as version, round(1 - {COS}, 6) as distance from embeddings a join embeddings b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
