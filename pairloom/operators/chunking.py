@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,19 +32,27 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: st
     return d.select("doc_id", "chunk_idx", F.array_join(F.slice("w", F.col("chunk_idx") * (size - overlap) + 1, size), " ").alias("text"))
 
 
+@lru_cache(maxsize=1 << 16)
+def _crc(token: str) -> int:
+    return zlib.crc32(token.encode())
+
+
+def _hashed(text: str | None, dim: int) -> np.ndarray:
+    counts = Counter(_TOKEN.findall((text or "").lower()))
+    v = np.bincount([_crc(t) % dim for t in counts], 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))), dim) if counts else np.zeros(dim)
+    n = np.sqrt(v @ v)
+    return (v / n if n else v).astype(np.float32)
+
+
 def hash_vector(text: str | None, dim: int = DIM) -> list[float]:
     """Buckets of crc32 over a-z0-9 tokens, 1 + ln(count), unit length; no token gives the zero vector."""
-    v = np.zeros(dim)
-    for token, count in Counter(_TOKEN.findall((text or "").lower())).items():
-        v[zlib.crc32(token.encode()) % dim] += 1 + math.log(count)
-    n = np.linalg.norm(v)
-    return (v / n if n else v).astype(np.float32).tolist()
+    return _hashed(text, dim).tolist()
 
 
 def hash_embed(text: Column, dim: int = DIM) -> Column:
     @F.pandas_udf("array<float>")
     def udf(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: hash_vector(t, dim))
+        return pd.Series([_hashed(t, dim) for t in s], dtype=object)
 
     return udf(text)
 
