@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import TOKEN, lexical_tokens
-from pairloom.operators.staging import against_all, maybe_broadcast, staged
+from pairloom.operators.staging import BROADCAST_BYTES, against_all, maybe_broadcast, staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Texts whose tokens a task holds at once.
@@ -58,23 +60,83 @@ def idf_table(posts: DataFrame, n: int) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
+def _weighed(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str) -> tuple[DataFrame, DataFrame, float]:
+    """(counts of the documents, the queries' terms with times and idf, mean length); both tables are staged."""
+    rows = staged(counted(docs, doc_id, text))
+    size = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    if not size.n:
+        raise ValueError("an empty corpus cannot be ranked")
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(lexical_tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return rows, staged(asked.join(idf_table(_spread(rows), size.n).select("term", "idf"), "term")), size.avgdl
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
     """query_id, doc_id, score of every pair that shares a term; a query's repeated terms count as often.
 
     Texts are cut into tokens once, into a staged table, from which the statistics and the postings come. The queries'
     weighted terms meet the postings where they are while they are few, and no postings but matching ones are shuffled.
     """
-    rows = staged(counted(docs, doc_id, text))
-    size = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    if not size.n:
-        raise ValueError("an empty corpus cannot be ranked")
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(lexical_tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = staged(asked.join(idf_table(_spread(rows), size.n).select("term", "idf"), "term"))
-    tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("dl") / size.avgdl)
+    return _scored(*_weighed(docs, queries, doc_id, query_id, text))
+
+
+def _scored(rows: DataFrame, asked: DataFrame, avgdl: float) -> DataFrame:
+    tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("dl") / avgdl)
     weight = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + norm)
     return _spread(rows).join(maybe_broadcast(asked, 96), "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
+def bm25_best(docs: DataFrame, queries: DataFrame, k: int, slack: float = 0.0, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
+    """The pairs of ``bm25`` that can be among a query's k best, or within ``slack`` of the k-th (for scores that are rounded later).
+
+    A task adds up the scores of a slice of documents for a block of queries, whose terms it has as postings, and keeps the k best; a
+    pair of query and document is never a row unless it may win. Queries come in blocks of bounded size.
+    """
+    rows, asked, avgdl = _weighed(docs, queries, doc_id, query_id, text)
+    spark, blocks = docs.sparkSession, max(1, -(-asked.count() * 96 // BROADCAST_BYTES))
+    kind_q, kind_d, parts = dict(asked.dtypes)["query_id"], dict(rows.dtypes)["doc_id"], []
+    for i in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")).toArrow().combine_chunks()
+        if not len(block):
+            continue
+        ids = block.column("query_id").combine_chunks().dictionary_encode()
+        terms = block.column("term").combine_chunks().dictionary_encode()  # in order, so each term's postings are one run
+        ends = np.concatenate([[0], np.cumsum(np.bincount(terms.indices.to_numpy(), minlength=len(terms.dictionary)))])
+        shared = spark.sparkContext.broadcast((ids.dictionary, {t: j for j, t in enumerate(terms.dictionary.to_pylist())}, ends, ids.indices.to_numpy().astype(np.int64), block.column("w").to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, place, ends, who, w = shared.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, SLICE):
+                    b = whole.slice(at, SLICE)
+                    d, q, s = _best_of(b, place, ends, who, w, len(names), k, slack, avgdl)
+                    if len(d):
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), b.column(0).take(pa.array(d)), pa.array(s)], ["query_id", "doc_id", "score"])
+
+        parts.append(rows.select("doc_id", "dl", "terms").mapInArrow(run, f"query_id {kind_q}, doc_id {kind_d}, score double"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"query_id {kind_q}, doc_id {kind_d}, score double")
+
+
+def _best_of(b: pa.RecordBatch, place: dict[str, int], ends: np.ndarray, who: np.ndarray, w: np.ndarray, queries: int, k: int, slack: float, avgdl: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, queries and scores of a slice's best pairs."""
+    lists, lengths = b.column(2), b.column(1).to_numpy().astype(np.float64)
+    sizes, entries = lists.value_lengths().to_numpy(), lists.flatten()
+    at = np.fromiter((place.get(t, -1) for t in entries.field("term").to_pylist()), np.int64, len(entries))
+    doc, tf = np.repeat(np.arange(b.num_rows), sizes)[at >= 0], entries.field("tf").to_numpy()[at >= 0].astype(np.float64)
+    at = at[at >= 0]
+    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / avgdl))
+    many = ends[at + 1] - ends[at]
+    # every posting of every term found: its place in the block's table, its cell in the matrix of documents and queries
+    each = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(ends[at], many)
+    cell = np.repeat(doc, many) * queries + who[each]
+    scores = np.bincount(cell, np.repeat(impact, many) * w[each], b.num_rows * queries).reshape(b.num_rows, queries)
+    met = np.bincount(cell, minlength=b.num_rows * queries).reshape(scores.shape) > 0
+    scores[~met] = -np.inf
+    n = min(k, b.num_rows)
+    bar = np.partition(scores, b.num_rows - n, axis=0)[b.num_rows - n] - slack
+    d, q = np.nonzero(met & (scores >= bar))
+    return d, q, scores[d, q]
+
+
 def bm25_grid(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
     """Every query with every document, pairs that share no term at score 0."""
     grid = against_all(docs.select(F.col(doc_id).alias("doc_id")), queries.select(F.col(query_id).alias("query_id")), "query_id")

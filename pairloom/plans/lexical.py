@@ -37,7 +37,8 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 5""")
 def bm25_topk(spark, sf_dir):
     """Each passage's five best documents."""
-    return ranked(bm25_scores(spark, sf_dir), 5)
+    s = lex.bm25_best(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), 5, slack=1e-4)
+    return ranked(s.withColumn("score", F.round("score", 4)), 5)
 
 
 @query(f"""with {BM25_SQL}, s as (select b.item_id as query_id, d.doc_id, round(coalesce(bm.score, 0), 4) as score from benchmark b cross join documents d
