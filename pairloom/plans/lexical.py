@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.text import VIETNAMESE
 from pairloom.operators import bm25 as lex
+from pairloom.operators.blocks import BlockIndex
 from pairloom.operators.ranking import ranked
+from pairloom.operators.staging import remove_at_exit, shared_folder
 from pairloom.plans.registry import query, table
 
 TOKENS = f"regexp_extract_all(lower(text), '[a-z0-9{VIETNAMESE}_]+')"
@@ -33,14 +35,27 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("score", F.round("score", 4))
 
 
-@query(f"""with {BM25_SQL}, s as (select query_id, doc_id, round(score, 4) as score from bm)
-select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 5""")
+TOPK_SQL = f"""with {BM25_SQL}, s as (select query_id, doc_id, round(score, 4) as score from bm)
+select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 5"""
+
+
+@query(TOPK_SQL)
 def bm25_topk(spark, sf_dir):
     """Each passage's five best documents."""
     s = lex.bm25_best(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), 5, slack=1e-4)
     return ranked(s.withColumn("score", F.round("score", 4)), 5)
 
 
+@query(TOPK_SQL)
+def bm25_blocks_topk(spark, sf_dir):
+    """The same from an index of postings in blocks, written once and opened again; blocks that cannot hold a hit are not read."""
+    where = shared_folder(spark)
+    BlockIndex(spark, where).write(table(spark, sf_dir, "documents"))
+    remove_at_exit(spark, where)
+    s, _ = BlockIndex(spark, where).search(_queries(spark, sf_dir), 5, slack=1e-4)
+    return ranked(s.withColumn("score", F.round("score", 4)), 5)
+
+
 @query(f"""with {BM25_SQL}, s as (select b.item_id as query_id, d.doc_id, round(coalesce(bm.score, 0), 4) as score from benchmark b cross join documents d
 left join bm on bm.query_id = b.item_id and bm.doc_id = d.doc_id)
 select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from s""")

@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.operators import blocks, ranking
 from pairloom.operators import bm25 as lex
-from pairloom.operators import ranking
 
 
 @pytest.mark.parametrize("blocks", [1, 3])
@@ -28,3 +28,39 @@ def test_best_pairs_are_those_of_all_pairs(spark, monkeypatch, blocks):
     assert lex.bm25_best(docs, queries.filter("query_id = 50"), 4).count() == 0
     with pytest.raises(ValueError, match="empty"):
         lex.bm25_best(docs.limit(0), queries, 4)
+
+
+def _corpus(spark, seed, n):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda k: " ".join(words[min(int(r.expovariate(0.1)), 59)] for _ in range(k))
+    docs = [(i, text(r.randint(0, 40))) for i in range(n)] + [(9000, None), (9001, ""), (9002, "w59 w59"), (9003, "w59 w59")]
+    queries = [(i, text(r.randint(1, 6))) for i in range(12)] + [(50, "unknown words"), (51, None), (52, "w0 w0 w1"), (53, "w59 w0 w1 w2")]
+    return spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(queries, "query_id long, text string")
+
+
+@pytest.mark.parametrize(("block", "k", "seed"), [(8, 1, 1), (8, 4, 2), (32, 4, 3), (4, 500, 4)])
+def test_blocks_find_what_all_pairs_find(spark, tmp_path, monkeypatch, block, k, seed):
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    docs, queries = _corpus(spark, seed, 250)
+    rounded = lambda s: s.withColumn("score", F.round("score", 4))
+    top = lambda s: {tuple(x) for x in ranking.ranked(rounded(s), k).select("query_id", "doc_id", "score", "rank").collect()}
+    blocks.BlockIndex(spark, str(tmp_path)).write(docs)
+    best, read = blocks.BlockIndex(spark, str(tmp_path)).search(queries, k, slack=1e-4)
+    assert top(best) == top(lex.bm25(docs, queries))
+    assert read == 1.0 if k == 500 else read < 0.8
+
+
+def test_a_term_of_all_documents_lies_in_many_bounded_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('hot ', repeat('x ', cast(id % 7 as int)), 'r', id) as text")
+    index = blocks.BlockIndex(spark, str(tmp_path)).write(docs)
+    hot = index._read("blocks").filter("term = 'hot'").agg(F.count("*").alias("blocks"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    assert hot.n == 2000 and hot.blocks > 30 and hot.most < 200
+    found, read = index.search(spark.createDataFrame([(1, "hot r77")], "query_id long, text string"), 1)
+    assert [r.doc_id for r in found.collect()] == [77] and read < 0.1
+
+
+def test_blocks_of_an_empty_corpus_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="empty"):
+        blocks.BlockIndex(spark, str(tmp_path)).write(spark.createDataFrame([], "doc_id long, text string"))
