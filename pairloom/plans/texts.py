@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import dates, payload, text
-from pairloom.operators import chunking, sections
+from pairloom.operators import chunking, sections, segmentation
 from pairloom.operators.staging import against_all, maybe_broadcast
 from pairloom.plans.registry import query, table
 
@@ -242,3 +242,34 @@ def looks_scanned(spark, sf_dir):
     """Documents whose lines, taken as pages, hold little text."""
     pages = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.length(x).cast("long")), lambda n: n > 0)
     return docs(spark, sf_dir).select("doc_id", text.looks_scanned(pages).alias("scanned"))
+
+
+UNITS = """with recursive c as materialized (select row_number() over () as id, doc_id, regexp_split_to_array(clause, ' +') as s from (
+select doc_id, unnest(regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{M}]+(?: +[\\p{L}\\p{M}]+)*')) as clause from documents)),
+g as materialized (select id, i, n, array_to_string(s[i - n + 1 : i], ' ') as unit from (select id, s, i, unnest(range(1, least(3, i) + 1)) as n from (select id, s, unnest(range(1, len(s) + 1)) as i from c))),
+total as (select count(*)::double as total from g where n = 1),
+k as materialized (select unit, n::int as n, count(*) as times from g group by all having count(*) >= 5 and count(*) >= 0.000002 * (select total from total)),
+cut as (select k.*, string_split(unit, ' ') as w, unnest(range(1, greatest(n, 2))) as b from k),
+far as (select cut.unit from cut join k l on l.unit = array_to_string(w[1 : cut.b], ' ') join k r on r.unit = array_to_string(w[cut.b + 1 : cut.n], ' ')
+ where cut.times * (select total from total) < 20 * l.times * r.times),
+u as materialized (select unit, n, times, round(-ln(times / (select total from total)) * 1000000)::bigint as cost from k where unit not in (select unit from far))"""
+
+
+@query(f"{UNITS} select unit, n, times, cost from u")
+def segmentation_units(spark, sf_dir):
+    """Units of one to three syllables that the documents teach, with their costs."""
+    return segmentation.learn(docs(spark, sf_dir))
+
+
+@query(f"""{UNITS},
+e as (select id, i, max(u.cost) filter (g.n = 1) as c1, max(u.cost) filter (g.n = 2) as c2, max(u.cost) filter (g.n = 3) as c3 from g left join u using (unit) group by id, i),
+a as materialized (select id, count(*) as n, list(coalesce(c1, (select 1 + max(cost) from u), 1) order by i) as c1, list(c2 order by i) as c2, list(c3 order by i) as c3 from e group by id),
+p as (select id, 0::bigint as i, {{'c': 0::bigint, 'u': 0::bigint, 'l': 0::bigint, 'j': 0::bigint}} as x, null::struct(c bigint, u bigint, l bigint, j bigint) as y, null::struct(c bigint, u bigint, l bigint, j bigint) as z from a
+ union all select id, p.i + 1, list_min(list_filter([{{'c': x.c + a.c1[p.i + 1], 'u': x.u + 1, 'l': -1::bigint, 'j': x.j}}, {{'c': y.c + a.c2[p.i + 1], 'u': y.u + 1, 'l': -2::bigint, 'j': y.j + 1}},
+  {{'c': z.c + a.c3[p.i + 1], 'u': z.u + 1, 'l': -3::bigint, 'j': z.j + 1}}], lambda o: o.c is not null)), x, y from p join a using (id) where p.i < a.n),
+ends as (select c.doc_id, p.x from p join a on a.id = p.id and a.n = p.i join c on c.id = p.id)
+select d.doc_id, coalesce(sum(x.u), 0)::bigint as n_units, coalesce(sum(x.j), 0)::bigint as n_joined, coalesce(sum(x.c), 0)::bigint as cost from documents d left join ends using (doc_id) group by d.doc_id""")
+def segmented_documents(spark, sf_dir):
+    """Every document cut into units by the cheapest way."""
+    d = docs(spark, sf_dir)
+    return segmentation.segmented(d, segmentation.learn(d)).select("doc_id", "n_units", "n_joined", "cost")
