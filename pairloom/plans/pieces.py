@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from pairloom.operators import acl, jobs, ranking, sections, statistics, store
 from pairloom.operators.staging import remove_at_exit, shared_folder
 from pairloom.plans.registry import query, table
 from pairloom.plans.logs import STORE_SQL, stored_and_new
-from pairloom.sources import io
+from pairloom.sources import io, portable
 
 
 def folder(spark: SparkSession) -> str:
@@ -288,3 +289,21 @@ def columns_picked(spark, sf_dir):
     """Columns by name whatever their case; what a table lacks is null."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("KEY"), F.col("n_name").alias("Name"))
     return io.picked(n, {"key": "bigint", "name": "string", "comment": "string"})
+
+
+@query("""with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+p as (select doc_id, unnest(range(0, len(l), 50)) as b, l from l), t as (select doc_id, b, array_to_string(l[b + 1 : b + 50], chr(10)) as t from p where b < 1000),
+d as (select doc_id, string_agg(t, chr(12) order by b) as text, count(*) as read, count(*) filter (length(t) > 0) as filled, avg(length(t)) filter (length(t) > 0) as mean from t group by doc_id)
+select doc_id, md5(text) as digest, length(text)::bigint as chars, read::int as pages,
+array_to_string(list_filter([case when filled = 0 or mean < 100 or read - filled > 0.6 * read then 'OCR_LOW_QUALITY' end, case when len(l) > 1000 then 'TRUNCATED' end], lambda x: x is not null), ',') as warnings
+from d join l using (doc_id)""")
+def pdf_documents(spark, sf_dir):
+    """Every document written as a PDF of 50 lines a page, every second one with packed objects, and read back up to the 20th page."""
+
+    @F.pandas_udf("binary")
+    def pdf(texts: pd.Series, packed: pd.Series) -> pd.Series:
+        return pd.Series([portable.to_pdf(t, 50, p) for t, p in zip(texts, packed, strict=True)], dtype=object)
+
+    d = table(spark, sf_dir, "documents").select("doc_id", pdf(F.coalesce("text", F.lit("")), F.col("doc_id") % 2 == 1).alias("content"))
+    x = d.withColumn("x", io.extracted(F.col("content"), io.classify_upload(F.col("content")))).select("doc_id", "x.*")
+    return x.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"), "pages", F.concat_ws(",", "warnings").alias("warnings"))

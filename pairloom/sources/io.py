@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from pairloom.functions.text import looks_scanned
 from pairloom.operators.staging import against_all
 from pairloom.schemas import DOC_TYPES, DOCUMENT, PAIR, QUERY
+from pairloom.sources import office, portable
+from pairloom.sources.portable import MAX_PAGES
 
 
 def _guard(ok: Column, message: Column | str) -> Column:
@@ -162,38 +162,49 @@ def is_docx(content: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def udf(s: pd.Series) -> pd.Series:
-        def one(b: bytes | None) -> bool:
-            try:
-                return b is not None and "word/document.xml" in zipfile.ZipFile(io.BytesIO(b)).namelist()
-            except zipfile.BadZipFile:
-                return False
-
-        return s.map(one)
+        return s.map(office.holds_document)
 
     return udf(content)
 
 
-def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """path, kind, text of uploaded files; text of plain-text files and of docx, whose parts are read here. Other kinds
-    need a parser that this environment lacks and have null text."""
+def extracted(content: Column, kind: Column, max_pages: int = MAX_PAGES) -> Column:
+    """struct<text, pages, warnings, error> of files of kind pdf, docx, doc or text.
 
-    @F.pandas_udf("string")
-    def docx_text(s: pd.Series) -> pd.Series:
-        import re
+    The pages of a PDF (at most ``max_pages``) are parted by form feeds; ``pages`` counts those read and is 0 for other kinds. Warnings:
+    ``OCR_LOW_QUALITY`` if the pages look scanned, ``TRUNCATED`` if there are more. An encrypted file gives the error ``encrypted``, any
+    other that cannot be read ``invalid``, as do null content and unknown kinds; the text is then null.
+    """
 
-        def one(b: bytes | None) -> str | None:
+    @F.pandas_udf("text string, chars array<long>, total long, error string")
+    def udf(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
+        def one(b: bytes | None, k: str | None) -> tuple:
             try:
-                xml = zipfile.ZipFile(io.BytesIO(b)).read("word/document.xml").decode("utf-8", "replace")
-            except (zipfile.BadZipFile, KeyError, TypeError):
-                return None
-            return "\n".join("".join(re.findall(r"<w:t[^>]*>([^<]*)</w:t>", p)) for p in re.split(r"</w:p>", xml)).strip()
+                if b is None or k not in ("pdf", "docx", "doc", "text"):
+                    raise portable.Refused("invalid")
+                if k == "pdf":
+                    pages, total = portable.pdf_pages(b, max_pages)
+                    return "\f".join(pages), [len(p) for p in pages], total, None
+                return {"docx": office.docx_text, "doc": office.doc_text, "text": lambda x: x.decode("utf-8", "replace")}[k](b), [], 0, None
+            except portable.Refused as e:
+                return None, [], 0, str(e)
+
+        return pd.DataFrame([one(b, k) for b, k in zip(content, kind, strict=True)], columns=["text", "chars", "total", "error"])
+
+    def told(x: Column) -> Column:
+        paged = x["total"] > 0
+        warnings = F.array(F.when(paged & looks_scanned(x["chars"]), "OCR_LOW_QUALITY"), F.when(x["total"] > max_pages, "TRUNCATED"))
+        return F.struct(x["text"].alias("text"), F.least(x["total"], F.lit(max_pages)).cast("int").alias("pages"), F.array_compact(warnings).alias("warnings"), x["error"].alias("error"))
+
+    return F.get(F.transform(F.array(udf(content, kind)), told), F.lit(0))
 
-        return s.map(one)
 
+def read_uploads(spark: SparkSession, path: str, max_pages: int = MAX_PAGES) -> DataFrame:
+    """path, kind, text, pages, warnings, error of uploaded files: PDF, docx, legacy doc and plain text, told apart by their first bytes
+    (plain text by its name). Spark lists no files of no bytes, so these have no row."""
     files = spark.read.format("binaryFile").load(path)
     kind = F.when(classify_upload(F.col("content")) == "zip", F.when(is_docx(F.col("content")), "docx")).otherwise(classify_upload(F.col("content")))
     f = files.select("path", "content", F.coalesce(kind, F.when(F.col("path").rlike(r"\.(txt|md)$"), "text")).alias("kind"))
-    return f.select("path", "kind", F.when(F.col("kind") == "docx", docx_text("content")).when(F.col("kind") == "text", F.decode("content", "UTF-8")).alias("text"))
+    return f.withColumn("x", extracted(F.col("content"), F.col("kind"), max_pages)).select("path", "kind", "x.*")
 
 
 def append_results(results: DataFrame, path: str, on: list[str]) -> None:
