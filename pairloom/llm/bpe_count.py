@@ -5,7 +5,8 @@ merges, and no identifier is ever built. Words repeat, so each process keeps a b
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); white space gives no token; repeated rows are counted
 one by one; an empty table gives an empty result; other columns of the input are neither read nor returned. Special
-strings inside a text count one token each, as the tokenizer's default has it.
+strings inside a text count one token each, as the tokenizer's default has it. Very long texts are counted whole, word by word. Files
+with other normalisers, splits or merge rules are refused.
 """
 
 from __future__ import annotations
@@ -33,10 +34,25 @@ def byte_symbols() -> list[str]:
     return [table[b] if b in table else chr(next(hidden)) for b in range(256)]
 
 
+def refuse_unlike(spec: dict) -> None:
+    """An error for a tokenizer file that asks for steps which counting by merges does not take."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    steps = (spec.get("normalizer") or {"type": "Sequence", "normalizers": []}).get("normalizers", [None])
+    known = all(n and (n["type"] in ("NFC", "Lowercase") or n == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}) for n in steps)
+    parts = before.get("pretokenizers", []) if before.get("type") == "Sequence" else []
+    split = [p["type"] for p in parts] == ["Split", "ByteLevel"] and "Regex" in parts[0]["pattern"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+    split = split and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex", True)
+    merges = model.get("type", "BPE") == "BPE" and not any(model.get(x) for x in ("ignore_merges", "byte_fallback", "dropout", "unk_token", "continuing_subword_prefix"))
+    added = not any(t.get(x) for t in spec.get("added_tokens", []) for x in ("lstrip", "rstrip", "single_word", "normalized"))
+    if not (known and split and merges and added):
+        raise ValueError("token counts need a byte-level BPE file that splits by one expression, with special strings taken as they stand")
+
+
 class MergeCounter:
     """Counts the tokens of texts by the merges of a tokenizer file (byte-level BPE with a word-end suffix or none)."""
 
     def __init__(self, spec: dict):
+        refuse_unlike(spec)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab = model["vocab"]
