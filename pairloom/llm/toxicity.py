@@ -10,7 +10,7 @@ The labelled rows used are at most ``max_labelled``, the first by a hash of thei
 term that they support often enough enters the lexicon, so its size is bounded by those rows alone.
 
 Defined cases: a null or empty text has no word and scores what a text without a match scores; repeated rows score
-alike; without usable labels the fixed list alone decides; an empty table gives an empty result; of terms that begin at one
+alike; labels of documents that are absent or have no text teach nothing and use up no row; without usable labels the fixed list alone decides; an empty table gives an empty result; of terms that begin at one
 place the heaviest counts; very long texts are matched whole, in one pass.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import id_text, sliced, texts, tidied
+from pairloom.llm.common import Workspace, id_text, sliced, texts, tidied
 
 MAX_LABELLED = 40_000
 THRESHOLD = 0.7
@@ -146,7 +146,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     terms = {f" {t} ": BASE_WEIGHT for t in BASE_TERMS}
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
     rows = (rows.filter(usable) if usable is not None else rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    present = id_text(docs).filter("text is not null").select("doc_id")
+    rows = Workspace(docs.sparkSession).table(rows.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     train = id_text(docs).filter("text is not null").join(F.broadcast(rows), "doc_id").select("text", "toxic")
     totals = dict(rows.groupBy("toxic").count().collect())
     n1, n0 = totals.get(1, 0), totals.get(0, 0)

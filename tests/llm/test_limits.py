@@ -212,3 +212,32 @@ def test_packing_refuses_other_tokenizers(tmp_path):
         with pytest.raises(ValueError):
             packing.encoder(str(path))
     packing.encoder.cache_clear()
+
+
+def test_token_counts_refuse_other_tokenizers():
+    import json
+
+    from pairloom.llm.bpe_count import MergeCounter
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    changes = [lambda s: s["model"].update(ignore_merges=True), lambda s: s["added_tokens"][0].update(lstrip=True), lambda s: s["added_tokens"][0].update(single_word=True),
+               lambda s: s["normalizer"]["normalizers"].append({"type": "StripAccents"}), lambda s: s.update(normalizer={"type": "Lowercase"}),
+               lambda s: s["pre_tokenizer"]["pretokenizers"][0].update(invert=False), lambda s: s.update(pre_tokenizer=None)]
+    for change in changes:
+        other = json.loads(json.dumps(spec))
+        change(other)
+        with pytest.raises(ValueError, match="token counts need"):
+            MergeCounter(other)
+
+
+def test_labels_of_absent_documents_teach_nothing(spark):
+    from pairloom.llm import toxicity
+
+    texts = [(i, f"some zzgrim zzfoul words {i}" if i % 2 else f"some calm words {i}") for i in range(40)] + [(90, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    own = [(i, i % 2) for i in range(40)]
+    absent = [(i, i % 3 % 2) for i in range(1000, 1400)] + [(90, 0)]
+    plain = toxicity.learn(docs, spark.createDataFrame(own, "doc_id long, toxic int"), max_labelled=40)
+    mixed = toxicity.learn(docs, spark.createDataFrame(own + absent, "doc_id long, toxic int"), max_labelled=40)
+    assert (plain.terms, plain.slope, plain.shift) == (mixed.terms, mixed.slope, mixed.shift)
+    assert len(plain.terms) > len(toxicity.BASE_TERMS)
