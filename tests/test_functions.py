@@ -134,3 +134,10 @@ def test_vectors(spark):
     assert one(spark, "a array<float>, b array<float>", ([1.0, 0.0], [1.0, 1.0]), vectors.cosine(F.col("a"), F.col("b"))) == pytest.approx(0.5**0.5)
     assert one(spark, "a array<float>, b array<float>", ([0.0, 0.0], [1.0, 1.0]), vectors.cosine(F.col("a"), F.col("b"))) == 0
     assert many(spark, [-0.5, 0.5, 1.5], vectors.clamp01, "double") == [0, 0.5, 1]
+
+
+def test_claims_meet_texts_whatever_their_case(spark):
+    """Letters whose upper case is longer (ß), that have two lower cases (sigma) or whose lower case is longer (dotted I)."""
+    claims = [("c1", "hit", "SCHPFSS ", "either", "1"), ("c2", "hit", "ΣΟΦΟΣ", "cv", "1"), ("c3", "hit", "i\u0307zmir", "cv", "1")]
+    got = one(spark, f"c {payload.CLAIM}, j string, v string", (claims, "a job", "Schpfß enung, σοφοσα, \u0130ZMIR"), payload.grounded_claims(F.col("c"), F.col("j"), F.col("v")))
+    assert [(r.verdict, r.source) for r in got] == [("hit", "cv")] * 3
