@@ -20,3 +20,10 @@ def test_suppliers_of_equal_brands_are_one_set(spark, sf):
     brands = {r.doc_id: tuple(r.brands) for r in held.collect()}
     assert {r.set: set() for r in held.collect()}.keys() == {min(d for d in brands if brands[d] == b) for b in set(brands.values())}
     assert hybrids.coverages(want, sets).count() <= want.select("query_id").distinct().count() * len(set(brands.values()))
+
+
+def test_names_are_normalised_outside_of_lambdas_that_look_for_them(spark):
+    rows = spark.createDataFrame([(["ReactJS", "Go"], ["react", "rust", "react"]), (None, ["a"])], "have array<string>, want array<string>")
+    df = rows.select(recommend.template(F.col("have"), F.col("want")).alias("t"))
+    assert plan(df).count("regexp_replace") <= 8  # four a name, both lists
+    assert [(r.t.summary, [c.verdict for c in r.t.claims]) for r in df.collect()] == [("1 of 2 wanted skills", ["hit", "missing"]), ("0 of 1 wanted skills", ["missing"])]
