@@ -27,3 +27,8 @@ def test_names_are_normalised_outside_of_lambdas_that_look_for_them(spark):
     df = rows.select(recommend.template(F.col("have"), F.col("want")).alias("t"))
     assert plan(df).count("regexp_replace") <= 8  # four a name, both lists
     assert [(r.t.summary, [c.verdict for c in r.t.claims]) for r in df.collect()] == [("1 of 2 wanted skills", ["hit", "missing"]), ("0 of 1 wanted skills", ["missing"])]
+
+
+def test_grades_count_alike_suppliers_together(spark, sf):
+    want, (_, sets) = hybrids.wants(spark, sf), hybrids.ranges(spark, sf)
+    assert hybrids.shared(want, sets).count() == want.join(sets, "brand").count() < want.join(hybrids.offers(spark, sf), "brand").count()
