@@ -32,3 +32,11 @@ def test_names_are_normalised_outside_of_lambdas_that_look_for_them(spark):
 def test_grades_count_alike_suppliers_together(spark, sf):
     want, (_, sets) = hybrids.wants(spark, sf), hybrids.ranges(spark, sf)
     assert hybrids.shared(want, sets).count() == want.join(sets, "brand").count() < want.join(hybrids.offers(spark, sf), "brand").count()
+
+
+@pytest.mark.parametrize("name", ["budget_overlap", "experience_score"])
+def test_rows_of_a_small_file_are_dealt_over_tasks(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(staging, "PAIRS", 5)
+    df = catalogue.QUERIES[name](spark, sf)
+    assert df.rdd.getNumPartitions() > 1
+    assert df.count() == spark.read.parquet(f"{sf}/supplier.parquet").count() * spark.read.parquet(f"{sf}/customer.parquet").filter("c_custkey % 100 = 0").count()
