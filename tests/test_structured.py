@@ -40,3 +40,11 @@ def test_rows_of_a_small_file_are_dealt_over_tasks(spark, sf, monkeypatch, name)
     df = catalogue.QUERIES[name](spark, sf)
     assert df.rdd.getNumPartitions() > 1
     assert df.count() == spark.read.parquet(f"{sf}/supplier.parquet").count() * spark.read.parquet(f"{sf}/customer.parquet").filter("c_custkey % 100 = 0").count()
+
+
+def test_equal_wants_and_offers_are_scored_once(spark):
+    asked = spark.createDataFrame([(i, (None if i % 2 else "1", "a")) for i in range(20)], "query_id long, want struct<place:string,segment:string>")
+    offered = spark.createDataFrame([(i, ("*", None if i % 3 else "A")) for i in range(30)], "doc_id long, offer struct<place:string,segment:string>")
+    got = hybrids.preferences(asked, offered)
+    assert {(r.query_id, r.doc_id): r.preferences for r in got.collect()} == {(q, d): (0.5 if d % 3 else 1.0) for q in range(20) for d in range(30)}
+    assert "map_entries" not in plan(got)
