@@ -48,3 +48,7 @@ def test_equal_wants_and_offers_are_scored_once(spark):
     got = hybrids.preferences(asked, offered)
     assert {(r.query_id, r.doc_id): r.preferences for r in got.collect()} == {(q, d): (0.5 if d % 3 else 1.0) for q in range(20) for d in range(30)}
     assert "map_entries" not in plan(got)
+
+
+def test_components_of_a_pair_are_one_row_and_not_joined(spark, sf):
+    assert plan(hybrids.parts(spark, sf)).count("Join ") == 1
