@@ -52,3 +52,13 @@ def test_equal_wants_and_offers_are_scored_once(spark):
 
 def test_components_of_a_pair_are_one_row_and_not_joined(spark, sf):
     assert plan(hybrids.parts(spark, sf)).count("Join ") == 1
+
+
+def test_best_by_marks_equal_the_best_of_all(spark):
+    rows = spark.range(4000).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("doc_id"), F.when(F.col("id") % 7 != 0, (F.hash("id") % 50) / 300.0).alias("score"))
+    few = spark.createDataFrame([(9, 1, 0.5), (9, 2, None)], "query_id long, doc_id long, score double")  # fewer than k
+    rows = rows.unionByName(few)
+    want = ranked(rows.withColumn("score", F.round("score", 2)), 10)
+    key = lambda d: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in d.collect())
+    for share in (1, 4, 100000):
+        assert key(ranked_near(rows, 10, 2, share)) == key(want)
