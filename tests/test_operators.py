@@ -6,6 +6,7 @@ import json
 import math
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,17 @@ def test_streams_take_the_whole_log(spark):
         states[str(r.user_id)] = machine.step(states.get(str(r.user_id)), command)
     want = {k: (s[0], s[2]) for k, s in states.items() if s is not None}
     assert {r.key: (r.status, r.attempts) for r in logs.stream_job_state(spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("cells", [1, 40])
+def test_matrices_of_a_task_are_bounded(spark, monkeypatch, cells):
+    """Queries a few at a time, sections of different number, give what all at once give."""
+    rng = np.random.default_rng(3)
+    rows = [(i // 3, "abc"[i % 3], rng.normal(size=4).tolist()) for i in range(90) if i % 7]
+    v = spark.createDataFrame(rows, "doc_id long, section string, embedding array<double>")
+    flat = v.select((F.col("doc_id") * 3 + F.ascii("section")).alias("id"), "embedding")
+    make = lambda: [matching.section_scores(v.filter("doc_id % 2 = 0"), v, p, h, k) for p, h, k in (("cross", "mean", 3), ("fixed", "weighted", None), ("cross", "max", 3))] + [matching.similarities(flat.filter("id % 2 = 0"), flat, k) for k in (None, 3)]
+    told = lambda dfs: [sorted((r[0], r[1], round(r[2], 9)) for r in d.collect()) for d in dfs]
+    want = told(make())
+    monkeypatch.setattr(matching, "CELLS", cells)
+    assert told(make()) == want
