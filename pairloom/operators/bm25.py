@@ -53,11 +53,13 @@ def _spread(rows: DataFrame) -> DataFrame:
 
 
 def idf_table(posts: DataFrame, n: int) -> DataFrame:
-    """term, df, idf: where the raw value is negative, a share of the mean over all terms stands in."""
+    """term, df, idf: where the raw value is negative, a share of the mean over all terms stands in. The mean is summed over document
+    frequencies, of which there are few: one long sum over millions of terms, most of them alike, errs by its roundings."""
+    raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
+    alike = df.groupBy("df").agg(F.count("*").alias("n"))
+    mean = alike.agg((F.sum(raw * F.col("n")) / F.sum("n")).alias("mean"))  # one row
+    return df.withColumn("raw", raw).crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
 def _weighed(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str) -> tuple[DataFrame, DataFrame, float]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +66,10 @@ def test_a_term_of_all_documents_lies_in_many_bounded_blocks(spark, tmp_path, mo
 def test_blocks_of_an_empty_corpus_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="empty"):
         blocks.BlockIndex(spark, str(tmp_path)).write(spark.createDataFrame([], "doc_id long, text string"))
+
+
+def test_the_mean_idf_of_many_terms_has_no_rounding_of_a_long_sum(spark):
+    posts = spark.range(400_000).select(F.col("id").cast("string").alias("term")).unionByName(spark.range(6).select(F.lit("common").alias("term")))
+    alike, common = math.log(6.5) - math.log(1.5), math.log(1.5) - math.log(6.5)
+    mean = float((400_000 * Fraction(alike) + Fraction(common)) / 400_001)
+    assert lex.idf_table(posts, 7).filter("term = 'common'").first().idf == pytest.approx(mean * lex.EPSILON, rel=1e-15, abs=0)
