@@ -12,12 +12,18 @@ Null and empty texts hold no term and are never found; repeated rows need distin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pairloom.functions.text import lexical_tokens
-from pairloom.operators.bm25 import K1, B, _spread, counted, idf_table
+from pairloom.operators.bm25 import K1, SLICE, B, _spread, asking, counted, idf_table, matrix
 from pairloom.operators.staging import maybe_broadcast, staged
 
 BLOCK, LEVELS = 128, 16
@@ -50,7 +56,7 @@ class BlockIndex:
             F.struct("doc_id", "impact").alias("p"),
         )
         blocks = placed.groupBy(PLACE).agg(F.max("p.impact").alias("top"), F.count("*").alias("n"), F.collect_list("p").alias("posts"))
-        blocks.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE).write.parquet(f"{self.path}/blocks")
+        blocks.sortWithinPartitions(*PLACE).write.parquet(f"{self.path}/blocks")
         return self
 
     def search(self, queries: DataFrame, k: int, slack: float = 0.0, query_id: str = "query_id", text: str = "text") -> tuple[DataFrame, float]:
@@ -76,9 +82,9 @@ class BlockIndex:
         within = lambda x: F.greatest(F.col("w"), F.lit(0.0)) * F.col(x) + F.col("rest") >= F.col("bar")
         met = heads.join(maybe_broadcast(asked, 96), "term")
         need = staged(met.filter(within("top")).select("query_id", *PLACE, "w", "rest", "bar"))
-        pairs = self._found(need).filter(within("impact")).groupBy("query_id", "doc_id").agg(F.first("bar").alias("bar"))
-        pairs = staged(pairs)
-        hits = self._scored(pairs.select("query_id", "doc_id"), asked).join(pairs, ["query_id", "doc_id"]).filter(F.col("score") >= F.col("bar"))
+        pairs = self._found(need).filter(within("impact")).select("query_id", "doc_id").distinct()
+        bars = staged(asked.select("query_id", "bar").distinct())
+        hits = self._scored(pairs, asked).join(maybe_broadcast(bars, 32), "query_id").filter(F.col("score") >= F.col("bar"))
         return hits.select("query_id", "doc_id", "score"), need.count() / max(1, met.count())
 
     def _found(self, places: DataFrame) -> DataFrame:
@@ -87,11 +93,39 @@ class BlockIndex:
         return found.withColumn("p", F.explode("posts")).select("*", "p.doc_id", "p.impact").drop("posts", "p")
 
     def _scored(self, pairs: DataFrame, asked: DataFrame) -> DataFrame:
-        """query_id, doc_id, score of the given pairs, from all terms of the documents among them."""
-        pairs = staged(pairs)
-        rows = self._read("docs")
-        size = rows.agg(F.avg("dl").alias("avgdl")).first()
-        wanted = pairs.join(maybe_broadcast(asked.select("query_id", "term", "w"), 64), "query_id")
-        posts = _spread(rows.join(maybe_broadcast(pairs.select("doc_id").distinct(), 16), "doc_id", "left_semi"))
-        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / size.avgdl))
-        return wanted.join(posts, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * impact).alias("score"))
+        """query_id, doc_id, score of the given distinct pairs, from all terms of the documents among them. Documents meet their queries once,
+        with what they hold of the queries' terms as numbers; no pair meets a term in a join."""
+        rows, pairs = self._read("docs"), staged(pairs)
+        avgdl, kinds = rows.agg(F.avg("dl").alias("avgdl")).first().avgdl, dict(pairs.dtypes)
+        parts, schema = [], f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"
+        for mine, shared in asking(asked.select("query_id", "term", "w")):
+
+            def known(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                place = shared.value[1]
+                for whole in batches:
+                    for start in range(0, whole.num_rows, SLICE):
+                        b = whole.slice(start, SLICE)
+                        entries, sizes = b.column(2).flatten(), b.column(2).value_lengths().to_numpy()
+                        at = np.fromiter((place.get(t, -1) for t in entries.field("term").to_pylist()), np.int32, len(entries))
+                        held, doc = at >= 0, np.repeat(np.arange(b.num_rows), sizes)
+                        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[held], minlength=b.num_rows))]).astype(np.int32))
+                        tf = pa.array(entries.field("tf").to_numpy()[held])
+                        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(at[held])), pa.ListArray.from_arrays(ends, tf)], ["doc_id", "dl", "at", "tf"])
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                names, _, ends, who, w = shared.value
+                for whole in batches:
+                    for start in range(0, whole.num_rows, SLICE):
+                        b = whole.slice(start, SLICE)
+                        doc = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+                        at, tf = b.column(2).flatten().to_numpy().astype(np.int64), b.column(3).flatten().to_numpy().astype(np.float64)
+                        scores, met = matrix(doc, at, tf, b.column(1).to_numpy().astype(np.float64), ends, who, w, len(names), avgdl)
+                        d, q = np.repeat(np.arange(b.num_rows), b.column(4).value_lengths().to_numpy()), pc.fill_null(pc.index_in(b.column(4).flatten(), value_set=names), -1).to_numpy()
+                        kept = (q >= 0) & met[d, q]  # a query of unknown terms has no number
+                        d, q = d[kept], q[kept]
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), b.column(0).take(pa.array(d)), pa.array(scores[d, q])], ["query_id", "doc_id", "score"])
+
+            held = rows.select("doc_id", "dl", "terms").mapInArrow(known, f"doc_id {kinds['doc_id']}, dl int, at array<int>, tf array<long>")
+            met = held.join(pairs.filter(mine).groupBy("doc_id").agg(F.collect_list("query_id").alias("who")), "doc_id")
+            parts.append(met.select("doc_id", "dl", "at", "tf", "who").mapInArrow(run, schema))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)

@@ -9,7 +9,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import TOKEN, lexical_tokens
@@ -87,6 +88,21 @@ def _scored(rows: DataFrame, asked: DataFrame, avgdl: float) -> DataFrame:
     return _spread(rows).join(maybe_broadcast(asked, 96), "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
+def asking(asked: DataFrame) -> Iterator[tuple[Column, Broadcast]]:
+    """Blocks of queries (query_id, term, w): what picks a block's queries, and their ids, the numbers of their terms, where each term's
+    postings end, whose they are, and weights."""
+    blocks = max(1, -(-asked.count() * 96 // BROADCAST_BYTES))
+    for i in range(blocks):
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i
+        block = asked.filter(mine).orderBy("term").select("query_id", "term", "w").toArrow().combine_chunks()
+        if not len(block):
+            continue
+        ids = block.column("query_id").combine_chunks().dictionary_encode()
+        terms = block.column("term").combine_chunks().dictionary_encode()  # in order, so each term's postings are one run
+        ends = np.concatenate([[0], np.cumsum(np.bincount(terms.indices.to_numpy(), minlength=len(terms.dictionary)))])
+        yield mine, asked.sparkSession.sparkContext.broadcast((ids.dictionary, {t: j for j, t in enumerate(terms.dictionary.to_pylist())}, ends, ids.indices.to_numpy().astype(np.int64), block.column("w").to_numpy()))
+
+
 def bm25_best(docs: DataFrame, queries: DataFrame, k: int, slack: float = 0.0, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
     """The pairs of ``bm25`` that can be among a query's k best, or within ``slack`` of the k-th (for scores that are rounded later).
 
@@ -94,16 +110,8 @@ def bm25_best(docs: DataFrame, queries: DataFrame, k: int, slack: float = 0.0, d
     pair of query and document is never a row unless it may win. Queries come in blocks of bounded size.
     """
     rows, asked, avgdl = _weighed(docs, queries, doc_id, query_id, text)
-    spark, blocks = docs.sparkSession, max(1, -(-asked.count() * 96 // BROADCAST_BYTES))
-    kind_q, kind_d, parts = dict(asked.dtypes)["query_id"], dict(rows.dtypes)["doc_id"], []
-    for i in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w")).toArrow().combine_chunks()
-        if not len(block):
-            continue
-        ids = block.column("query_id").combine_chunks().dictionary_encode()
-        terms = block.column("term").combine_chunks().dictionary_encode()  # in order, so each term's postings are one run
-        ends = np.concatenate([[0], np.cumsum(np.bincount(terms.indices.to_numpy(), minlength=len(terms.dictionary)))])
-        shared = spark.sparkContext.broadcast((ids.dictionary, {t: j for j, t in enumerate(terms.dictionary.to_pylist())}, ends, ids.indices.to_numpy().astype(np.int64), block.column("w").to_numpy()))
+    spark, kind_q, kind_d, parts = docs.sparkSession, dict(asked.dtypes)["query_id"], dict(rows.dtypes)["doc_id"], []
+    for _, shared in asking(asked.select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, place, ends, who, w = shared.value
@@ -118,6 +126,19 @@ def bm25_best(docs: DataFrame, queries: DataFrame, k: int, slack: float = 0.0, d
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"query_id {kind_q}, doc_id {kind_d}, score double")
 
 
+def matrix(doc: np.ndarray, at: np.ndarray, tf: np.ndarray, lengths: np.ndarray, ends: np.ndarray, who: np.ndarray, w: np.ndarray, queries: int, avgdl: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of documents (rows) and queries out of the documents' postings (row, number of the term, tf), and which share a term."""
+    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / avgdl))
+    many = ends[at + 1] - ends[at]
+    # every posting of every term found: its place in the block's table, its cell in the matrix of documents and queries
+    each = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(ends[at], many)
+    cell = np.repeat(doc, many) * queries + who[each]
+    scores = np.bincount(cell, np.repeat(impact, many) * w[each], len(lengths) * queries).reshape(len(lengths), queries)
+    met = np.bincount(cell, minlength=len(lengths) * queries).reshape(scores.shape) > 0
+    scores[~met] = -np.inf
+    return scores, met
+
+
 def _best_of(b: pa.RecordBatch, place: dict[str, int], ends: np.ndarray, who: np.ndarray, w: np.ndarray, queries: int, k: int, slack: float, avgdl: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, queries and scores of a slice's best pairs."""
     lists, lengths = b.column(2), b.column(1).to_numpy().astype(np.float64)
@@ -125,14 +146,7 @@ def _best_of(b: pa.RecordBatch, place: dict[str, int], ends: np.ndarray, who: np
     at = np.fromiter((place.get(t, -1) for t in entries.field("term").to_pylist()), np.int64, len(entries))
     doc, tf = np.repeat(np.arange(b.num_rows), sizes)[at >= 0], entries.field("tf").to_numpy()[at >= 0].astype(np.float64)
     at = at[at >= 0]
-    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / avgdl))
-    many = ends[at + 1] - ends[at]
-    # every posting of every term found: its place in the block's table, its cell in the matrix of documents and queries
-    each = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(ends[at], many)
-    cell = np.repeat(doc, many) * queries + who[each]
-    scores = np.bincount(cell, np.repeat(impact, many) * w[each], b.num_rows * queries).reshape(b.num_rows, queries)
-    met = np.bincount(cell, minlength=b.num_rows * queries).reshape(scores.shape) > 0
-    scores[~met] = -np.inf
+    scores, met = matrix(doc, at, tf, lengths, ends, who, w, queries, avgdl)
     n = min(k, b.num_rows)
     bar = np.partition(scores, b.num_rows - n, axis=0)[b.num_rows - n] - slack
     d, q = np.nonzero(met & (scores >= bar))

@@ -73,3 +73,17 @@ def test_the_mean_idf_of_many_terms_has_no_rounding_of_a_long_sum(spark):
     alike, common = math.log(6.5) - math.log(1.5), math.log(1.5) - math.log(6.5)
     mean = float((400_000 * Fraction(alike) + Fraction(common)) / 400_001)
     assert lex.idf_table(posts, 7).filter("term = 'common'").first().idf == pytest.approx(mean * lex.EPSILON, rel=1e-15, abs=0)
+
+
+def test_pairs_to_score_meet_no_terms_in_a_join(spark, tmp_path):
+    docs, queries = _corpus(spark, 3, 300)
+    index = blocks.BlockIndex(spark, str(tmp_path / "index")).write(docs)
+    weights = queries.select("query_id", F.explode(F.split("text", " ")).alias("term")).filter("term <> ''").groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = weights.join(lex.idf_table(lex.postings(docs), docs.count()), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))
+    pairs = docs.select("doc_id").crossJoin(queries.select("query_id")).filter("(doc_id + query_id) % 3 = 0").select("query_id", "doc_id")
+    got = index._scored(pairs, asked)
+    joined = got._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("Join ") == 1 and "term#" not in joined.split("Join ")[0]
+    want = lex.bm25(docs, queries).join(pairs, ["query_id", "doc_id"])
+    key = lambda d: {(r.query_id, r.doc_id): r.score for r in d.collect()}
+    assert key(got) == pytest.approx(key(want)) and len(key(want)) > 100
