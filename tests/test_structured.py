@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import recommend, staging
+from pairloom.functions import hybrid
+from pairloom.operators import recommend, staging, structured
 from pairloom.operators.ranking import ranked, ranked_near
 from pairloom.plans import catalogue, hybrids
 
@@ -62,3 +66,39 @@ def test_best_by_marks_equal_the_best_of_all(spark):
     key = lambda d: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in d.collect())
     for share in (1, 4, 100000):
         assert key(ranked_near(rows, 10, 2, share)) == key(want)
+
+
+@pytest.fixture(scope="module")
+def many_sets(spark, sf, tmp_path_factory):
+    """The small tables with a brand for every part, so that each supplier's set of brands is another one."""
+    folder = tmp_path_factory.mktemp("many_sets")
+    for name in ("customer", "supplier", "orders", "lineitem"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    spark.read.parquet(f"{sf}/part.parquet").withColumn("p_brand", F.concat(F.lit("b"), F.col("p_partkey") % 150)).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def small_tiles(monkeypatch):
+    monkeypatch.setattr(structured, "TILE", 64)
+    monkeypatch.setattr(structured, "CELLS", 2000)
+
+
+def test_budgets_of_arrays_equal_the_columns(spark):
+    ends = [None, 0.0, 1.0, 2.5, 7.0]
+    rows = list(itertools.product(ends, repeat=4))
+    want = spark.createDataFrame(rows, "a double, b double, c double, d double").select("*", hybrid.budget_score(*[F.col(c) for c in "abcd"]).alias("s")).collect()
+    got = structured.budget_scores(*np.array([[np.nan if x is None else x for x in r[:4]] for r in want]).T)
+    assert got.tolist() == [r.s for r in want]
+
+
+def test_ablation_joins_no_pairs_when_all_sets_differ(spark, many_sets, monkeypatch):
+    small_tiles(monkeypatch)
+    p = hybrids.parts(spark, many_sets)
+    df = catalogue.QUERIES["ablation_weights"](spark, many_sets)
+    assert "Join" not in plan(df)
+    c = ("semantic", "skills", "experience", "budget", "preferences")
+    scores = [F.avg(F.round(sum((F.lit(x / sum(w)) * F.col(n) for n, x in zip(c, w, strict=True)), F.lit(0.0)), 6)).alias(k) for k, w in hybrids.ABLATIONS.items()]
+    want = {r.query_id: r for r in p.groupBy("query_id").agg(F.count("*").alias("pairs"), *scores).collect()}
+    got = df.collect()
+    assert len(got) == len(want) * len(hybrids.ABLATIONS) > 0
+    assert all(r.pairs == want[r.query_id].pairs and r.mean_score == pytest.approx(want[r.query_id][r.config], abs=2e-9) for r in got)
