@@ -102,3 +102,17 @@ def test_ablation_joins_no_pairs_when_all_sets_differ(spark, many_sets, monkeypa
     got = df.collect()
     assert len(got) == len(want) * len(hybrids.ABLATIONS) > 0
     assert all(r.pairs == want[r.query_id].pairs and r.mean_score == pytest.approx(want[r.query_id][r.config], abs=2e-9) for r in got)
+
+
+def same_ten(spark, df, pairs):
+    score = F.floor(hybrid.hybrid_score({k: F.col(k) for k in hybrid.WEIGHTS}) * 1e5 + 0.5) / 1e5
+    want = ranked(pairs.select("query_id", "doc_id", score.alias("score")), 10)
+    key = lambda d: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in d.select("query_id", "rank", "doc_id", "score").collect())
+    assert key(df) == key(want) != []
+
+
+def test_ten_best_when_all_sets_differ(spark, many_sets, monkeypatch):
+    small_tiles(monkeypatch)
+    df = catalogue.QUERIES["hybrid_score"](spark, many_sets)
+    assert "Join" not in plan(df)
+    same_ten(spark, df, hybrids.parts(spark, many_sets))
