@@ -116,3 +116,10 @@ def test_ten_best_when_all_sets_differ(spark, many_sets, monkeypatch):
     df = catalogue.QUERIES["hybrid_score"](spark, many_sets)
     assert "Join" not in plan(df)
     same_ten(spark, df, hybrids.parts(spark, many_sets))
+
+
+def test_recommended_when_all_sets_differ(spark, many_sets, monkeypatch):
+    small_tiles(monkeypatch)
+    df = catalogue.QUERIES["recommend"](spark, many_sets)
+    assert "Join" not in plan(df)
+    same_ten(spark, df, hybrids.parts(spark, many_sets).filter("doc_id % 10 <> 0 and (doc_id % 4 <> 0 or doc_id % 7 = query_id % 7)"))
