@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import hybrid
-from pairloom.operators import recommend, staging, structured
+from pairloom.operators import recommend, robustness, staging, structured
 from pairloom.operators.ranking import ranked, ranked_near
 from pairloom.plans import catalogue, hybrids
 
@@ -123,3 +123,18 @@ def test_recommended_when_all_sets_differ(spark, many_sets, monkeypatch):
     df = catalogue.QUERIES["recommend"](spark, many_sets)
     assert "Join" not in plan(df)
     same_ten(spark, df, hybrids.parts(spark, many_sets).filter("doc_id % 10 <> 0 and (doc_id % 4 <> 0 or doc_id % 7 = query_id % 7)"))
+
+
+def test_grades_meet_no_brands_in_a_join(spark, many_sets, monkeypatch):
+    small_tiles(monkeypatch)
+    df = catalogue.QUERIES["skill_grades"](spark, many_sets)
+    assert "brand" not in plan(df)
+    must, want = F.col("weight") >= 2, hybrids.wants(spark, many_sets)
+    count = lambda c, name: F.sum(c.cast("int")).alias(name)
+    met = want.join(hybrids.offers(spark, many_sets), "brand").groupBy("query_id", "doc_id").agg(count(must, "hit"), count(~must, "opt_hit"))
+    years = spark.read.parquet(f"{many_sets}/supplier.parquet").selectExpr("s_suppkey as doc_id", "s_nationkey % 9 as years")
+    need = spark.read.parquet(f"{many_sets}/customer.parquet").selectExpr("c_custkey as query_id", "c_nationkey % 7 as need")
+    g = robustness.grade(*[F.col(c) for c in ("req", "hit", "opt", "opt_hit", "years", "need")], F.lit(0), F.lit(0)).alias("grade")
+    each = met.join(want.groupBy("query_id").agg(count(must, "req"), count(~must, "opt")), "query_id").join(years, "doc_id").join(need, "query_id").select("query_id", g)
+    rows = lambda d: sorted((r.query_id, r.grade, r["documents"]) for r in d.collect())
+    assert rows(df) == rows(each.groupBy("query_id", "grade").agg(F.count("*").alias("documents"))) != []
