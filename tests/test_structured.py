@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import hybrid
+from pairloom.functions.vectors import rounded
 from pairloom.operators import recommend, robustness, staging, structured
 from pairloom.operators.ranking import ranked, ranked_near
 from pairloom.plans import catalogue, hybrids
@@ -138,3 +139,18 @@ def test_grades_meet_no_brands_in_a_join(spark, many_sets, monkeypatch):
     each = met.join(want.groupBy("query_id").agg(count(must, "req"), count(~must, "opt")), "query_id").join(years, "doc_id").join(need, "query_id").select("query_id", g)
     rows = lambda d: sorted((r.query_id, r.grade, r["documents"]) for r in d.collect())
     assert rows(df) == rows(each.groupBy("query_id", "grade").agg(F.count("*").alias("documents"))) != []
+
+
+def test_rounding_is_that_of_sql_and_not_by_decimal_text(spark):
+    df = spark.createDataFrame([(0.0,), (1 / 128,), (0.1234565,), (2 / 3,), (1.0,), (None,)], "x double").select(rounded(F.col("x"), 6).alias("r"))
+    assert [r.r for r in df.collect()] == [0.0, 0.007813, np.floor(0.1234565 * 1e6 + 0.5) / 1e6, 0.666667, 1.0, None]
+
+
+def test_budget_overlap_rounds_by_whole_numbers(spark, sf):
+    assert "round(" not in plan(catalogue.QUERIES["budget_overlap"](spark, sf))
+
+
+def test_experience_is_scored_for_groups_of_equal_years(spark, sf):
+    groups = staging.alike(spark.range(40).select("id", (F.col("id") % 3).alias("years")), "id", "years").collect()
+    assert len(groups) == 3 and sorted(x for g in groups for x in g["rows"]) == list(range(40))
+    assert "explode(rows" in plan(catalogue.QUERIES["experience_score"](spark, sf))
