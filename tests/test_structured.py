@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +155,27 @@ def test_experience_is_scored_for_groups_of_equal_years(spark, sf):
     groups = staging.alike(spark.range(40).select("id", (F.col("id") % 3).alias("years")), "id", "years").collect()
     assert len(groups) == 3 and sorted(x for g in groups for x in g["rows"]) == list(range(40))
     assert "explode(rows" in plan(catalogue.QUERIES["experience_score"](spark, sf))
+
+
+def test_arrays_of_equal_kind_are_bounded_and_keep_null_keys(spark, monkeypatch):
+    rows = spark.range(1000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.when(F.col("id") % 50 == 0, F.col("id") % 100).alias("kind"))
+    monkeypatch.setattr(staging, "RUN", 64)
+    groups = staging.alike(rows, "id", "kind").collect()
+    assert max(len(g["rows"]) for g in groups) <= 64
+    key = lambda pairs: sorted((-1 if i is None else i, -1 if k is None else k) for i, k in pairs)
+    assert key((i, g.kind) for g in groups for i in g["rows"]) == key((r.id, r.kind) for r in rows.collect())
+
+
+def test_preferences_of_equal_kinds_become_rows_last(spark, sf, tmp_path):
+    t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    c, s = t("customer"), t("supplier")
+    c.withColumn("c_custkey", F.col("c_custkey") * 10).withColumn("c_nationkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey"))).write.parquet(f"{tmp_path}/customer.parquet")
+    odd = s.limit(1).withColumn("s_suppkey", F.lit(None).cast("long"))  # a supplier without a number, and one twice
+    s.unionByName(odd).unionByName(s.limit(1)).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = catalogue.QUERIES["preferences_score"](spark, str(tmp_path))
+    assert "Join" in plan(df).split("Generate", 2)[2] and "Join" not in "".join(plan(df).split("Generate", 2)[:2])
+    c = duckdb.connect()
+    for n in ("customer", "supplier"):
+        c.execute(f"create view {n} as select * from '{tmp_path}/{n}.parquet/*.parquet'")
+    key = lambda rows: sorted((q, -1 if d is None else d, x) for q, d, x in rows)
+    assert key((r.query_id, r.doc_id, r.score) for r in df.collect()) == key(c.execute(f"select query_id, doc_id, score from ({catalogue.ORACLE_SQL['preferences_score']})").fetchall()) != []
