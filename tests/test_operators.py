@@ -268,3 +268,29 @@ def test_matrices_of_a_task_are_bounded(spark, monkeypatch, cells):
     want = told(make())
     monkeypatch.setattr(matching, "CELLS", cells)
     assert told(make()) == want
+
+
+@pytest.mark.parametrize(("block", "held", "cells"), [(20_000, 24_000_000, 4_000_000), (7, 1300, 900), (20_000, 1000, 4_000_000)])
+def test_all_candidates_are_ranked_without_shuffling_pairs(spark, monkeypatch, block, held, cells):
+    monkeypatch.setattr(matching, "QUERY_BLOCK", block)
+    monkeypatch.setattr(matching, "HELD", held)
+    monkeypatch.setattr(matching, "CELLS", cells)
+    r = np.random.default_rng(4)
+    rows = r.integers(-2, 3, (300, 4)).astype(float)  # many ties, vectors without length
+    rows[7, 1] = np.nan
+    ids = r.permutation(300) * 5
+    v = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, rows, strict=True)], "id long, embedding array<float>").repartition(5)
+    got = matching.all_ranked(v.filter("id % 100 = 0"), v)
+    tree = got._jdf.queryExecution().executedPlan().toString()
+    assert (held < 4 * 300) == ("Window" in tree) == ("Exchange hashpartitioning(query_id" in tree)  # one query's pairs too many for a task
+    scores = matching.similarities(v.filter("id % 100 = 0"), v).filter("query_id <> cand_id")
+    want = ranking.ranked(scores.select("query_id", F.col("cand_id").alias("doc_id"), F.round("sim", 6).alias("score")))
+    key = lambda d: sorted((x.query_id, x["rank"], x.doc_id, str(x.score)) for x in d.collect())
+    assert key(got) == key(want) and got.count() == 15 * 299 and got.schema.simpleString() == want.schema.simpleString()
+    assert held < 4 * 300 or matching.all_ranked(v.filter("id < 0"), v).count() == matching.all_ranked(v, v.filter("id < 0")).count() == 0
+
+
+def test_vectors_are_ranked_without_a_window(spark, sf):
+    from pairloom.plans import catalogue
+
+    assert "Window" not in catalogue.QUERIES["single_vector_rank"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
