@@ -179,3 +179,18 @@ def test_preferences_of_equal_kinds_become_rows_last(spark, sf, tmp_path):
         c.execute(f"create view {n} as select * from '{tmp_path}/{n}.parquet/*.parquet'")
     key = lambda rows: sorted((q, -1 if d is None else d, x) for q, d, x in rows)
     assert key((r.query_id, r.doc_id, r.score) for r in df.collect()) == key(c.execute(f"select query_id, doc_id, score from ({catalogue.ORACLE_SQL['preferences_score']})").fetchall()) != []
+
+
+def test_preferences_of_every_customer_are_scored(spark, sf):
+    c, s = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("customer", "supplier"))
+    df = catalogue.QUERIES["preferences_score"](spark, sf)
+    assert df.select("query_id").distinct().count() == c.count() and df.count() == c.count() * s.count()
+    view = duckdb.connect()
+    for n in ("customer", "supplier"):
+        view.execute(f"create view {n} as select * from '{sf}/{n}.parquet'")
+    assert sorted(map(tuple, df.select("query_id", "doc_id", "score").collect())) == sorted(view.execute(catalogue.ORACLE_SQL["preferences_score"]).fetchall())
+
+
+def test_groups_are_dealt_over_no_more_tasks_than_there_are(spark):
+    groups = staging.alike(spark.range(400).select("id", (F.col("id") % 4).alias("kind")), "id", "kind")
+    assert staging.dealt_groups(groups, 10**8).rdd.getNumPartitions() == groups.count()
