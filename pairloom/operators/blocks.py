@@ -45,7 +45,7 @@ class BlockIndex:
         size = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
         if not size.n:
             raise ValueError("an empty corpus cannot be ranked")
-        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / size.avgdl))
+        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (size.avgdl or 0.0)))
         posts = _spread(rows).select("doc_id", "term", "tf", impact.alias("impact"))
         idf_table(posts, size.n).write.parquet(f"{self.path}/terms")
         common = self._read("terms").filter(F.col("df") > BLOCK).select("term", F.ceil(F.col("df") / (BLOCK * LEVELS)).alias("pieces"))
@@ -96,7 +96,7 @@ class BlockIndex:
         """query_id, doc_id, score of the given distinct pairs, from all terms of the documents among them. Documents meet their queries once,
         with what they hold of the queries' terms as numbers; no pair meets a term in a join."""
         rows, pairs = self._read("docs"), staged(pairs)
-        avgdl, kinds = rows.agg(F.avg("dl").alias("avgdl")).first().avgdl, dict(pairs.dtypes)
+        avgdl, kinds = rows.agg(F.avg("dl").alias("avgdl")).first().avgdl or 0.0, dict(pairs.dtypes)
         parts, schema = [], f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"
         for mine, shared in asking(asked.select("query_id", "term", "w")):
 
@@ -119,7 +119,7 @@ class BlockIndex:
                         b = whole.slice(start, SLICE)
                         doc = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
                         at, tf = b.column(2).flatten().to_numpy().astype(np.int64), b.column(3).flatten().to_numpy().astype(np.float64)
-                        scores, met = matrix(doc, at, tf, b.column(1).to_numpy().astype(np.float64), ends, who, w, len(names), avgdl)
+                        scores, met = matrix(doc, at, tf, b.column(1).to_numpy(zero_copy_only=False).astype(np.float64), ends, who, w, len(names), avgdl)
                         d, q = np.repeat(np.arange(b.num_rows), b.column(4).value_lengths().to_numpy()), pc.fill_null(pc.index_in(b.column(4).flatten(), value_set=names), -1).to_numpy()
                         kept = (q >= 0) & met[d, q]  # a query of unknown terms has no number
                         d, q = d[kept], q[kept]

@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import TOKEN, lexical_tokens
+from pairloom.functions.text import TOKEN, lexical_tokens, lowered
 from pairloom.operators.staging import BROADCAST_BYTES, against_all, maybe_broadcast, staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -22,8 +22,9 @@ SLICE = 500
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, dl, terms: array<struct<term, tf>>, in one pass over Arrow batches of texts: nothing is shuffled, and no token becomes a row."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("text"))
+    """doc_id, dl (null for null text, which the mean length leaves out), terms: array<struct<term, tf>>, in one pass over Arrow batches of
+    texts: nothing is shuffled, and no token becomes a row."""
+    t = docs.select(F.col(id_col).alias("doc_id"), lowered(F.col(text_col)).alias("text"))
     find = re.compile(TOKEN).findall
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +35,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 for text in b.column(1).to_pylist():
                     found = find(text) if text else []
                     n = Counter(found)
-                    sizes.append(len(found))
+                    sizes.append(None if text is None else len(found))
                     terms += n.keys()
                     times += n.values()
                     ends.append(len(terms))
@@ -70,7 +71,7 @@ def _weighed(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, te
     if not size.n:
         raise ValueError("an empty corpus cannot be ranked")
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(lexical_tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    return rows, staged(asked.join(idf_table(_spread(rows), size.n).select("term", "idf"), "term")), size.avgdl
+    return rows, staged(asked.join(idf_table(_spread(rows), size.n).select("term", "idf"), "term")), size.avgdl or 0.0
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -141,7 +142,7 @@ def matrix(doc: np.ndarray, at: np.ndarray, tf: np.ndarray, lengths: np.ndarray,
 
 def _best_of(b: pa.RecordBatch, place: dict[str, int], ends: np.ndarray, who: np.ndarray, w: np.ndarray, queries: int, k: int, slack: float, avgdl: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, queries and scores of a slice's best pairs."""
-    lists, lengths = b.column(2), b.column(1).to_numpy().astype(np.float64)
+    lists, lengths = b.column(2), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
     sizes, entries = lists.value_lengths().to_numpy(), lists.flatten()
     at = np.fromiter((place.get(t, -1) for t in entries.field("term").to_pylist()), np.int64, len(entries))
     doc, tf = np.repeat(np.arange(b.num_rows), sizes)[at >= 0], entries.field("tf").to_numpy()[at >= 0].astype(np.float64)

@@ -6,11 +6,13 @@ import math
 import random
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import blocks, ranking
 from pairloom.operators import bm25 as lex
+from pairloom.plans import catalogue
 
 
 @pytest.mark.parametrize("blocks", [1, 3])
@@ -87,3 +89,18 @@ def test_pairs_to_score_meet_no_terms_in_a_join(spark, tmp_path):
     want = lex.bm25(docs, queries).join(pairs, ["query_id", "doc_id"])
     key = lambda d: {(r.query_id, r.doc_id): r.score for r in d.collect()}
     assert key(got) == pytest.approx(key(want)) and len(key(want)) > 100
+
+
+@pytest.mark.parametrize("name", ["bm25_full_grid", "bm25_topk", "bm25_blocks_topk"])
+def test_null_texts_and_dotted_capitals_count_as_in_the_sql(spark, tmp_path, name):
+    docs = [(i, f"the plan of w{i} and w{i % 7}") for i in range(40)] + [(50, None), (51, None), (52, ""), (53, "\u0130stanbul \u0130 plan"), (54, "istanbul the the")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "istanbul plan w3"), (2, "\u0130STANBUL the"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    view = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        view.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = view.execute(f"select query_id, doc_id, score, rank from ({catalogue.ORACLE_SQL[name]})").fetchall()
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).select("query_id", "doc_id", "score", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(want) != []
+    nothing = spark.createDataFrame([(1, None)], "doc_id long, text string")
+    assert lex.bm25(nothing, nothing.withColumnRenamed("doc_id", "query_id")).count() == 0
